@@ -1,0 +1 @@
+"""Operators of the engine; every public function maps DataFrames to DataFrames."""

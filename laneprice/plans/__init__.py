@@ -1,0 +1 @@
+"""Plans of the engine; every public function maps DataFrames to DataFrames."""

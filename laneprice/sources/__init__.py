@@ -1,0 +1 @@
+"""Sources of the engine; every public function maps DataFrames to DataFrames."""

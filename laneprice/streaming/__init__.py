@@ -1,0 +1 @@
+"""Streaming of the engine; every public function maps DataFrames to DataFrames."""
