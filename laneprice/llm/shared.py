@@ -30,6 +30,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """As cut(), in compressed Parquet: for tables with texts or many columns."""
+    path = new_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def total_bytes(df: DataFrame, column: str) -> int:
     """UTF-8 bytes of a text column; one narrow pass that sends one number."""
     return df.agg(F.sum(F.octet_length(column)).alias("n")).first()["n"] or 0
