@@ -29,4 +29,13 @@ SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, least.c AS component_id
 FROM d LEFT JOIN n USING (doc_id) JOIN least ON least.a = d.doc_id
 """
 
-ORACLES = {"op1_substring_dedup": OP1, "op9_near_dedup": OP9}
+OP10 = """
+WITH v AS (
+  SELECT vec_id, [floor(256 * x::DOUBLE) for x in embedding] AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len([1 for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e)::BIGINT AS score FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score
+FROM s QUALIFY rank <= 5
+"""
+
+ORACLES = {"op10_exact_top_k": OP10, "op1_substring_dedup": OP1, "op9_near_dedup": OP9}
