@@ -1,4 +1,59 @@
-"""The corpus pipeline (filled in below)."""
+"""The corpus pipeline: quality rules, near-dedup, secrets, source mixing and packing, one after the other.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; run() writes it as Parquet in the shared
+folder and reads it again as the next stage's docs.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from laneprice.llm.mixing import mix_sources
+from laneprice.llm.near_dedup import near_duplicates
+from laneprice.llm.packing import pack_documents
+from laneprice.llm.quality_rules import fit_quality, score_quality
+from laneprice.llm.registry import tokenizer
+from laneprice.llm.secrets import redact_secrets
+from laneprice.llm.shared import table, written
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality rules keep."""
+    model = fit_quality(docs, table(spark, sf_dir, "labels"))
+    return score_quality(docs, model).where("kept").select(*docs.columns)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of every near-duplicate group: the one with the smallest doc_id."""
+    gone = near_duplicates(docs, shingle=5, percent=80).where("NOT kept").select("doc_id")
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+
+
+def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with their secrets masked and n_chars made anew where the text changed."""
+    clean = redact_secrets(docs, repository=F.concat_ws("/", "source", "lang"), owner=F.col("source"))
+    return clean.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents replicated or left out so that every source has an equal share of the text."""
+    return mix_sources(docs).select(*docs.columns)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of all documents, packed into sequences of at most 2048 tokens."""
+    return pack_documents(docs, tokenizer("word_bpe_49k.json"))
+
+
+STAGES = [("quality", quality), ("near_dedup", near_dedup), ("secrets", secrets), ("mixing", mixing), ("packing", packing)]
+
+#: Quality and packing can't be said in SQL.
 ORACLE_SQL = None
-def run(spark, sf_dir):
-    raise NotImplementedError
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = written(stage(spark, docs, sf_dir), name)
+    return docs

@@ -38,4 +38,51 @@ SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, v
 FROM s QUALIFY rank <= 5
 """
 
-ORACLES = {"op10_exact_top_k": OP10, "op1_substring_dedup": OP1, "op9_near_dedup": OP9}
+OP2 = """
+WITH m AS (SELECT source, sum(coalesce(length(text), 0) + 1)::DOUBLE AS mass FROM documents GROUP BY 1),
+r AS (SELECT source, (sum(mass) OVER ()) / ((count(*) OVER ()) * mass) AS rate FROM m),
+k AS (SELECT source, rate, unnest(range(0, ceil(rate + 8 * sqrt(rate) + 20)::BIGINT + 1)) AS k FROM r),
+l AS (SELECT *, sum(CASE WHEN k > 1 THEN ln(k) ELSE 0 END) OVER (PARTITION BY source ORDER BY k) AS lf FROM k),
+c AS (SELECT source, k, sum(exp(k * ln(rate) - rate - lf)) OVER (PARTITION BY source ORDER BY k) AS c FROM l),
+d AS (SELECT *, row_number() OVER () AS rid, ('0x' || substr(md5('copies 17|' || doc_id), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE AS u FROM documents),
+n AS (SELECT d.rid, count(*) AS n FROM d JOIN c ON d.source IS NOT DISTINCT FROM c.source AND c.c <= d.u GROUP BY 1)
+SELECT doc_id, text, lang, source, n_chars, copy::INTEGER AS copy, ('0x' || substr(md5('order 17|' || doc_id || '|' || copy), 1, 15))::BIGINT AS mix_key
+FROM d JOIN n USING (rid), LATERAL (SELECT unnest(range(1, n + 1)) AS copy)
+"""
+
+OP3 = """
+WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS h, min(page_id) OVER (PARTITION BY coalesce(html, '')) AS f FROM pages)
+SELECT page_id, payload_bytes::BIGINT AS payload_bytes,
+  array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((('0x' || substr(h, 5 * (i // 4) + 1, 5))::BIGINT >> (15 - 5 * (i % 4))) & 31)::INTEGER, 1) for i in range(32)], '') AS payload_digest,
+  CASE WHEN page_id = f THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> f THEN f END AS refers_to
+FROM p
+"""
+
+_KINDS = (
+    (0, "assign", r"""([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)""", 2, 6),
+    (1, "access", "AKIA[A-Z0-9]+", 0, 20),
+    (2, "hex", "[0-9a-f]+", 0, 24),
+    (3, "owned", "[A-Za-z0-9+/_=-]+", 0, 20),
+)
+_FOUND = "\n  UNION ALL ".join(
+    f"SELECT rid, doc_id, source, lang, {i} AS kind, '{k}' AS name, unnest(range(1, len(m) + 1)) AS i, unnest(m) AS m, unnest(v) AS v, unnest(b[1:len(m)]) AS b, {n} AS least"
+    f" FROM (SELECT rid, doc_id, source, lang, regexp_extract_all(t, '{p}') AS m, regexp_extract_all(t, '{p}', {g}) AS v, string_split_regex(t, '{p}') AS b FROM d)"
+    for i, k, p, g, n in _KINDS
+)
+OP5 = f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, source, lang, coalesce(text, '') AS t FROM documents),
+f AS ({_FOUND}),
+s AS (SELECT *, (sum(length(b) + length(m)) OVER (PARTITION BY rid, kind ORDER BY i))::BIGINT AS e FROM f),
+c AS (SELECT rid, source, lang, kind, name, e - length(m) AS s, e, v FROM s
+  WHERE length(v) >= least AND (kind < 3 OR (regexp_matches(v, '[0-9]') AND regexp_matches(v, '[a-z]') AND regexp_matches(v, '[A-Z]')))),
+o AS (SELECT v, greatest(count(DISTINCT coalesce(source, '\0')), count(DISTINCT concat_ws('/', source, lang))) <= 2 AS live FROM c GROUP BY v),
+x AS (SELECT c.*, o.live FROM c JOIN o USING (v)
+  WHERE kind < 3 OR (o.live AND NOT EXISTS (SELECT 1 FROM c b WHERE b.rid = c.rid AND b.kind < 3 AND b.s < c.e AND c.s < b.e))),
+g AS (SELECT rid, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex, count(*) FILTER (live) AS n_live,
+  string_agg(name || ':' || s || ':' || e, ',' ORDER BY s, kind) FILTER (kind < 3) AS base, string_agg(name || ':' || s || ':' || e, ',' ORDER BY s, kind) AS spans FROM x GROUP BY rid)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+  sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_live, 0) AS n_live
+FROM d LEFT JOIN g USING (rid)
+"""
+
+ORACLES = {"op2_mixing": OP2, "op3_warc": OP3, "op5_secret_scan": OP5, "op10_exact_top_k": OP10, "op1_substring_dedup": OP1, "op9_near_dedup": OP9}
