@@ -4,10 +4,12 @@ Two permutations of a fixed universe make every signature coordinate: the first
 the second, shifted circularly by k, orders them for coordinate k. Signatures are cut into bands.
 
 Documents with equal shingle sets are one node. Inside a band's bucket a node is compared with one
-leader, not with all others; further rounds take another leader for buckets whose nodes are still in
-several components, and a last round compares all remaining nodes of different components there. So no
-pair of different components that share a bucket goes unchecked, and copies never make pairs. Every
-link is confirmed on the full shingle sets. A pair at exactly the threshold shares no bucket with
+leader, not with all others; a further round takes another leader for buckets whose nodes are still in
+several components, and a last round checks what is left: nodes of different components there become a
+pair only if the parity sketches of their sets allow a link. A sketch bit tells whether an odd number of
+shingles falls on it, so two sets differ in at least as many shingles as their sketches in bits: this
+bound drops no link. So no pair of different components that share a bucket goes unchecked, and copies
+never make pairs. Every link is confirmed on the full shingle sets. A pair at exactly the threshold shares no bucket with
 probability (1 - t ** ROWS) ** BANDS, 5e-6 for 0.8.
 """
 
@@ -29,8 +31,8 @@ from .shared import cut, written
 BANDS, ROWS = 40, 6
 #: Places of the universe that shingles are scattered over.
 UNIVERSE = 1 << 20
-#: Rounds that compare with one leader a bucket before the rest is compared in full.
-LEADER_ROUNDS = 3
+#: 64-bit words of a parity sketch.
+SKETCH = 16
 #: Candidate rows (24 bytes each) that may be broadcast to pick their texts; more are joined by shuffle.
 BROADCAST_ROWS = 200_000
 _SHORT = np.uint64(0xA24BAED4963EE407)
@@ -86,19 +88,32 @@ def band_keys(signature: np.ndarray) -> np.ndarray:
     return keys
 
 
+def parity_sketch(shingles: np.ndarray) -> np.ndarray:
+    bits = np.bincount((shingles >> np.uint64(24)).astype(np.int64) % (64 * SKETCH), minlength=64 * SKETCH) & 1
+    return np.packbits(bits.astype(np.uint8)).view(np.int64)
+
+
+def _may_link(percent: int) -> str:
+    """Whether the sketches of a and b allow a link: at most (100 - percent) / (100 + percent) of both sizes may differ."""
+    apart = " + ".join(f"bit_count(a{i} ^ b{i})" for i in range(SKETCH))
+    return f"({apart}) * {100 + percent} <= (size_a + size_b) * {100 - percent}"
+
+
 def _signed(size: int):
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            nodes, counts, bands = [], [], []
+            nodes, counts, bands, sketches = [], [], [], []
             for shingles in shingle_sets(batch["text"], size):
                 counts.append(len(shingles))
                 if len(shingles):
                     nodes.append(int.from_bytes(hashlib.blake2b(shingles.tobytes(), digest_size=8).digest(), "little", signed=True))
                     bands.append(band_keys(signature(shingles)).view(np.int64))
+                    sketches.append(parity_sketch(shingles))
                 else:
                     nodes.append(None)
                     bands.append(None)
-            yield pa.RecordBatch.from_arrays([batch["id"], batch["text_hash"], pa.array(counts, pa.int64()), pa.array(nodes, pa.int64()), pa.array(bands, pa.list_(pa.int64()))], names=["id", "text_hash", "n_shingles", "node", "bands"])
+                    sketches.append(None)
+            yield pa.RecordBatch.from_arrays([batch["id"], batch["text_hash"], pa.array(counts, pa.int64()), pa.array(nodes, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(sketches, pa.list_(pa.int64()))], names=["id", "text_hash", "n_shingles", "node", "bands", "sketch"])
 
     return sign
 
@@ -129,17 +144,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     if shingle < 1 or not 60 <= percent <= 100:
         raise ValueError("shingle must be at least 1 and percent from 60 to 100")
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("text_hash"))
-    kind = T.StructType([T.StructField("id", docs.schema[id_col].dataType), *T._parse_datatype_string("text_hash long, n_shingles long, node long, bands array<long>").fields])
+    kind = T.StructType([T.StructField("id", docs.schema[id_col].dataType), *T._parse_datatype_string("text_hash long, n_shingles long, node long, bands array<long>, sketch array<long>").fields])
     signed = written(rows.mapInArrow(_signed(shingle), kind), "signed")
 
     buckets = signed.where("node IS NOT NULL").select("node", F.explode("bands").alias("key"))
     leaders = buckets.groupBy("key").agg(F.min("node").alias("leader"), F.max("node").alias("last")).where("leader < last").drop("last")
     shared = written(buckets.join(leaders, "key").distinct(), "buckets")
 
-    reps = signed.join(shared.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min(F.struct("id", "text_hash")).alias("rep"))
-    reps = cut(reps.select("node", F.col("rep.id").alias("rep_id"), F.col("rep.text_hash").alias("rep_hash")))
+    reps = signed.join(shared.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min(F.struct("id", "text_hash", "n_shingles", "sketch")).alias("rep"))
+    reps = cut(reps.select("node", F.col("rep.id").alias("rep_id"), F.col("rep.text_hash").alias("rep_hash"), "rep.n_shingles", "rep.sketch"))
+    sketches = reps.select("node", "n_shingles", "sketch")
     few = reps.count() <= BROADCAST_ROWS
-    texts = written(rows.join(F.broadcast(reps) if few else reps, F.expr("rep_hash = text_hash AND rep_id <=> id")).select("node", "text"), "texts")
+    picked = reps.select("node", "rep_id", "rep_hash")
+    texts = written(rows.join(F.broadcast(picked) if few else picked, F.expr("rep_hash = text_hash AND rep_id <=> id")).select("node", "text"), "texts")
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         left = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
@@ -147,20 +164,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         return cut(both.select("a", "b", "text_a", "text_b").mapInArrow(_confirm(shingle, percent), "a long, b long").distinct())
 
     links = confirmed(shared.where("node <> leader").select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct())
-    for turn in range(1, LEADER_ROUNDS + 1):
+    for last in (False, True):
         labels = connected_components(links)
         placed = shared.join(labels, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
-        open_keys = placed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.min(F.struct(F.xxhash64("node", F.lit(turn)), "node", "component")).alias("next")).where("x < y").select("key", "next.*")
-        open_keys = cut(open_keys.select("key", F.col("node").alias("b"), F.col("component").alias("component_b")))
+        open_keys = placed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.min(F.struct(F.xxhash64("node", "key"), "node")).alias("next"))
+        open_keys = cut(open_keys.where("x < y").select("key", F.col("next.node").alias("leader")))
         if open_keys.isEmpty():
             break
-        if turn < LEADER_ROUNDS:
-            pairs = placed.join(open_keys, "key").where("component <> component_b").select(F.col("node").alias("a"), "b")
-        else:
-            rest = placed.join(open_keys.select("key"), "key")
-            other = rest.select("key", F.col("node").alias("b"), F.col("component").alias("component_b"))
-            pairs = rest.join(other, "key").where("component < component_b").select(F.col("node").alias("a"), "b")
-        links = cut(links.union(confirmed(pairs.distinct())))
+        members = written(placed.join(open_keys, "key").join(sketches, "node"), "members")
+        side = lambda df, x: df.select("key", F.col("node").alias(x), F.col("component").alias(f"component_{x}"), F.col("n_shingles").alias(f"size_{x}"), *(F.col("sketch")[i].alias(f"{x}{i}") for i in range(SKETCH)))
+        left, right = side(members, "a"), side(members if last else members.where("node = leader"), "b")
+        apart = "component_a < component_b" if last else "component_a <> component_b"
+        pairs = left.join(right, (left["key"] == right["key"]) & F.expr(apart) & F.expr(_may_link(percent)))
+        links = cut(links.union(confirmed(pairs.select("a", "b").distinct())))
     labels = connected_components(links)
 
     nodes = signed.where("node IS NOT NULL").groupBy("node").agg(F.min("id").alias("least"))
