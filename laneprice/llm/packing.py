@@ -10,6 +10,7 @@ from __future__ import annotations
 import math
 import os
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -22,8 +23,8 @@ from . import textops
 CAPACITY, SEPARATOR_ID = 2048, 0
 #: Pieces of a group, about; bytes of text that a piece stands for in this estimate.
 GROUP_PIECES, PIECE_BYTES = 20_000, 6_000
-#: A worker keeps the ids of so many words; longer words are not kept.
-CACHE_WORDS, CACHE_BYTES = 400_000, 200
+#: A worker forgets its words beyond so many words or ids.
+CACHE_WORDS, CACHE_IDS = 600_000, 6_000_000
 
 
 class _Encoder:
@@ -39,7 +40,11 @@ class _Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[int, np.ndarray] = {}
+        self.clear()
+
+    def clear(self) -> None:
+        self.known: dict[int, int] = {}
+        self.sizes, self.flat = np.zeros(0, np.int64), np.zeros(0, np.uint32)
 
     @classmethod
     def of(cls, path: str) -> _Encoder:
@@ -47,26 +52,26 @@ class _Encoder:
             cls.made[path] = cls(path)
         return cls.made[path]
 
+    def _learn(self, keys: list[int], texts: list[str]) -> None:
+        lists = [found.ids for found in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        self.known.update(zip(keys, range(len(self.known), len(self.known) + len(keys)), strict=True))
+        self.sizes = np.append(self.sizes, np.fromiter(map(len, lists), np.int64, len(lists)))
+        self.flat = np.append(self.flat, np.fromiter(chain.from_iterable(lists), np.uint32))
+
     def ids(self, w: textops.Words) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all words, and where each document's ids begin and end."""
         distinct, first, which = np.unique(textops.word_hashes(w), return_index=True, return_inverse=True)
-        if len(self.known) > CACHE_WORDS:
-            self.known.clear()
+        if len(self.known) > CACHE_WORDS or len(self.flat) > CACHE_IDS:
+            self.clear()
         keys = distinct.tolist()
         new = [k for k, key in enumerate(keys) if key not in self.known]
-        at = first[new]
-        raw = w.data.tobytes()
-        texts = [raw[a:b].decode() for a, b in zip(w.starts[at].tolist(), w.ends[at].tolist(), strict=True)]
-        long = {}
-        for key, text, found in zip((keys[k] for k in new), texts, self.tokenizer.encode_batch(texts, add_special_tokens=False), strict=True):
-            (self.known if len(text) <= CACHE_BYTES else long)[key] = np.array(found.ids, dtype=np.uint32)
-        each = [self.known[k] if k in self.known else long[k] for k in keys]
-        sizes = np.array([len(x) for x in each], dtype=np.int64)
-        flat = np.concatenate([*each, np.zeros(0, np.uint32)])
-        counts = sizes[which]
+        at, raw = first[new], w.data.tobytes()
+        self._learn([keys[k] for k in new], [raw[a:b].decode() for a, b in zip(w.starts[at].tolist(), w.ends[at].tolist(), strict=True)])
+        word = np.fromiter(map(self.known.__getitem__, keys), np.int64, len(keys))[which]
+        counts, begin = self.sizes[word], (np.cumsum(self.sizes) - self.sizes)[word]
         ends = np.cumsum(counts)
-        at = np.repeat((np.cumsum(sizes) - sizes)[which] - (ends - counts), counts) + np.arange(int(counts.sum()))
-        return flat[at], np.append(0, ends)[w.first]
+        at = np.repeat(begin - (ends - counts), counts) + np.arange(int(counts.sum()))
+        return self.flat[at], np.append(0, ends)[w.first]
 
 
 _PIECES = "piece int, start long, length long, ids binary"
