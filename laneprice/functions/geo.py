@@ -27,3 +27,21 @@ def bearing(lat1, lon1, lat2, lon2) -> Column:
     a, b, c, d = (F.radians(x) for x in (lat1, lon1, lat2, lon2))
     y, x = F.sin(d - b) * F.cos(c), F.cos(a) * F.sin(c) - F.sin(a) * F.cos(c) * F.cos(d - b)
     return F.pmod(F.degrees(F.atan2(y, x)) + 360, F.lit(360.0))
+
+
+def destination(lat, lon, course: Column, distance_mi: Column) -> tuple[Column, Column]:
+    """Latitude and longitude reached from a point on a course in degrees."""
+    a, d, t = F.radians(lat), distance_mi / EARTH_MI, F.radians(course)
+    out = F.asin(F.sin(a) * F.cos(d) + F.cos(a) * F.sin(d) * F.cos(t))
+    turn = F.atan2(F.sin(t) * F.sin(d) * F.cos(a), F.cos(d) - F.sin(a) * F.sin(out))
+    return F.degrees(out), F.degrees(F.radians(lon) + turn)
+
+
+def segment_km(lat, lon, lat1, lon1, lat2, lon2) -> Column:
+    """Distance from a point to a segment on the plane that is flat at the point."""
+    k = F.cos(F.radians(lat)) * 111.32
+    x1, y1, x2, y2 = (F.col(lon1) - F.col(lon)) * k, (F.col(lat1) - F.col(lat)) * 110.574, (F.col(lon2) - F.col(lon)) * k, (F.col(lat2) - F.col(lat)) * 110.574
+    dx, dy = x2 - x1, y2 - y1
+    size = dx * dx + dy * dy
+    t = F.when(size == 0, 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), -(x1 * dx + y1 * dy) / size)))
+    return F.hypot(x1 + t * dx, y1 + t * dy)

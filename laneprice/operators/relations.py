@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .durable import cut
+
 
 def replace_periods(existing: DataFrame, new: DataFrame, on: str = "period") -> DataFrame:
     """All rows of new, and those of existing whose period new doesn't have."""
@@ -108,3 +110,97 @@ def violations(rows: DataFrame, rules: dict[str, Column]) -> DataFrame:
     """rule, n: rows that break each rule, all counted in one pass."""
     counted = rows.agg(*(F.count_if(~F.coalesce(ok, F.lit(False))).alias(k) for k, ok in rules.items()))
     return counted.unpivot([], list(rules), "rule", "n")
+
+
+def find_rows(rows: DataFrame, code: str, name: str, typed: str) -> DataFrame:
+    """Rows whose code starts with the typed text or whose name holds it; hit: the exact one, or the only one."""
+    q = typed.strip().lower()
+    found = rows.where(F.lower(F.col(code).cast("string")).startswith(q) | F.lower(name).contains(q))
+    alone = found.groupBy().agg((F.count("*") == 1).alias("_alone"))  # one row
+    exact = (F.lower(name) == q) | (F.lower(F.col(code).cast("string")) == q)
+    return found.crossJoin(F.broadcast(alone)).withColumn("hit", exact | F.col("_alone")).drop("_alone")
+
+
+def attach_dimension(rows: DataFrame, dimension: DataFrame, key: str, strict: bool = True) -> DataFrame:
+    """rows with the columns of their dimension row; an unknown key is an error if strict."""
+    joined = rows.join(dimension.withColumn("_known", F.lit(True)), key, "left")
+    if strict:
+        joined = joined.where(F.when(F.col("_known") | F.col(key).isNull(), True).otherwise(F.raise_error(F.concat(F.lit(f"unknown {key}: "), F.col(key).cast("string")))))
+    return joined.drop("_known")
+
+
+def last_two(rows: DataFrame, on: str) -> DataFrame:
+    """One row, cur and prev: the newest date and the newest one before it."""
+    recent = rows.select(on).distinct().orderBy(F.desc(on)).limit(2)
+    return recent.agg(F.max(on).alias("cur"), F.when(F.count("*") == 2, F.min(on)).alias("prev"))
+
+
+def join_snapshots(states: DataFrame, snapshots: DataFrame, key: str, on: str, value: str) -> DataFrame:
+    """Every state with cur and prev: its value in the newest snapshot and in the one before, and the days between them."""
+    dates = F.broadcast(last_two(snapshots, on).withColumnsRenamed({"cur": "_c", "prev": "_p"}))
+    near = snapshots.join(dates, F.col(on).isin(F.col("_c"), F.col("_p")))
+    pair = near.groupBy(key).agg(F.max(F.when(F.col(on) == F.col("_c"), F.col(value))).alias("cur"), F.max(F.when(F.col(on) == F.col("_p"), F.col(value))).alias("prev"))
+    return states.join(pair, key, "left").crossJoin(dates.select(F.datediff("_c", "_p").alias("gap")))
+
+
+def next_door(states: DataFrame, adjacency: DataFrame, prices: DataFrame, key: str, price: str) -> DataFrame:
+    """Per state its neighbours with a price and itself, cheapest first; the state itself first on ties, then by name."""
+    pairs = adjacency.select(key, "mate").unionByName(states.select(key, F.col(key).alias("mate"))).distinct()
+    known = states.join(prices.where(F.col(price).isNotNull()).select(key, price), key)
+    mate = known.select(F.col(key).alias("mate"), F.col("name").alias("mate_name"), F.col("region").alias("_region"), F.col(price).alias("mate_price"))
+    own = states.join(prices.select(key, price), key, "left").select(key, F.col("region").alias("_own"), F.col(price).alias("_price"))
+    rows = pairs.join(mate, "mate").join(own, key)
+    order = Window.partitionBy(key).orderBy("mate_price", (F.col(key) != F.col("mate")).cast("int"), "mate_name")
+    return rows.select(key, F.row_number().over(order).alias("place"), "mate", "mate_price", (F.col("mate_price") - F.col("_price")).alias("diff"), F.when(~F.col("_region").eqNullSafe(F.col("_own")), F.col("_region")).alias("mate_region"))
+
+
+def row_flags(cur, prev, gap, weekly, surveyed, move: float, apart: float):
+    """Flags of a state's row in their fixed order: gap, large_move, eia_divergence, no_eia_survey, prev_missing."""
+    rules = ((gap > 1, "gap"), (F.abs(cur - prev) >= move, "large_move"), (F.abs(cur - weekly) > apart, "eia_divergence"), (~surveyed, "no_eia_survey"), (cur.isNotNull() & prev.isNull(), "prev_missing"))
+    return F.array_compact(F.array(*(F.when(rule, name) for rule, name in rules)))
+
+
+def check_snapshots(snapshots: DataFrame, known: DataFrame, key: str, on: str, value: str, low: float, high: float, move: float) -> DataFrame:
+    """Per snapshot an outcome against the one before it: invalid (a key missing, unknown or twice, a value out of range, or nothing changed), else ok; and its warnings."""
+    order = Window.partitionBy(key).orderBy(on)
+    dates = Window.orderBy(on)  # over one row for each snapshot
+    days = snapshots.select(on).distinct().withColumn("_before", F.lag(on).over(dates))
+    flagged = snapshots.join(known.select(key).distinct().withColumn("_k", F.lit(1)), key, "left")
+    rows = flagged.withColumn("_last", F.lag(F.struct(on, value)).over(order)).join(days, on)
+    prev = F.when(F.col(f"_last.{on}") == F.col("_before"), F.col(f"_last.{value}"))
+    v = F.col(value)
+    per = rows.groupBy(on).agg(
+        F.count("*").alias("n"), F.count_distinct(key).alias("_keys"), F.count("_k").alias("_known"), F.count_if(v.isNull() | ~v.between(low, high)).alias("_out"),
+        F.bool_and(v.eqNullSafe(prev)).alias("_same"), F.max(F.datediff(on, "_before")).alias("_gap"), F.count_if(prev.isNull()).alias("_missing"), F.count_if(F.abs(v - prev) >= move).alias("_large"), F.max(F.col("_before").isNotNull()).alias("_has"))
+    whole = per.crossJoin(F.broadcast(known.agg(F.count_distinct(key).alias("_all"))))
+    bad = (F.col("n") != F.col("_all")) | (F.col("_keys") != F.col("n")) | (F.col("_known") != F.col("n")) | (F.col("_out") > 0) | (F.col("_same") & F.col("_has"))
+    warn = F.array_compact(F.array(F.when(F.col("_gap") > 1, "gap"), F.when(F.col("_has") & (F.col("_missing") > 0), "prev_missing"), F.when(F.col("_large") > 0, "large_move")))
+    return whole.select(on, "n", F.when(bad, "invalid").otherwise("ok").alias("outcome"), F.array_join(warn, ",").alias("warnings"))
+
+
+def blank_regions(states: DataFrame, weekly: DataFrame, series: str, on: str, value: str) -> DataFrame:
+    """Per region its members whose series has no value in the newest week of all."""
+    newest = F.broadcast(weekly.agg(F.max(on).alias(on)))
+    priced = weekly.join(newest, on).where(F.col(value).isNotNull()).select(series)
+    gone = states.where(F.col(series).isNotNull()).join(priced, series, "left_anti")
+    return gone.groupBy("region").agg(F.array_join(F.sort_array(F.collect_list("code")), ",").alias("members"), F.count("*").alias("n"))
+
+
+def merge_with_provenance(existing: DataFrame, primary: DataFrame, fallback: DataFrame, on: str) -> DataFrame:
+    """existing with the weeks of primary, and those of fallback for weeks newer than primary's last; source tells which gave a row."""
+    edge = F.broadcast(primary.agg(F.max(on).alias("_edge")))
+    late = fallback.crossJoin(edge).where(F.col("_edge").isNull() | (F.col(on) > F.col("_edge"))).drop("_edge")
+    new = primary.withColumn("source", F.lit("primary")).unionByName(late.withColumn("source", F.lit("fallback")))
+    return replace_periods(existing.withColumn("source", F.lit("existing")), new, on)
+
+
+def numbered(rows: DataFrame, order: list[Column]) -> DataFrame:
+    """rows with place, their position in the total order, without one task that sorts them all.
+
+    The sort is by range; each partition's rows are counted and its start is the sum of the counts before it.
+    The sorted rows are kept, so that both readers see the same partitions.
+    """
+    laid = cut(rows.orderBy(*order).withColumn("_p", F.spark_partition_id()).withColumn("_i", F.monotonically_increasing_id() % F.lit(2**33)))
+    sizes = laid.groupBy("_p").agg(F.count("*").alias("_c"))
+    starts = sizes.withColumn("_s", F.coalesce(F.sum("_c").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))  # a row for each partition
+    return laid.join(F.broadcast(starts.select("_p", "_s")), "_p").withColumn("place", F.col("_s") + F.col("_i") + 1).drop("_p", "_i", "_s")

@@ -117,3 +117,26 @@ def largest_remainder(parts: DataFrame, by: list[str], share: str, order: list[s
     rows = parts.withColumn("_floor", F.floor(share)).withColumn("_left", total - F.sum(F.floor(share)).over(whole))
     ranked = rows.withColumn("_rank", F.row_number().over(whole.orderBy(F.desc(F.col(share) - F.col("_floor")), *order)))
     return ranked.withColumn("units", F.col("_floor") + (F.col("_rank") <= F.col("_left")).cast("long")).drop("_floor", "_left", "_rank")
+
+
+def weekly_move(points: DataFrame, by: list[str], on: str, value: str) -> DataFrame:
+    """The newest row (null stays null) against the row before it: value, prev, change and pct of prev."""
+    rows = points.withColumn("_prev", F.lag(value).over(Window.partitionBy(*by).orderBy(on)))
+    last = rows.groupBy(*by).agg(F.max_by(F.struct(F.col(on), F.col(value), F.col("_prev").alias("prev")), on).alias("p")).select(*by, "p.*")
+    change = F.col(value) - F.col("prev")
+    return last.withColumn("change", change).withColumn("pct", F.when(F.col("prev") != 0, change / F.col("prev") * 100))
+
+
+def benchmark_on_primary(primary: DataFrame, bench: DataFrame, by: list[str], on: str, value: str, bench_value: str, start, end) -> DataFrame:
+    """primary from start to end and its last row before, each with the benchmark in effect; the edges carry the benchmark if primary has no row there."""
+    inside = primary.where(F.col(on).between(start, end)).select(*by, on, value)
+    before = newest(primary.where(F.col(on) < start), by, on, value)
+    keys = primary.select(*by).distinct()
+    edges = keys.select(*by, F.explode(F.array(start, end)).alias(on)).join(inside.select(*by, on), [*by, on], "left_anti")
+    rows = inside.unionByName(before).unionByName(edges, allowMissingColumns=True)
+    return as_of_join(rows, bench, by, on, on, [bench_value])
+
+
+def cumulative(rows: DataFrame, by: list[str], order: list[str], amount: Column) -> DataFrame:
+    """rows with total: amount summed up to each row in order."""
+    return rows.withColumn("total", F.sum(amount).over(Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)))

@@ -11,22 +11,25 @@ from ..functions.geo import haversine_m
 DEGREE_M = 110_000.0
 
 
-def distance_join(a: DataFrame, b: DataFrame, radius_m: float, max_lat: float = 75.0) -> DataFrame:
+def distance_join(a: DataFrame, b: DataFrame, radius_m: float, max_lat: float = 75.0, by: tuple[str, ...] = (), carry: tuple[str, ...] = ()) -> DataFrame:
     """Pairs (id_a, id_b, metres) of points (id, lat, lon) within radius_m of each other.
 
     Points of a fall into one grid cell, points of b into it and its neighbours; cells are as wide as the
-    radius at max_lat, the farthest latitude for which the join is whole.
+    radius at max_lat, the farthest latitude for which the join is whole. Columns in by must be equal;
+    columns in carry follow as name_a and name_b.
     """
     import math
 
     tall, wide = radius_m / DEGREE_M, radius_m / (DEGREE_M * math.cos(math.radians(max_lat)))
     cell = lambda x, size: F.floor(F.col(x) / size)
     near = F.array(F.lit(-1), F.lit(0), F.lit(1))
-    left = a.select(F.col("id").alias("id_a"), F.col("lat").alias("lat_a"), F.col("lon").alias("lon_a"), cell("lat", tall).alias("y"), cell("lon", wide).alias("x"))
-    right = b.select(F.col("id").alias("id_b"), F.col("lat").alias("lat_b"), F.col("lon").alias("lon_b"), F.explode(F.transform(near, lambda d: cell("lat", tall) + d)).alias("y"))
-    right = right.select("*", F.explode(F.transform(near, lambda d: cell("lon_b", wide) + d)).alias("x"))
+    side = lambda df, s: df.select(*by, *(F.col(c).alias(f"{c}_{s}") for c in ("id", "lat", "lon", *carry)))
+    left = side(a, "a").withColumn("y", cell("lat_a", tall)).withColumn("x", cell("lon_a", wide))
+    right = side(b, "b").withColumn("y", F.explode(F.transform(near, lambda d: cell("lat_b", tall) + d)))
+    right = right.withColumn("x", F.explode(F.transform(near, lambda d: cell("lon_b", wide) + d)))
     metres = haversine_m("lat_a", "lon_a", "lat_b", "lon_b")
-    return left.join(right, ["y", "x"]).select("id_a", "id_b", metres.alias("metres")).where(F.col("metres") <= radius_m)
+    kept = [f"{c}_{s}" for c in carry for s in "ab"]
+    return left.join(right, [*by, "y", "x"]).select(*by, "id_a", "id_b", *kept, metres.alias("metres")).where(F.col("metres") <= radius_m)
 
 
 def cover_with_cells(edges: DataFrame, size: float) -> DataFrame:

@@ -2,28 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import geo, money
 from ..operators import relations, series, spatial
 from . import reports, views
+from .registered import query
 
 W = (["series"], "period", "mills")
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(sql: str):
-    def keep(f):
-        QUERIES[f.__name__] = f
-        ORACLES[f.__name__] = f"WITH {views.VIEWS.strip()}{sql}"
-        return f
-
-    return keep
-
 
 _TAIL = "(SELECT *, max(period) FILTER (mills IS NOT NULL) OVER (PARTITION BY series) AS newest, min(period) FILTER (mills IS NOT NULL) OVER (PARTITION BY series) AS first FROM v_weekly)"
 

@@ -37,3 +37,55 @@ def numbers_table(daily: DataFrame, weekly: DataFrame, states: DataFrame) -> Dat
     """Every daily value of a state with the weekly value of its series in effect on that day."""
     rows = daily.join(states.select("code", "series"), "code").where("series IS NOT NULL")
     return series.as_of_join(rows, weekly, ["series"], "as_of", "period", ["mills"])
+
+
+def latest_snapshot(states: DataFrame, weekly: DataFrame, daily: DataFrame, move: int = 100, apart: int = 200) -> DataFrame:
+    """Every state with its newest daily units, the change against the snapshot before, its weekly price and its flags."""
+    rows = relations.join_snapshots(states.select("code", "name", "series"), daily, "code", "as_of", "units")
+    prices = weekly.groupBy("series").agg(F.max_by("mills", "period").alias("mills"))
+    c, p = F.col("cur"), F.col("prev")
+    flags = relations.row_flags(c, p, F.col("gap"), F.col("mills") * 10, F.col("series").isNotNull(), move, apart)
+    joined = rows.join(prices, "series", "left")
+    return joined.select("code", "name", "series", "cur", "prev", (c - p).alias("change"), "mills", F.array_join(flags, ",").alias("flags"))
+
+
+def consistency(states: DataFrame, weekly: DataFrame, taxes: DataFrame) -> DataFrame:
+    """rule, n: breaches of the rules that hold between the tables."""
+    prices = relations.latest_prices(states, weekly, "series", "period")
+    twice = weekly.groupBy("series", "period").agg(F.count("*").alias("c")).agg(F.coalesce(F.sum(F.col("c") - 1), F.lit(0)).alias("n")).select(F.lit("unique").alias("rule"), "n")
+    keyed = states.select("code").join(taxes.select("code", F.lit(1).alias("known")), "code", "left")
+    found = [
+        relations.violations(weekly, {"monday": F.weekday("period") == 0}), twice,
+        relations.violations(prices, {"surveyed has a price": F.col("series").isNull() | F.col("mills").isNotNull()}),
+        relations.violations(keyed, {"tax keys": F.col("known").isNotNull()}),
+        relations.violations(taxes, {"out of date has a rate": ~F.col("out_of_date") | F.col("mils").isNotNull()}),
+    ]
+    out = found[0]
+    for f in found[1:]:
+        out = out.unionByName(f)
+    return out
+
+
+def state_quotes(states: DataFrame, weekly: DataFrame, daily: DataFrame, taxes: DataFrame) -> DataFrame:
+    """Every state with its price, change, percent, weekly price and current tax."""
+    rows = latest_snapshot(states, weekly, daily).join(states.select("code", "region"), "code")
+    pct = F.round(F.col("change") / F.col("prev") * 100, 2)
+    tax = taxes.select("code", F.when(~F.col("out_of_date"), F.col("mils")).alias("mils"))
+    return rows.join(tax, "code", "left").select("code", "name", "region", "cur", "change", pct.alias("pct"), "mills", "mils")
+
+
+def then_and_now(weekly: DataFrame, spans: dict[str, int]) -> DataFrame:
+    """Newest value of each series and its change over each span of days."""
+    out = series.newest(weekly, ["series"], "period", "mills")
+    for name, days in spans.items():
+        found = series.change_over(weekly, ["series"], "period", "mills", days).select("series", F.col("change").alias(name))
+        out = out.join(found, "series", "left")
+    return out
+
+
+def state_lines(states: DataFrame, weekly: DataFrame) -> DataFrame:
+    """Every state with its series' price and how many states share it."""
+    prices = relations.latest_prices(states.select("code", "name", "series"), weekly, "series", "period")
+    shared = states.where("series IS NOT NULL").groupBy("series").agg(F.count("*").alias("_n"))
+    plate = F.when(F.col("series").isNull(), "no survey").otherwise(F.concat(F.lit("average of "), F.col("_n").cast("string"), F.lit(" states")))
+    return prices.join(shared, "series", "left").select("code", "name", "series", "mills", plate.alias("plate"))

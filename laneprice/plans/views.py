@@ -5,7 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-VIEWS = """
+#: First words of the invented names of pins.
+WORDS = ("Weigh station EB", "Scale WB and EB,", "Port of Entry NB", "DOT inspection  southbound", "TA", "Perto", "Love’s shop", "Speedco", "Lube zone", "Pro Fleet", "tire scale", "Tarps", "the yard", "toll road", "driver only", "towing", "glass", "Parking", "truck repair", "Smith LLC", "UT 84083 weigh", "$5 wash", "call 555-123-4567", "весы", "")
+_LIST = ", ".join(f"'{w}'" for w in WORDS)
+
+VIEWS = f"""
 v_state AS (SELECT n_nationkey AS code, n_name AS name, n_regionkey AS region, CASE WHEN n_nationkey % 12 <> 5 THEN 'R' || n_regionkey END AS series FROM nation),
 v_weekly AS (
   SELECT 'R' || n_regionkey AS series, period, CASE WHEN ((period - DATE '1995-01-02') // 7 + n_regionkey) % 29 <> 7
@@ -17,7 +21,11 @@ v_tax AS (SELECT n_nationkey AS code, CASE WHEN n_nationkey % 12 <> 8 THEN 8000
 v_point AS (SELECT p_partkey AS id, p_brand AS brand, p_name AS name,
   25 + ((p_partkey % 400) * 37 % 2400) / 100.0::DOUBLE + ((p_partkey * 31) % 13) * 0.0005::DOUBLE AS lat,
   -124 + ((p_partkey % 400) * 91 % 5700) / 100.0::DOUBLE + ((p_partkey * 17) % 11) * 0.0005::DOUBLE AS lon FROM part),
-v_cell AS (SELECT n_nationkey AS code, 25 + 4.8::DOUBLE * (n_nationkey // 5) AS lat0, -124 + 11.4::DOUBLE * (n_nationkey % 5) AS lon0 FROM nation)
+v_cell AS (SELECT n_nationkey AS code, 25 + 4.8::DOUBLE * (n_nationkey // 5) AS lat0, -124 + 11.4::DOUBLE * (n_nationkey % 5) AS lon0 FROM nation),
+v_pin AS (SELECT id, CASE WHEN id % 25 = 24 AND id % 3 > 0 THEN NULL ELSE trim(([{_LIST}])[1 + id % 25] || CASE WHEN id % 25 < 24 THEN ' ' || name ELSE '' END) END AS name, lat, lon FROM v_point),
+v_near AS (SELECT a.code, b.code AS mate FROM v_cell a JOIN v_cell b ON abs(a.code // 5 - b.code // 5) + abs(a.code % 5 - b.code % 5) = 1),
+v_trip AS (SELECT s_suppkey AS trip_id, 25 + ((s_suppkey * 7 % 400) * 37 % 2400) / 100.0::DOUBLE AS lat1, -124 + ((s_suppkey * 7 % 400) * 91 % 5700) / 100.0::DOUBLE AS lon1,
+  25 + (((s_suppkey * 13 + 13) % 400) * 37 % 2400) / 100.0::DOUBLE AS lat2, -124 + (((s_suppkey * 13 + 13) % 400) * 91 % 5700) / 100.0::DOUBLE AS lon2 FROM supplier)
 """
 
 
@@ -56,3 +64,25 @@ def points(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _t(spark, sf_dir, "nation").selectExpr("n_nationkey AS code", "25 + 4.8D * (n_nationkey div 5) AS lat0", "-124 + 11.4D * (n_nationkey % 5) AS lon0")
+
+
+def pins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """id, name, lat, lon: points with invented names, some empty or null."""
+    first = F.element_at(F.array(*(F.lit(w) for w in WORDS)), (F.col("id") % 25 + 1).cast("int"))
+    name = F.when((F.col("id") % 25 == 24) & (F.col("id") % 3 > 0), None).otherwise(F.trim(F.concat(first, F.when(F.col("id") % 25 < 24, F.concat(F.lit(" "), "name")).otherwise(""))))
+    return points(spark, sf_dir).select("id", name.alias("name"), "lat", "lon")
+
+
+def neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """code, mate: states whose cells share a side."""
+    c = states(spark, sf_dir).select("code")
+    step = F.explode(F.array(*(F.struct(F.lit(y).alias("y"), F.lit(x).alias("x")) for y, x in ((-1, 0), (1, 0), (0, -1), (0, 1)))))
+    moved = c.select("code", step.alias("s")).select("code", (F.expr("code div 5").cast("int") + F.col("s.y")).alias("y"), (F.col("code") % 5 + F.col("s.x")).alias("x"))
+    return moved.where("y >= 0 AND x BETWEEN 0 AND 4").select("code", (F.col("y") * 5 + F.col("x")).alias("mate")).join(c.withColumnRenamed("code", "mate"), "mate", "left_semi").select("code", "mate")
+
+
+def trips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """trip_id with the coordinates of both ends."""
+    a, b = "(s_suppkey * 7 % 400)", "((s_suppkey * 13 + 13) % 400)"
+    end = lambda k, n: (f"25 + ({k} * 37 % 2400) / 100D AS lat{n}", f"-124 + ({k} * 91 % 5700) / 100D AS lon{n}")
+    return _t(spark, sf_dir, "supplier").selectExpr("s_suppkey AS trip_id", *end(a, 1), *end(b, 2))

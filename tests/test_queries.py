@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from laneprice.plans.queries import ORACLES, QUERIES
+from laneprice.plans.catalog import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events".split()
