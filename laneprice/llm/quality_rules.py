@@ -12,6 +12,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -24,6 +25,8 @@ WORD_GRAMS, CHAR_GRAMS = (1, 2), (3, 4)
 SCALE = 60.0
 #: Labelled rows that the model is fitted on, at most.
 SAMPLE_ROWS = 4000
+#: Entries of the sparse rows that one step of the fit touches together.
+BLOCK_ENTRIES = 1 << 20
 HELD_OUT = 4  # one row in so many calibrates
 STEPS, RATE, DECAY = 50, 0.1, 1e-5
 #: A text is kept from this calibrated probability of good quality on.
@@ -119,19 +122,26 @@ def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class _Rows:
-    """Sparse rows, one after the other."""
+    """Sparse rows in blocks, so that what a product needs beside them stays small."""
 
-    def __init__(self, table: pa.Table):
-        lists = pa.concat_arrays(table["index"].chunks) if table.num_rows else pa.array([], pa.list_(pa.int32()))
-        values = pa.concat_arrays(table["value"].chunks) if table.num_rows else pa.array([], pa.list_(pa.float32()))
-        self.n, self.row = len(lists), np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy())
-        self.index, self.value = lists.flatten().to_numpy(), values.flatten().to_numpy()
+    def __init__(self, table: pa.Table, order: np.ndarray):
+        self.n, self.blocks = len(order), []
+        sizes = np.cumsum(pc.list_value_length(table["index"]).to_numpy()[order])
+        for at in np.split(order, np.flatnonzero(np.diff(sizes // BLOCK_ENTRIES)) + 1) if len(order) else []:
+            part = table.take(pa.array(at)).combine_chunks()
+            lists, values = part["index"].chunk(0), part["value"].chunk(0)
+            self.blocks.append((lists.value_lengths().to_numpy(), lists.flatten().to_numpy(), values.flatten().to_numpy()))
 
     def dot(self, weights: np.ndarray) -> np.ndarray:
-        return np.bincount(self.row, weights=weights[self.index] * self.value, minlength=self.n)
+        sums = [np.bincount(np.repeat(np.arange(len(n)), n), weights=weights[index] * value, minlength=len(n)) for n, index, value in self.blocks]
+        return np.concatenate(sums) if sums else np.zeros(0)
 
     def back(self, rows: np.ndarray) -> np.ndarray:
-        return np.bincount(self.index, weights=rows[self.row] * self.value, minlength=DIMENSIONS)
+        out, at = np.zeros(DIMENSIONS), 0
+        for n, index, value in self.blocks:
+            out += np.bincount(index, weights=np.repeat(rows[at : at + len(n)], n) * value, minlength=DIMENSIONS)
+            at += len(n)
+        return out
 
 
 def _adam(gradient, size: int, steps: int, rate: float) -> np.ndarray:
@@ -144,21 +154,21 @@ def _adam(gradient, size: int, steps: int, rate: float) -> np.ndarray:
 
 
 def _fit(table: pa.Table) -> pa.Table:
-    table = table.sort_by([("id", "ascending")])
-    label = table["label"].to_numpy().astype(np.float64)
+    order = pc.sort_indices(table["id"]).to_numpy()
+    label = table["label"].to_numpy().astype(np.float64)[order]
     held = np.arange(len(label)) % HELD_OUT == 0
     if len(np.unique(label[held])) < 2 or len(np.unique(label[~held])) < 2:
         # One class: no words speak against any text, the share of good rows decides.
         share = np.clip(label.mean() if len(label) else 1.0, 0.001, 0.999)
         return _packed(np.zeros(DIMENSIONS), float(np.log(share / (1 - share))), 1.0, 0.0)
-    rows, y = _Rows(table.filter(pa.array(~held))), label[~held]
+    rows, y = _Rows(table, order[~held]), label[~held]
 
     def gradient(x: np.ndarray) -> np.ndarray:
         miss = 1 / (1 + np.exp(-np.clip(rows.dot(x[:-1]) + x[-1], -50, 50))) - y
         return np.append(rows.back(miss) / rows.n + DECAY * x[:-1], miss.mean())
 
     x = _adam(gradient, DIMENSIONS + 1, STEPS, RATE)
-    logits, good = _Rows(table.filter(pa.array(held))).dot(x[:-1]) + x[-1], label[held]
+    logits, good = _Rows(table, order[held]).dot(x[:-1]) + x[-1], label[held]
     n1, n0 = good.sum(), (1 - good).sum()
     target = np.where(good > 0, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))  # Platt's smoothed targets
 
