@@ -25,6 +25,8 @@ CAPACITY, SEPARATOR_ID = 2048, 0
 GROUP_PIECES, PIECE_BYTES = 20_000, 6_000
 #: A worker forgets its words beyond so many words or ids.
 CACHE_WORDS, CACHE_IDS = 600_000, 6_000_000
+#: Words that are encoded in one call.
+LEARN_WORDS = 4096
 
 
 class _Encoder:
@@ -43,8 +45,9 @@ class _Encoder:
         self.clear()
 
     def clear(self) -> None:
-        self.known: dict[int, int] = {}
-        self.sizes, self.flat = np.zeros(0, np.int64), np.zeros(0, np.uint32)
+        """Forgets all words: keys are their sorted hashes, rows their places in begin, sizes and flat."""
+        self.keys, self.rows = np.zeros(0, np.uint64), np.zeros(0, np.int32)
+        self.sizes, self.flat = np.zeros(0, np.int32), np.zeros(0, np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32)
 
     @classmethod
     def of(cls, path: str) -> _Encoder:
@@ -52,23 +55,27 @@ class _Encoder:
             cls.made[path] = cls(path)
         return cls.made[path]
 
-    def _learn(self, keys: list[int], texts: list[str]) -> None:
-        lists = [found.ids for found in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        self.known.update(zip(keys, range(len(self.known), len(self.known) + len(keys)), strict=True))
-        self.sizes = np.append(self.sizes, np.fromiter(map(len, lists), np.int64, len(lists)))
-        self.flat = np.append(self.flat, np.fromiter(chain.from_iterable(lists), np.uint32))
+    def _learn(self, keys: np.ndarray, texts: list[str]) -> None:
+        sizes, flat = [self.sizes], [self.flat]
+        for k in range(0, len(texts), LEARN_WORDS):
+            lists = [found.ids for found in self.tokenizer.encode_batch_fast(texts[k : k + LEARN_WORDS], add_special_tokens=False)]
+            sizes.append(np.fromiter(map(len, lists), np.int32, len(lists)))
+            flat.append(np.fromiter(chain.from_iterable(lists), self.flat.dtype))
+        at = np.searchsorted(self.keys, keys)
+        self.rows = np.insert(self.rows, at, np.arange(len(self.sizes), len(self.sizes) + len(keys), dtype=np.int32))
+        self.keys = np.insert(self.keys, at, keys)
+        self.sizes, self.flat = np.concatenate(sizes), np.concatenate(flat)
 
     def ids(self, w: textops.Words) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all words, and where each document's ids begin and end."""
         distinct, first, which = np.unique(textops.word_hashes(w), return_index=True, return_inverse=True)
-        if len(self.known) > CACHE_WORDS or len(self.flat) > CACHE_IDS:
+        if len(self.keys) > CACHE_WORDS or len(self.flat) > CACHE_IDS:
             self.clear()
-        keys = distinct.tolist()
-        new = [k for k, key in enumerate(keys) if key not in self.known]
+        new = ~np.isin(distinct, self.keys, assume_unique=True)
         at, raw = first[new], w.data.tobytes()
-        self._learn([keys[k] for k in new], [raw[a:b].decode() for a, b in zip(w.starts[at].tolist(), w.ends[at].tolist(), strict=True)])
-        word = np.fromiter(map(self.known.__getitem__, keys), np.int64, len(keys))[which]
-        counts, begin = self.sizes[word], (np.cumsum(self.sizes) - self.sizes)[word]
+        self._learn(distinct[new], [raw[a:b].decode() for a, b in zip(w.starts[at].tolist(), w.ends[at].tolist(), strict=True)])
+        word = self.rows[np.searchsorted(self.keys, distinct)][which]
+        counts, begin = self.sizes[word].astype(np.int64), (np.cumsum(self.sizes, dtype=np.int64) - self.sizes)[word]
         ends = np.cumsum(counts)
         at = np.repeat(begin - (ends - counts), counts) + np.arange(int(counts.sum()))
         return self.flat[at], np.append(0, ends)[w.first]
