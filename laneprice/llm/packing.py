@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textops
+from .shared import bounded_batches
 
 CAPACITY, SEPARATOR_ID = 2048, 0
 #: Pieces of a group, about; bytes of text that a piece stands for in this estimate.
@@ -105,7 +106,7 @@ def tokenize(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_
                 of, piece, start, length, raw = zip(*rows, strict=True)
                 yield pa.RecordBatch.from_arrays([batch["id"].take(pa.array(of)), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(raw, pa.binary())], names=[id_col, "piece", "start", "length", "ids"])
 
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(encode, kind)
+    return bounded_batches(docs).select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(encode, kind)
 
 
 def best_two_fit(lengths: list[int], capacity: int) -> tuple[list[int], list[int]]:

@@ -12,12 +12,12 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textops
+from .shared import bounded_batches
 
 DIMENSIONS = 1 << 18
 WORD_GRAMS, CHAR_GRAMS = (1, 2), (3, 4)
@@ -25,8 +25,6 @@ WORD_GRAMS, CHAR_GRAMS = (1, 2), (3, 4)
 SCALE = 60.0
 #: Labelled rows that the model is fitted on, at most.
 SAMPLE_ROWS = 4000
-#: Entries of the sparse rows that one step of the fit touches together.
-BLOCK_ENTRIES = 1 << 20
 HELD_OUT = 4  # one row in so many calibrates
 STEPS, RATE, DECAY = 50, 0.1, 1e-5
 #: A text is kept from this calibrated probability of good quality on.
@@ -122,15 +120,15 @@ def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class _Rows:
-    """Sparse rows in blocks, so that what a product needs beside them stays small."""
+    """Labels and sparse rows in blocks, so that what a product needs beside them stays small."""
 
-    def __init__(self, table: pa.Table, order: np.ndarray):
-        self.n, self.blocks = len(order), []
-        sizes = np.cumsum(pc.list_value_length(table["index"]).to_numpy()[order])
-        for at in np.split(order, np.flatnonzero(np.diff(sizes // BLOCK_ENTRIES)) + 1) if len(order) else []:
-            part = table.take(pa.array(at)).combine_chunks()
-            lists, values = part["index"].chunk(0), part["value"].chunk(0)
-            self.blocks.append((lists.value_lengths().to_numpy(), lists.flatten().to_numpy(), values.flatten().to_numpy()))
+    def __init__(self):
+        self.label, self.blocks = np.zeros(0), []
+
+    def add(self, batch: pa.RecordBatch, which: np.ndarray) -> None:
+        part = batch.filter(pa.array(which))
+        self.label = np.append(self.label, part["label"].to_numpy())
+        self.blocks.append((part["index"].value_lengths().to_numpy(), part["index"].flatten().to_numpy(), part["value"].flatten().to_numpy()))
 
     def dot(self, weights: np.ndarray) -> np.ndarray:
         sums = [np.bincount(np.repeat(np.arange(len(n)), n), weights=weights[index] * value, minlength=len(n)) for n, index, value in self.blocks]
@@ -153,22 +151,32 @@ def _adam(gradient, size: int, steps: int, rate: float) -> np.ndarray:
     return x
 
 
-def _fit(table: pa.Table) -> pa.Table:
-    order = pc.sort_indices(table["id"]).to_numpy()
-    label = table["label"].to_numpy().astype(np.float64)[order]
-    held = np.arange(len(label)) % HELD_OUT == 0
-    if len(np.unique(label[held])) < 2 or len(np.unique(label[~held])) < 2:
+def _fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The model of all rows, which come ordered by id; nothing if there are none."""
+    rows, apart, seen = _Rows(), _Rows(), 0
+    for batch in batches:
+        held = (seen + np.arange(batch.num_rows)) % HELD_OUT == 0
+        rows.add(batch, ~held)
+        apart.add(batch, held)
+        seen += batch.num_rows
+    if seen:
+        yield _packed(*_trained(rows, apart))
+
+
+def _trained(rows: _Rows, apart: _Rows) -> tuple[np.ndarray, float, float, float]:
+    """Weights, bias, slope and offset: fitted on rows, calibrated on the rows held apart."""
+    y, good = rows.label, apart.label
+    if len(np.unique(good)) < 2 or len(np.unique(y)) < 2:
         # One class: no words speak against any text, the share of good rows decides.
-        share = np.clip(label.mean() if len(label) else 1.0, 0.001, 0.999)
-        return _packed(np.zeros(DIMENSIONS), float(np.log(share / (1 - share))), 1.0, 0.0)
-    rows, y = _Rows(table, order[~held]), label[~held]
+        share = np.clip(np.append(y, good).mean(), 0.001, 0.999)
+        return np.zeros(DIMENSIONS), float(np.log(share / (1 - share))), 1.0, 0.0
 
     def gradient(x: np.ndarray) -> np.ndarray:
         miss = 1 / (1 + np.exp(-np.clip(rows.dot(x[:-1]) + x[-1], -50, 50))) - y
-        return np.append(rows.back(miss) / rows.n + DECAY * x[:-1], miss.mean())
+        return np.append(rows.back(miss) / len(y) + DECAY * x[:-1], miss.mean())
 
     x = _adam(gradient, DIMENSIONS + 1, STEPS, RATE)
-    logits, good = _Rows(table, order[held]).dot(x[:-1]) + x[-1], label[held]
+    logits = apart.dot(x[:-1]) + x[-1]
     n1, n0 = good.sum(), (1 - good).sum()
     target = np.where(good > 0, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))  # Platt's smoothed targets
 
@@ -177,11 +185,11 @@ def _fit(table: pa.Table) -> pa.Table:
         return np.array([(miss * logits).mean(), miss.mean()])
 
     p = _adam(calibration, 2, 400, 0.02)
-    return _packed(x[:-1], float(x[-1]), float(1 + p[0]), float(p[1]))
+    return x[:-1], float(x[-1]), float(1 + p[0]), float(p[1])
 
 
-def _packed(weights: np.ndarray, *rest: float) -> pa.Table:
-    return pa.table({"weights": pa.array([weights.astype(np.float32).tobytes()], pa.binary()), **{k: [v] for k, v in zip(("bias", "slope", "offset"), rest, strict=True)}})
+def _packed(weights: np.ndarray, *rest: float) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pydict({"weights": pa.array([weights.astype(np.float32).tobytes()], pa.binary()), **{k: [v] for k, v in zip(("bias", "slope", "offset"), rest, strict=True)}})
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample_rows: int = SAMPLE_ROWS) -> Model:
@@ -195,7 +203,8 @@ def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id")  # at most sample_rows rows
     texts = texts.select("id", "text", "label")
     kind = T.StructType([texts.schema["id"], *T._parse_datatype_string("label double, index array<int>, value array<float>").fields])
-    rows = texts.mapInArrow(_featured, kind).groupBy(F.lit(0).alias("one")).applyInArrow(lambda table: _fit(table.drop_columns(["one"]) if "one" in table.column_names else table), "weights binary, bias double, slope double, offset double")
+    featured = bounded_batches(texts).mapInArrow(_featured, kind).repartition(1).sortWithinPartitions("id", F.xxhash64("index"))
+    rows = featured.mapInArrow(_fit, "weights binary, bias double, slope double, offset double")
     found = rows.first()
     if found is None:
         return Model(np.zeros(DIMENSIONS, np.float32), 7.0, 1.0, 0.0)
@@ -229,4 +238,4 @@ def score_quality(docs: DataFrame, model: Model, text_col: str = "text", keep_fr
             made = [(k, pa.array(np.concatenate(v) if v else [], types.get(k, pa.int64()))) for k, v in found.items()]
             yield pa.RecordBatch.from_arrays([v for _, v in rest + made], names=[k for k, _ in rest + made])
 
-    return docs.mapInArrow(score, kind)
+    return bounded_batches(docs).mapInArrow(score, kind)

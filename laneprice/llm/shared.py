@@ -8,6 +8,19 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Spark's setting for the bytes of an Arrow batch, its default, and what operators on texts take instead.
+BATCH_SETTING, BATCH_DEFAULT, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", "4m"
+
+
+def bounded_batches(df: DataFrame) -> DataFrame:
+    """df, whose session now sends batches of BATCH_BYTES to Python workers unless it names another size itself.
+
+    Several tasks share an executor's memory, and each holds a few copies of its batch.
+    """
+    if df.sparkSession.conf.get(BATCH_SETTING) == BATCH_DEFAULT:
+        df.sparkSession.conf.set(BATCH_SETTING, BATCH_BYTES)
+    return df
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder named in spark.checkpoint.dir; a local one is set only where none is named, as in tests."""
