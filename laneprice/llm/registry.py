@@ -68,7 +68,7 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     ours = spark.createDataFrame([(-1, i, role, "</s>[INST] ok [/INST]") for i, role in enumerate(("user", "assistant"))], turns.schema)
-    return read_back(format_windows(turns.union(ours)))
+    return read_back(format_windows(turns.union(ours), tokenizer_path=tokenizer("word_bpe_49k.json")))
 
 
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,5 +1,6 @@
 import hashlib
 import random
+import re
 from collections import defaultdict
 
 from laneprice.llm.chat import BUDGET, format_windows, parse_window, read_back
@@ -50,3 +51,33 @@ def test_windows_repeat_history_and_mask_it(spark):
         fresh = [t for r, t in own[w.n_repeated :] if r == "assistant"]
         assert [w.formatted[s.start : s.end] for s in w.loss_spans] == fresh
     assert seen == len(turns) and any(w.n_repeated > 1 for w in got)
+
+
+def test_windows_keep_to_the_budget_and_are_full(spark):
+    rng = random.Random(11)
+    turns = [(0, t, "assistant", "a" * 3600) for t in range(2)]
+    for c in range(1, 12):
+        turns += [(c, t, "system" if t == 0 and c % 2 else rng.choice(["user", "assistant"]), "\\</s>" * rng.choice([5, 40, 150, 700])) for t in range(40)]
+    df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
+    paths = [None]
+    try:
+        import public_tokenizers
+        from tokenizers import Tokenizer
+
+        paths.append(public_tokenizers.path("word_bpe_49k.json"))
+    except ImportError:
+        pass
+    for path in paths:
+        counter = Tokenizer.from_file(path) if path else None
+        size = lambda s: len(counter.encode(s, add_special_tokens=False).ids) if counter else -(-len(s.encode()) // 4) + 4
+        windows = defaultdict(list)
+        for w in format_windows(df, tokenizer_path=path).orderBy("conv_id", "window").collect():
+            own = [size(t) for t in re.findall(r"<s>.*?</s>|\[INST\].*?\[/INST\]", w.formatted, re.S)]
+            assert w.n_tokens == sum(own)
+            windows[w.conv_id].append((own, w.n_repeated))
+        assert path or len(windows[0]) == 2
+        for conv, mine in windows.items():
+            for own, repeated in mine:
+                assert sum(own) <= BUDGET or (len(own) - repeated == 1 and repeated <= conv % 2)
+            for (own, _), (after, repeated) in zip(mine, mine[1:]):
+                assert sum(own) + after[repeated] > BUDGET
