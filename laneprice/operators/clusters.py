@@ -3,15 +3,20 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.geo import haversine_m, miles
 from .durable import cut
 from .spatial import distance_join
 
+#: Metres around a point in which its nearest node is looked for, one after the other.
+SNAP_M = (20_000.0, 100_000.0, 500_000.0)
+
 
 def leaders_in_order(points: DataFrame, radius_m: float, by: tuple[str, ...], order: list[str], latest: bool = False) -> DataFrame:
     """id, leader: what a pass in order makes that lets each point join an anchor within radius_m, or become one.
@@ -37,12 +42,18 @@ def leaders_in_order(points: DataFrame, radius_m: float, by: tuple[str, ...], or
     return heads.select(F.col("mate").alias("id"), F.col("mate").alias("leader")).unionByName(members)
 
 
-def summarize(points: DataFrame, leaders: DataFrame, name: str) -> DataFrame:
-    """Per leader: members in order, their mean position to 5 decimals and the first name that isn't empty, by latitude, longitude and id."""
+def summarize(points: DataFrame, leaders: DataFrame, name: str, display: str | None = None, flags: tuple[str, ...] = ()) -> DataFrame:
+    """Per leader: members in order, their mean position to 5 decimals and the first name that isn't empty, by latitude, longitude and id.
+
+    Without a name it is the first value of display, if that is given. A column in flags is true if it is for any member.
+    """
     rows = points.join(leaders, "id")
-    named = F.when(F.trim(F.col(name)) != "", F.trim(F.col(name)))
-    first = F.min(F.when(named.isNotNull(), F.struct("lat", "lon", "id", named.alias("n"))))
-    return rows.groupBy("leader").agg(F.round(F.avg("lat"), 5).alias("lat"), F.round(F.avg("lon"), 5).alias("lon"), first["n"].alias(name), F.array_join(F.sort_array(F.collect_list("id")), ",").alias("members"))
+    first = lambda c: F.min(F.when(c.isNotNull(), F.struct("lat", "lon", "id", c.alias("n"))))["n"]
+    named = first(F.when(F.trim(F.col(name)) != "", F.trim(F.col(name))))
+    named = F.coalesce(named, first(F.col(display))) if display else named
+    members = F.transform(F.sort_array(F.collect_list(F.struct("lat", "lon", "id"))), lambda m: m["id"])
+    anys = [F.coalesce(F.bool_or(f), F.lit(False)).alias(f) for f in flags]
+    return rows.groupBy("leader").agg(F.round(F.avg("lat"), 5).alias("lat"), F.round(F.avg("lon"), 5).alias("lon"), named.alias(name), F.array_join(members, ",").alias("members"), *anys)
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -107,38 +118,135 @@ def merge_sources(points: DataFrame, radius_m: float) -> DataFrame:
     return alone.groupBy("component").applyInPandas(_merge, "id long, marker long")
 
 
+def marker_summary(points: DataFrame, markers: DataFrame) -> DataFrame:
+    """marker, lat, lon, sources, direction, road, name, named, state of the markers that merge_sources() gives.
+
+    points have id, rank, source, lat, lon, direction, road, name, named (whether the name is a real one) and
+    state. A marker stands where its first point, in order of rank, lat, lon, id, does; sources are the letters
+    of all its points in order of rank. It takes the first direction, state and road that isn't empty, and the
+    first real name, or its first point's name.
+    """
+    order = F.struct("rank", "lat", "lon", "id")
+    first = lambda c, when: F.min_by(c, F.when(when, order))
+    letters = F.collect_set(F.struct("rank", "source"))
+    return points.join(markers, "id").groupBy("marker").agg(
+        F.min_by("lat", order).alias("lat"), F.min_by("lon", order).alias("lon"),
+        F.array_join(F.array_distinct(F.transform(F.sort_array(letters), lambda x: x["source"])), "").alias("sources"),
+        first("direction", F.col("direction").isNotNull()).alias("direction"), first("road", F.col("road") != "").alias("road"),
+        F.coalesce(first("name", F.col("named")), F.min_by("name", order)).alias("name"),
+        F.coalesce(F.bool_or("named"), F.lit(False)).alias("named"), first("state", F.col("state").isNotNull()).alias("state"),
+    )
+
+
+def with_nodes(lines: DataFrame) -> DataFrame:
+    """lines (line, n, lat, lon) with node: the number of the point to 4 decimals, halves up."""
+    place = lambda c: F.floor(F.col(c) * 10_000 + 0.5)
+    return lines.withColumn("node", place("lat") * 10_000_000 + place("lon"))
+
+
+def road_nodes(lines: DataFrame) -> DataFrame:
+    """node, lat, lon, size: every node of lines (line, n, node, lat, lon) of two vertices or more where its first vertex is, and how many nodes its component has."""
+    from pyspark.sql import Window
+
+    longer = lines.withColumn("_n", F.count("*").over(Window.partitionBy("line"))).where("_n > 1")
+    nodes = longer.groupBy("node").agg(F.min(F.struct("line", "n", "lat", "lon")).alias("p")).select("node", "p.lat", "p.lon")
+    found = components(road_graph(lines).select("a", "b"))
+    placed = cut(nodes.join(found, "node", "left").withColumn("component", F.coalesce("component", "node")))
+    return placed.join(placed.groupBy("component").agg(F.count("*").alias("size")), "component").select("node", "lat", "lon", "size")
+
+
+def snap(points: DataFrame, nodes: DataFrame, few: int = 10) -> DataFrame:
+    """id, node: the node nearest to each point (id, lat, lon), the smaller of two, in a component of few nodes or of as many as the largest has.
+
+    Points meet nodes in grid cells of growing size; those far from all nodes, or near a pole or the
+    180th meridian, meet every node.
+    """
+    big = nodes.agg(F.max("size").alias("_big"))  # one row
+    sites = cut(nodes.crossJoin(F.broadcast(big)).where(F.col("size") >= F.least(F.lit(few), F.col("_big"))).select(F.col("node").alias("id"), "lat", "lon"))
+    left = cut(points.where("lat IS NOT NULL AND lon IS NOT NULL").select("id", "lat", "lon"))
+    found = []
+    for radius in SNAP_M:
+        inner = left.where("abs(lat) <= 60 AND abs(lon) <= 150")
+        near = cut(distance_join(inner, sites, radius).groupBy("id_a").agg(F.min(F.struct("metres", "id_b"))["id_b"].alias("node")).withColumnRenamed("id_a", "id"))
+        found.append(near)
+        left = cut(left.join(near, "id", "left_anti"))
+    far = left.crossJoin(sites.select(F.col("id").alias("node"), F.col("lat").alias("_lat"), F.col("lon").alias("_lon")))
+    found.append(far.groupBy("id").agg(F.min(F.struct(haversine_m("lat", "lon", "_lat", "_lon"), "node"))["node"].alias("node")))
+    return reduce(DataFrame.unionByName, found)
+
+
 def road_graph(lines: DataFrame) -> DataFrame:
     """a, b, miles: undirected edges between successive vertices (line, n, node, lat, lon), once each, the shorter if two differ."""
     from pyspark.sql import Window
 
-    from ..functions.geo import miles
-
     ahead = F.lead(F.struct("node", "lat", "lon")).over(Window.partitionBy("line").orderBy("n"))
     rows = lines.withColumn("_b", ahead).where("_b IS NOT NULL AND node <> _b.node")
     return rows.groupBy(F.least("node", "_b.node").alias("a"), F.greatest("node", "_b.node").alias("b")).agg(F.min(miles("lat", "lon", "_b.lat", "_b.lon")).alias("miles"))
 
 
-def shortest_ways(trips: DataFrame, edges: DataFrame, steps: int = 6) -> DataFrame:
-    """trip_id, a, b, miles: the length of the shortest way over edges (a, b, miles), null where there is none.
+def _distances(origins: DataFrame, edges: DataFrame, steps: int) -> DataFrame:
+    """origin, node, dist, hops, via: via are the nodes of the way's last piece, from where a round began to before node.
 
     Distances are kept per distinct origin. A round relaxes edges `steps` times from the nodes that got
-    closer in the round before and ends when none did.
+    closer in the round before and ends when none did. Of ways of one length the one of fewer edges counts.
     """
     both = cut(edges.select(F.explode(F.array(F.struct("a", "b", "miles"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"), "miles"))).alias("e")).select(F.col("e.a").alias("node"), F.col("e.b").alias("to"), F.col("e.miles").alias("step")))
-    known = cut(trips.select(F.col("a").alias("origin")).distinct().select("origin", F.col("origin").alias("node"), F.lit(0.0).alias("dist")))
+    none = F.array().cast(f"array<{both.schema['node'].dataType.simpleString()}>")
+    known = cut(origins.select("origin", F.col("origin").alias("node"), F.struct(F.lit(0.0).alias("dist"), F.lit(0).alias("hops"), none.alias("via")).alias("way")))
     front = known
     while not front.isEmpty():
-        reach = front
+        reach = front.withColumn("way", F.col("way").withField("via", none))
         for _ in range(steps):
-            out = reach.join(both, "node").select("origin", F.col("to").alias("node"), (F.col("dist") + F.col("step")).alias("dist"))
-            reach = reach.unionByName(out).groupBy("origin", "node").agg(F.min("dist").alias("dist"))
-        was = known.withColumnRenamed("dist", "was")
-        best = cut(was.join(reach, ["origin", "node"], "full").select("origin", "node", F.least("dist", "was").alias("dist"), F.coalesce(F.col("dist") < F.col("was") - 1e-9, F.col("was").isNull()).alias("closer")))
-        known, front = best.select("origin", "node", "dist"), best.where("closer").select("origin", "node", "dist")
+            way = F.struct((F.col("way.dist") + F.col("step")).alias("dist"), (F.col("way.hops") + 1).alias("hops"), F.concat("way.via", F.array("node")).alias("via"))
+            out = reach.join(both, "node").select("origin", F.col("to").alias("node"), way.alias("way"))
+            reach = reach.unionByName(out).groupBy("origin", "node").agg(F.min("way").alias("way"))
+        was = known.withColumnRenamed("way", "was")
+        better = F.col("was").isNull() | (F.col("way.dist") < F.col("was.dist"))
+        best = cut(was.join(reach.where("size(way.via) > 0"), ["origin", "node"], "full").select("origin", "node", F.when(better & F.col("way").isNotNull(), F.col("way")).otherwise(F.col("was")).alias("way"), F.coalesce(better, F.lit(False)).alias("closer")))
+        known, front = best.select("origin", "node", "way"), best.where("closer").select("origin", "node", "way")
+    return known.select("origin", "node", "way.*")
+
+
+def shortest_ways(trips: DataFrame, edges: DataFrame, steps: int = 6) -> DataFrame:
+    """trip_id, a, b, miles: the length of the shortest way over edges (a, b, miles), null where there is none."""
+    known = _distances(trips.select(F.col("a").alias("origin")).distinct(), edges, steps)
     found = known.select(F.col("origin").alias("a"), F.col("node").alias("b"), F.col("dist").alias("miles"))
     return trips.select("trip_id", "a", "b").join(found, ["a", "b"], "left").select("trip_id", "a", "b", "miles")
 
 
+def route_trips(trips: DataFrame, lines: DataFrame, few: int = 10, steps: int = 6) -> DataFrame:
+    """trip_id, a, b, miles, path: the shortest way over lines (line, n, lat, lon) between typed points, path null where there is none.
+
+    Trips have trip_id (once each), lat_a, lon_a, lat_b and lon_b; a and b are the nodes that their ends snap to, miles the
+    way's length between those. path (lat, lon) goes from the first typed point over the nodes to the second.
+    The way back is walked by a join a round, over `steps` edges or fewer each.
+    """
+    lines = cut(with_nodes(lines))
+    nodes = cut(road_nodes(lines))
+    ends = trips.select("trip_id", F.explode(F.array(*(F.struct(F.col(f"lat_{k}").alias("lat"), F.col(f"lon_{k}").alias("lon")) for k in "ab"))).alias("p"))
+    places = cut(ends.select("p.*").distinct().withColumn("id", F.monotonically_increasing_id()))
+    snapped = places.join(snap(places, nodes, few), "id").select("lat", "lon", "node")
+    out = trips
+    for k in "ab":
+        out = out.join(snapped.toDF(f"lat_{k}", f"lon_{k}", k), [f"lat_{k}", f"lon_{k}"], "left")
+    out = cut(out.select("trip_id", "lat_a", "lon_a", "lat_b", "lon_b", "a", "b"))
+    known = cut(_distances(out.where("a IS NOT NULL").select(F.col("a").alias("origin")).distinct(), road_graph(lines), steps))
+    asked = out.where("a IS NOT NULL AND b IS NOT NULL").select("a", "b").distinct()
+    met = asked.join(known, (F.col("a") == F.col("origin")) & (F.col("b") == F.col("node"))).select("a", "b", "dist", "via", F.array("b").alias("nodes"))
+    done, todo = [], cut(met)
+    while not todo.isEmpty():
+        done.append(todo.where("size(via) = 0").select("a", "b", F.col("dist").alias("miles"), "nodes"))
+        more = todo.where("size(via) > 0").select("a", "b", F.col("dist").alias("miles"), F.concat("via", "nodes").alias("nodes"), F.col("via")[0].alias("_at"))
+        back = known.select("origin", F.col("node").alias("_at"), "via")
+        todo = cut(more.join(back, (F.col("a") == F.col("origin")) & (more["_at"] == back["_at"])).select("a", "b", F.col("miles").alias("dist"), "via", "nodes"))
+    found = reduce(DataFrame.unionByName, done) if done else met.select("a", "b", F.col("dist").alias("miles"), "nodes")
+    steps_of = found.select("a", "b", F.posexplode("nodes").alias("i", "node")).join(nodes.select("node", "lat", "lon"), "node")
+    ways = steps_of.groupBy("a", "b").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "lat", "lon"))), lambda x: F.struct(x["lat"].alias("lat"), x["lon"].alias("lon"))).alias("way"))
+    end = lambda k: F.array(F.struct(F.col(f"lat_{k}").alias("lat"), F.col(f"lon_{k}").alias("lon")))
+    path = F.when(F.col("way").isNotNull(), F.concat(end("a"), "way", end("b")))
+    return out.join(found.select("a", "b", "miles").join(ways, ["a", "b"]), ["a", "b"], "left").select("trip_id", "a", "b", "miles", path.alias("path"))
+
+
 def simplify_batches(tolerance: float):
     """For mapInPandas: thins each line (line, points array<struct<x, y>>) to the vertices farther than tolerance from the chord of their stretch; the ends stay."""
 

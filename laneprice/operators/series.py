@@ -119,10 +119,10 @@ def largest_remainder(parts: DataFrame, by: list[str], share: str, order: list[s
     return ranked.withColumn("units", F.col("_floor") + (F.col("_rank") <= F.col("_left")).cast("long")).drop("_floor", "_left", "_rank")
 
 
-def weekly_move(points: DataFrame, by: list[str], on: str, value: str) -> DataFrame:
-    """The newest row (null stays null) against the row before it: value, prev, change and pct of prev."""
+def weekly_move(points: DataFrame, by: list[str], on: str, value: str, carry: tuple[str, ...] = ()) -> DataFrame:
+    """The newest row (null stays null) against the row before it: value, prev, change and pct of prev; columns in carry are the newest row's."""
     rows = points.withColumn("_prev", F.lag(value).over(Window.partitionBy(*by).orderBy(on)))
-    last = rows.groupBy(*by).agg(F.max_by(F.struct(F.col(on), F.col(value), F.col("_prev").alias("prev")), on).alias("p")).select(*by, "p.*")
+    last = rows.groupBy(*by).agg(F.max_by(F.struct(F.col(on), F.col(value), F.col("_prev").alias("prev"), *carry), on).alias("p")).select(*by, "p.*")
     change = F.col(value) - F.col("prev")
     return last.withColumn("change", change).withColumn("pct", F.when(F.col("prev") != 0, change / F.col("prev") * 100))
 

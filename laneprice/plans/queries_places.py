@@ -163,6 +163,13 @@ def geo12_shortest_ways(spark, sf):
     return clusters.shortest_ways(trips, clusters.road_graph(road_lines(spark, sf)))
 
 
+@query(None)
+def geo12_route_trips(spark, sf):
+    ends = views._t(spark, sf, "supplier").selectExpr("s_suppkey AS trip_id", "s_suppkey * 7 % 400 AS a", "(s_suppkey * 13 + 13) % 400 AS b")
+    at = lambda k: ((25.3 + F.floor(F.col(k) / 20) * 1.2).alias(f"lat_{k}"), (-123.6 + F.col(k) % 20 * 3.0).alias(f"lon_{k}"))
+    return clusters.route_trips(ends.select("trip_id", *at("a"), *at("b")), road_lines(spark, sf).drop("node"))
+
+
 @query(None)
 def geo06_simplify_lines(spark, sf):
     paths = views.points(spark, sf).groupBy(F.floor(F.col("id") / 40).alias("line")).agg(F.transform(F.sort_array(F.collect_list(F.struct("lon", "lat", "id"))), lambda p: F.struct(p["lon"].alias("x"), p["lat"].alias("y"))).alias("points"))

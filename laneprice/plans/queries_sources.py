@@ -128,7 +128,7 @@ def str02_move_stream(spark, sf):
     d = views.daily(spark, sf)
     d.repartition(4, "as_of").write.parquet(arrived)
     prices.move_stream(prices.read_arrivals(spark, arrived, d.schema, 2), _path(spark, "state"), out, "code", "as_of", "units", _path(spark, "stream")).awaitTermination()
-    return spark.read.parquet(out).drop("pct")
+    return spark.read.parquet(out).drop("pct", "gap", "flags")
 
 
 @query(" SELECT event_type, ts::DATE AS day, count(*) AS n, max(ts)::TIMESTAMP AS newest FROM events GROUP BY 1, 2")

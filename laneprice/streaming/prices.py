@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators import series
+from ..operators import relations, series
 from ..sources.sinks import exists, write_if_changed
 
 
@@ -29,10 +29,11 @@ def upsert_stream(source: DataFrame, target: str, keys: list[str], version: str,
     return source.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def move_stream(source: DataFrame, state: str, out: str, key: str, on: str, value: str, checkpoint: str) -> StreamingQuery:
-    """Keeps the newest two values of every key in state and writes each key's move to out as values arrive.
+def move_stream(source: DataFrame, state: str, out: str, key: str, on: str, value: str, checkpoint: str, weekly: DataFrame | None = None, move: float = 5000, apart: float = 10_000) -> StreamingQuery:
+    """Keeps the newest two values of every key in state and writes each key's move, gap in days and flags to out as values arrive.
 
-    A row that arrives again is folded into the one with its key and date, so a batch may run again.
+    Flags are those of row_flags() at move and apart. weekly (key, weekly in the unit of value) holds the keys
+    that the weekly survey has; without it no key is held against the survey. A row that arrives again is folded into the one with its key and date, so a batch may run again.
     """
 
     def fold(batch: DataFrame, _: int) -> None:
@@ -44,7 +45,14 @@ def move_stream(source: DataFrame, state: str, out: str, key: str, on: str, valu
         last = once.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(F.desc(on)))).where("_n <= 2").drop("_n")
         write_if_changed(last, state)
         kept = spark.read.parquet(state)
-        write_if_changed(series.weekly_move(series.gap_days(kept, [key], on), [key], on, value), out)
+        moved = series.weekly_move(series.gap_days(kept, [key], on), [key], on, value, ("gap",))
+        if weekly is None:
+            moved = moved.withColumn("weekly", F.lit(None).cast("double")).withColumn("surveyed", F.lit(True))
+        else:
+            known = weekly.select(F.col(key).alias("_key"), "weekly", F.lit(True).alias("surveyed"))
+            moved = moved.join(known, F.col(key).eqNullSafe(F.col("_key")), "left").drop("_key").fillna(False, ["surveyed"])
+        flags = relations.row_flags(F.col(value), F.col("prev"), F.col("gap"), F.col("weekly"), F.col("surveyed"), move, apart)
+        write_if_changed(moved.withColumn("flags", flags).drop("weekly", "surveyed"), out)
 
     return source.writeStream.foreachBatch(fold).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
