@@ -6,7 +6,7 @@ folder and reads it again as the next stage's docs.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from laneprice.llm.mixing import mix_sources
@@ -25,9 +25,20 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of every near-duplicate group: the one with the smallest doc_id."""
-    gone = near_duplicates(docs, shingle=5, percent=80).where("NOT kept").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """One row of every near-duplicate group: the one with the smallest doc_id (nulls last), whatever rows share that id.
+
+    Texts without words are in no group; of those one row stays for each doc_id and text, a null being a
+    value of its own. Of rows with one doc_id and text the one with the smallest hash of its columns stays.
+    """
+    found = near_duplicates(docs, shingle=5, percent=80, groups=True)
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash"))
+    kept = found.where("group IS NOT NULL").groupBy("group").agg(least.alias("r")).select("r.doc_id", "r.text_hash")
+    kept = kept.union(found.where("group IS NULL").select("doc_id", "text_hash").distinct())
+    key = lambda text_hash: F.xxhash64(F.col("doc_id").isNull(), "doc_id", text_hash)
+    rows = docs.withColumn("_hash", F.xxhash64("text")).withColumn("_key", key("_hash"))
+    rows = rows.join(kept.select(key("text_hash").alias("_key"), F.col("text_hash").alias("_hash")), ["_key", "_hash"], "left_semi")
+    alike = Window.partitionBy("_key", "_hash").orderBy(F.xxhash64(*docs.columns))
+    return rows.withColumn("_n", F.row_number().over(alike)).where("_n = 1").select(*docs.columns)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

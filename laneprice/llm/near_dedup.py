@@ -131,15 +131,17 @@ def _confirm(size: int, percent: int):
     return confirm
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
-    """One row per document: id_col, n_shingles, component_id and kept.
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80, groups: bool = False) -> DataFrame:
+    """One row per document: id_col, n_shingles, component_id and kept; with groups also text_hash and group.
 
     Documents are linked when 100 * intersection >= percent * union of their shingle sets; component_id
     is the smallest id of a component, kept marks the rows that carry it. A text with fewer words than a
     shingle is one shingle as a whole. Null and empty texts, and texts without words, have no shingles,
     are linked with nothing and stand for themselves. Null ids don't count for the smallest id; a
     component of null ids alone has a null id and keeps its rows. Rows that repeat an id count one by
-    one. Other columns are ignored. percent below 60 needs more bands than this signature has.
+    one. Other columns are ignored. group tells components apart even where ids repeat, and is null for
+    texts without shingles; text_hash is xxhash64 of the text. percent below 60 needs more bands than this
+    signature has.
     """
     if shingle < 1 or not 60 <= percent <= 100:
         raise ValueError("shingle must be at least 1 and percent from 60 to 100")
@@ -182,8 +184,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     nodes = signed.where("node IS NOT NULL").groupBy("node").agg(F.min("id").alias("least"))
     nodes = nodes.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = nodes.groupBy("component").agg(F.min("least").alias("component_id"))
-    nodes = nodes.join(least, "component").select("node", "component_id")
-    found = signed.where("node IS NOT NULL").join(nodes, "node").select("id", "n_shingles", "component_id")
-    alone = signed.where("node IS NULL").select("id", "n_shingles", F.col("id").alias("component_id"))
-    return found.union(alone).select(F.col("id").alias(id_col), "n_shingles", "component_id", F.expr("id <=> component_id").alias("kept"))
-
+    nodes = nodes.join(least, "component").select("node", "component_id", "component")
+    found = signed.where("node IS NOT NULL").join(nodes, "node").select("id", "n_shingles", "component_id", "text_hash", "component")
+    alone = signed.where("node IS NULL").select("id", "n_shingles", F.col("id").alias("component_id"), "text_hash", F.lit(None).cast("long").alias("component"))
+    more = ["text_hash", F.col("component").alias("group")] if groups else []
+    return found.union(alone).select(F.col("id").alias(id_col), "n_shingles", "component_id", F.expr("id <=> component_id").alias("kept"), *more)

@@ -1,6 +1,7 @@
 import random
 import re
 
+import corpus_pipeline
 from laneprice.llm.components import connected_components
 from laneprice.llm.near_dedup import near_duplicates
 
@@ -60,3 +61,14 @@ def test_components_of_a_chain(spark):
     got = {r.node: r.component for r in connected_components(spark.createDataFrame(links, "a long, b long")).collect()}
     chain = {i * 7919 % 211 for i in range(201)}
     assert {got[n] for n in chain} == {min(chain)} and got[501] == 500 and len(got) == len(chain) + 2
+
+
+def test_stage_decides_per_row(spark):
+    a, b, c = (" ".join(f"{k}{i}" for i in range(30)) for k in "abc")
+    rows = [(5, a), (5, b), (3, b), (9, c), (9, c), (None, b + " more"), (None, "x y z"), (None, "x y z"), (6, ""), (6, ""), (7, ""), (6, None), (None, None)]
+    df = spark.createDataFrame([(*r, n % 2) for n, r in enumerate(rows)], "doc_id long, text string, text_hash int")
+    got = corpus_pipeline.near_dedup(spark, df, "")
+    assert got.columns == df.columns
+    want = [(5, a), (3, b), (9, c), (None, "x y z"), (6, ""), (7, ""), (6, None), (None, None)]
+    assert sorted(((r.doc_id, r.text) for r in got.collect()), key=str) == sorted(want, key=str)
+    assert corpus_pipeline.near_dedup(spark, df.limit(0), "").collect() == []
