@@ -1,6 +1,6 @@
 """Tokenizing documents and packing them into sequences by best-two-fit.
 
-Pieces are dealt by hash into groups of bounded size; each group is packed by itself, which costs less
+Pieces are dealt by hash, and equal pieces evenly, into groups of bounded size; each group is packed by itself, which costs less
 than one sequence a group. A bin is filled greedily with the largest pieces that fit; then its smallest
 piece gives way to two unpacked ones if they fill the gap that it leaves more tightly.
 """
@@ -160,17 +160,28 @@ def best_two_fit(lengths: list[int], capacity: int) -> tuple[list[int], list[int
     return bins, offsets
 
 
+def deal(pieces: DataFrame, groups: int) -> DataFrame:
+    """Distinct pieces with pack_group and pack_times: how many of the equal pieces the group has."""
+    columns = pieces.columns
+    counted = pieces.groupBy(*columns).agg(F.count("*").alias("_n")).withColumn("_first", F.pmod(F.xxhash64(*columns), F.lit(groups)))
+    spread = counted.withColumn("_j", F.explode(F.sequence(F.lit(0), F.least(F.col("_n"), F.lit(groups)).cast("int") - 1)))
+    times = F.expr(f"_n div {groups} + if(_j < _n % {groups}, 1, 0)")
+    return spread.select(*columns, ((F.col("_first") + F.col("_j")) % groups).alias("pack_group"), times.alias("pack_times"))
+
+
 def pack(pieces: DataFrame, groups: int, capacity: int = CAPACITY) -> DataFrame:
     """pieces (with a length from 1 to capacity) and their sequence_id and offset, gapless from 0.
 
-    Pieces are dealt into groups by a hash of their columns. Other columns pass through; keep them narrow.
+    Pieces are dealt into groups by a hash of their columns, equal pieces evenly over all groups from there on;
+    equal pieces are counted first, so they never meet in one task. Other columns pass through; keep them narrow.
     """
     columns = [c for c in pieces.columns if c not in ("sequence_id", "offset")]
-    dealt = pieces.select(*columns, F.pmod(F.xxhash64(*columns), F.lit(groups)).alias("pack_group"))
+    dealt = deal(pieces.select(*columns), groups)
     kind = T.StructType([*(pieces.schema[c] for c in columns), *T._parse_datatype_string("sequence_id long, offset long").fields])
 
     def fill(table: pa.Table) -> pa.Table:
         table = table.sort_by([(c, "ascending") for c in columns])
+        table = table.take(pa.array(np.repeat(np.arange(len(table)), table["pack_times"].to_numpy())))
         bins, offsets = best_two_fit(table["length"].to_pylist(), capacity)
         first = table["pack_group"][0].as_py() << 32
         out = table.select(columns).append_column("sequence_id", pa.array([first + b for b in bins], pa.int64()))

@@ -5,7 +5,7 @@ from collections import defaultdict
 import numpy as np
 import pytest
 
-from laneprice.llm.packing import best_two_fit, pack_documents, tokenize
+from laneprice.llm.packing import best_two_fit, deal, pack, pack_documents, tokenize
 
 P = pytest.importorskip("public_tokenizers")
 PATH = P.path("word_bpe_49k.json")
@@ -53,3 +53,21 @@ def test_ids_equal_those_of_whole_texts(spark):
         items.sort()
         assert [o for o, _ in items] == [sum(n for _, n in items[:i]) for i in range(len(items))]
     assert pack_documents(df.limit(0), PATH).collect() == []
+
+
+def test_copies_of_one_piece_are_spread(spark):
+    rows = [(1, 700)] * 1003 + [(2, 30)] * 3 + [(None, 9)] * 2 + [(i, 100) for i in range(3, 100)]
+    df = spark.createDataFrame(rows, "doc_id long, length long")
+    sizes = defaultdict(int)
+    for r in deal(df, 10).where("doc_id = 1").collect():
+        sizes[r.pack_group] += r.pack_times
+    assert sorted(sizes.values()) == [100] * 7 + [101] * 3
+    packed = pack(df, 10).collect()
+    assert sorted(((r.doc_id, r.length) for r in packed), key=str) == sorted(rows, key=str)
+    held = defaultdict(list)
+    for r in packed:
+        held[r.sequence_id].append((r.offset, r.length))
+    for items in held.values():
+        items.sort()
+        assert [o for o, _ in items] == [sum(n for _, n in items[:i]) for i in range(len(items))] and sum(n for _, n in items) <= 2048
+    assert len({s >> 32 for s in held}) == 10
