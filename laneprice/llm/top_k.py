@@ -80,16 +80,16 @@ def exact_top_k(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", ve
     """query_id, rank (from 1), vec_id and score of the k best rows for every row that is_query holds for.
 
     A component x counts as floor(scale * x); the score is the integer inner product, held to the range of
-    a long. Ties go to the smaller id; a query doesn't find itself. Rows with a null id or vector, or with
-    a null or non-finite component, take no part. Of rows with one id the smallest vector counts. A shorter
-    vector is filled up with zeros, an empty one scores 0. Fewer than k other rows: all of them.
+    a long. Ties go to the smaller id; a query doesn't find rows of its own id. Rows with a null id or vector, or with
+    a null or non-finite component, take no part. Rows equal in id and vector count once; other rows that
+    repeat an id are each found, and as queries share the k ranks of their id. A shorter vector is filled up with zeros, an empty one scores 0. Fewer than k other rows: all of them.
     """
     valid = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"), F.coalesce(is_query, F.lit(False)).alias("asks"))
     valid = valid.where("id IS NOT NULL AND v IS NOT NULL AND forall(v, x -> x IS NOT NULL AND abs(x) < double('infinity'))")
-    valid = valid.groupBy("id").agg(F.min("v").alias("v"), F.max("asks").alias("asks"))
+    valid = valid.groupBy("id", "v").agg(F.max("asks").alias("asks"))
     n, asking = vectors.agg(F.count("*"), F.count_if(is_query)).first()
     query_blocks, item_blocks = max(1, math.ceil(asking / QUERY_BLOCK)), max(1, math.ceil(n / CANDIDATE_BLOCK))
-    place = lambda seed, blocks: F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(blocks)).cast("int")
+    place = lambda seed, blocks: F.pmod(F.xxhash64("id", "v", F.lit(seed)), F.lit(blocks)).cast("int")
     every = lambda blocks: F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
     asked = valid.where("asks").select("id", "v", place(1, query_blocks).alias("q"), every(item_blocks).alias("c"))
     items = valid.select("id", "v", every(query_blocks).alias("q"), place(2, item_blocks).alias("c"))

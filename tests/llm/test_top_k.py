@@ -34,3 +34,10 @@ def test_large_few_and_empty(spark):
     got = sorted(map(tuple, top_k.exact_top_k(df, F.col("vec_id") % 5 == 0).collect()))
     assert got == [(5, 1, 6, 2**63 - 1), (5, 2, 7, -(2**63))]
     assert top_k.exact_top_k(spark.createDataFrame([], schema), F.col("vec_id") % 5 == 0).collect() == []
+
+
+def test_repeated_ids_are_each_found(spark):
+    rows = [(5, [1.0, 0.0]), (5, [0.0, 1.0]), (6, [3.0, 0.0]), (6, [0.0, 2.0]), (6, [0.0, 2.0]), (7, [1.0, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted(map(tuple, top_k.exact_top_k(df, F.col("vec_id") % 5 == 0, k=4, scale=1.0).collect()))
+    assert got == [(5, 1, 6, 3), (5, 2, 6, 2), (5, 3, 7, 1), (5, 4, 7, 1)]
