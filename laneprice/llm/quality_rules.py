@@ -15,9 +15,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.functions import arrow_udf
 
 from . import textops
-from .shared import bounded_batches
+from .shared import bounded_batches, unused
 
 DIMENSIONS = 1 << 18
 WORD_GRAMS, CHAR_GRAMS = (1, 2), (3, 4)
@@ -27,6 +28,8 @@ SCALE = 60.0
 SAMPLE_ROWS = 4000
 HELD_OUT = 4  # one row in so many calibrates
 STEPS, RATE, DECAY = 50, 0.1, 1e-5
+#: Bytes of text whose n-grams are held at a time.
+SCORED_BYTES = 1 << 18
 #: A text is kept from this calibrated probability of good quality on.
 KEEP_FROM = 0.5
 MIN_WORDS, MAX_REPEAT_PERCENT, REPEAT_WINDOW = 20, 30, 8
@@ -42,12 +45,12 @@ class Model(NamedTuple):
     offset: float
 
 
-def _grams(w: textops.Words) -> list[tuple[np.ndarray, np.ndarray]]:
+def _grams(w: textops.Words) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Per kind: weight index of every n-gram, and where each document's n-grams begin and end."""
-    out, hashes = [], textops.word_hashes(w)
+    hashes = textops.word_hashes(w)
     for n in WORD_GRAMS:
         at, grams = textops.gram_hashes(hashes, w, n)
-        out.append(((grams % np.uint64(DIMENSIONS)).astype(np.int64), np.searchsorted(at, w.first)))
+        yield (grams % np.uint64(DIMENSIONS)).astype(np.int32), np.searchsorted(at, w.first)
     lead = (w.data & 0xC0) != 0x80
     first = np.concatenate(([0], np.cumsum(lead)))[w.offsets]
     points = np.frombuffer(w.data.tobytes().decode("utf-8", "surrogatepass").encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
@@ -55,8 +58,7 @@ def _grams(w: textops.Words) -> list[tuple[np.ndarray, np.ndarray]]:
     spread = textops.mix(points + np.uint64(0x51ED270B))
     for n in CHAR_GRAMS:
         at, grams = textops.gram_hashes(spread, whole, n)
-        out.append(((textops.mix(grams + np.uint64(n)) % np.uint64(DIMENSIONS)).astype(np.int64), np.searchsorted(at, first)))
-    return out
+        yield (textops.mix(grams + np.uint64(n)) % np.uint64(DIMENSIONS)).astype(np.int32), np.searchsorted(at, first)
 
 
 def _logits(w: textops.Words, model: Model) -> np.ndarray:
@@ -73,7 +75,7 @@ def _probability(logits: np.ndarray, model: Model) -> np.ndarray:
 
 def _parts(column: pa.Array) -> Iterator[textops.Words]:
     data, offsets = textops.utf8_column(column)
-    for i, j in textops.chunks(offsets):
+    for i, j in textops.chunks(offsets, SCORED_BYTES):
         yield textops.words(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
 
 
@@ -110,7 +112,7 @@ def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         index, value = [], []
         for w in _parts(batch["text"]):
-            kinds = _grams(w)
+            kinds = list(_grams(w))
             for d in range(len(w.first) - 1):
                 each = [(i[c[d] : c[d + 1]], SCALE / 4 / max(1, c[d + 1] - c[d])) for i, c in kinds]
                 found, which = np.unique(np.concatenate([i for i, _ in each]), return_inverse=True)
@@ -192,16 +194,22 @@ def _packed(weights: np.ndarray, *rest: float) -> pa.RecordBatch:
     return pa.RecordBatch.from_pydict({"weights": pa.array([weights.astype(np.float32).tobytes()], pa.binary()), **{k: [v] for k, v in zip(("bias", "slope", "offset"), rest, strict=True)}})
 
 
+def sampled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, sample_rows: int) -> DataFrame:
+    """id, text and label of at most sample_rows ids, one row each, chosen by hash."""
+    chosen = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1)).groupBy(F.col(id_col).alias("id")).agg(F.min(label_col).cast("double").alias("label"))
+    chosen = chosen.orderBy(F.xxhash64("id"), "id").limit(sample_rows)
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id")  # at most sample_rows rows
+    return texts.groupBy("id").agg(F.min("text").alias("text"), F.min("label").alias("label"))
+
+
 def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample_rows: int = SAMPLE_ROWS) -> Model:
     """The model of label_col (1 good, 0 not) from at most sample_rows labelled rows with a text.
 
-    Rows without id or label are left out; a repeated id counts once, with its smallest label. With no
-    usable rows, or one class only, every text gets the share of good rows (all good if there are none).
+    Rows without id or label are left out; a repeated id counts once, with its smallest label and text, so
+    sample_rows bounds the rows of the fit whatever repeats. With no usable rows, or one class only, every
+    text gets the share of good rows (all good if there are none).
     """
-    chosen = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1)).groupBy(F.col(id_col).alias("id")).agg(F.min(label_col).cast("double").alias("label"))
-    chosen = chosen.orderBy(F.xxhash64("id"), "id").limit(sample_rows)
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id")  # at most sample_rows rows
-    texts = texts.select("id", "text", "label")
+    texts = sampled(docs, labels, id_col, text_col, label_col, sample_rows)
     kind = T.StructType([texts.schema["id"], *T._parse_datatype_string("label double, index array<int>, value array<float>").fields])
     featured = bounded_batches(texts).mapInArrow(_featured, kind).repartition(1).sortWithinPartitions("id", F.xxhash64("index"))
     rows = featured.mapInArrow(_fit, "weights binary, bias double, slope double, offset double")
@@ -214,28 +222,37 @@ def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
 _SCORED = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, quality double, kept boolean"
 
 
-def score_quality(docs: DataFrame, model: Model, text_col: str = "text", keep_from: float = KEEP_FROM) -> DataFrame:
-    """docs with the statistics, base_failed, quality (calibrated probability) and kept of every row.
-
-    Columns of these names are replaced. Null and empty texts have no words and fail. No row is lost.
-    """
+def _scorer(model, keep_from: float):
+    """A column function of texts; model: the broadcast model."""
+    types = {"base_failed": pa.bool_(), "kept": pa.bool_(), "quality": pa.float64()}
     names = [x.split()[0] for x in _SCORED.split(", ")]
-    kind = T.StructType([*(f for f in docs.schema.fields if f.name not in names), *T._parse_datatype_string(_SCORED).fields])
-    sent = docs.sparkSession.sparkContext.broadcast(model)  # DIMENSIONS floats
 
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+    def score(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for column in columns:
             found = {k: [] for k in names}
-            for w in _parts(batch[text_col]):
+            for w in _parts(column):
                 stats = statistics(w)
                 stats["base_failed"] = (stats["n_words"] < MIN_WORDS) | (100 * stats["n_repeat_words"] > MAX_REPEAT_PERCENT * stats["n_words"])
-                stats["quality"] = _probability(_logits(w, sent.value), sent.value)
+                stats["quality"] = _probability(_logits(w, model.value), model.value)
                 stats["kept"] = ~stats["base_failed"] & (stats["quality"] >= keep_from)
                 for k, v in stats.items():
                     found[k].append(v)
-            rest = [(f.name, batch[f.name]) for f in kind.fields if f.name not in names]
-            types = {"base_failed": pa.bool_(), "kept": pa.bool_(), "quality": pa.float64()}
-            made = [(k, pa.array(np.concatenate(v) if v else [], types.get(k, pa.int64()))) for k, v in found.items()]
-            yield pa.RecordBatch.from_arrays([v for _, v in rest + made], names=[k for k, _ in rest + made])
+            made = [pa.array(np.concatenate(v) if v else [], types.get(k, pa.int64())) for k, v in found.items()]
+            yield pa.StructArray.from_arrays(made, names=names)
 
-    return bounded_batches(docs).mapInArrow(score, kind)
+    # Spark would else run it once for a filter and once more for the columns.
+    return arrow_udf(score, _SCORED).asNondeterministic()
+
+
+def score_quality(docs: DataFrame, model: Model, text_col: str = "text", keep_from: float = KEEP_FROM) -> DataFrame:
+    """docs with the statistics, base_failed, quality (calibrated probability) and kept of every row.
+
+    Columns of these names are replaced; any others may have any names. Null and empty texts have no words
+    and fail. No row is lost. Only the text goes to Python, and only the scores come back.
+    """
+    names = [x.split()[0] for x in _SCORED.split(", ")]
+    sent = docs.sparkSession.sparkContext.broadcast(model)  # DIMENSIONS floats
+    (scored,) = unused(docs.columns, "scored")
+    rest = [F.col(f"`{c}`") for c in docs.columns if c not in names]
+    rows = bounded_batches(docs).select(*rest, _scorer(sent, keep_from)(F.col(text_col)).alias(scored))
+    return rows.select(*rest, *(F.col(f"{scored}.{k}").alias(k) for k in names))

@@ -11,24 +11,49 @@ from pyspark.sql import functions as F
 #: Spark's setting for the bytes of an Arrow batch, its default, and what operators on texts take instead.
 BATCH_SETTING, BATCH_DEFAULT, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", "4m"
 
+#: Repetitions of a row that are listed at a time.
+LISTED = 1 << 16
+
 
 def bounded_batches(df: DataFrame) -> DataFrame:
-    """df, whose session now sends batches of BATCH_BYTES to Python workers unless it names another size itself.
+    """df, whose session sends batches of BATCH_BYTES to Python workers unless it names another size itself.
 
-    Several tasks share an executor's memory, and each holds a few copies of its batch.
+    Every operator that sends rows to Python calls this, so none depends on which one ran before. Several
+    tasks share an executor's memory, and each holds a few copies of its batch.
     """
     if df.sparkSession.conf.get(BATCH_SETTING) == BATCH_DEFAULT:
         df.sparkSession.conf.set(BATCH_SETTING, BATCH_BYTES)
     return df
 
 
+def unused(columns: list[str], *stems: str) -> list[str]:
+    """Names like the stems that no column has, upper and lower case alike."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in stems:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def repeated(df: DataFrame, times: str, number: str) -> DataFrame:
+    """Every row as often as its column times says, numbered from 1; listed in blocks, so no array grows with times."""
+    (block,) = unused([*df.columns, number], "block")
+    blocks = df.withColumn(block, F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(`{times}` - 1) div {LISTED}"))))
+    numbers = F.sequence(F.col(block) * LISTED + 1, F.least(F.col(times), (F.col(block) + 1) * LISTED))
+    return blocks.select(*(F.col(f"`{c}`") for c in df.columns if c != times), F.explode(numbers).alias(number))
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; a local one is set only where none is named, as in tests."""
+    """The folder named in spark.checkpoint.dir; a local one is set only where none is named and Spark runs in one process."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
     context = spark.sparkContext
     if not context.getCheckpointDir():
+        if not context.master.startswith("local[") and context.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoints-"))
     return context.getCheckpointDir()
 
@@ -50,10 +75,5 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def total_bytes(df: DataFrame, column: str) -> int:
-    """UTF-8 bytes of a text column; one narrow pass that sends one number."""
-    return df.agg(F.sum(F.octet_length(column)).alias("n")).first()["n"] or 0
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -15,8 +15,10 @@ import pyarrow as pa
 
 #: Pattern of a word, for Python's re, Java and RE2 alike.
 WORD = r"[^\x20\x09-\x0D]+"
-#: Bytes of text that are hashed at a time; longer documents go alone.
+#: Bytes of text that are taken at a time; longer documents go alone.
 CHUNK_BYTES = 1 << 20
+#: Bytes or words whose sums are formed at a time, so that no table grows with the longest text.
+BLOCK = 1 << 16
 
 _IS_SEPARATOR = np.zeros(256, dtype=bool)
 _IS_SEPARATOR[[0x20, *range(0x09, 0x0E)]] = True
@@ -24,10 +26,12 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 _ODD = 0x9E3779B97F4A7C15
 _BYTE_VALUES = np.random.default_rng(20240501).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+#: Other values of the bytes, for a second hash of the same words.
+OTHER_VALUES = np.random.default_rng(20240502).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 class _Powers:
-    """Powers of an odd base modulo 2**64 and of its inverse, grown as longer texts come."""
+    """Powers of an odd base modulo 2**64 and of its inverse, grown to the largest block."""
 
     def __init__(self, base: int):
         self.base, self.inverse = base, pow(base, -1, 1 << 64)
@@ -112,14 +116,36 @@ def words(data: np.ndarray, offsets: np.ndarray) -> Words:
     return Words(data, offsets, starts, ends, np.searchsorted(starts, offsets))
 
 
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    up, down = _BYTE_POWERS.get(len(data) + 1)
-    sums = _prefix(_BYTE_VALUES[data] * up[: len(data)])
-    return mix((sums[ends] - sums[starts]) * down[starts])
+def _long_span(values: np.ndarray) -> np.uint64:
+    """The sum that span_hashes() mixes, of one span longer than a block."""
+    up, _ = _BYTE_POWERS.get(BLOCK + 1)
+    out, scale = 0, 1
+    for i in range(0, len(values), BLOCK):
+        part = values[i : i + BLOCK]
+        out = (out + int(np.sum(part * up[: len(part)], dtype=np.uint64)) * scale) % (1 << 64)
+        scale = scale * pow(_ODD, len(part), 1 << 64) % (1 << 64)
+    return np.uint64(out)
+
+
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, values: np.ndarray = _BYTE_VALUES) -> np.ndarray:
+    """Hashes of spans that are ordered and don't overlap."""
+    up, down = _BYTE_POWERS.get(BLOCK + 1)
+    out, i = np.empty(len(starts), dtype=np.uint64), 0
+    while i < len(starts):
+        a = starts[i]
+        j = max(i + 1, int(np.searchsorted(ends, a + BLOCK, "right")))
+        part = values[data[a : ends[j - 1]]]
+        if len(part) > BLOCK:
+            out[i] = _long_span(part)
+        else:
+            sums, here = _prefix(part * up[: len(part)]), starts[i:j] - a
+            out[i:j] = (sums[ends[i:j] - a] - sums[here]) * down[here]
+        i = j
+    return mix(out)
 
 
-def word_hashes(w: Words, lower: bool = False) -> np.ndarray:
-    return span_hashes(LOWER[w.data] if lower else w.data, w.starts, w.ends)
+def word_hashes(w: Words, lower: bool = False, values: np.ndarray = _BYTE_VALUES) -> np.ndarray:
+    return span_hashes(LOWER[w.data] if lower else w.data, w.starts, w.ends, values)
 
 
 def gram_hashes(hashes: np.ndarray, w: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -128,9 +154,17 @@ def gram_hashes(hashes: np.ndarray, w: Words, n: int) -> tuple[np.ndarray, np.nd
     total = int(counts.sum())
     begin = np.repeat(w.first[:-1] - (np.cumsum(counts) - counts), counts)
     at = np.arange(total) + begin
-    up, down = _WORD_POWERS.get(len(hashes) + 1)
-    sums = _prefix(hashes * up[: len(hashes)])
-    return at, mix((sums[at + n] - sums[at]) * down[at])
+    size = max(BLOCK, n)
+    up, down = _WORD_POWERS.get(size + n + 1)
+    out, i = np.empty(total, dtype=np.uint64), 0
+    while i < total:
+        a = at[i]
+        j = int(np.searchsorted(at, a + size))
+        part = hashes[a : at[j - 1] + n]
+        sums, here = _prefix(part * up[: len(part)]), at[i:j] - a
+        out[i:j] = (sums[here + n] - sums[here]) * down[here]
+        i = j
+    return at, mix(out)
 
 
 def sums_by_doc(values: np.ndarray, first: np.ndarray) -> np.ndarray:

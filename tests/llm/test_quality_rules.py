@@ -2,6 +2,7 @@ import random
 import re
 from collections import Counter
 
+from laneprice.llm import quality_rules
 from laneprice.llm.quality_rules import fit_quality, score_quality
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -50,3 +51,18 @@ def test_empty_and_one_class(spark):
     assert score_quality(df, fit_quality(df, labels)).collect() == []
     df = spark.createDataFrame([(1, "word " + " ".join(map(str, range(40))))], df.schema)
     assert score_quality(df, fit_quality(df, labels)).first().kept
+
+
+def test_the_sample_is_bounded_where_ids_repeat(spark):
+    rows = [(i % 20, f"word{i % 20} " * 30) for i in range(1000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(20)] * 3, "doc_id long, quality int")
+    sampled = quality_rules.sampled(df, labels, "doc_id", "text", "quality", 10).collect()
+    assert len(sampled) == len({r.id for r in sampled}) == 10
+
+
+def test_any_column_names_and_a_long_text(spark):
+    long = "many words of one long text " * 60_000
+    df = spark.createDataFrame([(1, long, 7, True), (2, long, 8, False)], "doc_id long, text string, scored int, quality boolean")
+    got = score_quality(df, fit_quality(df, spark.createDataFrame([], "doc_id long, quality int"))).collect()
+    assert [(r.doc_id, r.text == long, r.scored, r.n_words, r.kept) for r in sorted(got)] == [(1, True, 7, 360_000, False), (2, True, 8, 360_000, False)]
