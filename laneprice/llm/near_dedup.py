@@ -3,19 +3,21 @@
 Two permutations of a fixed universe make every signature coordinate: the first scatters the shingles,
 the second, shifted circularly by k, orders them for coordinate k. Signatures are cut into bands.
 
-Documents with equal shingle sets are one node. Inside a band's bucket a node is compared with one
-leader, not with all others; a further round takes another leader for buckets whose nodes are still in
-several components, and a last round checks what is left: nodes of different components there become a
-pair only if the parity sketches of their sets allow a link. A sketch bit tells whether an odd number of
-shingles falls on it, so two sets differ in at least as many shingles as their sketches in bits: this
-bound drops no link. So no pair of different components that share a bucket goes unchecked, and copies
-never make pairs. Every link is confirmed on the full shingle sets. A pair at exactly the threshold shares no bucket with
+Documents with equal shingle sets are folded into one node before anything else, so copies cost one row
+of the tables below, whatever their number. Inside a band's bucket a node is compared with one leader,
+not with all others; a further round takes another leader for buckets whose nodes are still in several
+components, and a last round checks what is left: nodes of different components there become a pair only
+if their sizes and the parity sketches of their sets allow a link. A sketch bit tells whether an odd
+number of shingles falls on it, so two sets differ in at least as many shingles as their sketches in
+bits: this bound drops no link. So no pair of different components that share a bucket goes unchecked.
+Every link is confirmed on the full shingle sets. A pair at exactly the threshold shares no bucket with
 probability (1 - t ** ROWS) ** BANDS, 5e-6 for 0.8.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,7 +28,7 @@ from pyspark.sql import types as T
 
 from . import textops
 from .components import connected_components
-from .shared import cut, written
+from .shared import bounded_batches, cut, written
 
 BANDS, ROWS = 40, 6
 #: Places of the universe that shingles are scattered over.
@@ -35,6 +37,8 @@ UNIVERSE = 1 << 20
 SKETCH = 16
 #: Candidate rows (24 bytes each) that may be broadcast to pick their texts; more are joined by shuffle.
 BROADCAST_ROWS = 200_000
+#: Bits of a node's number. Sets whose numbers are equal are told apart by 64 further bits.
+NODE_BITS = 64
 _SHORT = np.uint64(0xA24BAED4963EE407)
 
 
@@ -99,25 +103,43 @@ def _may_link(percent: int) -> str:
     return f"({apart}) * {100 + percent} <= (size_a + size_b) * {100 - percent}"
 
 
-def _signed(size: int):
+_SIGNED = "text_hash long, n_shingles long, node long, other long, bands array<long>, sketch array<long>"
+
+
+def _signed(size: int, bits: int):
+    """Rows with the node, 64 other bits of the same digest, bands and sketch of their text's shingle set."""
+
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            nodes, counts, bands, sketches = [], [], [], []
+            counts, found = [], []
             for shingles in shingle_sets(batch["text"], size):
                 counts.append(len(shingles))
                 if len(shingles):
-                    nodes.append(int.from_bytes(hashlib.blake2b(shingles.tobytes(), digest_size=8).digest(), "little", signed=True))
-                    bands.append(band_keys(signature(shingles)).view(np.int64))
-                    sketches.append(parity_sketch(shingles))
+                    digest = hashlib.blake2b(shingles.tobytes(), digest_size=16).digest()
+                    node, other = (int.from_bytes(digest[i : i + 8], "little", signed=True) for i in (0, 8))
+                    found.append((node >> (64 - bits), other, band_keys(signature(shingles)).view(np.int64), parity_sketch(shingles)))
                 else:
-                    nodes.append(None)
-                    bands.append(None)
-                    sketches.append(None)
-            yield pa.RecordBatch.from_arrays([batch["id"], batch["text_hash"], pa.array(counts, pa.int64()), pa.array(nodes, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(sketches, pa.list_(pa.int64()))], names=["id", "text_hash", "n_shingles", "node", "bands", "sketch"])
+                    found.append((None,) * 4)
+            kinds = (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()))
+            made = [pa.array(c, k) for c, k in zip(list(zip(*found, strict=True)) or [[]] * 4, kinds, strict=True)]
+            names = ["id", *(x.split()[0] for x in _SIGNED.split(", "))]
+            yield pa.RecordBatch.from_arrays([batch["id"], batch["text_hash"], pa.array(counts, pa.int64()), *made], names=names)
 
     return sign
 
 
+def _told_apart(signed: DataFrame) -> DataFrame:
+    """signed, where different sets never share a node: nodes of several sets are numbered anew, by all 128 bits."""
+    several = signed.where("node IS NOT NULL").groupBy("node").agg(F.min("other").alias("x"), F.max("other").alias("y"))
+    several = cut(several.where("x < y").select(F.col("node").alias("shared")))
+    if several.isEmpty():
+        return signed
+    few = several.count() <= BROADCAST_ROWS
+    joined = signed.join(F.broadcast(several) if few else several, F.col("node") == F.col("shared"), "left")
+    anew = F.when(F.col("shared").isNotNull(), F.xxhash64("node", "other")).otherwise(F.col("node"))
+    return written(joined.withColumn("node", anew).drop("shared"), "signed")
+
+
 def _confirm(size: int, percent: int):
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -146,24 +168,26 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     if shingle < 1 or not 60 <= percent <= 100:
         raise ValueError("shingle must be at least 1 and percent from 60 to 100")
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("text_hash"))
-    kind = T.StructType([T.StructField("id", docs.schema[id_col].dataType), *T._parse_datatype_string("text_hash long, n_shingles long, node long, bands array<long>, sketch array<long>").fields])
-    signed = written(rows.mapInArrow(_signed(shingle), kind), "signed")
+    kind = T.StructType([T.StructField("id", docs.schema[id_col].dataType), *T._parse_datatype_string(_SIGNED).fields])
+    signed = _told_apart(written(bounded_batches(rows).mapInArrow(_signed(shingle, NODE_BITS), kind), "signed"))
 
-    buckets = signed.where("node IS NOT NULL").select("node", F.explode("bands").alias("key"))
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "text_hash", "n_shingles", "bands", "sketch")).alias("rep")
+    nodes = signed.where("node IS NOT NULL").groupBy("node").agg(first)
+    nodes = written(nodes.select("node", F.col("rep.id").alias("rep_id"), F.col("rep.text_hash").alias("rep_hash"), "rep.n_shingles", "rep.bands", "rep.sketch"), "nodes")
+    buckets = nodes.select("node", F.explode("bands").alias("key"))
     leaders = buckets.groupBy("key").agg(F.min("node").alias("leader"), F.max("node").alias("last")).where("leader < last").drop("last")
-    shared = written(buckets.join(leaders, "key").distinct(), "buckets")
+    shared = written(buckets.join(leaders, "key"), "buckets")
 
-    reps = signed.join(shared.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min(F.struct("id", "text_hash", "n_shingles", "sketch")).alias("rep"))
-    reps = cut(reps.select("node", F.col("rep.id").alias("rep_id"), F.col("rep.text_hash").alias("rep_hash"), "rep.n_shingles", "rep.sketch"))
-    sketches = reps.select("node", "n_shingles", "sketch")
-    few = reps.count() <= BROADCAST_ROWS
-    picked = reps.select("node", "rep_id", "rep_hash")
-    texts = written(rows.join(F.broadcast(picked) if few else picked, F.expr("rep_hash = text_hash AND rep_id <=> id")).select("node", "text"), "texts")
+    sketches = nodes.select("node", "n_shingles", "sketch")
+    picked = cut(nodes.join(shared.select("node").distinct(), "node", "left_semi").select("node", "rep_id", "rep_hash"))
+    few = picked.count() <= BROADCAST_ROWS
+    texts = rows.join(F.broadcast(picked) if few else picked, F.expr("rep_hash = text_hash AND rep_id <=> id"))
+    texts = written(texts.groupBy("node").agg(F.min("text").alias("text")), "texts")  # rows that repeat give one
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         left = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
         both = left.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
-        return cut(both.select("a", "b", "text_a", "text_b").mapInArrow(_confirm(shingle, percent), "a long, b long").distinct())
+        return cut(bounded_batches(both.select("a", "b", "text_a", "text_b")).mapInArrow(_confirm(shingle, percent), "a long, b long"))
 
     links = confirmed(shared.where("node <> leader").select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct())
     for last in (False, True):
@@ -174,18 +198,26 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         if open_keys.isEmpty():
             break
         members = written(placed.join(open_keys, "key").join(sketches, "node"), "members")
-        side = lambda df, x: df.select("key", F.col("node").alias(x), F.col("component").alias(f"component_{x}"), F.col("n_shingles").alias(f"size_{x}"), *(F.col("sketch")[i].alias(f"{x}{i}") for i in range(SKETCH)))
-        left, right = side(members, "a"), side(members if last else members.where("node = leader"), "b")
+        # Sizes of linked sets differ by the ratio 100 / percent at most, so their logarithms fall into the same or the next step.
+        step = math.log(100 / percent) * (1 + 1e-9) if percent < 100 else None
+        size = F.col("n_shingles") if step is None else F.floor(F.ln("n_shingles") / step)
+        near = F.array(size) if step is None else F.sequence(size - 1, size + 1)
+
+        def side(df: DataFrame, x: str, level) -> DataFrame:
+            bits = (F.col("sketch")[i].alias(f"{x}{i}") for i in range(SKETCH))
+            return df.select("key", level.alias("level"), F.col("node").alias(x), F.col("component").alias(f"component_{x}"), F.col("n_shingles").alias(f"size_{x}"), *bits)
+
+        left, right = side(members, "a", size), side(members if last else members.where("node = leader"), "b", F.explode(near))
         apart = "component_a < component_b" if last else "component_a <> component_b"
-        pairs = left.join(right, (left["key"] == right["key"]) & F.expr(apart) & F.expr(_may_link(percent)))
+        pairs = left.join(right, (left["key"] == right["key"]) & (left["level"] == right["level"]) & F.expr(apart) & F.expr(_may_link(percent)))
         links = cut(links.union(confirmed(pairs.select("a", "b").distinct())))
     labels = connected_components(links)
 
-    nodes = signed.where("node IS NOT NULL").groupBy("node").agg(F.min("id").alias("least"))
-    nodes = nodes.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    least = nodes.groupBy("component").agg(F.min("least").alias("component_id"))
-    nodes = nodes.join(least, "component").select("node", "component_id", "component")
-    found = signed.where("node IS NOT NULL").join(nodes, "node").select("id", "n_shingles", "component_id", "text_hash", "component")
+    placed = nodes.select("node", "rep_id").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    # Written first, so that the join below, where one component may hold a third of the nodes, can be split.
+    least = cut(placed.groupBy("component").agg(F.min("rep_id").alias("component_id")))
+    placed = placed.join(least, "component").select("node", "component_id", "component")
+    found = signed.where("node IS NOT NULL").join(placed, "node").select("id", "n_shingles", "component_id", "text_hash", "component")
     alone = signed.where("node IS NULL").select("id", "n_shingles", F.col("id").alias("component_id"), "text_hash", F.lit(None).cast("long").alias("component"))
     more = ["text_hash", F.col("component").alias("group")] if groups else []
     return found.union(alone).select(F.col("id").alias(id_col), "n_shingles", "component_id", F.expr("id <=> component_id").alias("kept"), *more)

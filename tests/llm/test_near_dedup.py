@@ -2,6 +2,7 @@ import random
 import re
 
 import corpus_pipeline
+from laneprice.llm import near_dedup
 from laneprice.llm.components import connected_components
 from laneprice.llm.near_dedup import near_duplicates
 
@@ -72,3 +73,17 @@ def test_stage_decides_per_row(spark):
     want = [(5, a), (3, b), (9, c), (None, "x y z"), (6, ""), (7, ""), (6, None), (None, None)]
     assert sorted(((r.doc_id, r.text) for r in got.collect()), key=str) == sorted(want, key=str)
     assert corpus_pipeline.near_dedup(spark, df.limit(0), "").collect() == []
+
+
+def test_colliding_nodes_and_many_copies(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "NODE_BITS", 3)  # most sets share a node's number
+    rng = random.Random(8)
+    texts = [" ".join(rng.choices([f"w{i}" for i in range(90)], k=25)) for _ in range(40)]
+    texts += [texts[0]] * 30 + [texts[1] + " more", " ".join(f"long{i % 5000}" for i in range(150_000))]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(0, texts[0])] * 300 + [(None, texts[2])] * 3
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute(texts, 2, 80)
+    got = near_dedup.near_duplicates(df, shingle=2).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        assert (r.n_shingles, r.component_id) == want[r.doc_id if r.doc_id is not None else 2]
