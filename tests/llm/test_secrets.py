@@ -3,6 +3,7 @@ from collections import defaultdict
 
 from pyspark.sql import functions as F
 
+from laneprice.llm import secrets
 from laneprice.llm.secrets import MASK, find_secrets, listed, redact_secrets
 
 BASE = {
@@ -50,3 +51,15 @@ def test_redaction(spark):
     assert clean.columns == df.columns and len(got) == len(TEXTS) + 1
     assert got[0] is None and got[1] == "" and got[2] == got[None] == f"é\U0001f600 {MASK} x" and got[8] == MASK
     assert got[7] == "f" * 23 + f" {MASK}g" and got[13] == MASK + " " + MASK
+
+
+def test_a_common_secret_and_any_column_names(spark, monkeypatch):
+    extra = "found_id found_hash own_hash spans _id _hash _secrets _text_hash secrets row salt hash".split()
+    rows = [(i % 400, f"s{i % 3}", "key " + TEXTS[9] if i % 2 else TEXTS[2], *[i] * len(extra)) for i in range(1200)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string, " + ", ".join(f"{n} int" for n in extra))
+    for most in (200_000, 0):
+        monkeypatch.setattr(secrets, "BROADCAST_VALUES", most)
+        got = redact_secrets(df, owner=df["source"]).collect()
+        assert sorted((tuple(r)[:2] + tuple(r)[3:]) for r in got) == sorted(r[:2] + r[3:] for r in rows)
+        # three owners have the token, so it isn't live and stays; the assignment goes
+        assert {r.text for r in got} == {"key " + TEXTS[9], f"é\U0001f600 {MASK} x"}
