@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textops
-from .shared import bounded_batches
+from .shared import bounded_batches, unused
 
 CAPACITY, SEPARATOR_ID = 2048, 0
 #: Pieces of a group, about; bytes of text that a piece stands for in this estimate.
@@ -160,34 +160,37 @@ def best_two_fit(lengths: list[int], capacity: int) -> tuple[list[int], list[int
     return bins, offsets
 
 
-def deal(pieces: DataFrame, groups: int) -> DataFrame:
-    """Distinct pieces with pack_group and pack_times: how many of the equal pieces the group has."""
-    columns = pieces.columns
-    counted = pieces.groupBy(*columns).agg(F.count("*").alias("_n")).withColumn("_first", F.pmod(F.xxhash64(*columns), F.lit(groups)))
-    spread = counted.withColumn("_j", F.explode(F.sequence(F.lit(0), F.least(F.col("_n"), F.lit(groups)).cast("int") - 1)))
-    times = F.expr(f"_n div {groups} + if(_j < _n % {groups}, 1, 0)")
-    return spread.select(*columns, ((F.col("_first") + F.col("_j")) % groups).alias("pack_group"), times.alias("pack_times"))
+def deal(pieces: DataFrame, groups: int, group: str = "pack_group", times: str = "pack_times") -> DataFrame:
+    """Distinct pieces with their group and times, how many of the equal pieces the group has; no piece has such columns."""
+    columns = [F.col(f"`{c}`") for c in pieces.columns]
+    n, first, j = unused([*pieces.columns, group, times], "n", "first", "j")
+    counted = pieces.groupBy(*columns).agg(F.count("*").alias(n)).withColumn(first, F.pmod(F.xxhash64(*columns), F.lit(groups)))
+    spread = counted.withColumn(j, F.explode(F.sequence(F.lit(0), F.least(F.col(n), F.lit(groups)).cast("int") - 1)))
+    each = F.expr(f"{n} div {groups} + if({j} < {n} % {groups}, 1, 0)")
+    return spread.select(*columns, ((F.col(first) + F.col(j)) % groups).alias(group), each.alias(times))
 
 
 def pack(pieces: DataFrame, groups: int, capacity: int = CAPACITY) -> DataFrame:
     """pieces (with a length from 1 to capacity) and their sequence_id and offset, gapless from 0.
 
     Pieces are dealt into groups by a hash of their columns, equal pieces evenly over all groups from there on;
-    equal pieces are counted first, so they never meet in one task. Other columns pass through; keep them narrow.
+    equal pieces are counted first, so they never meet in one task. Columns named sequence_id or offset are
+    replaced; others pass through whatever their names. Keep them narrow.
     """
     columns = [c for c in pieces.columns if c not in ("sequence_id", "offset")]
-    dealt = deal(pieces.select(*columns), groups)
+    group, times = unused(columns, "pack_group", "pack_times")
+    dealt = deal(pieces.select(*(F.col(f"`{c}`") for c in columns)), groups, group, times)
     kind = T.StructType([*(pieces.schema[c] for c in columns), *T._parse_datatype_string("sequence_id long, offset long").fields])
 
     def fill(table: pa.Table) -> pa.Table:
         table = table.sort_by([(c, "ascending") for c in columns])
-        table = table.take(pa.array(np.repeat(np.arange(len(table)), table["pack_times"].to_numpy())))
+        table = table.take(pa.array(np.repeat(np.arange(len(table)), table[times].to_numpy())))
         bins, offsets = best_two_fit(table["length"].to_pylist(), capacity)
-        first = table["pack_group"][0].as_py() << 32
+        first = table[group][0].as_py() << 32
         out = table.select(columns).append_column("sequence_id", pa.array([first + b for b in bins], pa.int64()))
         return out.append_column("offset", pa.array(offsets, pa.int64()))
 
-    return dealt.groupBy("pack_group").applyInArrow(fill, kind)
+    return dealt.groupBy(group).applyInArrow(fill, kind)
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY) -> DataFrame:

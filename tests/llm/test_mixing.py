@@ -2,6 +2,8 @@ import hashlib
 import math
 from collections import Counter
 
+import pytest
+
 from laneprice.llm import mixing
 
 
@@ -40,3 +42,33 @@ def test_large_rates_and_empty(spark):
     n = mixing.mix_sources(df, {"small": 1}).count()
     assert abs(n - 200 * 2001 / 101) < 400
     assert mixing.mix_sources(df.limit(0)).collect() == []
+
+
+def test_any_column_names_and_refused_weights(spark):
+    names = ["doc_id", "source", "text", "of_source", "low", "cdf", "name", "own", "salt", "part", "times", "block", "_n", "_u", "_name", "rate", "k"]
+    rows = [(i, "ab"[i % 2], "x" * i, *range(100 * i, 100 * i + len(names) - 3)) for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string, " + ", ".join(f"{n} long" for n in names[3:]))
+    for most in (10_000, 0):  # sources that may be broadcast
+        with pytest.MonkeyPatch.context() as patch:
+            patch.setattr(mixing, "BROADCAST_SOURCES", most)
+            got = mixing.mix_sources(df)
+            assert got.columns == [*names, "copy", "mix_key"]
+            assert Counter((r.doc_id, r.source, r.text) for r in got.collect()) == brute([(r[0], r[1], r[2]) for r in rows], None, 17)
+            kept = {tuple(r)[: len(names)] for r in got.collect()}
+            assert kept and kept <= set(rows)
+    for bad in ({"a": -1.0}, {"a": float("nan")}, {"a": float("inf")}):
+        with pytest.raises(ValueError):
+            mixing.mix_sources(df, bad)
+    assert mixing.mix_sources(df, {"a": 0.0}).collect() == []
+
+
+def test_distribution_of_a_large_rate(spark):
+    rates = spark.createDataFrame([("a", 250.0), ("b", 40_000.0), ("c", 3.5), ("d", 1e8)], "source string, rate double")
+    for r in mixing.poisson_tables(rates).collect():
+        assert len(r.cdf) <= 17 * math.sqrt(r.rate) + 45 and abs(r.cdf[-1] - 1) < 1e-7
+        for k in range(0, len(r.cdf), max(1, len(r.cdf) // 7)):
+            want = sum(math.exp(i * math.log(r.rate) - r.rate - math.lgamma(i + 1)) for i in range(r.low, r.low + k + 1)) if r.rate < 1e5 else None
+            assert want is None or abs(want - r.cdf[k]) < 1e-9
+    df = spark.createDataFrame([(i, "big", "x" * 20_000) for i in range(20)] + [(900, "small", "")], "doc_id long, source string, text string")
+    n = mixing.mix_sources(df).where("source = 'small'").count()  # a rate of 200,010 in blocks
+    assert abs(n - 20 * 20_001 / 2) < 3000

@@ -71,3 +71,12 @@ def test_copies_of_one_piece_are_spread(spark):
         items.sort()
         assert [o for o, _ in items] == [sum(n for _, n in items[:i]) for i in range(len(items))] and sum(n for _, n in items) <= 2048
     assert len({s >> 32 for s in held}) == 10
+
+
+def test_any_column_names_pass_through(spark):
+    names = "pack_group pack_times n first j piece".split()
+    rows = [(i % 3, 100 + i % 5, *[i % 2] * len(names)) for i in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, length long, " + ", ".join(f"{n} int" for n in names))
+    got = pack(df, 4)
+    assert got.columns == [*df.columns, "sequence_id", "offset"]
+    assert sorted(tuple(r)[:-2] for r in got.collect()) == sorted(rows)
