@@ -1,12 +1,13 @@
 """The corpus pipeline: quality rules, near-dedup, secrets, source mixing and packing, one after the other.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; run() writes it as Parquet in the shared
-folder and reads it again as the next stage's docs.
+folder and reads it again as the next stage's docs. Every stage takes empty tables, nulls in any column,
+rows that repeat and further columns of any name, and all but the last return the columns of docs.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from laneprice.llm.mixing import mix_sources
@@ -15,45 +16,48 @@ from laneprice.llm.packing import pack_documents
 from laneprice.llm.quality_rules import fit_quality, score_quality
 from laneprice.llm.registry import tokenizer
 from laneprice.llm.secrets import redact_secrets
-from laneprice.llm.shared import table, written
+from laneprice.llm.shared import table, unused, written
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep."""
+    """Documents that the quality rules keep; rows that repeat are judged alike. Null and empty texts go."""
     model = fit_quality(docs, table(spark, sf_dir, "labels"))
-    return score_quality(docs, model).where("kept").select(*docs.columns)
+    rows = docs.select(F.struct(*docs.columns).alias("row"))
+    return score_quality(rows, model, text_col="row.text").where("kept").select("row.*")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of every near-duplicate group: the one with the smallest doc_id (nulls last), whatever rows share that id.
 
     Texts without words are in no group; of those one row stays for each doc_id and text, a null being a
-    value of its own. Of rows with one doc_id and text the one with the smallest hash of its columns stays.
+    value of its own. Of rows with one doc_id and text the one whose columns, in order, are smallest stays.
     """
     found = near_duplicates(docs, shingle=5, percent=80, groups=True)
     least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash"))
     kept = found.where("group IS NOT NULL").groupBy("group").agg(least.alias("r")).select("r.doc_id", "r.text_hash")
     kept = kept.union(found.where("group IS NULL").select("doc_id", "text_hash").distinct())
-    key = lambda text_hash: F.xxhash64(F.col("doc_id").isNull(), "doc_id", text_hash)
-    rows = docs.withColumn("_hash", F.xxhash64("text")).withColumn("_key", key("_hash"))
-    rows = rows.join(kept.select(key("text_hash").alias("_key"), F.col("text_hash").alias("_hash")), ["_key", "_hash"], "left_semi")
-    alike = Window.partitionBy("_key", "_hash").orderBy(F.xxhash64(*docs.columns))
-    return rows.withColumn("_n", F.row_number().over(alike)).where("_n = 1").select(*docs.columns)
+    key, text_hash, row = unused(docs.columns, "key", "text_hash", "row")
+    keyed = lambda h: F.xxhash64(F.col("doc_id").isNull(), "doc_id", h)
+    kept = kept.select(keyed("text_hash").alias(key), F.col("text_hash").alias(text_hash))
+    # Rows with one doc_id and text are folded before they are shuffled.
+    rows = docs.select(F.struct(*docs.columns).alias(row), keyed(F.xxhash64("text")).alias(key), F.xxhash64("text").alias(text_hash))
+    rows = rows.groupBy(key, text_hash).agg(F.min(row).alias(row))
+    return rows.join(kept, [key, text_hash], "left_semi").select(f"{row}.*")
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with their secrets masked and n_chars made anew where the text changed."""
+    """All rows, with their secrets masked and n_chars made anew (null for null texts). A null source is one owner."""
     clean = redact_secrets(docs, repository=F.concat_ws("/", "source", "lang"), owner=F.col("source"))
     return clean.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents replicated or left out so that every source has an equal share of the text."""
+    """Rows replicated or left out so that every source, null among them, has an equal share of the text."""
     return mix_sources(docs).select(*docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents, packed into sequences of at most 2048 tokens."""
+    """Pieces of all rows, packed into sequences of at most 2048 tokens; a null or empty text is one separator."""
     return pack_documents(docs, tokenizer("word_bpe_49k.json"))
 
 
