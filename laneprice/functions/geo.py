@@ -37,10 +37,15 @@ def destination(lat, lon, course: Column, distance_mi: Column) -> tuple[Column,
     return F.degrees(out), F.degrees(F.radians(lon) + turn)
 
 
-def segment_km(lat, lon, lat1, lon1, lat2, lon2) -> Column:
-    """Distance from a point to a segment on the plane that is flat at the point."""
+def turned(degrees: Column) -> Column:
+    """A difference of longitudes, from -180 to 180."""
+    return F.when(F.abs(degrees) <= 180, degrees).otherwise(F.pmod(degrees + 180, F.lit(360.0)) - 180)
+
+
+def segment_km(lat, lon, lat1, lon1, lat2, lon2, degree_km: float = 110.574) -> Column:
+    """Distance from a point to a segment on the plane that is flat at the point; longitudes go round the globe."""
     k = F.cos(F.radians(lat)) * 111.32
-    x1, y1, x2, y2 = (F.col(lon1) - F.col(lon)) * k, (F.col(lat1) - F.col(lat)) * 110.574, (F.col(lon2) - F.col(lon)) * k, (F.col(lat2) - F.col(lat)) * 110.574
+    x1, y1, x2, y2 = turned(F.col(lon1) - F.col(lon)) * k, (F.col(lat1) - F.col(lat)) * degree_km, turned(F.col(lon2) - F.col(lon)) * k, (F.col(lat2) - F.col(lat)) * degree_km
     dx, dy = x2 - x1, y2 - y1
     size = dx * dx + dy * dy
     t = F.when(size == 0, 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), -(x1 * dx + y1 * dy) / size)))

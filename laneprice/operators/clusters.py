@@ -158,16 +158,14 @@ def road_nodes(lines: DataFrame) -> DataFrame:
 def snap(points: DataFrame, nodes: DataFrame, few: int = 10) -> DataFrame:
     """id, node: the node nearest to each point (id, lat, lon), the smaller of two, in a component of few nodes or of as many as the largest has.
 
-    Points meet nodes in grid cells of growing size; those far from all nodes, or near a pole or the
-    180th meridian, meet every node.
+    Points meet nodes in grid cells of growing size; those far from all nodes meet every node.
     """
     big = nodes.agg(F.max("size").alias("_big"))  # one row
     sites = cut(nodes.crossJoin(F.broadcast(big)).where(F.col("size") >= F.least(F.lit(few), F.col("_big"))).select(F.col("node").alias("id"), "lat", "lon"))
     left = cut(points.where("lat IS NOT NULL AND lon IS NOT NULL").select("id", "lat", "lon"))
     found = []
     for radius in SNAP_M:
-        inner = left.where("abs(lat) <= 60 AND abs(lon) <= 150")
-        near = cut(distance_join(inner, sites, radius).groupBy("id_a").agg(F.min(F.struct("metres", "id_b"))["id_b"].alias("node")).withColumnRenamed("id_a", "id"))
+        near = cut(distance_join(left, sites, radius).groupBy("id_a").agg(F.min(F.struct("metres", "id_b"))["id_b"].alias("node")).withColumnRenamed("id_a", "id"))
         found.append(near)
         left = cut(left.join(near, "id", "left_anti"))
     far = left.crossJoin(sites.select(F.col("id").alias("node"), F.col("lat").alias("_lat"), F.col("lon").alias("_lon")))

@@ -41,30 +41,36 @@ def corridor_band(samples: DataFrame, width_mi: float) -> DataFrame:
     return rows.select("trip_id", "n", left[0].alias("left_lat"), left[1].alias("left_lon"), right[0].alias("right_lat"), right[1].alias("right_lon"))
 
 
-def _row_cells(lat1: str, lon1: str, lat2: str, lon2: str, size: float, pad: Column | float = 0.0) -> list[Column]:
-    rows = F.explode(F.sequence(F.floor((F.least(lat1, lat2) - pad) / size), F.floor((F.greatest(lat1, lat2) + pad) / size)))
-    return [rows]
-
-
-def covered_cells(lines: DataFrame, size: float, pad: float = 0.0) -> DataFrame:
+def covered_cells(lines: DataFrame, size: float, pad: Column | float = 0.0) -> DataFrame:
     """lines (lat1, lon1, lat2, lon2) once for every cell that they come near: per row of cells, only the columns that the line has there.
 
-    pad, in degrees, is how far from the line a cell still counts.
+    pad, in degrees, is how far from the line a cell still counts. Columns of cells go round the globe where
+    size divides 360.
     """
-    rows = lines.withColumn("cy", *_row_cells("lat1", "lon1", "lat2", "lon2", size, pad))
+    pad = F.lit(pad) if isinstance(pad, float) else pad
+    around = round(360 / size) if round(360 / size) * size == 360 else None
+    low_cell, high_cell = lambda a, b: F.floor((F.least(a, b) - pad) / size), lambda a, b: F.floor((F.greatest(a, b) + pad) / size)
+    rows = lines.withColumn("cy", F.explode(F.sequence(low_cell(F.col("lat1"), F.col("lat2")), high_cell(F.col("lat1"), F.col("lat2")))))
     low, high = F.col("cy") * size - pad, (F.col("cy") + 1) * size + pad
     rise = F.col("lat2") - F.col("lat1")
     at = lambda y: F.col("lon1") + (F.col("lon2") - F.col("lon1")) * F.greatest(F.lit(0.0), F.least(F.lit(1.0), (y - F.col("lat1")) / rise))
     x1, x2 = F.when(rise == 0, F.col("lon1")).otherwise(at(low)), F.when(rise == 0, F.col("lon2")).otherwise(at(high))
-    return rows.withColumn("cx", F.explode(F.sequence(F.floor((F.least(x1, x2) - pad) / size), F.floor((F.greatest(x1, x2) + pad) / size))))
+    first, last = low_cell(x1, x2), high_cell(x1, x2)
+    if around is None:
+        return rows.withColumn("cx", F.explode(F.sequence(first, last)))
+    columns = F.explode(F.sequence(first, F.least(last, first + around - 1)))  # once around at most
+    return rows.withColumn("cx", columns).withColumn("cx", F.pmod("cx", F.lit(around)))
 
 
-def nearest_line(points: DataFrame, lines: DataFrame, max_km: float, size: float = 1.0, max_lat: float = 60.0) -> DataFrame:
-    """id, line, km: the nearest line (line, lat1, lon1, lat2, lon2) within max_km; the later line on ties."""
-    import math
+def nearest_line(points: DataFrame, lines: DataFrame, max_km: float, size: float = 1.0) -> DataFrame:
+    """id, line, km: the nearest line (line, lat1, lon1, lat2, lon2) within max_km; the later line on ties.
 
-    pad = max_km / (111.0 * math.cos(math.radians(max_lat)))
-    at = points.withColumn("cy", F.floor(F.col("lat") / size)).withColumn("cx", F.floor(F.col("lon") / size)).select("id", "lat", "lon", "cy", "cx")
+    Cells reach as far as max_km is at a line's own latitude; beyond 89.5 degrees a line is met all around.
+    """
+    far = F.greatest(F.abs("lat1"), F.abs("lat2")) + max_km / 110.0
+    pad = F.when(far < 89.5, F.least(F.lit(180.0), max_km / (110.0 * F.cos(F.radians(far))))).otherwise(180.0)
+    around = F.lit(round(360 / size))
+    at = points.select("id", "lat", "lon", F.floor(F.col("lat") / size).alias("cy"), F.pmod(F.floor(F.col("lon") / size), around).alias("cx"))
     met = at.join(covered_cells(lines, size, pad), ["cy", "cx"])
     near = met.withColumn("km", geo.segment_km("lat", "lon", "lat1", "lon1", "lat2", "lon2")).where(F.col("km") <= max_km)
     return near.groupBy("id").agg(F.min(F.struct("km", (-F.col("line")).alias("_l"))).alias("b")).select("id", (-F.col("b._l")).alias("line"), F.col("b.km").alias("km"))

@@ -6,27 +6,41 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geo import haversine_m
+from .durable import cut
 
 #: Metres of a degree of latitude, rounded down so that cells reach far enough.
 DEGREE_M = 110_000.0
 
 
-def distance_join(a: DataFrame, b: DataFrame, radius_m: float, max_lat: float = 75.0, by: tuple[str, ...] = (), carry: tuple[str, ...] = ()) -> DataFrame:
-    """Pairs (id_a, id_b, metres) of points (id, lat, lon) within radius_m of each other.
+#: Edges (about 60 bytes each) that may be broadcast to points; more are met in salted parts of a row of cells.
+BROADCAST_EDGES, SALTS = 200_000, 32
 
-    Points of a fall into one grid cell, points of b into it and its neighbours; cells are as wide as the
-    radius at max_lat, the farthest latitude for which the join is whole. Columns in by must be equal;
-    columns in carry follow as name_a and name_b.
-    """
-    import math
 
-    tall, wide = radius_m / DEGREE_M, radius_m / (DEGREE_M * math.cos(math.radians(max_lat)))
-    cell = lambda x, size: F.floor(F.col(x) / size)
+def distance_join(a: DataFrame, b: DataFrame, radius_m: float, by: tuple[str, ...] = (), carry: tuple[str, ...] = ()) -> DataFrame:
+    """Pairs (id_a, id_b, metres) of points (id, lat, lon) within radius_m of each other, anywhere on the globe.
+
+    Points of a fall into one grid cell, points of b into it and its neighbours. Cells are a radius tall; a row
+    has as many around the globe as are a radius wide at its far side, one near the poles. Columns in by must
+    be equal; columns in carry follow as name_a and name_b.
+    """
+    tall = radius_m / DEGREE_M
     near = F.array(F.lit(-1), F.lit(0), F.lit(1))
     side = lambda df, s: df.select(*by, *(F.col(c).alias(f"{c}_{s}") for c in ("id", "lat", "lon", *carry)))
-    left = side(a, "a").withColumn("y", cell("lat_a", tall)).withColumn("x", cell("lon_a", wide))
-    right = side(b, "b").withColumn("y", F.explode(F.transform(near, lambda d: cell("lat_b", tall) + d)))
-    right = right.withColumn("x", F.explode(F.transform(near, lambda d: cell("lon_b", wide) + d)))
+
+    def columns(y: Column) -> Column:
+        """How many cells the row y has; one where they would be wider than 20 degrees."""
+        far = F.least(F.lit(90.0), (F.greatest(F.abs(y), F.abs(y + 1)) + 1) * tall)
+        wide = tall / F.cos(F.radians(far))
+        return F.when((wide > 0) & (wide < 20), F.floor(360 / wide)).otherwise(1).cast("long")
+
+    def column(lon: str, n: Column) -> Column:
+        return F.least(F.floor(F.pmod(F.col(lon) + 180, F.lit(360.0)) / 360 * n), n - 1)
+
+    left = side(a, "a").withColumn("y", F.floor(F.col("lat_a") / tall))
+    left = left.withColumn("x", column("lon_a", columns(F.col("y"))))
+    right = side(b, "b").withColumn("y", F.explode(F.transform(near, lambda d: F.floor(F.col("lat_b") / tall) + d)))
+    n = columns(F.col("y"))
+    right = right.withColumn("x", F.explode(F.array_distinct(F.transform(near, lambda d: F.pmod(column("lon_b", n) + d, n)))))
     metres = haversine_m("lat_a", "lon_a", "lat_b", "lon_b")
     kept = [f"{c}_{s}" for c in carry for s in "ab"]
     return left.join(right, [*by, "y", "x"]).select(*by, "id_a", "id_b", *kept, metres.alias("metres")).where(F.col("metres") <= radius_m)
@@ -41,16 +55,34 @@ def locate(points: DataFrame, edges: DataFrame, size: float = 1.0) -> DataFrame:
     """id, code: the polygon with the smallest code that holds the point: inside its outer ring and in no hole.
 
     A ray to the east crosses a ring an odd number of times; edges are found by the row of cells they
-    cross. Points in no polygon are left out.
+    cross. Few edges are broadcast, so points stay where they are; with more, the points of a row are dealt
+    into SALTS parts. Points in no polygon are left out. Edges may have poly, the polygon of the code they belong to.
     """
+    covered = cover_with_cells(edges if "poly" in edges.columns else edges.withColumn("poly", F.lit(0)), size)
     rays = points.select("id", "lat", "lon", F.floor(F.col("lat") / size).alias("cell_y"))
-    met = rays.join(cover_with_cells(edges, size), "cell_y")
+    if covered.count() <= BROADCAST_EDGES:
+        met = rays.join(F.broadcast(covered), "cell_y")
+    else:
+        salted = covered.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        met = rays.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")).join(salted, ["cell_y", "salt"])
     crosses = ((F.col("y1") > F.col("lat")) != (F.col("y2") > F.col("lat"))) & (F.col("lon") < (F.col("x2") - F.col("x1")) * (F.col("lat") - F.col("y1")) / (F.col("y2") - F.col("y1")) + F.col("x1"))
-    odd = met.where(crosses).groupBy("id", "code", "ring", "is_hole").agg((F.count("*") % 2 == 1).alias("inside")).where("inside")
-    held = odd.groupBy("id", "code").agg(F.bool_or(~F.col("is_hole")).alias("outer"), F.bool_or("is_hole").alias("hole"))
+    odd = met.where(crosses).groupBy("id", "code", "poly", "ring", "is_hole").agg((F.count("*") % 2 == 1).alias("inside")).where("inside")
+    held = odd.groupBy("id", "code", "poly").agg(F.bool_or(~F.col("is_hole")).alias("outer"), F.bool_or("is_hole").alias("hole"))
     return held.where(F.col("outer") & ~F.col("hole")).groupBy("id").agg(F.min("code").alias("code"))
 
 
+def locate_near(points: DataFrame, edges: DataFrame, tolerance_km: float, size: float = 1.0) -> DataFrame:
+    """id, code as locate() gives it; points in no polygon take that of the first of eight probes tolerance_km away: N, S, E, W, NE, NW, SE, SW."""
+    inside = cut(locate(points, edges, size))
+    missed = points.join(inside, "id", "left_anti").select("id", "lat", "lon")
+    up, right = F.lit(tolerance_km / 110.57), tolerance_km / (111.32 * F.cos(F.radians("lat")))
+    ways = ((1, 0), (-1, 0), (0, 1), (0, -1), (1, 1), (1, -1), (-1, 1), (-1, -1))
+    probes = F.array(*(F.struct(F.lit(k).alias("k"), (F.col("lat") + up * y).alias("lat"), (F.col("lon") + right * x).alias("lon")) for k, (y, x) in enumerate(ways)))
+    tried = missed.select("id", F.explode(probes).alias("p")).select(F.struct("id", "p.k").alias("id"), "p.lat", "p.lon")
+    found = locate(tried, edges, size).groupBy(F.col("id.id").alias("id")).agg(F.min_by("code", F.col("id.k")).alias("code"))
+    return inside.unionByName(found)
+
+
 def coverage_share(official: DataFrame, known: DataFrame, group: str, radius_m: float) -> DataFrame:
     """Per group and in all (group null): official points, those with a known point near, and their share to 3 decimals."""
     matched = distance_join(official, known, radius_m).select(F.col("id_a").alias("id")).distinct().withColumn("hit", F.lit(1))

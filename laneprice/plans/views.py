@@ -7,6 +7,19 @@ from pyspark.sql import functions as F
 
 #: First words of the invented names of pins.
 WORDS = ("Weigh station EB", "Scale WB and EB,", "Port of Entry NB", "DOT inspection  southbound", "TA", "Perto", "Love’s shop", "Speedco", "Lube zone", "Pro Fleet", "tire scale", "Tarps", "the yard", "toll road", "driver only", "towing", "glass", "Parking", "truck repair", "Smith LLC", "UT 84083 weigh", "$5 wash", "call 555-123-4567", "весы", "")
+#: Names, operators and one further tag of the invented mapped objects, by turns.
+OBJECTS = (
+    ("CAT Scale 12", "", "amenity", "weighbridge"), ("Peace Bridge Customs", "", "amenity", "weighbridge"), ("New Mexico Port of Entry", "New Mexico DOT", "", ""), ("Tijuana Mexico lane", "", "", ""),
+    ("Ag check", "Department of Agriculture", "", ""), ("Smog check", "", "amenity", "vehicle_inspection"), ("DMV Weigh Station", "Virginia DMV", "amenity", "weighbridge"), ("Old Weigh Station", "", "", ""),
+    ("Weigh Station", "", "disused:amenity", "weighbridge"), ("Weigh Station", "", "highway", "residential"), ("Scale House Rd", "", "", ""), ("Weigh Station", "", "railway", "station"), ("Weigh Station", "", "amenity", "fuel"),
+    ("Grain Elevator Scale", "", "amenity", "weighbridge"), ("Truck Scales", "", "access", "private"), ("Scale 7", "", "amenity", "weighbridge"), ("Fremont Weigh Station", "", "amenity", "weighbridge"), ("Eastbound", "", "service", "weigh_station"),
+    ("Motor Carrier Services", "", "", ""), ("BRAZIL Inspection Station", "", "", ""), ("Wayne Inspection Station", "", "", ""), ("I-80 Truck Scales", "", "", ""), ("Truck Scales", "", "brand", "One9"), ("Scale", "State Patrol", "", ""),
+    ("", "", "brand:wikidata", "Q1872496"), ("AMBEST stop", "", "brand:wikidata", "Q7835892"), ("Port of Entry", "", "", ""), ("Weigh area", "", "barrier", "border_control"),
+)
+_OBJECTS = ", ".join("{" + ", ".join(f"'{k}': '{v}'" for k, v in zip(("name", "operator", "k", "v"), o)) + "}" for o in OBJECTS)
+#: Names of the invented towns, and what is typed for them.
+TOWNS = ("Dallas", "Saint Charles", "St. Charles", "New York City", "Rocky Mount", "West New York", "Plant City", "Plantation", "Wyoming", "Fort Worth", "Ab-Ville", "O'Fallon", "Springfield", "Salem")
+TYPED = ("Dallas", "st charles", "New York", "rocky mount", "west new york", "Plant", "wyoming", "Fort Worth,", "ab ville", "OFallon", "Spring", "salem", "nowhere", "", "dal")
 _LIST = ", ".join(f"'{w}'" for w in WORDS)
 
 VIEWS = f"""
@@ -23,6 +36,12 @@ v_point AS (SELECT p_partkey AS id, p_brand AS brand, p_name AS name,
   -124 + ((p_partkey % 400) * 91 % 5700) / 100.0::DOUBLE + ((p_partkey * 17) % 11) * 0.0005::DOUBLE AS lon FROM part),
 v_cell AS (SELECT n_nationkey AS code, 25 + 4.8::DOUBLE * (n_nationkey // 5) AS lat0, -124 + 11.4::DOUBLE * (n_nationkey % 5) AS lon0 FROM nation),
 v_pin AS (SELECT id, CASE WHEN id % 25 = 24 AND id % 3 > 0 THEN NULL ELSE trim(([{_LIST}])[1 + id % 25] || CASE WHEN id % 25 < 24 THEN ' ' || name ELSE '' END) END AS name, lat, lon FROM v_point),
+v_object AS (SELECT id, ([{_OBJECTS}])[1 + id % {len(OBJECTS)}] AS o, lat, lon FROM v_point),
+v_town AS (SELECT c_custkey AS ord, ([{", ".join("'" + t.replace("'", "''") + "'" for t in TOWNS)}])[1 + c_custkey % {len(TOWNS)}] || CASE WHEN c_custkey % 3 = 0 THEN '' ELSE ' ' || (c_custkey // {len(TOWNS)} % 40)::VARCHAR END AS name,
+  chr((97 + c_custkey % 5)::INTEGER) || chr((97 + c_custkey // 5 % 5)::INTEGER) AS state, 25 + c_custkey % 25 AS lat, -124 + c_custkey % 57 AS lon FROM customer),
+v_typed AS (SELECT o_orderkey AS qid, ([{", ".join("'" + t.replace("'", "''") + "'" for t in TYPED)}])[1 + o_orderkey % {len(TYPED)}] || CASE o_orderkey // 15 % 5 WHEN 0 THEN '' WHEN 1 THEN ', a' || chr((97 + o_orderkey // 75 % 5)::INTEGER)
+  WHEN 2 THEN ' north land ' || chr((97 + o_orderkey // 75 % 5)::INTEGER) WHEN 3 THEN ' b' || chr((97 + o_orderkey // 75 % 5)::INTEGER) ELSE ' land ' || chr((97 + o_orderkey // 75 % 5)::INTEGER) END AS q FROM orders),
+v_code AS (SELECT chr((97 + n_nationkey // 5)::INTEGER) || chr((97 + n_nationkey % 5)::INTEGER) AS code, CASE WHEN n_nationkey < 5 THEN 'North Land ' || chr((97 + n_nationkey)::INTEGER) ELSE 'Land ' || chr((97 + n_nationkey - 5)::INTEGER) END AS name FROM nation WHERE n_nationkey < 10),
 v_near AS (SELECT a.code, b.code AS mate FROM v_cell a JOIN v_cell b ON abs(a.code // 5 - b.code // 5) + abs(a.code % 5 - b.code % 5) = 1),
 v_trip AS (SELECT s_suppkey AS trip_id, 25 + ((s_suppkey * 7 % 400) * 37 % 2400) / 100.0::DOUBLE AS lat1, -124 + ((s_suppkey * 7 % 400) * 91 % 5700) / 100.0::DOUBLE AS lon1,
   25 + (((s_suppkey * 13 + 13) % 400) * 37 % 2400) / 100.0::DOUBLE AS lat2, -124 + (((s_suppkey * 13 + 13) % 400) * 91 % 5700) / 100.0::DOUBLE AS lon2 FROM supplier)
@@ -86,3 +105,34 @@ def trips(spark: SparkSession, sf_dir: str) -> DataFrame:
     a, b = "(s_suppkey * 7 % 400)", "((s_suppkey * 13 + 13) % 400)"
     end = lambda k, n: (f"25 + ({k} * 37 % 2400) / 100D AS lat{n}", f"-124 + ({k} * 91 % 5700) / 100D AS lon{n}")
     return _t(spark, sf_dir, "supplier").selectExpr("s_suppkey AS trip_id", *end(a, 1), *end(b, 2))
+
+
+def objects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """id, lat, lon, tags: invented mapped objects at the points."""
+    made = F.array(*(F.map_from_arrays(F.array(*(F.lit(k) for k, _ in own)), F.array(*(F.lit(v) for _, v in own))) for own in ([(k, v) for k, v in (("name", n), ("operator", o), (k, v)) if k and v] for n, o, k, v in OBJECTS)))
+    return points(spark, sf_dir).select("id", "lat", "lon", F.element_at(made, (F.col("id") % len(OBJECTS) + 1).cast("int")).alias("tags"))
+
+
+def towns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ord, name, state, lat, lon of invented towns, in a list's order."""
+    k = F.col("c_custkey")
+    first = F.element_at(F.array(*(F.lit(t) for t in TOWNS)), (k % len(TOWNS) + 1).cast("int"))
+    name = F.when(k % 3 == 0, first).otherwise(F.concat(first, F.lit(" "), F.expr(f"cast(c_custkey div {len(TOWNS)} % 40 AS string)")))
+    state = F.concat(F.char(97 + k % 5), F.char(97 + F.expr("c_custkey div 5 % 5")))
+    return _t(spark, sf_dir, "customer").select(k.alias("ord"), name.alias("name"), state.alias("state"), (25 + k % 25).alias("lat"), (-124 + k % 57).alias("lon"))
+
+
+def typed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """qid, q: places as they might be typed."""
+    k, letter = F.col("o_orderkey"), F.char(97 + F.expr("o_orderkey div 75 % 5"))
+    first, turn = F.element_at(F.array(*(F.lit(t) for t in TYPED)), (k % len(TYPED) + 1).cast("int")), F.expr("o_orderkey div 15 % 5")
+    tails = [(1, ", a"), (2, " north land "), (3, " b"), (4, " land ")]
+    tail = F.coalesce(*(F.when(turn == n, F.concat(F.lit(t), letter)) for n, t in tails), F.lit(""))
+    return _t(spark, sf_dir, "orders").select(k.alias("qid"), F.concat(first, tail).alias("q"))
+
+
+def codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """code, name of ten invented states."""
+    k = F.col("n_nationkey")
+    name = F.when(k < 5, F.concat(F.lit("North Land "), F.char(97 + k))).otherwise(F.concat(F.lit("Land "), F.char(97 + k - 5)))
+    return _t(spark, sf_dir, "nation").where("n_nationkey < 10").select(F.concat(F.char(97 + F.expr("n_nationkey div 5")), F.char(97 + k % 5)).alias("code"), name.alias("name"))
