@@ -6,12 +6,15 @@ over the homes, whose texts are shuffled once, exchange only packed hashes and b
 1. Anchors. Non-overlapping reference blocks of (min_words + 1) // 2 words are indexed and every
    rolling window of that length probes them. Any run of min_words words holds a whole block, so
    both ends of an exact repeat contain a block that hits.
-2. Extension. Only runs of min_words words around a hit go on; the hash of the whole run decides
-   whether it starts anywhere else. Adjoining repeated runs make up the maximal exact repeats.
+2. Extension. Only runs of min_words words around a hit go on; 128 bits of two hashes of the whole run,
+   formed over different word hashes, decide whether it starts anywhere else. Adjoining repeated runs make
+   up the maximal exact repeats.
 3. Removal. Words under a maximal repeat go.
 
 A home sends each distinct hash once, whatever its number of copies, so a passage that a third of
-all documents share costs one entry per home and no pairs are ever formed.
+all documents share costs one entry per home and no pairs are ever formed. There are as many buckets as
+the text needs at BUCKET_BYTES each. Rows that repeat in id and text often are folded into one that
+counts double, so they don't meet in one home.
 """
 
 from __future__ import annotations
@@ -25,12 +28,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textops
-from .shared import total_bytes
+from .shared import cut, repeated, unused
 
 #: Text of a home, and text behind one bucket of hashes.
-HOME_BYTES, BUCKET_BYTES = 8 << 20, 4 << 20
-#: A home's rows hold so many hashes at least, on average.
-LEAST_HASHES = 64
+HOME_BYTES, BUCKET_BYTES = 8 << 20, 16 << 20
+#: Rows equal in id and text are folded if there are more than this; so many kinds of such rows may be broadcast.
+HOT_COPIES, BROADCAST_KINDS = 1000, 200_000
 
 _PACKED = "bucket long, home long, width int, hashes binary, flags binary"
 _REPLY = "home long, bucket long, bits binary"
@@ -53,33 +56,47 @@ def _flags(bits: bytes, n: int) -> np.ndarray:
     return np.unpackbits(np.frombuffer(bits, np.uint8), count=n).astype(bool)
 
 
+def _distinct(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For pairs: where one of each kind is, in order, and the kind of each pair."""
+    order = np.lexsort((b, a))
+    edge = np.ones(len(order), dtype=bool)
+    edge[1:] = (np.diff(a[order]) != 0) | (np.diff(b[order]) != 0)
+    which = np.empty(len(order), dtype=np.int64)
+    which[order] = np.cumsum(edge) - 1
+    return order[edge], which
+
+
 class _Home:
     """Words and hashes of the documents of one home, chunk by chunk."""
 
-    def __init__(self, texts: pa.ChunkedArray, min_words: int, buckets: int):
+    def __init__(self, texts: pa.Table, min_words: int, buckets: int):
         self.min_words, self.block, self.buckets = min_words, (min_words + 1) // 2, np.uint64(buckets)
-        data, offsets = textops.utf8_column(texts)
+        data, offsets = textops.utf8_column(texts["text"])
+        twice = 1 + (texts["times"].to_numpy() > 1)  # what a document's windows count
+        self.twice = [twice[i:j] for i, j in textops.chunks(offsets)]
         self.parts = [textops.words(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]) for i, j in textops.chunks(offsets)]
         self.hashes = [textops.word_hashes(w) for w in self.parts]
 
     def anchors(self):
         """Distinct probe keys in order, which are repeated here, which are of reference blocks, and each probe's key."""
-        at, keys, aligned = [], [], []
-        for w, h in zip(self.parts, self.hashes, strict=True):
+        at, keys, aligned, weight = [], [], [], []
+        for w, h, twice in zip(self.parts, self.hashes, self.twice, strict=True):
             here, grams = textops.gram_hashes(h, w, self.block)
+            docs = w.docs[here]
             at.append(here)
             keys.append(((grams >> np.uint64(32)) % self.buckets << np.uint64(32)) | (grams & np.uint64(0xFFFFFFFF)))
-            aligned.append((here - w.first[w.docs[here]]) % self.block == 0)
+            aligned.append((here - w.first[docs]) % self.block == 0)
+            weight.append(twice[docs])
         self.at = at
-        found, which, counts = np.unique(np.concatenate(keys), return_inverse=True, return_counts=True)
+        found, which = np.unique(np.concatenate(keys), return_inverse=True)
         reference = np.zeros(len(found), dtype=bool)
         reference[which[np.concatenate(aligned)]] = True
-        return found, counts > 1, reference, which
+        return found, np.bincount(which, weights=np.concatenate(weight), minlength=len(found)) > 1, reference, which
 
     def runs(self, hits: np.ndarray):
-        """Runs of min_words words with a hit inside: positions by chunk, distinct hashes by bucket, repeated or not, each run's hash."""
-        at, hashes, seen = [], [], 0
-        for w, h, here in zip(self.parts, self.hashes, self.at, strict=True):
+        """Runs of min_words words with a hit inside: positions by chunk, distinct hash pairs by bucket, repeated or not, each run's pair."""
+        at, hashes, others, weight, seen = [], [], [], [], 0
+        for w, h, here, twice in zip(self.parts, self.hashes, self.at, self.twice, strict=True):
             before = np.zeros(len(h) + 1, dtype=np.int64)
             before[1:][here] = hits[seen : seen + len(here)]
             np.cumsum(before, out=before)
@@ -88,18 +105,22 @@ class _Home:
             near = before[start + self.min_words - self.block + 1] > before[start]
             at.append(start[near])
             hashes.append(grams[near])
-        found, which, counts = np.unique(np.concatenate(hashes), return_inverse=True, return_counts=True)
-        bucket = found >> np.uint64(32)
-        order = np.argsort(bucket % self.buckets, kind="stable")
+            weight.append(twice[w.docs[start[near]]])
+            if near.any():
+                others.append(textops.gram_hashes(textops.word_hashes(w, values=textops.OTHER_VALUES), w, self.min_words)[1][near])
+        pairs = np.stack((np.concatenate(hashes), np.concatenate([*others, np.zeros(0, np.uint64)])), axis=1)
+        one, which = _distinct(pairs[:, 0], pairs[:, 1])
+        counts = np.bincount(which, weights=np.concatenate(weight), minlength=len(one))
+        order = np.argsort((pairs[one, 0] >> np.uint64(32)) % self.buckets, kind="stable")
         place = np.empty_like(order)
         place[order] = np.arange(len(order))
-        return at, found[order], counts[order] > 1, place[which]
+        return at, pairs[one[order]], counts[order] > 1, place[which]
 
 
 def _by_bucket(home: int, bucket: np.ndarray, hashes: np.ndarray, *flags: np.ndarray) -> list[tuple]:
     """One row for each bucket that has hashes; bucket is sorted."""
     cuts = np.flatnonzero(np.diff(bucket, prepend=bucket[:1] ^ np.uint64(1))) if len(bucket) else []
-    return [(int(bucket[i]), home, hashes.dtype.itemsize, hashes[i:j].tobytes(), b"".join(_bits(f[i:j]) for f in flags)) for i, j in zip(cuts, [*cuts[1:], len(bucket)], strict=True)]
+    return [(int(bucket[i]), home, hashes[i].nbytes, hashes[i:j].tobytes(), b"".join(_bits(f[i:j]) for f in flags)) for i, j in zip(cuts, [*cuts[1:], len(bucket)], strict=True)]
 
 
 def _whole(replies: pa.Table, hashes: np.ndarray, bucket: np.ndarray) -> np.ndarray:
@@ -111,12 +132,15 @@ def _whole(replies: pa.Table, hashes: np.ndarray, bucket: np.ndarray) -> np.ndar
 
 def _repeated(table: pa.Table) -> pa.Table:
     """For one bucket: which hashes of each home have a reference block and occur twice or more in all."""
-    rows = [(h, w, np.frombuffer(x, f"<u{w}"), f) for h, w, x, f in zip(*(table[c].to_pylist() for c in ("home", "width", "hashes", "flags")), strict=True)]
-    sizes = [len(x) for _, _, x, _ in rows]
+    rows = list(zip(*(table[c].to_pylist() for c in ("home", "width", "hashes", "flags")), strict=True))
+    sizes = [len(x) // w for _, w, x, _ in rows]
     half = [(n + 7) // 8 for n in sizes]
     many = np.concatenate([_flags(f[:k], n) for (_, _, _, f), k, n in zip(rows, half, sizes, strict=True)])
     reference = np.concatenate([_flags(f[k:], n) for (_, _, _, f), k, n in zip(rows, half, sizes, strict=True)])
-    _, which = np.unique(np.concatenate([x for _, _, x, _ in rows]), return_inverse=True)
+    if rows[0][1] == 4:
+        _, which = np.unique(np.concatenate([np.frombuffer(x, "<u4") for _, _, x, _ in rows]), return_inverse=True)
+    else:
+        _, which = _distinct(*np.concatenate([np.frombuffer(x, "<u8").reshape(-1, 2) for _, _, x, _ in rows]).T)
     indexed = np.zeros(which.max() + 1, dtype=bool)
     indexed[which[reference]] = True
     found = (indexed & (np.bincount(which, weights=1 + many) >= 2))[which]
@@ -147,13 +171,23 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     if min_words < 1:
         raise ValueError("min_words must be at least 1")
-    size = total_bytes(docs, text_col)
-    homes = max(1, math.ceil(size / home_bytes))
-    buckets = int(min(max(1, math.ceil(size / BUCKET_BYTES)), max(1, home_bytes // 6 // LEAST_HASHES)))
-    homed = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.pmod(F.xxhash64(id_col, text_col), F.lit(homes)).alias("home"))
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    kinds = rows.groupBy(F.xxhash64("id", "text").alias("kind")).agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("bytes"))
+    size, most = kinds.agg(F.coalesce(F.sum("bytes"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0))).first()
+    if most > HOT_COPIES:
+        hot = cut(kinds.where(F.col("n") > HOT_COPIES).select("kind"))
+        hot = F.broadcast(hot) if hot.count() <= BROADCAST_KINDS else hot
+        keyed = rows.withColumn("kind", F.xxhash64("id", "text"))
+        folded = keyed.join(hot, "kind", "left_semi").groupBy("id", "text").agg(F.count("*").alias("times"))
+        rows = keyed.join(hot, "kind", "left_anti").select("id", "text", F.lit(1).cast("long").alias("times")).union(folded)
+    else:
+        rows = rows.withColumn("times", F.lit(1).cast("long"))
+    homes, buckets = max(1, math.ceil(size / home_bytes)), max(1, math.ceil(size / BUCKET_BYTES))
+    homed = rows.withColumn("home", F.pmod(F.xxhash64("id", "text"), F.lit(homes)))
+    times, number = unused([id_col], "times", "number")
 
     def load(texts: pa.Table) -> _Home:
-        return _Home(texts["text"], min_words, buckets)
+        return _Home(texts, min_words, buckets)
 
     def probe(texts: pa.Table) -> pa.Table:
         keys, many, reference, _ = load(texts).anchors()
@@ -166,7 +200,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         keys, _, _, which = home.anchors()
         hits = _whole(replies, keys, keys >> np.uint64(32))
         _, hashes, many, _ = home.runs(hits[which])
-        rows = _by_bucket(own, (hashes >> np.uint64(32)) % home.buckets, hashes, many, np.ones(len(hashes), dtype=bool))
+        rows = _by_bucket(own, (hashes[:, 0] >> np.uint64(32)) % home.buckets, hashes, many, np.ones(len(hashes), dtype=bool))
         return _table([*rows, (_OWN - own, own, 0, _bits(hits), b"")], _PACKED)
 
     def settle(packed: pa.Table) -> pa.Table:
@@ -179,11 +213,11 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         keys, _, _, which = home.anchors()
         own = [b for k, b in zip(replies["bucket"].to_pylist(), replies["bits"].to_pylist(), strict=True) if k == _OWN]
         at, hashes, _, run = home.runs(_flags(own[0], len(keys))[which])
-        repeated = _whole(replies, hashes, (hashes >> np.uint64(32)) % home.buckets)[run]
+        again = _whole(replies, hashes, (hashes[:, 0] >> np.uint64(32)) % home.buckets)[run]
         seen, counts, removed, kept, spans = 0, [], [], [], []
         for w, here in zip(home.parts, at, strict=True):
             cover = np.zeros(len(w.starts) + 1, dtype=np.int64)
-            start = here[repeated[seen : seen + len(here)]]
+            start = here[again[seen : seen + len(here)]]
             seen += len(here)
             cover[start] += 1
             np.subtract.at(cover, start + min_words, 1)
@@ -203,12 +237,13 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 each[d].append({"start": a, "end": b})
             spans += each
         return pa.table(
-            [texts["id"].combine_chunks(), pa.array(np.concatenate(counts).astype(np.int64)), pa.array(np.concatenate(removed)), pa.array(kept, pa.string()), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))],
-            names=[id_col, "n_words", "n_removed", "kept_text", "removed_spans"],
+            [texts["id"].combine_chunks(), pa.array(np.concatenate(counts).astype(np.int64)), pa.array(np.concatenate(removed)), pa.array(kept, pa.string()), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), texts["times"]],
+            names=[id_col, "n_words", "n_removed", "kept_text", "removed_spans", times],
         )
 
-    out = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), *T._parse_datatype_string("n_words long, n_removed long, kept_text string, removed_spans array<struct<start:long,end:long>>").fields])
+    out = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), *T._parse_datatype_string(f"n_words long, n_removed long, kept_text string, removed_spans array<struct<start:long,end:long>>, {times} long").fields])
     by_home = homed.groupBy("home")
     anchors = by_home.applyInArrow(probe, _PACKED).groupBy("bucket").applyInArrow(_repeated, _REPLY)
     runs = by_home.cogroup(anchors.groupBy("home")).applyInArrow(extend, _PACKED).groupBy("bucket").applyInArrow(settle, _REPLY)
-    return by_home.cogroup(runs.groupBy("home")).applyInArrow(remove, out)
+    done = by_home.cogroup(runs.groupBy("home")).applyInArrow(remove, out)
+    return (repeated(done, times, number) if most > HOT_COPIES else done).select(id_col, "n_words", "n_removed", "kept_text", "removed_spans")

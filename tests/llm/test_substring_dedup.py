@@ -2,6 +2,7 @@ import random
 import re
 from collections import Counter
 
+from laneprice.llm import substring_dedup as substring
 from laneprice.llm.substring_dedup import substring_dedup
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -51,3 +52,18 @@ def test_empty_table_and_repeated_ids(spark):
     assert substring_dedup(df).collect() == []
     df = spark.createDataFrame([(None, "a b c"), (None, "a b c"), (1, None)], "doc_id long, text string")
     assert sorted((r.doc_id is None, r.n_removed) for r in substring_dedup(df, min_words=3).collect()) == [(False, 0), (True, 3), (True, 3)]
+
+
+def test_hot_rows_many_buckets_and_a_long_text(spark, monkeypatch):
+    monkeypatch.setattr(substring, "HOT_COPIES", 5)
+    monkeypatch.setattr(substring, "BUCKET_BYTES", 50)  # thousands of buckets, most of a home's rows hold one hash
+    rng = random.Random(7)
+    text = lambda n: " ".join(rng.choices([f"w{i}" for i in range(60)], k=n))
+    once, long = text(30), text(40_000)
+    texts = [text(30) for _ in range(50)] + [long] + [once] * 40
+    rows = [(min(i, 51), t) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for most in (200_000, 0):
+        monkeypatch.setattr(substring, "BROADCAST_KINDS", most)
+        got = sorted((r.doc_id, r.n_words, r.n_removed, r.kept_text) for r in substring_dedup(df, min_words=6, home_bytes=20_000).collect())
+        assert got == sorted((i, *x) for (i, _), x in zip(rows, brute(texts, 6)))
