@@ -53,3 +53,60 @@ def next_release(period: Column, expected: Column, stated: Column, today: Column
     """date, late: the stated date if it lies 8 days or more after the period, else the expected one."""
     date = F.when(F.datediff(stated, period) >= 8, stated).otherwise(expected)
     return F.struct(date.alias("date"), (date < today).alias("late"))
+
+
+def real_date(text: Column) -> Column:
+    """The date of a text like 2026-09-14; null for other shapes and for days that don't exist."""
+    return F.when(text.rlike(r"^\d{4}-\d{2}-\d{2}$"), F.try_to_date(text, "yyyy-MM-dd"))
+
+
+def short_date(day: Column) -> Column:
+    """Sep 14."""
+    return F.date_format(day, "MMM d")
+
+
+def full_date(day: Column) -> Column:
+    """Sep 14, 2026."""
+    return F.date_format(day, "MMM d, yyyy")
+
+
+def when(day: Column, reference: Column) -> Column:
+    """The short date, with its year where it isn't that of reference."""
+    return F.when(F.year(day) == F.year(reference), short_date(day)).otherwise(full_date(day))
+
+
+def weekday_date(day: Column) -> Column:
+    """Tuesday, Sep 22."""
+    return F.date_format(day, "EEEE, MMM d")
+
+
+def month_year(day: Column) -> Column:
+    """June 2022."""
+    return F.date_format(day, "MMMM yyyy")
+
+
+def month_tick(day: Column, with_year: bool = False) -> Column:
+    """Oct, or the year in January."""
+    return F.when((F.month(day) == 1) | F.lit(with_year), F.year(day).cast("string")).otherwise(F.date_format(day, "MMM"))
+
+
+def badge_date(day: Column) -> Column:
+    """9/17/26."""
+    return F.date_format(day, "M/d/yy")
+
+
+def day_in_new_york(at: Column) -> Column:
+    """The calendar day in New York of a UTC timestamp."""
+    return F.to_date(F.from_utc_timestamp(at, "America/New_York"))
+
+
+def epoch_day(milliseconds: Column) -> Column:
+    """The UTC day of milliseconds since 1970; null for null."""
+    return F.date_add(F.lit("1970-01-01").cast("date"), F.floor(milliseconds / 86_400_000).cast("int"))
+
+
+def release_version(copyright_text: Column, description: Column, name: str) -> tuple[Column, Column]:
+    """Version and day of compilation that a layer's texts tell of; null where they don't, or the day isn't one."""
+    version = F.nullif(F.regexp_extract(F.coalesce(copyright_text, F.lit("")), rf"{name} Version (\d{{4}}\.\d{{2}}\.\d{{2}})", 1), F.lit(""))
+    plain = F.regexp_replace(F.replace(F.replace(F.coalesce(description, F.lit("")), F.lit("&lt;"), F.lit("<")), F.lit("&gt;"), F.lit(">")), r"<[^>]+>", " ")
+    return version, F.try_to_date(F.regexp_extract(plain, r"compiled on ([A-Z][a-z]+ \d{1,2}, \d{4})", 1), "MMMM d, yyyy")

@@ -11,7 +11,7 @@ EARTH_M, EARTH_MI = 6_371_000.0, 3958.7613
 def _central(lat1, lon1, lat2, lon2) -> Column:
     a, b, c, d = (F.radians(x) for x in (lat1, lon1, lat2, lon2))
     h = F.pow(F.sin((c - a) / 2), 2) + F.cos(a) * F.cos(c) * F.pow(F.sin((d - b) / 2), 2)
-    return 2 * F.asin(F.least(F.lit(1.0), F.sqrt(h)))
+    return 2 * F.asin(F.when(h > 1, 1.0).otherwise(F.sqrt(h)))  # null for nulls
 
 
 def haversine_m(lat1, lon1, lat2, lon2) -> Column:

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geo import haversine_m, miles
@@ -18,15 +18,17 @@ from .spatial import distance_join
 SNAP_M = (20_000.0, 100_000.0, 500_000.0)
 
 
-def leaders_in_order(points: DataFrame, radius_m: float, by: tuple[str, ...], order: list[str], latest: bool = False) -> DataFrame:
+def leaders_in_order(points: DataFrame, radius_m: float, by: tuple[str, ...], order: list[str], latest: bool = False, near: Callable[[], Column] | None = None) -> DataFrame:
     """id, leader: what a pass in order makes that lets each point join an anchor within radius_m, or become one.
 
     Points (id, lat, lon and the columns of by and order; by and order must tell all points apart) join the
     first anchor in reach, or the latest. Only closer points decide about each other, so each round settles
-    every point whose earlier neighbours are settled; a round is one join and one aggregate.
+    every point whose earlier neighbours are settled; a round is one join and one aggregate. near, a
+    condition on lat_a, lon_a, lat_b and lon_b, narrows what counts as in reach.
     """
     rows = points.withColumn("_o", F.struct(*order, "id"))
-    pairs = distance_join(rows, rows, radius_m, by=by, carry=("_o",)).where("_o_b < _o_a")
+    pairs = distance_join(rows, rows, radius_m, by=by, carry=("_o", "lat", "lon")).where("_o_b < _o_a")
+    pairs = pairs if near is None else pairs.where(near())
     pairs = cut(pairs.select(F.col("id_a").alias("id"), F.col("id_b").alias("mate"), F.col("_o_b").alias("_o")))
     settled = cut(points.select("id").join(pairs.select("id").distinct(), "id", "left_anti").withColumn("leads", F.lit(True)))
     open_pairs = pairs.select("id", "mate")
@@ -59,18 +61,26 @@ def summarize(points: DataFrame, leaders: DataFrame, name: str, display: str | N
 def components(links: DataFrame) -> DataFrame:
     """node, component: the smallest node that can be reached over links (a, b); nodes without links are left out.
 
-    Each round every node takes the smallest label among its neighbours' and then the label of that label.
+    Each round a component hooks on its smallest neighbour in the order of the nodes' hashes and follows hooks once
+    more; edges inside a component go. The random order makes the rounds logarithmic whatever the numbering.
     """
-    edges = cut(links.where("a <> b").select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("e")).select("e.*").distinct())
-    labels = cut(edges.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("label")).withColumnRenamed("a", "node"))
-    while True:
-        near = edges.join(labels, F.col("b") == F.col("node")).groupBy("a").agg(F.min("label").alias("low"))
-        better = labels.join(near, F.col("node") == F.col("a")).select("node", F.least("label", "low").alias("to"), F.col("label").alias("was"))
-        jump = labels.select(F.col("node").alias("to"), F.col("label").alias("next"))
-        moved = cut(better.join(jump, "to", "left").select("node", F.least("to", F.coalesce("next", "to")).alias("label"), "was"))
-        labels = moved.select("node", "label")
-        if moved.where("label < was").isEmpty():
-            return labels.select("node", F.col("label").alias("component"))
+    place = lambda c: F.struct(F.xxhash64(c).alias("h"), F.col(c).alias("node"))
+    pair = lambda df: df.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    edges = cut(pair(links.where("a <> b").select(place("a").alias("a"), place("b").alias("b"))))
+    labels = cut(edges.select(F.explode(F.array("a", "b")).alias("label")).distinct().select(F.col("label.node").alias("node"), "label"))
+    while not edges.isEmpty():
+        # Written first: a join of written tables can be split where many hook on one.
+        hooks = cut(edges.groupBy("b").agg(F.min("a").alias("to")).withColumnRenamed("b", "from"))
+        again = hooks.select(F.col("from").alias("to"), F.col("to").alias("next"))
+        hooks = cut(hooks.join(again, "to", "left").select("from", F.coalesce("next", "to").alias("to")))
+
+        def moved(df: DataFrame, column: str) -> DataFrame:
+            return df.join(hooks.withColumnRenamed("from", column), column, "left").withColumn(column, F.coalesce("to", column)).drop("to")
+
+        labels = cut(moved(labels, "label"))
+        edges = cut(pair(moved(moved(edges, "a"), "b")))
+    least = cut(labels.groupBy("label").agg(F.min("node").alias("component")))
+    return labels.join(least, "label").select("node", "component")
 
 
 def _merge(group: pd.DataFrame) -> pd.DataFrame:
@@ -246,17 +256,29 @@ def route_trips(trips: DataFrame, lines: DataFrame, few: int = 10, steps: int =
 
 
 def simplify_batches(tolerance: float):
-    """For mapInPandas: thins each line (line, points array<struct<x, y>>) to the vertices farther than tolerance from the chord of their stretch; the ends stay."""
+    """For mapInPandas: thins each line (points array<struct<x, y>>); the ends stay, other columns pass through."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            batch["points"] = [_thin(np.array([(p["x"], p["y"]) for p in pts]), tolerance) for pts in batch["points"]]
+            batch["points"] = [_thin(pts, tolerance) for pts in batch["points"]]
             yield batch
 
     return run
 
 
-def _thin(xy: np.ndarray, tolerance: float) -> list[dict]:
+def _spaced(xy: list[tuple[float, float]], least: float) -> np.ndarray:
+    """The vertices that are least or more from the one kept before them, and the last one."""
+    kept, most = [xy[0]], least * least
+    for x, y in xy[1:-1]:
+        if (x - kept[-1][0]) ** 2 + (y - kept[-1][1]) ** 2 >= most:
+            kept.append((x, y))
+    return np.array([*kept, xy[-1]], dtype=float)
+
+
+def _thin(points, tolerance: float) -> list[dict] | None:
+    if points is None or len(points) < 3:
+        return points
+    xy = _spaced([(p["x"], p["y"]) for p in points], tolerance / 2)
     keep = np.zeros(len(xy), dtype=bool)
     keep[[0, -1]] = True
     todo = [(0, len(xy) - 1)]
@@ -276,5 +298,35 @@ def _thin(xy: np.ndarray, tolerance: float) -> list[dict]:
 
 
 def simplify_lines(lines: DataFrame, tolerance: float) -> DataFrame:
-    """lines (line long, points) with the vertices that matter at the tolerance; every line is thinned on its own."""
+    """lines (line long, points array<struct<x, y>>) with the vertices that matter at the tolerance; every line is thinned on its own.
+
+    Vertices nearer than half the tolerance to the one kept before go first; then those stay that are farther than
+    the tolerance from the chord of their stretch. Ends stay; null and empty lines and those of two vertices stay as they are.
+    """
+    if tolerance <= 0:
+        raise ValueError("tolerance must be positive")
     return lines.select("line", "points").mapInPandas(simplify_batches(tolerance), "line long, points array<struct<x:double,y:double>>")
+
+
+def quantize_lines(lines: DataFrame, tolerance: float, decimals: int) -> DataFrame:
+    """sign, line, points array<struct<x long, y long>>: lines (sign, line long, points) thinned and put on a grid.
+
+    Coordinates are rounded half even to decimals, vertices equal to the one before them go. A line of one grid point
+    goes, unless none of its sign is left: then that of those whose ends are farthest apart (ties to the larger first
+    vertex, then the smaller line) keeps its two ends, which are made one grid step apart. A null sign is a sign of its own.
+    """
+    from pyspark.sql import Window
+
+    scale = 10**decimals
+    thin = simplify_lines(lines, tolerance)
+    grid = F.transform("points", lambda p: F.struct(F.rint(p["x"] * scale).cast("long").alias("x"), F.rint(p["y"] * scale).cast("long").alias("y")))
+    once = lambda g: F.filter(g, lambda p, i: (i == 0) | (F.get(g, i - 1) != p))
+    placed = thin.withColumn("g", grid).select("line", once(F.col("g")).alias("g"))
+    begin, end = F.element_at("points", 1), F.element_at("points", -1)
+    apart = F.hypot(begin["x"] - end["x"], begin["y"] - end["y"])
+    rows = lines.where(F.size("points") > 0).select("sign", "line", F.struct(apart.alias("n"), begin.alias("p")).alias("n")).join(placed, "line")
+    whole = F.size("g") > 1
+    of_sign = Window.partitionBy("sign")
+    rows = rows.withColumn("any", F.max(whole).over(of_sign)).withColumn("first", F.row_number().over(of_sign.orderBy(F.desc("n"), "line")) == 1)
+    step = F.array(F.col("g")[0], F.struct((F.col("g")[0]["x"] + 1).alias("x"), F.col("g")[0]["y"].alias("y")))
+    return rows.where(whole | (~F.col("any") & F.col("first"))).select("sign", "line", F.when(whole, F.col("g")).otherwise(step).alias("points"))

@@ -25,7 +25,7 @@ def distance_join(a: DataFrame, b: DataFrame, radius_m: float, by: tuple[str, ..
     """
     tall = radius_m / DEGREE_M
     near = F.array(F.lit(-1), F.lit(0), F.lit(1))
-    side = lambda df, s: df.select(*by, *(F.col(c).alias(f"{c}_{s}") for c in ("id", "lat", "lon", *carry)))
+    side = lambda df, s: df.select(*by, *(F.col(c).alias(f"{c}_{s}") for c in dict.fromkeys(("id", "lat", "lon", *carry))))
 
     def columns(y: Column) -> Column:
         """How many cells the row y has; one where they would be wider than 20 degrees."""
