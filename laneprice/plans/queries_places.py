@@ -113,23 +113,32 @@ def geo07_components(spark, sf):
     return clusters.components(_near_pairs(spark, sf))
 
 
-@query(None)
+def _pass(by: str, order: str, metres: float, which: int) -> str:
+    """SQL of a pass in order: each point joins the first (1) or latest (-1) head within reach, or becomes one."""
+    far = "2 * 6371000.0::DOUBLE * asin(least(1.0, sqrt(pow(sin((radians(p.lat) - radians(h.lat)) / 2), 2) + cos(radians(h.lat)) * cos(radians(p.lat)) * pow(sin((radians(p.lon) - radians(h.lon)) / 2), 2))))"
+    return f""", o AS (SELECT id, lat, lon, {by} AS part, row_number() OVER (PARTITION BY {by} ORDER BY {order}, id) AS k FROM v_point),
+w AS (SELECT part, k, id, id AS leader, [{{'id': id, 'lat': lat, 'lon': lon}}] AS heads FROM o WHERE k = 1
+  UNION ALL SELECT part, k, id, coalesce(found, id), CASE WHEN found IS NULL THEN list_append(heads, {{'id': id, 'lat': lat, 'lon': lon}}) ELSE heads END
+  FROM (SELECT p.part, p.k, p.id, p.lat, p.lon, w.heads, list_filter(w.heads, lambda h: {far} <= {metres})[{which}].id AS found FROM w JOIN o p ON p.part = w.part AND p.k = w.k + 1))"""
+
+
+@query(f"{_pass('brand', 'lat, lon', 300, 1)} SELECT id, leader FROM w")
 def geo01_cluster_sites(spark, sf):
     return clusters.leaders_in_order(views.points(spark, sf), 300.0, ("brand",), ["lat", "lon"])
 
 
-@query(None)
+@query(f"{_pass('1', 'id % 3', 600, 1)} SELECT id, leader FROM w")
 def geo02_dedupe_ranked(spark, sf):
     p = views.points(spark, sf).withColumn("rank", F.col("id") % 3).withColumn("all", F.lit(1))
     return clusters.leaders_in_order(p, 600.0, ("all",), ["rank"])
 
 
-@query(None)
+@query(f"{_pass('brand', 'lat, lon', 150, -1)} SELECT id, leader FROM w")
 def geo03_near_dedupe(spark, sf):
     return clusters.leaders_in_order(views.points(spark, sf), 150.0, ("brand",), ["lat", "lon"], latest=True)
 
 
-@query(None)
+@query(f"{_pass('brand', 'lat, lon', 300, 1)} SELECT leader, round(avg(p.lat), 5) AS lat, round(avg(p.lon), 5) AS lon, arg_min(trim(p.name), row(p.lat, p.lon, p.id)) FILTER (trim(p.name) <> '') AS name, string_agg(p.id::VARCHAR, ',' ORDER BY p.lat, p.lon, p.id) AS members FROM w JOIN v_point p USING (id) GROUP BY leader")
 def agg09_cluster_summary(spark, sf):
     return clusters.summarize(views.points(spark, sf), geo01_cluster_sites(spark, sf), "name")
 

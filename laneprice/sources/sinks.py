@@ -10,40 +10,94 @@ from pyspark.sql import functions as F
 from ..operators.relations import content_equal, violations
 
 
-def _swap(spark: SparkSession, staged: str, path: str) -> None:
-    """Moves a written folder to its place; the old one goes only once the new one is whole."""
-    jvm = spark._jvm
-    target, source = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(staged)
-    fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
-    old = jvm.org.apache.hadoop.fs.Path(f"{path}.old-{uuid.uuid4().hex}")
-    had = fs.exists(target)
-    if had and not fs.rename(target, old):
-        raise OSError(f"could not set {path} aside")
-    if not fs.rename(source, target):
-        if had:
-            fs.rename(old, target)
-        raise OSError(f"could not move {staged} to {path}")
-    if had:
-        fs.delete(old, True)
+def _fs(spark: SparkSession, path: str):
+    """The file system of a path, and a function that makes paths."""
+    make = spark._jvm.org.apache.hadoop.fs.Path
+    return make(path).getFileSystem(spark._jsc.hadoopConfiguration()), make
+
+
+def _renamed(fs, source, target) -> bool:
+    """Whether a rename went well; some file systems raise where others say no."""
+    from py4j.protocol import Py4JJavaError
+
+    try:
+        return fs.rename(source, target)
+    except Py4JJavaError:
+        return False
+
+
+def recover(spark: SparkSession, path: str) -> None:
+    """Puts a folder back that was set aside by a swap that never ended; of several the one set aside last."""
+    fs, make = _fs(spark, path)
+    if fs.exists(make(path)) or not fs.exists(make(path).getParent()):
+        return
+    aside = sorted((x.getModificationTime(), x.getPath().toString()) for x in fs.listStatus(make(path).getParent()) if x.getPath().getName().startswith(f"{make(path).getName()}.old-"))
+    if aside and not _renamed(fs, make(aside[-1][1]), make(path)):
+        raise OSError(f"could not put {aside[-1][1]} back")
+
+
+def _swap(spark: SparkSession, staged: dict[str, str]) -> None:
+    """Moves written folders (target: staged) to their places, all or none; old ones go only once all new ones are there.
+
+    A crash in between leaves old folders aside, where recover() finds them.
+    """
+    done: list[tuple] = []
+    try:
+        for path, stage in staged.items():
+            fs, make = _fs(spark, path)
+            recover(spark, path)
+            old = make(f"{path}.old-{uuid.uuid4().hex}")
+            had = fs.exists(make(path))
+            if had and not _renamed(fs, make(path), old):
+                raise OSError(f"could not set {path} aside")
+            done.append((fs, make(path), old if had else None, False))
+            if not _renamed(fs, make(stage), make(path)):
+                raise OSError(f"could not move {stage} to {path}")
+            done[-1] = (*done[-1][:3], True)
+    except Exception:
+        for fs, target, old, moved in reversed(done):
+            if moved:
+                fs.delete(target, True)
+            if old is not None:
+                fs.rename(old, target)
+        raise
+    finally:
+        for path, stage in staged.items():
+            fs, make = _fs(spark, path)
+            fs.delete(make(stage), True)
+    for fs, _, old, _ in done:
+        if old is not None:
+            fs.delete(old, True)
 
 
 def exists(spark: SparkSession, path: str) -> bool:
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+    """Whether there is a folder, one that a broken swap had set aside included."""
+    recover(spark, path)
+    fs, make = _fs(spark, path)
+    return fs.exists(make(path))
 
 
 def write_validated(outputs: dict[str, tuple[DataFrame, dict[str, Column]]]) -> None:
-    """Writes every table (path: rows and rules) if no row of any breaks a rule; else nothing is written and the breaches are raised."""
-    staged = {}
-    for path, (rows, rules) in outputs.items():
-        broken = [r for r in violations(rows, rules).collect() if r["n"]]  # a row for each rule
-        if broken:
-            raise ValueError(f"{path}: " + ", ".join(f"{r['rule']} {r['n']}" for r in broken))
-    for path, (rows, _) in outputs.items():
-        staged[path] = f"{path}.new-{uuid.uuid4().hex}"
-        rows.write.parquet(staged[path])
-    for path, stage in staged.items():
-        _swap(rows.sparkSession, stage, path)
+    """Writes every table (path: rows and rules) if no row of any breaks a rule; else nothing is written and the breaches are raised.
+
+    Rows are written aside once, and what was written is judged and moved into place; on any failure nothing stays.
+    """
+    staged, spark = {}, None
+    try:
+        for path, (rows, _) in outputs.items():
+            spark = rows.sparkSession
+            staged[path] = f"{path}.new-{uuid.uuid4().hex}"
+            rows.write.parquet(staged[path])
+        for path, (rows, rules) in outputs.items():
+            written = spark.read.schema(rows.schema).parquet(staged[path])
+            broken = [r for r in violations(written, rules).collect() if r["n"]]  # a row for each rule
+            if broken:
+                raise ValueError(f"{path}: " + ", ".join(f"{r['rule']} {r['n']}" for r in broken))
+        _swap(spark, staged)
+    finally:
+        for stage in staged.values():
+            fs, make = _fs(spark, stage)
+            fs.delete(make(stage), True)
 
 
 def write_if_changed(rows: DataFrame, path: str, ignore: tuple[str, ...] = ()) -> bool:
@@ -55,7 +109,7 @@ def write_if_changed(rows: DataFrame, path: str, ignore: tuple[str, ...] = ()) -
             return False
     stage = f"{path}.new-{uuid.uuid4().hex}"
     rows.write.parquet(stage)
-    _swap(spark, stage, path)
+    _swap(spark, {path: stage})
     return True
 
 

@@ -53,3 +53,15 @@ def test_rejects(spark, tmp_path):
     rows = spark.createDataFrame([(2, "r", "n", "a"), (1, "q", "m", "b")], "row int, reason string, name string, address string")
     sinks.write_rejects(rows, str(tmp_path / "r"))
     assert [r["row"] for r in spark.read.option("header", True).csv(str(tmp_path / "r")).collect()] == ["1", "2"]
+
+
+def test_a_broken_swap_loses_nothing(spark, tmp_path):
+    path = str(tmp_path / "t")
+    sinks.write_if_changed(spark.range(3), path)
+    os.rename(path, path + ".old-1")  # as a crash between the renames leaves it
+    assert sinks.exists(spark, path) and spark.read.parquet(path).count() == 3
+    os.rename(path, path + ".old-2")
+    assert sinks.write_if_changed(spark.range(4), path) and spark.read.parquet(path).count() == 4
+    with pytest.raises(OSError):
+        sinks._swap(spark, {path: str(tmp_path / "missing")})
+    assert spark.read.parquet(path).count() == 4 and sorted(os.listdir(tmp_path)) == ["t"]
