@@ -18,7 +18,8 @@ def connected_components(links: DataFrame) -> DataFrame:
     edges = cut(links.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     labels = cut(edges.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("component", F.col("node")))
     while not edges.isEmpty():
-        hooks = edges.groupBy("b").agg(F.min("a").alias("to")).select(F.col("b").alias("from"), "to")
+        # Written first: many may hook on one, and a join of written tables can be split where an aggregate's can't.
+        hooks = cut(edges.groupBy("b").agg(F.min("a").alias("to")).select(F.col("b").alias("from"), "to"))
         again = hooks.select(F.col("from").alias("to"), F.col("to").alias("next"))
         hooks = cut(hooks.join(again, "to", "left").select("from", F.coalesce("next", "to").alias("to")))
 

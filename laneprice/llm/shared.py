@@ -62,18 +62,17 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df, computed once and kept in the shared folder: its lineage ends here and its readers share it."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def written(df: DataFrame, name: str) -> DataFrame:
-    """As cut(), in compressed Parquet: for tables with texts or many columns."""
+    """df, computed once and written to the shared folder: its lineage ends here and its readers share it."""
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def cut(df: DataFrame) -> DataFrame:
+    """As written(), for narrow tables; unlike a checkpoint it is computed once and has its real size in later plans."""
+    return written(df, "cut")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

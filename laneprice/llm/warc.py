@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import new_path
+from .shared import bounded_batches, new_path
 
 SEGMENT_BYTES, CHUNK_BYTES, RECORDS_PER_FILE = 32 << 10, 4 << 10, 1000
 #: Payloads that occur more than once whose (digest, page) may be broadcast; more are joined by shuffle.
@@ -102,7 +102,7 @@ def write_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "ur
                 yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["record"])
 
     path = new_path(pages.sparkSession, "warc")
-    lines = rows.mapInArrow(records, "record binary").select(F.col("record").cast("string").alias("value"))
+    lines = bounded_batches(rows).mapInArrow(records, "record binary").select(F.col("record").cast("string").alias("value"))
     lines.write.option("lineSep", _END.decode()).option("compression", "gzip").option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
     return path
 
@@ -211,4 +211,4 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
         return pa.Table.from_batches([_arrow([_decoded(first["origin"], first["page_id"], first["url"], first["payload_digest"], block, error)] * copies, _READ)])
 
     files = _archives(spark, path)
-    return files.mapInArrow(whole, _READ).union(files.mapInArrow(segments, _SEGMENT).groupBy("origin").applyInArrow(assemble, _READ))
+    return bounded_batches(files).mapInArrow(whole, _READ).union(files.mapInArrow(segments, _SEGMENT).groupBy("origin").applyInArrow(assemble, _READ))
