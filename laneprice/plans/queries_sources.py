@@ -140,3 +140,75 @@ def str03_freshness_stream(spark, sf):
     stream = fresh.writeStream.outputMode("complete").foreachBatch(lambda b, _: b.select("event_type", F.to_date("window.start").alias("day"), "n", F.col("newest").cast("timestamp_ntz").alias("newest")).write.mode("overwrite").parquet(out))
     stream.option("checkpointLocation", _path(spark, "stream")).trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(out)
+
+
+@query(" SELECT page_id, DATE '2026-01-05' AS as_of, c AS code, 3 + page_id % 9 / 10.0::DOUBLE AS price, NULL AS reject FROM pages, (VALUES ('OH'), ('TX')) v(c) WHERE page_id % 4 = 0 UNION ALL SELECT page_id, NULL, NULL, NULL, ['state twice', 'no single date', 'no rows'][page_id % 4] FROM pages WHERE page_id % 4 > 0")
+def src04_state_prices(spark, sf):
+    k = F.col("page_id") % 4
+    price = F.format_string("$3.%d00", F.col("page_id") % 9)
+    row = lambda code: F.concat(F.lit(f'<tr><td><a href="/x?state={code}">x</a></td><td>$9.99</td><td>'), price, F.lit("</td></tr>"))
+    rows = F.when(k == 3, "").when(k == 1, F.concat(row("OH"), row("OH"))).otherwise(F.concat(row("OH"), row("TX")))
+    day = F.when(k == 2, "").otherwise("Price as of 1/5/26")
+    made = views._t(spark, sf, "pages").select("page_id", F.concat(F.col("html"), day, F.lit("<table>"), rows, F.lit("</table>")).alias("html"))
+    return documents.extract_state_prices(made).withColumn("price", F.col("price").cast("double"))
+
+
+@query(" SELECT s_suppkey AS id, path, CASE WHEN s_suppkey % 4 > 0 THEN 'I' || s_suppkey END AS sign, (s_suppkey % 3)::INTEGER AS code, CASE WHEN s_suppkey % 5 > 0 THEN 'North Land' END AS state, 2 + path AS n FROM supplier, (VALUES (0), (2)) v(path) WHERE s_suppkey % 3 < 2")
+def src14_line_features(spark, sf):
+    k = F.col("s_suppkey")
+    at = F.struct(F.lit(1.0).alias("x"), F.lit(2.0).alias("y"))
+    paths = F.array(F.array(at, at), F.array(at), F.array(at, at, at, at))
+    rows = views._t(spark, sf, "supplier").select(k.alias("id"), F.when(k % 4 > 0, F.concat(F.lit(" I\t"), k.cast("string"))).otherwise(" \n").alias("sign"), (k % 3).cast("int").alias("code"), F.when(k % 5 > 0, F.lit(" North   Land ")).otherwise("").alias("state"), paths.alias("paths"))
+    return documents.flatten_lines(rows, [0, 1]).select("id", "path", "sign", "code", "state", F.size("points").alias("n"))
+
+
+@query(" SELECT s_suppkey // 2 AS ring, (CASE WHEN count(*) = 2 THEN 5 ELSE 3 END)::INTEGER AS n, max(CASE WHEN s_suppkey % 2 = 0 THEN s_suppkey * 0.5::DOUBLE END) AS x0, max(CASE WHEN s_suppkey % 2 = 1 THEN s_suppkey * 0.5::DOUBLE ELSE (s_suppkey + 2) * 0.5::DOUBLE END) FILTER (s_suppkey % 2 = 1 OR s_suppkey = (SELECT max(s_suppkey) FROM supplier)) AS x1 FROM supplier GROUP BY 1")
+def src16_shared_arcs(spark, sf):
+    k = F.col("s_suppkey")
+    step = lambda x, y: F.struct(F.lit(x).cast("long").alias("dx") if isinstance(x, int) else x.alias("dx"), F.lit(y).cast("long").alias("dy"))
+    rows = views._t(spark, sf, "supplier")
+    arcs = rows.select(k.alias("arc"), F.array(step(k, 0), step(1, 3), step(1, -3)).alias("deltas"))
+    refs = rows.select(F.expr("s_suppkey div 2").alias("ring"), (k % 2).cast("int").alias("n"), k.alias("arc"), (k % 2 == 1).alias("reversed"))
+    got = documents.assemble_arcs(arcs, refs, 0.5)
+    return got.select("ring", F.size("points").alias("n"), F.element_at("points", 1)["x"].alias("x0"), F.element_at("points", -1)["x"].alias("x1"))
+
+
+@query(" SELECT c_custkey AS id, c_name AS name, c_custkey % 90 + 0.5::DOUBLE AS lat, -(c_custkey % 180) - 0.25::DOUBLE AS lon, (c_custkey * 3)::BIGINT AS population, DATE '2026-01-01' AS modified FROM customer")
+def src17_gazetteer(spark, sf):
+    k, path = F.col("c_custkey"), _path(spark, "gazetteer")
+    own = {"id": k, "name": F.col("c_name"), "lat": k % 90 + 0.5, "lon": -(k % 180) - 0.25, "population": k * 3, "modified": F.lit("2026-01-01")}
+    columns = [x.split()[0] for x in documents.GAZETTEER.split(", ")]
+    views._t(spark, sf, "customer").select(*(own.get(c, F.lit(f'a "{c}"')).cast("string").alias(c) for c in columns)).write.csv(path, sep="\t", quote="")
+    return documents.read_gazetteer(spark, path).select("id", "name", "lat", "lon", "population", "modified")
+
+
+@query(" SELECT c_custkey::VARCHAR AS id, c_name AS name, CASE WHEN c_custkey % 3 > 0 THEN c_custkey % 90 + 0.5::DOUBLE END AS lat FROM customer")
+def src18_point_list(spark, sf):
+    k, path = F.col("c_custkey"), _path(spark, "pins")
+    own = {"ID": k.cast("string"), "Name": F.col("c_name"), "Latitude": F.when(k % 3 == 0, F.element_at(F.array(F.lit("north"), F.lit("NaN")), (k % 2 + 1).cast("int"))).otherwise((k % 90 + 0.5).cast("string"))}
+    views._t(spark, sf, "customer").select(*(own.get(c, F.lit("1")).alias(c) for c in documents.POINT_LIST)).write.option("header", True).csv(path)
+    return documents.read_point_list(spark, path).select(F.col("ID").alias("id"), F.col("Name").alias("name"), F.col("Latitude").alias("lat"))
+
+
+@query(" SELECT 'weekly' AS part, count(*) AS n FROM v_weekly UNION ALL SELECT 'tax', count(*) FROM v_tax")
+def snk01_write_validated(spark, sf):
+    weekly, tax = _path(spark, "weekly"), _path(spark, "tax")
+    w, t = views.weekly(spark, sf), views.taxes(spark, sf)
+    good = {weekly: (w, {"price": F.col("mills").isNull() | (F.col("mills") > 0)}), tax: (t, {"rate": F.coalesce(F.col("mils") > 0, F.lit(True))})}
+    try:
+        sinks.write_validated({weekly: (w, {"period": F.col("period").isNotNull()}), tax: (t, {"rate": F.col("mils") < 0})})
+    except ValueError:
+        pass
+    if sinks.exists(spark, weekly) or sinks.exists(spark, tax):
+        raise AssertionError("written in spite of a breach")
+    sinks.write_validated(good)
+    count = lambda part, path: spark.read.parquet(path).agg(F.count("*").alias("n")).select(F.lit(part).alias("part"), "n")
+    return count("weekly", weekly).unionByName(count("tax", tax))
+
+
+@query(" SELECT o_orderkey AS \"row\", 'reason ' || o_orderkey % 3 AS reason, o_orderpriority AS name FROM orders WHERE o_orderkey % 3 > 0 OR o_orderstatus = 'F'")
+def snk04_write_rejects(spark, sf):
+    path, k = _path(spark, "rejects"), F.col("o_orderkey")
+    rows = views._t(spark, sf, "orders").where((k % 3 > 0) | (F.col("o_orderstatus") == "F"))
+    sinks.write_rejects(rows.select(k.alias("row"), F.concat(F.lit("reason "), (k % 3).cast("string")).alias("reason"), F.col("o_orderpriority").alias("name"), F.lit(None).cast("string").alias("address")), path)
+    return spark.read.option("header", True).csv(path).select(F.col("row").cast("long").alias("row"), "reason", "name")

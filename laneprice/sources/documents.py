@@ -133,10 +133,19 @@ def flatten_points(features: DataFrame, test: Column | None = None) -> DataFrame
     return out.where("lat IS NOT NULL AND lon IS NOT NULL")
 
 
-def flatten_lines(features: DataFrame) -> DataFrame:
-    """id, path, sign, points: one row for each path of two vertices or more; signs lose blanks and control characters."""
+def flatten_lines(features: DataFrame, codes: list[int] | None = None) -> DataFrame:
+    """id, path, sign, code, state, points of features (id, sign, code, state, paths): one row for each path of two vertices or more.
+
+    Signs lose blanks and control characters, state names are squeezed to single spaces; empty ones are null. Of
+    codes, if they are given, others are left out. code and state may be missing.
+    """
+    for name, kind in (("code", "int"), ("state", "string")):
+        if name not in features.columns:
+            features = features.withColumn(name, F.lit(None).cast(kind))
     sign = F.nullif(F.regexp_replace(F.coalesce("sign", F.lit("")), r"[\s\x00-\x1f\x7f]+", ""), F.lit(""))
-    return features.select("id", sign.alias("sign"), F.posexplode("paths").alias("path", "points")).where(F.size("points") >= 2)
+    state = F.nullif(F.trim(F.regexp_replace(F.coalesce("state", F.lit("")), r"\s+", " ")), F.lit(""))
+    rows = features if codes is None else features.where(F.col("code").isin(codes))
+    return rows.select("id", sign.alias("sign"), "code", state.alias("state"), F.posexplode("paths").alias("path", "points")).where(F.size("points") >= 2)
 
 
 def label_values(cells: DataFrame, label: str) -> DataFrame:
