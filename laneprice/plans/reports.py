@@ -89,3 +89,12 @@ def state_lines(states: DataFrame, weekly: DataFrame) -> DataFrame:
     shared = states.where("series IS NOT NULL").groupBy("series").agg(F.count("*").alias("_n"))
     plate = F.when(F.col("series").isNull(), "no survey").otherwise(F.concat(F.lit("average of "), F.col("_n").cast("string"), F.lit(" states")))
     return prices.join(shared, "series", "left").select("code", "name", "series", "mills", plate.alias("plate"))
+
+
+def newest_weeks(weekly: DataFrame, n: int) -> DataFrame:
+    """series, week_1 to week_n (the newest first) and change: the newest n weeks side by side, and what happened over them."""
+    periods = weekly.select("period").distinct().orderBy(F.desc("period")).limit(n)  # n rows
+    recent = weekly.join(F.broadcast(periods.agg(F.array_sort(F.collect_list("period")).alias("known"))), F.array_contains("known", F.col("period")))
+    place = F.size("known") + 1 - F.array_position("known", F.col("period"))
+    rows = recent.withColumn("k", place).groupBy("series").agg(*(F.max(F.when(F.col("k") == k, F.col("mills"))).alias(f"week_{k}") for k in range(1, n + 1)))
+    return rows.withColumn("change", F.col("week_1") - F.col(f"week_{n}"))
