@@ -122,10 +122,10 @@ def jon10_point_in_polygon(spark, sf):
     return spatial.locate(views.points(spark, sf), edges)
 
 
-@query(f", hit AS (SELECT DISTINCT a.id FROM (SELECT * FROM v_point WHERE id % 3 = 0) a JOIN (SELECT * FROM v_point WHERE id % 3 = 1) b ON abs(a.lat - b.lat) < 0.006 WHERE {_H} <= 500) SELECT brand, count(*) AS official, count(hit.id) AS matched, round(count(hit.id)::DOUBLE / count(*), 3) AS share FROM (SELECT * FROM v_point WHERE id % 3 = 0) p LEFT JOIN hit USING (id) GROUP BY ROLLUP (brand)")
+@query(f", hit AS (SELECT DISTINCT a.id FROM (SELECT * FROM v_point WHERE id % 3 = 0) a JOIN (SELECT * FROM v_point WHERE id % 3 > 0) b ON abs(a.lat - b.lat) < 0.006 WHERE {_H} <= 500) SELECT brand, count(*) AS official, count(hit.id) AS matched, round(count(hit.id)::DOUBLE / count(*), 3) AS share FROM (SELECT * FROM v_point WHERE id % 3 = 0) p LEFT JOIN hit USING (id) GROUP BY ROLLUP (brand)")
 def agg04_coverage(spark, sf):
     p = views.points(spark, sf)
-    return spatial.coverage_share(p.where("id % 3 = 0"), p.where("id % 3 = 1"), "brand", 500.0)
+    return spatial.coverage_share(p.where("id % 3 = 0"), p.where("id % 3 > 0"), "brand", 500.0)
 
 
 @query(" SELECT brand, count(*) AS n FROM v_point WHERE lat BETWEEN 30 AND 40 AND lon BETWEEN -110 AND -90 GROUP BY 1 UNION ALL SELECT DISTINCT brand, 0 FROM v_point WHERE brand NOT IN (SELECT brand FROM v_point WHERE lat BETWEEN 30 AND 40 AND lon BETWEEN -110 AND -90)")
@@ -180,10 +180,14 @@ def mrg07_fold_pins(spark, sf):
     return relations.fold_pins(p, ["brand", "lat", "lon"], "d", "id").withColumn("rows", F.array_join("rows", ","))
 
 
-@query(" SELECT false AS equal FROM range(1)")
+_LESS = "SELECT * FROM v_weekly WHERE series <> 'R0' OR period <> DATE '1999-01-04'"
+
+
+@query(f" SELECT 'same' AS part, NOT EXISTS (FROM v_weekly EXCEPT ALL FROM v_weekly) AS equal UNION ALL SELECT 'less', NOT EXISTS (FROM v_weekly EXCEPT ALL {_LESS}) AND NOT EXISTS ({_LESS} EXCEPT ALL FROM v_weekly)")
 def mrg03_content_equal(spark, sf):
-    w = views.weekly(spark, sf)
-    return relations.content_equal(w, w.where("series <> 'R0' OR period <> DATE '1999-01-04'"), ignore=("stamp",))
+    w = views.weekly(spark, sf).withColumn("stamp", F.lit("now"))
+    told = lambda part, other: relations.content_equal(w, other.withColumn("stamp", F.lit("then")), ignore=("stamp",)).select(F.lit(part).alias("part"), "equal")
+    return told("same", w).unionByName(told("less", w.where("series <> 'R0' OR period <> DATE '1999-01-04'")))
 
 
 @query(" SELECT id, brand, name, lat, lon FROM (SELECT *, row_number() OVER (ORDER BY lat DESC, id) AS r FROM v_point) WHERE r <= 50 OR id % 97 = 0")

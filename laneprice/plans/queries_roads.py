@@ -9,7 +9,7 @@ from ..functions import geo as geometry
 from ..operators import clusters, exports, roads, spatial
 from . import layers, trips, views
 from .queries import _H
-from .queries_places import _SAMPLES, _samples, cell_edges
+from .queries_places import _MILES, _SAMPLES, _samples, cell_edges
 from .registered import query
 
 
@@ -42,6 +42,13 @@ def geo05_chain_segments(spark, sf):
     return made.select("sign", "segments", F.round(ends[0], 4).alias("west"), F.round(ends[1], 4).alias("north"))
 
 
+@query(f", {_LATTICE}, n AS (SELECT floor(y1 * 10000 + 0.5)::BIGINT * 10000000 + floor(x1 * 10000 + 0.5)::BIGINT AS p, floor(y2 * 10000 + 0.5)::BIGINT * 10000000 + floor(x2 * 10000 + 0.5)::BIGINT AS q, y1 AS lat1, x1 AS lon1, y2 AS lat2, x2 AS lon2 FROM l) SELECT least(p, q) AS a, greatest(p, q) AS b, round({_MILES}, 5) AS miles FROM n")
+def geo10_lattice_graph(spark, sf):
+    ends = F.explode(F.array(F.struct(F.lit(0).alias("n"), F.col("y1").alias("lat"), F.col("x1").alias("lon")), F.struct(F.lit(1).alias("n"), F.col("y2").alias("lat"), F.col("x2").alias("lon"))))
+    rows = lattice(spark, sf).select((F.col("a") * 2 + (F.col("way") == "C").cast("int")).alias("line"), ends.alias("e")).select("line", "e.*")
+    return clusters.road_graph(clusters.with_nodes(rows)).select("a", "b", F.round("miles", 5).alias("miles"))
+
+
 _PROBES = ", ".join(f"({y}, {x})" for y in (0, 1, -1) for x in (0, 1, -1))
 
 
