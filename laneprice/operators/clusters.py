@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.geo import haversine_m, miles
 from .durable import cut
-from .spatial import distance_join
+from .spatial import DEGREE_M, distance_join
 
 #: Metres around a point in which its nearest node is looked for, one after the other.
 SNAP_M = (20_000.0, 100_000.0, 500_000.0)
@@ -91,23 +91,25 @@ def _merge(group: pd.DataFrame) -> pd.DataFrame:
     heads: list[int] = []
     ways: list[str | None] = []
     exclusive: list[bool] = []
+    by_row: dict[int, list[int]] = {}  # markers by rows a radius tall, so that far ones aren't measured
     out = np.zeros(len(rows), dtype=np.int64)
-    ids = rows["id"].to_numpy()
+    ids, places = rows["id"].to_numpy(), np.floor(np.degrees(lat) / (radius / DEGREE_M)).astype(np.int64).tolist()
     for i, (way, alone) in enumerate(zip(rows["direction"], rows["exclusive"])):
         way = way if isinstance(way, str) else None
         best = -1
-        if heads:
-            h = np.asarray(heads)
+        if near := sorted(k for y in (-1, 0, 1) for k in by_row.get(places[i] + y, ())):
+            h = np.asarray([heads[k] for k in near])
             a = np.sin((lat[h] - lat[i]) / 2) ** 2 + np.cos(lat[i]) * np.cos(lat[h]) * np.sin((lon[h] - lon[i]) / 2) ** 2
             metres = 2 * 6_371_000.0 * np.arcsin(np.minimum(1.0, np.sqrt(a)))
-            fits = [m <= radius and (way is None or w is None or w == way) and not (alone and e) for m, w, e in zip(metres, ways, exclusive)]
+            fits = [m <= radius and (way is None or ways[k] is None or ways[k] == way) and not (alone and exclusive[k]) for m, k in zip(metres, near)]
             if any(fits):
-                best = int(np.argmin(np.where(fits, metres, np.inf)))
+                best = near[int(np.argmin(np.where(fits, metres, np.inf)))]
         if best < 0:
+            best = len(heads)
             heads.append(i)
             ways.append(way)
             exclusive.append(bool(alone))
-            best = len(heads) - 1
+            by_row.setdefault(places[i], []).append(best)
         else:
             ways[best] = ways[best] or way
             exclusive[best] = exclusive[best] or bool(alone)
