@@ -72,9 +72,12 @@ class _Encoder:
         distinct, first, which = np.unique(textops.word_hashes(w), return_index=True, return_inverse=True)
         if len(self.keys) > CACHE_WORDS or len(self.flat) > CACHE_IDS:
             self.clear()
-        new = ~np.isin(distinct, self.keys, assume_unique=True)
-        at, raw = first[new], w.data.tobytes()
-        self._learn(distinct[new], [raw[a:b].decode() for a, b in zip(w.starts[at].tolist(), w.ends[at].tolist(), strict=True)])
+        place = np.searchsorted(self.keys, distinct)
+        new = place == len(self.keys)
+        new[~new] = self.keys[place[~new]] != distinct[~new]
+        if new.any():
+            at, raw = first[new], w.data.tobytes()
+            self._learn(distinct[new], [raw[a:b].decode() for a, b in zip(w.starts[at].tolist(), w.ends[at].tolist(), strict=True)])
         word = self.rows[np.searchsorted(self.keys, distinct)][which]
         counts, begin = self.sizes[word].astype(np.int64), (np.cumsum(self.sizes, dtype=np.int64) - self.sizes)[word]
         ends = np.cumsum(counts)
