@@ -1,4 +1,4 @@
-"""Queries of the ten operators over the given tables, and SQL for those that SQL can express."""
+"""Queries of the operators over the given tables, and SQL for those that SQL can express."""
 
 from __future__ import annotations
 
@@ -8,9 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .chat import format_windows, read_back
+from .lexical import ranked_search
 from .mixing import mix_sources
 from .near_dedup import near_duplicates
+from .neighbour_graph import nearest_by_graph
 from .packing import pack_documents
+from .prefix_trie import numbered_turns, prefix_trie, shared_heads
 from .quality_rules import fit_quality, score_quality
 from .secrets import BASE, find_secrets, listed
 from .shared import table
@@ -79,6 +82,19 @@ def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=10)
+
+
+def op12_nearest_by_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest_by_graph(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns, convs = shared_heads(numbered_turns(table(spark, sf_dir, "conversations")))
+    return prefix_trie(turns, convs)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 

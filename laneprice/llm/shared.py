@@ -69,6 +69,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def deleted(df: DataFrame) -> None:
+    """Deletes the folders of a table that written() gave, when everything that reads it has been written."""
+    context = df.sparkSession.sparkContext
+    for file in df.inputFiles()[:1]:
+        folder = context._jvm.org.apache.hadoop.fs.Path(file).getParent()
+        folder.getFileSystem(context._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """As written(), for narrow tables; unlike a checkpoint it is computed once and has its real size in later plans."""
     return written(df, "cut")

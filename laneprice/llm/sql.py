@@ -85,4 +85,39 @@ SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_acc
 FROM d LEFT JOIN g USING (rid)
 """
 
-ORACLES = {"op2_mixing": OP2, "op3_warc": OP3, "op5_secret_scan": OP5, "op10_exact_top_k": OP10, "op1_substring_dedup": OP1, "op9_near_dedup": OP9}
+_TERMS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+OP11 = rf"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, {_TERMS} AS w FROM documents),
+s AS (SELECT count(*) AS docs, sum(len(w))::BIGINT AS words FROM d WHERE len(w) > 0),
+m AS (SELECT rid, doc_id, 25 + (75 * len(w) * docs) // words AS m FROM d, s WHERE len(w) > 0),
+i AS (SELECT row_number() OVER () AS iid, item_id, {_TERMS} AS w FROM benchmark),
+q AS (SELECT iid, item_id, t, count(*) AS q FROM (SELECT iid, item_id, unnest(w) AS t FROM i) GROUP BY ALL),
+tf AS (SELECT rid, t, count(*) AS tf FROM (SELECT rid, unnest(w) AS t FROM d) WHERE t IN (SELECT t FROM q) GROUP BY ALL),
+wt AS (SELECT t, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * df + 1)))::BIGINT AS w FROM (SELECT t, count(*) AS df FROM tf GROUP BY t), s),
+x AS (SELECT iid, item_id, rid, doc_id, sum(q * w * ((1000000000 * tf) // (1000 * tf + 8 * m)))::BIGINT AS score
+  FROM q JOIN wt USING (t) JOIN tf USING (t) JOIN m USING (rid) GROUP BY ALL)
+SELECT item_id, row_number() OVER (PARTITION BY iid ORDER BY score DESC, doc_id)::INTEGER AS rank, doc_id, score
+FROM x WHERE score > 0 QUALIFY rank <= 10
+"""
+
+_CRC32 = "xor(list_reduce([4294967295] || [ascii(x)::BIGINT for x in string_split(seq::VARCHAR, '')], lambda c, b: list_reduce([xor(c, b)] || [0, 0, 0, 0, 0, 0, 0, 0], lambda v, u: xor(v >> 1, (v & 1) * 3988292384))), 4294967295)"
+OP13 = f"""
+WITH t AS (
+  SELECT conv_id AS seq, turn, {{'r': coalesce(role, ''), 't': coalesce(text, '')}} AS x, sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS k
+  FROM conversations WHERE conv_id IS NOT NULL),
+c AS (SELECT seq, list(x ORDER BY turn NULLS FIRST, k) AS own FROM t GROUP BY seq),
+h AS (SELECT seq, own, seq - seq % 5 AS base, ({_CRC32} % 9)::BIGINT AS h FROM c),
+s AS (SELECT h.seq, coalesce(b.own[1 : h], []) || h.own[h + 1 :] AS s FROM h LEFT JOIN (SELECT seq AS base, own FROM c) b USING (base)),
+p AS (SELECT seq, len(s) AS n, unnest([{{'d': d::BIGINT, 'k': md5(s[1 : d]::VARCHAR || d), 'b': CASE WHEN d = 0 THEN 0 ELSE strlen(s[d].t) END::BIGINT}} for d in range(0, len(s) + 1)], recursive := true) FROM s),
+g AS (SELECT k, d AS depth, min(seq) AS conv_id, count(*) AS n_convs, any_value(b) AS b, sha256(coalesce(string_agg(seq::VARCHAR, ',' ORDER BY seq) FILTER (n = d), '')) AS ends_sha256 FROM p GROUP BY k, d),
+pairs AS (SELECT g.k, up.k AS u, up.d AS u_depth FROM g JOIN p up ON up.seq = g.conv_id AND up.d <= g.depth),
+kids AS (SELECT pairs.u AS k, count(*) AS n_children FROM pairs JOIN g USING (k) WHERE g.depth = pairs.u_depth + 1 GROUP BY 1),
+sums AS (
+  SELECT pairs.u AS k, count(*) FILTER (kids.k IS NULL) AS n_leaves, sum((n_convs - 1) * b)::BIGINT AS saved_tokens
+  FROM pairs JOIN g ON g.k = pairs.k LEFT JOIN kids ON kids.k = pairs.k GROUP BY 1),
+above AS (SELECT pairs.k, g.conv_id AS parent_conv_id FROM pairs JOIN g ON g.k = pairs.u JOIN g AS own ON own.k = pairs.k WHERE pairs.u_depth + 1 = own.depth)
+SELECT conv_id, depth, parent_conv_id, n_convs, coalesce(n_children, 0)::BIGINT AS n_children, n_leaves, saved_tokens, ends_sha256
+FROM g LEFT JOIN kids USING (k) LEFT JOIN above USING (k) JOIN sums USING (k)
+"""
+
+ORACLES = {"op2_mixing": OP2, "op3_warc": OP3, "op5_secret_scan": OP5, "op10_exact_top_k": OP10, "op1_substring_dedup": OP1, "op9_near_dedup": OP9, "op11_lexical_search": OP11, "op13_prefix_trie": OP13}
