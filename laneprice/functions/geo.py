@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -18,6 +19,13 @@ def haversine_m(lat1, lon1, lat2, lon2) -> Column:
     return EARTH_M * _central(lat1, lon1, lat2, lon2)
 
 
+def metres_of(lat1, lon1, lat2, lon2) -> np.ndarray:
+    """haversine_m() of numpy arrays."""
+    a, b, c, d = (np.radians(x) for x in (lat1, lon1, lat2, lon2))
+    h = np.sin((c - a) / 2) ** 2 + np.cos(a) * np.cos(c) * np.sin((d - b) / 2) ** 2
+    return 2 * EARTH_M * np.arcsin(np.minimum(1.0, np.sqrt(h)))
+
+
 def miles(lat1, lon1, lat2, lon2) -> Column:
     return EARTH_MI * _central(lat1, lon1, lat2, lon2)
 

@@ -10,38 +10,36 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.geo import haversine_m, miles
+from ..functions.geo import haversine_m, metres_of, miles
 from .durable import cut
-from .spatial import DEGREE_M, distance_join
+from .spatial import distance_join
+from .tiles import settle_leaders, settle_markers
 
 #: Metres around a point in which its nearest node is looked for, one after the other.
 SNAP_M = (20_000.0, 100_000.0, 500_000.0)
 
 
-def leaders_in_order(points: DataFrame, radius_m: float, by: tuple[str, ...], order: list[str], latest: bool = False, near: Callable[[], Column] | None = None) -> DataFrame:
+def leaders_in_order(points: DataFrame, radius_m: float, by: tuple[str, ...], order: list[str], latest: bool = False, near: tuple[Callable, Callable] | None = None) -> DataFrame:
     """id, leader: what a pass in order makes that lets each point join an anchor within radius_m, or become one.
 
-    Points (id, lat, lon and the columns of by and order; by and order must tell all points apart) join the
-    first anchor in reach, or the latest. Only closer points decide about each other, so each round settles
-    every point whose earlier neighbours are settled; a round is one join and one aggregate. near, a
-    condition on lat_a, lon_a, lat_b and lon_b, narrows what counts as in reach.
+    Points (id, lat, lon and the columns of by and order; id is unique) join the first anchor in reach that is
+    equal in by (a null is a value of its own), or the latest. The anchors are found tile by tile (see tiles), from the first point
+    of each place: later ones there are never anchors. near narrows what counts as in reach: a condition on
+    lat_a, lon_a, lat_b and lon_b as a column, and the same for numpy arrays.
     """
-    rows = points.withColumn("_o", F.struct(*order, "id"))
-    pairs = distance_join(rows, rows, radius_m, by=by, carry=("_o", "lat", "lon")).where("_o_b < _o_a")
-    pairs = pairs if near is None else pairs.where(near())
-    pairs = cut(pairs.select(F.col("id_a").alias("id"), F.col("id_b").alias("mate"), F.col("_o_b").alias("_o")))
-    settled = cut(points.select("id").join(pairs.select("id").distinct(), "id", "left_anti").withColumn("leads", F.lit(True)))
-    open_pairs = pairs.select("id", "mate")
-    while not open_pairs.isEmpty():
-        seen = open_pairs.join(settled.select(F.col("id").alias("mate"), "leads"), "mate", "left")
-        state = seen.groupBy("id").agg(F.bool_or("leads").alias("any"), F.bool_and(F.col("leads").isNotNull()).alias("all"))
-        new = state.where("any OR all").select("id", F.coalesce(~F.col("any"), F.lit(True)).alias("leads"))
-        settled = cut(settled.unionByName(new))
-        open_pairs = cut(open_pairs.join(settled, "id", "left_anti"))
-    heads = settled.where("leads").select(F.col("id").alias("mate"))
-    pick = (F.max_by if latest else F.min_by)("mate", "_o")
-    members = pairs.join(settled.where("NOT leads").select("id"), "id", "left_semi").join(heads, "mate", "left_semi").groupBy("id").agg(pick.alias("leader"))
-    return heads.select(F.col("mate").alias("id"), F.col("mate").alias("leader")).unionByName(members)
+    rows = points.select("id", "lat", "lon", F.struct(*order, "id").alias("_o"), F.to_json(F.struct(*by)).alias("_by"))
+    firsts = rows.groupBy("_by", "lat", "lon").agg(F.min("_o").alias("o"))
+    firsts = cut(firsts.select("_by", "o", F.col("o.id").alias("id"), "lat", "lon", F.monotonically_increasing_id().alias("key")))
+    parts = cut(firsts.select("_by").distinct().select("_by", F.monotonically_increasing_id().alias("part")))
+    inside = near[1] if near else lambda *at: metres_of(*at) <= radius_m
+    heads, _ = settle_leaders(firsts.join(parts, "_by").select("key", "part", "o", "lat", "lon"), radius_m, inside)
+    heads = cut(firsts.join(heads.select("key"), "key", "left_semi").select("_by", "id", "lat", "lon", F.col("o").alias("_o")))
+    # A hair more than the radius, as numpy and Java may differ in a distance's last bit.
+    others = rows.join(heads.select("id"), "id", "left_anti")
+    pairs = distance_join(others, heads, radius_m * (1 + 1e-12), by=("_by",), carry=("_o", "lat", "lon")).where("_o_b < _o_a")
+    pairs = pairs if near is None else pairs.where(near[0]("lat_a", "lon_a", "lat_b", "lon_b"))
+    members = pairs.groupBy(F.col("id_a").alias("id")).agg((F.max_by if latest else F.min_by)("id_b", "_o_b").alias("leader"))
+    return heads.select("id", F.col("id").alias("leader")).unionByName(members)
 
 
 def summarize(points: DataFrame, leaders: DataFrame, name: str, display: str | None = None, flags: tuple[str, ...] = ()) -> DataFrame:
@@ -83,51 +81,19 @@ def components(links: DataFrame) -> DataFrame:
     return labels.join(least, "label").select("node", "component")
 
 
-def _merge(group: pd.DataFrame) -> pd.DataFrame:
-    """One component's points in order of source, each to the nearest marker in reach that goes its way."""
-    rows = group.sort_values(["rank", "lat", "lon", "id"], kind="stable")
-    radius = float(rows["radius"].iloc[0])
-    lat, lon = np.radians(rows["lat"].to_numpy()), np.radians(rows["lon"].to_numpy())
-    heads: list[int] = []
-    ways: list[str | None] = []
-    exclusive: list[bool] = []
-    by_row: dict[int, list[int]] = {}  # markers by rows a radius tall, so that far ones aren't measured
-    out = np.zeros(len(rows), dtype=np.int64)
-    ids, places = rows["id"].to_numpy(), np.floor(np.degrees(lat) / (radius / DEGREE_M)).astype(np.int64).tolist()
-    for i, (way, alone) in enumerate(zip(rows["direction"], rows["exclusive"])):
-        way = way if isinstance(way, str) else None
-        best = -1
-        if near := sorted(k for y in (-1, 0, 1) for k in by_row.get(places[i] + y, ())):
-            h = np.asarray([heads[k] for k in near])
-            a = np.sin((lat[h] - lat[i]) / 2) ** 2 + np.cos(lat[i]) * np.cos(lat[h]) * np.sin((lon[h] - lon[i]) / 2) ** 2
-            metres = 2 * 6_371_000.0 * np.arcsin(np.minimum(1.0, np.sqrt(a)))
-            fits = [m <= radius and (way is None or ways[k] is None or ways[k] == way) and not (alone and exclusive[k]) for m, k in zip(metres, near)]
-            if any(fits):
-                best = near[int(np.argmin(np.where(fits, metres, np.inf)))]
-        if best < 0:
-            best = len(heads)
-            heads.append(i)
-            ways.append(way)
-            exclusive.append(bool(alone))
-            by_row.setdefault(places[i], []).append(best)
-        else:
-            ways[best] = ways[best] or way
-            exclusive[best] = exclusive[best] or bool(alone)
-        out[i] = ids[heads[best]]
-    return pd.DataFrame({"id": ids, "marker": out})
-
-
 def merge_sources(points: DataFrame, radius_m: float) -> DataFrame:
     """id, marker: points (id, rank, direction, exclusive, lat, lon) of several sources merged in order of rank, lat, lon, id.
 
-    A point joins the nearest marker within radius_m whose direction is its own or missing on one side; two
-    exclusive points never share a marker, which takes over directions. Only points linked within the radius
-    matter to each other, so each component of close points is one group.
+    A point joins the nearest marker within radius_m whose direction is its own or missing on one side (of
+    equally near ones the first), or becomes a marker; two exclusive points never share one, and a marker takes
+    over directions. The pass goes tile by tile (see tiles): what a point finds depends on points within twice the
+    radius, and the markers' state is made again from the points that have joined them.
     """
-    near = distance_join(points, points, radius_m).where("id_a < id_b").select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))
-    grouped = points.join(components(near).withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    alone = grouped.select("id", "rank", "direction", "exclusive", "lat", "lon", F.lit(float(radius_m)).alias("radius"), "component")
-    return alone.groupBy("component").applyInPandas(_merge, "id long, marker long")
+    rows = points.select("id", F.struct("rank", "lat", "lon", "id").alias("o"), F.lit(0).cast("long").alias("part"), "direction", F.coalesce("exclusive", F.lit(False)).alias("exclusive"), "lat", "lon")
+    rows = cut(rows.withColumn("key", F.monotonically_increasing_id()))
+    merged, _ = settle_markers(rows.drop("id"), radius_m, metres_of)
+    keys = rows.select(F.col("key").alias("marker"), F.col("id").alias("head"))
+    return rows.select("id", "key").join(merged, "key").join(keys, "marker").select("id", F.col("head").alias("marker"))
 
 
 def marker_summary(points: DataFrame, markers: DataFrame) -> DataFrame:

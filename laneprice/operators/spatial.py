@@ -16,6 +16,18 @@ DEGREE_M = 110_000.0
 BROADCAST_EDGES, SALTS = 200_000, 32
 
 
+def grid_columns(y: Column, tall: float) -> Column:
+    """How many cells the row y has, whose cells are tall degrees high and at least as far around; one where they would be wider than 20 degrees."""
+    far = F.least(F.lit(90.0), (F.greatest(F.abs(y), F.abs(y + 1)) + 1) * tall)
+    wide = tall / F.cos(F.radians(far))
+    return F.when((wide > 0) & (wide < 20), F.floor(360 / wide)).otherwise(1).cast("long")
+
+
+def grid_column(lon: str, n: Column) -> Column:
+    """The cell of a longitude in a row of n."""
+    return F.least(F.floor(F.pmod(F.col(lon) + 180, F.lit(360.0)) / 360 * n), n - 1)
+
+
 def distance_join(a: DataFrame, b: DataFrame, radius_m: float, by: tuple[str, ...] = (), carry: tuple[str, ...] = ()) -> DataFrame:
     """Pairs (id_a, id_b, metres) of points (id, lat, lon) within radius_m of each other, anywhere on the globe.
 
@@ -25,22 +37,14 @@ def distance_join(a: DataFrame, b: DataFrame, radius_m: float, by: tuple[str, ..
     """
     tall = radius_m / DEGREE_M
     near = F.array(F.lit(-1), F.lit(0), F.lit(1))
+    columns = lambda y: grid_columns(y, tall)
     side = lambda df, s: df.select(*by, *(F.col(c).alias(f"{c}_{s}") for c in dict.fromkeys(("id", "lat", "lon", *carry))))
 
-    def columns(y: Column) -> Column:
-        """How many cells the row y has; one where they would be wider than 20 degrees."""
-        far = F.least(F.lit(90.0), (F.greatest(F.abs(y), F.abs(y + 1)) + 1) * tall)
-        wide = tall / F.cos(F.radians(far))
-        return F.when((wide > 0) & (wide < 20), F.floor(360 / wide)).otherwise(1).cast("long")
-
-    def column(lon: str, n: Column) -> Column:
-        return F.least(F.floor(F.pmod(F.col(lon) + 180, F.lit(360.0)) / 360 * n), n - 1)
-
     left = side(a, "a").withColumn("y", F.floor(F.col("lat_a") / tall))
-    left = left.withColumn("x", column("lon_a", columns(F.col("y"))))
+    left = left.withColumn("x", grid_column("lon_a", columns(F.col("y"))))
     right = side(b, "b").withColumn("y", F.explode(F.transform(near, lambda d: F.floor(F.col("lat_b") / tall) + d)))
     n = columns(F.col("y"))
-    right = right.withColumn("x", F.explode(F.array_distinct(F.transform(near, lambda d: F.pmod(column("lon_b", n) + d, n)))))
+    right = right.withColumn("x", F.explode(F.array_distinct(F.transform(near, lambda d: F.pmod(grid_column("lon_b", n) + d, n)))))
     metres = haversine_m("lat_a", "lon_a", "lat_b", "lon_b")
     kept = [f"{c}_{s}" for c in carry for s in "ab"]
     return left.join(right, [*by, "y", "x"]).select(*by, "id_a", "id_b", *kept, metres.alias("metres")).where(F.col("metres") <= radius_m)

@@ -143,7 +143,17 @@ def agg09_cluster_summary(spark, sf):
     return clusters.summarize(views.points(spark, sf), geo01_cluster_sites(spark, sf), "name")
 
 
-@query(None)
+_FITS = "(way IS NULL OR h.way IS NULL OR h.way = way) AND NOT (alone AND h.alone)"
+_TO_HEAD = "2 * 6371000.0::DOUBLE * asin(least(1.0, sqrt(pow(sin((radians(p.lat) - radians(h.lat)) / 2), 2) + cos(radians(h.lat)) * cos(radians(p.lat)) * pow(sin((radians(p.lon) - radians(h.lon)) / 2), 2))))"
+_HEAD = "{'id': id, 'lat': lat, 'lon': lon, 'way': way, 'alone': alone}"
+
+
+@query(f""", q AS (SELECT id, lat, lon, CASE WHEN id % 3 = 0 THEN NULL WHEN id % 2 = 0 THEN 'e' ELSE 'w' END AS way, id % 5 = 0 AS alone, id % 4 AS rank FROM v_point),
+o AS (SELECT *, row_number() OVER (ORDER BY rank, lat, lon, id) AS k FROM q),
+w AS (SELECT k, id, id AS marker, [{_HEAD}] AS heads FROM o WHERE k = 1
+  UNION ALL SELECT k, id, coalesce(found, id), CASE WHEN found IS NULL THEN list_append(heads, {_HEAD}) ELSE list_transform(heads, lambda h: {{'id': h.id, 'lat': h.lat, 'lon': h.lon, 'way': CASE WHEN h.id = found THEN coalesce(h.way, way) ELSE h.way END, 'alone': h.alone OR (h.id = found AND alone)}}) END
+  FROM (SELECT p.k, p.id, p.lat, p.lon, way, alone, w.heads, list_sort(list_transform(list_filter(w.heads, lambda h: {_TO_HEAD} <= 600 AND {_FITS}), lambda h, i: {{'m': {_TO_HEAD}, 'i': i, 'id': h.id}}))[1].id AS found FROM w JOIN o p ON p.k = w.k + 1))
+SELECT id, marker FROM w""")
 def geo04_merge_sources(spark, sf):
     p = views.points(spark, sf)
     way = F.when(F.col("id") % 3 == 0, None).when(F.col("id") % 2 == 0, "e").otherwise("w")
