@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Spark's setting for the bytes of an Arrow batch, its default, and what operators on texts take instead.
@@ -26,6 +26,11 @@ def bounded_batches(df: DataFrame) -> DataFrame:
     return df
 
 
+def quoted(column: str) -> Column:
+    """The column of this very name, also if it has dots."""
+    return F.col(f"`{column.replace('`', '``')}`")
+
+
 def unused(columns: list[str], *stems: str) -> list[str]:
     """Names like the stems that no column has, upper and lower case alike."""
     taken, out = {c.lower() for c in columns}, []
