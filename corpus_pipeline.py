@@ -2,7 +2,7 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; run() writes it as Parquet in the shared
 folder and reads it again as the next stage's docs. Every stage takes empty tables, nulls in any column,
-rows that repeat and further columns of any name, and all but the last return the columns of docs.
+rows that repeat and further columns of any name and type, and all but the last return the columns of docs.
 """
 
 from __future__ import annotations
@@ -16,44 +16,50 @@ from laneprice.llm.packing import pack_documents
 from laneprice.llm.quality_rules import fit_quality, score_quality
 from laneprice.llm.registry import tokenizer
 from laneprice.llm.secrets import redact_secrets
-from laneprice.llm.shared import table, unused, written
+from laneprice.llm.shared import quoted, table, written
+
+
+def _whole(docs: DataFrame) -> DataFrame:
+    """docs as one column, row: what else is in it can have any name and type."""
+    return docs.select(F.struct(*(quoted(c) for c in docs.columns)).alias("row"))
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep; rows that repeat are judged alike. Null and empty texts go."""
     model = fit_quality(docs, table(spark, sf_dir, "labels"))
-    rows = docs.select(F.struct(*docs.columns).alias("row"))
-    return score_quality(rows, model, text_col="row.text").where("kept").select("row.*")
+    return score_quality(_whole(docs), model, text_col="row.text").where("kept").select("row.*")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of every near-duplicate group: the one with the smallest doc_id (nulls last), whatever rows share that id.
 
     Texts without words are in no group; of those one row stays for each doc_id and text, a null being a
-    value of its own. Of rows with one doc_id and text the one whose columns, in order, are smallest stays.
+    value of its own. Of rows with one doc_id and text the one with the smallest SHA-256 of its JSON stays.
     """
     found = near_duplicates(docs, shingle=5, percent=80, groups=True)
     least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash"))
     kept = found.where("group IS NOT NULL").groupBy("group").agg(least.alias("r")).select("r.doc_id", "r.text_hash")
     kept = kept.union(found.where("group IS NULL").select("doc_id", "text_hash").distinct())
-    key, text_hash, row = unused(docs.columns, "key", "text_hash", "row")
-    keyed = lambda h: F.xxhash64(F.col("doc_id").isNull(), "doc_id", h)
-    kept = kept.select(keyed("text_hash").alias(key), F.col("text_hash").alias(text_hash))
+    keyed = lambda id_, h: F.xxhash64(id_.isNull(), id_, h).alias("key")
+    kept = kept.select(keyed(F.col("doc_id"), F.col("text_hash")), "text_hash")
     # Rows with one doc_id and text are folded before they are shuffled.
-    rows = docs.select(F.struct(*docs.columns).alias(row), keyed(F.xxhash64("text")).alias(key), F.xxhash64("text").alias(text_hash))
-    rows = rows.groupBy(key, text_hash).agg(F.min(row).alias(row))
-    return rows.join(kept, [key, text_hash], "left_semi").select(f"{row}.*")
+    text_hash = F.xxhash64("row.text")
+    rows = _whole(docs).select("row", keyed(F.col("row.doc_id"), text_hash), text_hash.alias("text_hash"))
+    rows = rows.groupBy("key", "text_hash").agg(F.min_by("row", F.sha2(F.to_json("row"), 256)).alias("row"))
+    return rows.join(kept, ["key", "text_hash"], "left_semi").select("row.*")
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All rows, with their secrets masked and n_chars made anew (null for null texts). A null source is one owner."""
-    clean = redact_secrets(docs, repository=F.concat_ws("/", "source", "lang"), owner=F.col("source"))
-    return clean.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    rest = F.struct(*(quoted(c) for c in docs.columns if c != "text")).alias("row")
+    clean = redact_secrets(docs.select(rest, "doc_id", "text", "source", "lang"), repository=F.concat_ws("/", "source", "lang"), owner=F.col("source"))
+    new = {"text": F.col("text"), "n_chars": F.length("text").cast("long")}
+    return clean.select(*(new.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows replicated or left out so that every source, null among them, has an equal share of the text."""
-    return mix_sources(docs).select(*docs.columns)
+    return mix_sources(_whole(docs), id_col="row.doc_id", source_col="row.source", text_col="row.text").select("row.*")
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
