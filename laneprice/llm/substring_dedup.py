@@ -13,8 +13,8 @@ over the homes, whose texts are shuffled once, exchange only packed hashes and b
 
 A home sends each distinct hash once, whatever its number of copies, so a passage that a third of
 all documents share costs one entry per home and no pairs are ever formed. There are as many buckets as
-the text needs at BUCKET_BYTES each. Rows that repeat in id and text often are folded into one that
-counts double, so they don't meet in one home.
+the text needs at BUCKET_BYTES each. Rows that repeat in id and text are folded into one that counts
+double, so they don't meet in one home.
 """
 
 from __future__ import annotations
@@ -32,8 +32,8 @@ from .shared import cut, repeated, unused
 
 #: Text of a home, and text behind one bucket of hashes.
 HOME_BYTES, BUCKET_BYTES = 8 << 20, 16 << 20
-#: Rows equal in id and text are folded if there are more than this; so many kinds of such rows may be broadcast.
-HOT_COPIES, BROADCAST_KINDS = 1000, 200_000
+#: So many kinds of rows that repeat in id and text may be broadcast.
+BROADCAST_KINDS = 200_000
 
 _PACKED = "bucket long, home long, width int, hashes binary, flags binary"
 _REPLY = "home long, bucket long, bits binary"
@@ -174,8 +174,8 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kinds = rows.groupBy(F.xxhash64("id", "text").alias("kind")).agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("bytes"))
     size, most = kinds.agg(F.coalesce(F.sum("bytes"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0))).first()
-    if most > HOT_COPIES:
-        hot = cut(kinds.where(F.col("n") > HOT_COPIES).select("kind"))
+    if most > 1:
+        hot = cut(kinds.where(F.col("n") > 1).select("kind"))
         hot = F.broadcast(hot) if hot.count() <= BROADCAST_KINDS else hot
         keyed = rows.withColumn("kind", F.xxhash64("id", "text"))
         folded = keyed.join(hot, "kind", "left_semi").groupBy("id", "text").agg(F.count("*").alias("times"))
@@ -246,4 +246,4 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     anchors = by_home.applyInArrow(probe, _PACKED).groupBy("bucket").applyInArrow(_repeated, _REPLY)
     runs = by_home.cogroup(anchors.groupBy("home")).applyInArrow(extend, _PACKED).groupBy("bucket").applyInArrow(settle, _REPLY)
     done = by_home.cogroup(runs.groupBy("home")).applyInArrow(remove, out)
-    return (repeated(done, times, number) if most > HOT_COPIES else done).select(id_col, "n_words", "n_removed", "kept_text", "removed_spans")
+    return (repeated(done, times, number) if most > 1 else done).select(id_col, "n_words", "n_removed", "kept_text", "removed_spans")

@@ -55,7 +55,6 @@ def test_empty_table_and_repeated_ids(spark):
 
 
 def test_hot_rows_many_buckets_and_a_long_text(spark, monkeypatch):
-    monkeypatch.setattr(substring, "HOT_COPIES", 5)
     monkeypatch.setattr(substring, "BUCKET_BYTES", 50)  # thousands of buckets, most of a home's rows hold one hash
     rng = random.Random(7)
     text = lambda n: " ".join(rng.choices([f"w{i}" for i in range(60)], k=n))
