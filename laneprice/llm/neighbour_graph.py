@@ -154,7 +154,8 @@ def _meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 row, other = np.divmod(np.arange((j - i) ** 2), j - i)
                 score = score.ravel()
             kept = score > -np.inf
-            found.append((x[i:j][row[kept]], x[i:j][other[kept]], score[kept]))
+            if kept.any():
+                found.append((x[i:j][row[kept]], x[i:j][other[kept]], score[kept]))
         if found:
             yield _edges(*_best(*(np.concatenate(c) for c in zip(*found, strict=True))))
 

@@ -1,6 +1,7 @@
 import math
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -72,3 +73,9 @@ def test_copies_lengths_and_bad_rows(spark):
 def test_few_and_none(spark):
     assert search(spark, []) == {} and search(spark, [(20, [1.0])]) == {}
     assert search(spark, [(20, [1.0, 0.0]), (3, [0.5, 0.0]), (2, [0.5, 1.0])]) == {20: [(2, 0.5, 1), (3, 0.5, 2)]}
+
+
+def test_groups_without_an_offer(spark):
+    # In a round some groups bring nothing that betters a list.
+    made = graph._meetings(iter([pa.RecordBatch.from_pydict({"m": [1, 1], "x": [2, 3], "fresh": [True, True], "q": [bytes([1, 0]), bytes([0, 1])], "scale": [1.0, 1.0], "least": pa.array([5.0, 5.0], pa.float32())})]))
+    assert list(made) == []
