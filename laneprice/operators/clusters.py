@@ -17,6 +17,8 @@ from .tiles import settle_leaders, settle_markers
 
 #: Metres around a point in which its nearest node is looked for, one after the other.
 SNAP_M = (20_000.0, 100_000.0, 500_000.0)
+#: Degrees of the cells that nodes farther away are gathered in: 2592 cells at most.
+FAR_CELL = 5.0
 
 
 def leaders_in_order(points: DataFrame, radius_m: float, by: tuple[str, ...], order: list[str], latest: bool = False, near: tuple[Callable, Callable] | None = None) -> DataFrame:
@@ -136,7 +138,9 @@ def road_nodes(lines: DataFrame) -> DataFrame:
 def snap(points: DataFrame, nodes: DataFrame, few: int = 10) -> DataFrame:
     """id, node: the node nearest to each point (id, lat, lon), the smaller of two, in a component of few nodes or of as many as the largest has.
 
-    Points meet nodes in grid cells of growing size; those far from all nodes meet every node.
+    Points meet nodes in grid cells of growing size. Those far from all nodes meet the middles of FAR_CELL cells, and
+    the nodes of those cells alone that may hold the nearest: a cell's nodes are as far away as its middle, give or
+    take its farthest node's distance from there.
     """
     big = nodes.agg(F.max("size").alias("_big"))  # one row
     sites = cut(nodes.crossJoin(F.broadcast(big)).where(F.col("size") >= F.least(F.lit(few), F.col("_big"))).select(F.col("node").alias("id"), "lat", "lon"))
@@ -146,7 +150,13 @@ def snap(points: DataFrame, nodes: DataFrame, few: int = 10) -> DataFrame:
         near = cut(distance_join(left, sites, radius).groupBy("id_a").agg(F.min(F.struct("metres", "id_b"))["id_b"].alias("node")).withColumnRenamed("id_a", "id"))
         found.append(near)
         left = cut(left.join(near, "id", "left_anti"))
-    far = left.crossJoin(sites.select(F.col("id").alias("node"), F.col("lat").alias("_lat"), F.col("lon").alias("_lon")))
+    celled = sites.select(F.col("id").alias("node"), F.col("lat").alias("_lat"), F.col("lon").alias("_lon"), F.struct(F.floor(F.col("lat") / FAR_CELL).alias("y"), F.floor(F.col("lon") / FAR_CELL).alias("x")).alias("cell"))
+    middles = celled.groupBy("cell").agg(F.avg("_lat").alias("y"), F.avg("_lon").alias("x"))
+    reach = celled.join(F.broadcast(middles), "cell").groupBy("cell", "y", "x").agg(F.max(haversine_m("y", "x", "_lat", "_lon")).alias("r"))
+    all_cells = reach.agg(F.collect_list(F.struct("cell", "y", "x", "r")).alias("cells"))  # one row of a bounded list
+    far = left.crossJoin(F.broadcast(all_cells)).select("id", "lat", "lon", F.transform("cells", lambda c: F.struct(c["cell"].alias("cell"), c["r"].alias("r"), haversine_m(F.col("lat"), F.col("lon"), c["y"], c["x"]).alias("m"))).alias("cells"))
+    far = far.withColumn("most", F.array_min(F.transform("cells", lambda c: c["m"] + c["r"])) + 1)
+    far = far.select("id", "lat", "lon", F.explode(F.filter("cells", lambda c: c["m"] - c["r"] <= F.col("most"))).alias("c")).select("id", "lat", "lon", "c.cell").join(celled, "cell")
     found.append(far.groupBy("id").agg(F.min(F.struct(haversine_m("lat", "lon", "_lat", "_lon"), "node"))["node"].alias("node")))
     return reduce(DataFrame.unionByName, found)
 
@@ -160,34 +170,72 @@ def road_graph(lines: DataFrame) -> DataFrame:
     return rows.groupBy(F.least("node", "_b.node").alias("a"), F.greatest("node", "_b.node").alias("b")).agg(F.min(miles("lat", "lon", "_b.lat", "_b.lon")).alias("miles"))
 
 
-def _distances(origins: DataFrame, edges: DataFrame, steps: int) -> DataFrame:
-    """origin, node, dist, hops, via: via are the nodes of the way's last piece, from where a round began to before node.
+def _both_ways(edges: DataFrame) -> DataFrame:
+    """node, to, step: every edge (a, b, miles) from either end."""
+    ends = F.array(F.struct(F.col("a").alias("node"), F.col("b").alias("to"), F.col("miles").alias("step")), F.struct(F.col("b").alias("node"), F.col("a").alias("to"), F.col("miles").alias("step")))
+    return edges.select(F.explode(ends).alias("e")).select("e.*")
 
-    Distances are kept per distinct origin. A round relaxes edges `steps` times from the nodes that got
-    closer in the round before and ends when none did. Of ways of one length the one of fewer edges counts.
+
+def _ways(pairs: DataFrame, edges: DataFrame, places: DataFrame | None, steps: int) -> DataFrame:
+    """a, b, node, dist, hops, via: the ways of every pair (a, b) to the nodes that were settled for it, b among them if it can be reached.
+
+    A node's bound is its distance from a and the great-circle miles that are left to b (places: node, lat, lon;
+    without them nothing). A pair's limit starts a little above the bound of a itself; only nodes whose bounds
+    are within the limit are gone on from. If that runs dry before b is reached, the limit rises; once b is
+    reached, its length is the limit and all that is beyond goes. So a pair settles the nodes of a narrow ellipse
+    around its way, not all of the graph. A round relaxes edges `steps` times from the nodes that got closer.
+    via are the nodes of the way's last piece, from where a round began to before node; of ways of one length the
+    one of fewer edges counts.
     """
-    both = cut(edges.select(F.explode(F.array(F.struct("a", "b", "miles"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"), "miles"))).alias("e")).select(F.col("e.a").alias("node"), F.col("e.b").alias("to"), F.col("e.miles").alias("step")))
+    both = _both_ways(edges)
+    if places is None:
+        both, pairs, left = both.select("*", F.lit(0.0).alias("_y"), F.lit(0.0).alias("_x")), pairs.select("a", "b", F.lit(0.0).alias("ty"), F.lit(0.0).alias("tx"), F.lit(0.0).alias("h")), lambda y, x: F.lit(0.0)
+    else:
+        both = both.join(places.select(F.col("node").alias("to"), F.col("lat").alias("_y"), F.col("lon").alias("_x")), "to").select("node", "to", "step", "_y", "_x")
+        own = lambda k, y, x: places.select(F.col("node").alias(k), F.col("lat").alias(y), F.col("lon").alias(x))
+        pairs = pairs.join(own("b", "ty", "tx"), "b").join(own("a", "_y", "_x"), "a").select("a", "b", "ty", "tx", miles("_y", "_x", "ty", "tx").alias("h"))
+        left = lambda y, x: miles(y, x, "ty", "tx")
+    both, pairs = cut(both), cut(pairs)
     none = F.array().cast(f"array<{both.schema['node'].dataType.simpleString()}>")
-    known = cut(origins.select("origin", F.col("origin").alias("node"), F.struct(F.lit(0.0).alias("dist"), F.lit(0).alias("hops"), none.alias("via")).alias("way")))
-    front = known
-    while not front.isEmpty():
-        reach = front.withColumn("way", F.col("way").withField("via", none))
-        for _ in range(steps):
+    start = F.struct(F.lit(0.0).alias("dist"), F.lit(0).alias("hops"), none.alias("via"))
+    known = cut(pairs.select("a", "b", "ty", "tx", F.col("a").alias("node"), start.alias("way"), F.col("h"), F.lit(True).alias("todo")))
+    limits = cut(pairs.select("a", "b", (F.col("h") * 1.25 + 1).alias("limit"), (F.col("h") * 0.25 + 1).alias("rise")))
+    bound, keys = F.col("way.dist") + F.col("h"), ["a", "b", "node"]
+    while True:
+        front = known.where("todo").join(limits.select("a", "b", "limit"), ["a", "b"]).where(bound <= F.col("limit"))
+        reach = front.withColumn("way", F.col("way").withField("via", none)).select("a", "b", "ty", "tx", "node", "way", "h", "limit")
+        last = reach
+        for n in range(steps):
             way = F.struct((F.col("way.dist") + F.col("step")).alias("dist"), (F.col("way.hops") + 1).alias("hops"), F.concat("way.via", F.array("node")).alias("via"))
-            out = reach.join(both, "node").select("origin", F.col("to").alias("node"), way.alias("way"))
-            reach = reach.unionByName(out).groupBy("origin", "node").agg(F.min("way").alias("way"))
-        was = known.withColumnRenamed("way", "was")
-        better = F.col("was").isNull() | (F.col("way.dist") < F.col("was.dist"))
-        best = cut(was.join(reach.where("size(way.via) > 0"), ["origin", "node"], "full").select("origin", "node", F.when(better & F.col("way").isNotNull(), F.col("way")).otherwise(F.col("was")).alias("way"), F.coalesce(better, F.lit(False)).alias("closer")))
-        known, front = best.select("origin", "node", "way"), best.where("closer").select("origin", "node", "way")
-    return known.select("origin", "node", "way.*")
-
-
-def shortest_ways(trips: DataFrame, edges: DataFrame, steps: int = 6) -> DataFrame:
-    """trip_id, a, b, miles: the length of the shortest way over edges (a, b, miles), null where there is none."""
-    known = _distances(trips.select(F.col("a").alias("origin")).distinct(), edges, steps)
-    found = known.select(F.col("origin").alias("a"), F.col("node").alias("b"), F.col("dist").alias("miles"))
-    return trips.select("trip_id", "a", "b").join(found, ["a", "b"], "left").select("trip_id", "a", "b", "miles")
+            out = last.where(bound <= F.col("limit")).join(both, "node").select("a", "b", "ty", "tx", F.col("to").alias("node"), way.alias("way"), left("_y", "_x").alias("h"), "limit")
+            reach = reach.unionByName(out).groupBy("a", "b", "ty", "tx", "node", "h", "limit").agg(F.min("way").alias("way")).select(*reach.columns)
+            last = reach.where(F.size("way.via") == n + 1)
+        fresh = reach.select(*keys, "ty", "tx", "h", F.col("way").alias("now"), "limit")
+        was = known.withColumnRenamed("way", "was").withColumnRenamed("h", "_h").withColumnRenamed("ty", "_ty").withColumnRenamed("tx", "_tx")
+        all_ = was.join(fresh, keys, "full")
+        better = F.col("now").isNotNull() & (F.size("now.via") > 0) & (F.col("was").isNull() | (F.col("now.dist") < F.col("was.dist")))
+        way = F.when(better, F.col("now")).otherwise(F.col("was"))
+        ahead = F.when(better, (F.size("now.via") == steps) | (F.col("now.dist") + F.col("h") > F.col("limit"))).otherwise(F.col("todo") & F.col("limit").isNull())
+        known = all_.select(*keys, F.coalesce("_ty", "ty").alias("ty"), F.coalesce("_tx", "tx").alias("tx"), way.alias("way"), F.coalesce("_h", "h").alias("h"), F.coalesce(ahead, F.lit(False)).alias("todo"))
+        known = cut(known)
+        # Pairs that are at their ends, or go on: within the limit, or from the least bound behind it.
+        state = known.groupBy("a", "b").agg(F.min(F.when(F.col("node") == F.col("b"), F.col("way.dist"))).alias("best"), F.min(F.when(F.col("todo"), bound)).alias("next"))
+        raised = F.when(F.col("next") <= F.col("limit"), F.col("limit")).otherwise(F.greatest(F.col("next"), F.col("limit")) + F.col("rise"))
+        limits = cut(limits.select("a", "b", "limit", "rise").join(state, ["a", "b"]).select("a", "b", "best", "next", F.coalesce("best", raised).alias("limit"), F.when(F.col("next") > F.col("limit"), F.col("rise") * 2).otherwise(F.col("rise")).alias("rise")))
+        if limits.where("next < limit - 1e-9 OR (best IS NULL AND next IS NOT NULL)").isEmpty():
+            return known.select(*keys, "way.*")
+
+
+def shortest_ways(trips: DataFrame, edges: DataFrame, steps: int = 6, places: DataFrame | None = None, counted: bool = False) -> DataFrame:
+    """trip_id, a, b, miles: the length of the shortest way over edges (a, b, miles), null where there is none.
+
+    places (node, lat, lon), where edges are at least as long as the great circle between their ends, narrow the
+    search to the nodes that can be on such a way. counted: with settled, how many nodes the pair's search has reached.
+    """
+    known = cut(_ways(trips.select("a", "b").where("a IS NOT NULL AND b IS NOT NULL").distinct(), edges, places, steps))
+    found = known.where("node = b").select("a", "b", F.col("dist").alias("miles"))
+    out = trips.select("trip_id", "a", "b").join(found, ["a", "b"], "left").select("trip_id", "a", "b", "miles")
+    return out.join(known.groupBy("a", "b").agg(F.count("*").alias("settled")), ["a", "b"], "left").select(*out.columns, "settled") if counted else out
 
 
 def route_trips(trips: DataFrame, lines: DataFrame, few: int = 10, steps: int = 6) -> DataFrame:
@@ -206,15 +254,15 @@ def route_trips(trips: DataFrame, lines: DataFrame, few: int = 10, steps: int =
     for k in "ab":
         out = out.join(snapped.toDF(f"lat_{k}", f"lon_{k}", k), [f"lat_{k}", f"lon_{k}"], "left")
     out = cut(out.select("trip_id", "lat_a", "lon_a", "lat_b", "lon_b", "a", "b"))
-    known = cut(_distances(out.where("a IS NOT NULL").select(F.col("a").alias("origin")).distinct(), road_graph(lines), steps))
     asked = out.where("a IS NOT NULL AND b IS NOT NULL").select("a", "b").distinct()
-    met = asked.join(known, (F.col("a") == F.col("origin")) & (F.col("b") == F.col("node"))).select("a", "b", "dist", "via", F.array("b").alias("nodes"))
+    known = cut(_ways(asked, road_graph(lines), nodes.select("node", "lat", "lon"), steps))
+    met = known.where("node = b").select("a", "b", "dist", "via", F.array("b").alias("nodes"))
     done, todo = [], cut(met)
     while not todo.isEmpty():
         done.append(todo.where("size(via) = 0").select("a", "b", F.col("dist").alias("miles"), "nodes"))
         more = todo.where("size(via) > 0").select("a", "b", F.col("dist").alias("miles"), F.concat("via", "nodes").alias("nodes"), F.col("via")[0].alias("_at"))
-        back = known.select("origin", F.col("node").alias("_at"), "via")
-        todo = cut(more.join(back, (F.col("a") == F.col("origin")) & (more["_at"] == back["_at"])).select("a", "b", F.col("miles").alias("dist"), "via", "nodes"))
+        back = known.select("a", "b", F.col("node").alias("_at"), "via")
+        todo = cut(more.join(back, ["a", "b", "_at"]).select("a", "b", F.col("miles").alias("dist"), "via", "nodes"))
     found = reduce(DataFrame.unionByName, done) if done else met.select("a", "b", F.col("dist").alias("miles"), "nodes")
     steps_of = found.select("a", "b", F.posexplode("nodes").alias("i", "node")).join(nodes.select("node", "lat", "lon"), "node")
     ways = steps_of.groupBy("a", "b").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "lat", "lon"))), lambda x: F.struct(x["lat"].alias("lat"), x["lon"].alias("lon"))).alias("way"))

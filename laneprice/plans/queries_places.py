@@ -161,32 +161,60 @@ def geo04_merge_sources(spark, sf):
 
 
 def road_lines(spark, sf):
-    """A lattice of 20 by 20 towns that parts are in, as lines along its rows and columns; some links are missing."""
-    k = views._t(spark, sf, "part").select((F.col("p_partkey") % 400).alias("node")).distinct()
-    rows = k.select("node", F.explode(F.array(F.struct((F.col("node") * 1).alias("line"), F.lit(0).alias("n")), F.struct((F.col("node") - 1).alias("line"), F.lit(1).alias("n")), F.struct((F.col("node") + 1000).alias("line"), F.lit(0).alias("n")), F.struct((F.col("node") + 980).alias("line"), F.lit(1).alias("n")))).alias("p")).select("node", "p.*")
-    good = F.expr("line >= 0 AND (line >= 1000 OR (line % 20 < 19 AND (line * 7) % 10 <> 3)) AND (line < 1000 OR ((line - 1000) * 7) % 10 <> 3)")
-    return rows.where(good).withColumn("lat", 25 + F.floor(F.col("node") / 20) * 1.2).withColumn("lon", -124 + F.col("node") % 20 * 3.0)
-
-
-_GRAPH = f"k AS (SELECT DISTINCT p_partkey % 400 AS k FROM part), l AS (SELECT a.k AS a, b.k AS b FROM k a JOIN k b ON (b.k = a.k + 1 AND a.k % 20 < 19) OR b.k = a.k + 20 WHERE (7 * a.k) % 10 <> 3), g AS (SELECT a, b, 25 + (a // 20) * 1.2::DOUBLE AS lat1, -124 + (a % 20) * 3.0::DOUBLE AS lon1, 25 + (b // 20) * 1.2::DOUBLE AS lat2, -124 + (b % 20) * 3.0::DOUBLE AS lon2 FROM l)"
+    """The links of a lattice of 40 columns of the customers as lines; it grows with them."""
+    from .queries_roads import lattice
+
+    ends = F.explode(F.array(F.struct(F.lit(0).alias("n"), F.col("y1").alias("lat"), F.col("x1").alias("lon")), F.struct(F.lit(1).alias("n"), F.col("y2").alias("lat"), F.col("x2").alias("lon"))))
+    return lattice(spark, sf).select((F.col("a") * 2 + (F.col("way") == "C").cast("int")).alias("line"), ends.alias("e")).select("line", "e.*")
+
+
+_LATTICE = """k AS (SELECT c_custkey AS k FROM customer), lk AS (SELECT k AS a, k + d AS b FROM k, (VALUES (1, 'R'), (40, 'C')) s(d, way) WHERE 7 * k % 10 <> 3 AND (way = 'C' OR k % 40 < 39) AND k + d IN (SELECT k FROM k)),
+lx AS (SELECT *, -124 + a % 40 * 0.05::DOUBLE + (a // 40) // 3700 * 3.0::DOUBLE AS lon1, -75 + ((a // 40) % 3700) * 0.04::DOUBLE AS lat1, -124 + b % 40 * 0.05::DOUBLE + (b // 40) // 3700 * 3.0::DOUBLE AS lon2, -75 + ((b // 40) % 3700) * 0.04::DOUBLE AS lat2 FROM lk)"""
+_PLACE = "floor({0} * 10000 + 0.5)::BIGINT * 10000000 + floor({1} * 10000 + 0.5)::BIGINT"
+_GRAPH = f"{_LATTICE}, g AS (SELECT {_PLACE.format('lat1', 'lon1')} AS a, {_PLACE.format('lat2', 'lon2')} AS b, lat1, lon1, lat2, lon2 FROM lx)"
+#: Ends of trips: the suppliers' towns, by their number in the lattice.
+_ENDS = "(SELECT max(c_custkey) FROM customer)"
+_SEARCH = f"""{_GRAPH}, e AS (SELECT a, b, {_MILES} AS miles FROM g UNION ALL SELECT b, a, {_MILES} FROM g),
+nd AS (SELECT DISTINCT a AS node, lat1 AS lat, lon1 AS lon FROM g UNION SELECT DISTINCT b, lat2, lon2 FROM g),
+tt AS (SELECT s_suppkey AS trip_id, 1 + s_suppkey * 7 % {_ENDS} AS ka, 1 + (s_suppkey * 13 + 13) % {_ENDS} AS kb FROM supplier),
+tp AS (SELECT trip_id, -75 + (ka // 40) % 3700 * 0.04::DOUBLE + 0.011 AS ya, -124 + ka % 40 * 0.05::DOUBLE + ka // 40 // 3700 * 3.0::DOUBLE + 0.007 AS xa, -75 + (kb // 40) % 3700 * 0.04::DOUBLE - 0.012 AS yb, -124 + kb % 40 * 0.05::DOUBLE + kb // 40 // 3700 * 3.0::DOUBLE + 0.009 AS xb FROM tt),
+sa AS (SELECT trip_id, node, lat, lon, {_MILES.replace('lat1', 'ya').replace('lon1', 'xa').replace('lat2', 'lat').replace('lon2', 'lon')} AS gap FROM tp, nd QUALIFY row_number() OVER (PARTITION BY trip_id ORDER BY gap, node) = 1),
+sb AS (SELECT trip_id, node, lat, lon, {_MILES.replace('lat1', 'yb').replace('lon1', 'xb').replace('lat2', 'lat').replace('lon2', 'lon')} AS gap FROM tp, nd QUALIFY row_number() OVER (PARTITION BY trip_id ORDER BY gap, node) = 1),
+d(origin, node, dist) USING KEY (origin, node) AS (
+  SELECT DISTINCT node, node, 0.0::DOUBLE FROM sa
+  UNION SELECT d.origin, e.b, min(d.dist + e.miles) FROM d JOIN e ON e.a = d.node LEFT JOIN recurring.d r ON r.origin = d.origin AND r.node = e.b WHERE r.dist IS NULL OR d.dist + e.miles < r.dist - 1e-9 GROUP BY 1, 2),
+tr AS (SELECT trip_id, sa.node AS a, sb.node AS b, d.dist AS miles, sa.gap + sb.gap AS gaps FROM sa JOIN sb USING (trip_id) LEFT JOIN d ON d.origin = sa.node AND d.node = sb.node)"""
+
+
+@query(f", {_GRAPH} SELECT least(a, b) AS a, greatest(a, b) AS b, round({_MILES}, 5) AS miles FROM g")
+def geo10_road_graph(spark, sf):
+    return clusters.road_graph(clusters.with_nodes(road_lines(spark, sf))).select("a", "b", F.round("miles", 5).alias("miles"))
 
 
-@query(f", {_GRAPH} SELECT a, b, round({_MILES}, 5) AS miles FROM g")
-def geo10_road_graph(spark, sf):
-    return clusters.road_graph(road_lines(spark, sf)).select("a", "b", F.round("miles", 5).alias("miles"))
+def road_trips(spark, sf):
+    """trip_id, lat_a, lon_a, lat_b, lon_b: a typed place near a lattice town at either end, for every supplier."""
+    last = F.broadcast(views._t(spark, sf, "customer").agg(F.max("c_custkey").alias("last")))  # one row
+    k = views._t(spark, sf, "supplier").crossJoin(last).select(F.col("s_suppkey").alias("trip_id"), F.expr("1 + s_suppkey * 7 % last").alias("a"), F.expr("1 + (s_suppkey * 13 + 13) % last").alias("b"))
+    y = lambda c, more: (F.expr(f"-75 + ({c} div 40) % 3700 * 0.04D") + more).alias(f"lat_{c}")
+    x = lambda c, more: (F.expr(f"-124 + {c} % 40 * 0.05D + {c} div 40 div 3700 * 3.0D") + more).alias(f"lon_{c}")
+    return k.select("trip_id", y("a", 0.011), x("a", 0.007), y("b", -0.012), x("b", 0.009))
 
 
-@query(None)
+@query(f", {_SEARCH} SELECT trip_id, a, b, round(miles, 4) AS miles FROM tr")
 def geo12_shortest_ways(spark, sf):
-    trips = views._t(spark, sf, "supplier").selectExpr("s_suppkey AS trip_id", "s_suppkey * 7 % 400 AS a", "(s_suppkey * 13 + 13) % 400 AS b")
-    return clusters.shortest_ways(trips, clusters.road_graph(road_lines(spark, sf)))
+    lines_ = clusters.with_nodes(road_lines(spark, sf))
+    nodes, typed = clusters.road_nodes(lines_), road_trips(spark, sf)
+    ends = [clusters.snap(typed.select(F.col("trip_id").alias("id"), F.col(f"lat_{k}").alias("lat"), F.col(f"lon_{k}").alias("lon")), nodes).toDF("trip_id", k) for k in "ab"]
+    ways = clusters.shortest_ways(ends[0].join(ends[1], "trip_id"), clusters.road_graph(lines_), places=nodes)
+    return ways.select("trip_id", "a", "b", F.round("miles", 4).alias("miles"))
 
 
-@query(None)
+@query(f", {_SEARCH} SELECT trip_id, a, b, round(miles, 4) AS miles, round(miles + gaps, 4) AS walked FROM tr")
 def geo12_route_trips(spark, sf):
-    ends = views._t(spark, sf, "supplier").selectExpr("s_suppkey AS trip_id", "s_suppkey * 7 % 400 AS a", "(s_suppkey * 13 + 13) % 400 AS b")
-    at = lambda k: ((25.3 + F.floor(F.col(k) / 20) * 1.2).alias(f"lat_{k}"), (-123.6 + F.col(k) % 20 * 3.0).alias(f"lon_{k}"))
-    return clusters.route_trips(ends.select("trip_id", *at("a"), *at("b")), road_lines(spark, sf).drop("node"))
+    """walked: the length of the path from the first typed place to the second, summed leg by leg."""
+    routed = clusters.route_trips(road_trips(spark, sf), road_lines(spark, sf))
+    legs = F.zip_with(F.slice("path", 1, F.size("path") - 1), F.slice("path", 2, F.size("path") - 1), lambda p, q: geo.miles(p["lat"], p["lon"], q["lat"], q["lon"]))
+    return routed.select("trip_id", "a", "b", F.round("miles", 4).alias("miles"), F.round(F.aggregate(legs, F.lit(0.0), lambda s, m: s + m), 4).alias("walked"))
 
 
 @query(None)
