@@ -30,6 +30,15 @@ TILE_POINTS = 4096
 BLOCK = 256
 
 
+def cells_beside(cells: DataFrame, tall: float) -> DataFrame:
+    """cells (cy, cx and more) once for every cell (ny, nx) that may hold a point in reach of theirs, themselves among them."""
+    rows = cells.withColumn("ny", F.explode(F.array(F.col("cy") - 1, F.col("cy"), F.col("cy") + 1)))
+    n, other = grid_columns(F.col("cy"), tall), grid_columns(F.col("ny"), tall)
+    # A cell's stretch of longitudes covers these columns of the rows beside it, and one more on either side.
+    first, last = F.floor(F.col("cx") * other / n) - 1, F.floor((F.col("cx") + 1) * other / n) + 1
+    return rows.withColumn("nx", F.explode(F.array_distinct(F.transform(F.sequence(first, F.least(last, first + other)), lambda x: F.pmod(x, other)))))
+
+
 def tiled(points: DataFrame, reach_m: float) -> tuple[DataFrame, DataFrame]:
     """points (part, lat, lon and more) with cy, cx and tile, and the borders: part, cy, cx, to (another tile whose points may be in reach)."""
     tall = reach_m / DEGREE_M
@@ -48,11 +57,7 @@ def tiled(points: DataFrame, reach_m: float) -> tuple[DataFrame, DataFrame]:
     of = F.when(F.col("s").isNull(), F.xxhash64(F.lit(0), "cy", "cx")).otherwise(F.xxhash64("s.level", "s.ky", "s.kx"))
     cells = cut(cells.join(best, ["part", "cy", "cx"], "left").select("part", "cy", "cx", of.alias("tile")))
 
-    # A cell's stretch of longitudes covers these columns of the rows beside it, and one more on either side.
-    rows = cells.withColumn("ny", F.explode(F.array(F.col("cy") - 1, F.col("cy"), F.col("cy") + 1)))
-    n, other = grid_columns(F.col("cy"), tall), grid_columns(F.col("ny"), tall)
-    first, last = F.floor(F.col("cx") * other / n) - 1, F.floor((F.col("cx") + 1) * other / n) + 1
-    beside = rows.withColumn("nx", F.explode(F.array_distinct(F.transform(F.sequence(first, F.least(last, first + other)), lambda x: F.pmod(x, other)))))
+    beside = cells_beside(cells, tall)
     to = cells.select("part", F.col("cy").alias("ny"), F.col("cx").alias("nx"), F.col("tile").alias("to"))
     borders = beside.join(to, ["part", "ny", "nx"]).where("to <> tile").select("part", "cy", "cx", "to").distinct()
     return placed.join(cells, ["part", "cy", "cx"]), cut(borders)
