@@ -119,7 +119,7 @@ def str01_upsert_stream(spark, sf):
     d.repartition(4, "as_of").write.parquet(arrived)
     source = prices.read_arrivals(spark, arrived, d.schema, 2)
     prices.upsert_stream(source, target, ["code"], "as_of", _path(spark, "stream")).awaitTermination()
-    return spark.read.parquet(target)
+    return spark.read.parquet(target).drop("bucket")
 
 
 @query(" , r AS (SELECT *, lag(units) OVER (PARTITION BY code ORDER BY as_of) AS prev, row_number() OVER (PARTITION BY code ORDER BY as_of DESC) AS k FROM v_daily) SELECT code, as_of, units, prev, units - prev AS change FROM r WHERE k = 1")
@@ -128,7 +128,7 @@ def str02_move_stream(spark, sf):
     d = views.daily(spark, sf)
     d.repartition(4, "as_of").write.parquet(arrived)
     prices.move_stream(prices.read_arrivals(spark, arrived, d.schema, 2), _path(spark, "state"), out, "code", "as_of", "units", _path(spark, "stream")).awaitTermination()
-    return spark.read.parquet(out).drop("pct", "gap", "flags")
+    return spark.read.parquet(out).drop("pct", "gap", "flags", "bucket")
 
 
 @query(" SELECT event_type, ts::DATE AS day, count(*) AS n, max(ts)::TIMESTAMP AS newest FROM events GROUP BY 1, 2")

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.relations import content_equal, violations
@@ -31,7 +32,8 @@ def recover(spark: SparkSession, path: str) -> None:
     fs, make = _fs(spark, path)
     if fs.exists(make(path)) or not fs.exists(make(path).getParent()):
         return
-    aside = sorted((x.getModificationTime(), x.getPath().toString()) for x in fs.listStatus(make(path).getParent()) if x.getPath().getName().startswith(f"{make(path).getName()}.old-"))
+    name = make(path).getName()
+    aside = sorted((x.getModificationTime(), x.getPath().toString()) for x in fs.listStatus(make(path).getParent()) if x.getPath().getName().startswith((f".{name}.old-", f"{name}.old-")))
     if aside and not _renamed(fs, make(aside[-1][1]), make(path)):
         raise OSError(f"could not put {aside[-1][1]} back")
 
@@ -46,7 +48,7 @@ def _swap(spark: SparkSession, staged: dict[str, str]) -> None:
         for path, stage in staged.items():
             fs, make = _fs(spark, path)
             recover(spark, path)
-            old = make(f"{path}.old-{uuid.uuid4().hex}")
+            old = make(make(path).getParent(), f".{make(path).getName()}.old-{uuid.uuid4().hex}")  # hidden from readers
             had = fs.exists(make(path))
             if had and not _renamed(fs, make(path), old):
                 raise OSError(f"could not set {path} aside")
@@ -100,17 +102,98 @@ def write_validated(outputs: dict[str, tuple[DataFrame, dict[str, Column]]]) ->
             fs.delete(make(stage), True)
 
 
+def _staged(rows: DataFrame, path: str, ignore: tuple[str, ...] = ()) -> tuple[str, str]:
+    """Writes rows beside path; where they are, and their fingerprint: the columns, the count, and the sum and bitwise sum of the rows' hashes.
+
+    Counted while rows are written. A stage that ran twice may count twice; then the fingerprint fits no other.
+    """
+    columns = sorted(c for c in rows.columns if c not in ignore)
+    hashed, seen = F.xxhash64(*(F.col(f"`{c}`") for c in columns)), Observation()
+    told = rows.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(hashed.cast("decimal(20,0)")).alias("sum"), F.bit_xor(hashed).alias("xor"))
+    stage = f"{path}.new-{uuid.uuid4().hex}"
+    told.write.parquet(stage)
+    found = seen.get
+    kinds = [(c, rows.schema[c].dataType.simpleString()) for c in columns]
+    short = lambda x: hashlib.sha256(repr(x).encode()).hexdigest()[:32]
+    return stage, f"_fingerprint-{short(kinds)}-{short((found['n'], str(found['sum']), found['xor']))}"
+
+
 def write_if_changed(rows: DataFrame, path: str, ignore: tuple[str, ...] = ()) -> bool:
-    """Writes rows and says so, unless path holds the same rows already, columns in ignore aside."""
+    """Writes rows and says so, unless path holds the same rows already, columns in ignore aside.
+
+    Rows are written aside with their fingerprint, an empty file whose name readers pass over. If the table at path
+    has another one of the same columns it is replaced without being read; otherwise the rows themselves are compared.
+    """
     spark = rows.sparkSession
-    if exists(spark, path):
-        old = spark.read.parquet(path)
-        if set(old.columns) == set(rows.columns) and content_equal(rows, old.select(*rows.columns), ignore).first()["equal"]:
-            return False
-    stage = f"{path}.new-{uuid.uuid4().hex}"
-    rows.write.parquet(stage)
-    _swap(spark, {path: stage})
-    return True
+    stage, mark = _staged(rows, path, ignore)
+    fs, make = _fs(spark, stage)
+    try:
+        if exists(spark, path):
+            alike = mark.rpartition("-")[0]  # of the same columns
+            marks = [x.getPath().getName() for x in fs.listStatus(make(path)) if x.getPath().getName().startswith(alike)]
+            if not marks or mark in marks:
+                old, new = spark.read.parquet(path), spark.read.schema(rows.schema).parquet(stage)
+                if set(old.columns) == set(rows.columns) and content_equal(new, old.select(*rows.columns), ignore).first()["equal"]:
+                    return False
+        fs.create(make(f"{stage}/{mark}")).close()
+        _swap(spark, {path: stage})
+        return True
+    finally:
+        fs.delete(make(stage), True)
+
+
+def bucket_of(keys: list[str], buckets: int) -> Column:
+    return F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int").alias("bucket")
+
+
+def read_buckets(spark: SparkSession, path: str, schema, only: list[int] | None = None) -> DataFrame:
+    """The rows of a table that write_buckets() keeps, with their bucket; of some buckets alone if only is given."""
+    from pyspark.sql.types import IntegerType, StructField, StructType
+
+    whole = StructType([*(f for f in schema if f.name != "bucket"), StructField("bucket", IntegerType())])
+    if not exists(spark, path):
+        return spark.createDataFrame([], whole)
+    fs, make = _fs(spark, path)
+    for x in fs.listStatus(make(path)):  # one that a broken swap had set aside
+        if (name := x.getPath().getName()).startswith(".bucket="):
+            recover(spark, f"{path}/{name[1:].split('.old-')[0]}")
+    rows = spark.read.schema(whole).parquet(path)
+    return rows if only is None else rows.where(F.col("bucket").isin(*only))
+
+
+def write_buckets(spark: SparkSession, tables: dict[str, DataFrame], changed: list[int], ledger: str | None = None) -> None:
+    """Replaces the changed buckets of every table (path: rows with a bucket), all or none; the others' files stay.
+
+    Tables hold a folder a bucket. ledger names an empty file that is left in the first table once all is in place.
+    """
+    staged, swaps = [], {}
+    try:
+        for path, rows in tables.items():
+            stage = f"{path}.new-{uuid.uuid4().hex}"
+            staged.append(stage)
+            rows.where(F.col("bucket").isin(*changed)).repartition("bucket").write.partitionBy("bucket").parquet(stage)
+            fs, make = _fs(spark, stage)
+            fs.mkdirs(make(path))
+            swaps |= {f"{path}/{x.getPath().getName()}": x.getPath().toString() for x in fs.listStatus(make(stage)) if x.getPath().getName().startswith("bucket=")}
+        _swap(spark, swaps)
+    finally:
+        for stage in staged:
+            fs, make = _fs(spark, stage)
+            fs.delete(make(stage), True)
+    if ledger:
+        mark(spark, next(iter(tables)), ledger)
+
+
+def mark(spark: SparkSession, path: str, name: str) -> None:
+    """Leaves an empty file that readers pass over in a folder."""
+    fs, make = _fs(spark, path)
+    fs.mkdirs(make(path))
+    fs.create(make(f"{path}/_{name}")).close()
+
+
+def marked(spark: SparkSession, path: str, name: str) -> bool:
+    fs, make = _fs(spark, path)
+    return fs.exists(make(f"{path}/_{name}"))
 
 
 def keep_stamp(new: DataFrame, old: DataFrame, key: str, stamp: str) -> DataFrame:

@@ -1,5 +1,6 @@
 """Readers and writers on small files and pages."""
 
+import datetime
 import os
 
 import pytest
@@ -65,3 +66,48 @@ def test_a_broken_swap_loses_nothing(spark, tmp_path):
     with pytest.raises(OSError):
         sinks._swap(spark, {path: str(tmp_path / "missing")})
     assert spark.read.parquet(path).count() == 4 and sorted(os.listdir(tmp_path)) == ["t"]
+
+
+def files(path):
+    return {p: p.stat().st_mtime_ns for p in path.rglob("*.parquet")}
+
+
+def test_a_batch_rewrites_its_own_buckets(spark, tmp_path):
+    from laneprice.streaming import prices
+
+    target, state, out = tmp_path / "target", tmp_path / "state", tmp_path / "out"
+
+    def arrive(rows):
+        spark.createDataFrame(rows, "code int, as_of date, units long").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        source = prices.read_arrivals(spark, str(tmp_path / "in"), "code int, as_of date, units long")
+        prices.upsert_stream(source, str(target), ["code"], "as_of", str(tmp_path / "c1"), buckets=8).awaitTermination()
+        prices.move_stream(source, str(state), str(out), "code", "as_of", "units", str(tmp_path / "c2"), buckets=8).awaitTermination()
+        return [files(p) for p in (target, state, out)]
+
+    day = datetime.date(2026, 1, 1)
+    first = arrive([(c, day, 30_000 + c) for c in range(60)])
+    assert all(len({p.parent for p in f}) == 8 for f in first)
+    second = arrive([(7, day + datetime.timedelta(days=2), 39_000)])
+    for a, b in zip(first, second):  # one bucket of each table is new, the others' files are the very same
+        kept = {p for p in a if b.get(p) == a[p]}
+        assert len({p.parent for p in kept}) == 7 and {p.parent for p in b} == {p.parent for p in a}
+    got = {r["code"]: r["units"] for r in spark.read.parquet(str(target)).collect()}
+    assert got == {c: 39_000 if c == 7 else 30_000 + c for c in range(60)}
+    assert [(r["gap"], r["change"]) for r in spark.read.parquet(str(out)).where("code = 7").collect()] == [(2, 39_000 - 30_007)]
+    assert arrive([(7, day, 1), (8, day, 5)]) == second  # older, or equal versions: nothing is written
+    assert len(list(target.glob("_batch-*"))) == 3
+
+
+def test_fingerprints_save_reading_the_old_table(spark, tmp_path):
+    path = tmp_path / "t"
+    df = spark.range(50).withColumn("s", F.col("id").cast("string"))
+    assert sinks.write_if_changed(df, str(path)) and not sinks.write_if_changed(df.orderBy(F.desc("id")), str(path))
+    assert not sinks.write_if_changed(df.withColumn("s", F.lit("other")), str(path), ignore=("s",))
+    for p in path.glob("*.parquet"):
+        p.write_bytes(b"not parquet")
+    for p in path.glob(".*.crc"):
+        p.unlink()
+    assert sinks.write_if_changed(df.where("id < 49"), str(path))  # replaced without being read
+    assert spark.read.parquet(str(path)).count() == 49 and not list(tmp_path.glob("t.new-*"))
+    next(path.glob("_fingerprint-*")).unlink()
+    assert not sinks.write_if_changed(df.where("id < 49"), str(path))  # without one the rows themselves are compared
