@@ -2,21 +2,40 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Stretches that the dates of an as-of join are cut into.
+STRETCHES = 64
+
+
 def as_of_join(left: DataFrame, right: DataFrame, by: list[str], left_on: str, right_on: str, values: list[str], tolerance: int | None = None) -> DataFrame:
-    """left with the values of the newest right row dated at or before it, in one sorted pass over both.
+    """left with the values of the newest right row dated at or before it, in a sorted pass over both.
 
-    The right row counts even if its values are null; beyond tolerance days it is as if there were none.
+    The right row counts even if its values are null, but not without a date; beyond tolerance days it is as if there were none. A series is
+    cut at quantiles of all dates into STRETCHES, each sorted on its own; what a stretch begins with is the last right row
+    of those before it, found from one row a stretch and joined back. So a long series is spread over many tasks.
     """
-    keys = [F.col(c) for c in by]
+    keys, right = [F.col(c) for c in by], right.where(F.col(right_on).isNotNull())
     rest = [c for c in left.columns if c not in by]
     a = left.select(*keys, F.col(left_on).alias("_on"), F.lit(1).alias("_side"), F.struct(*rest).alias("_left"), F.lit(None).cast("struct<" + ",".join(f"{n}:{t}" for n, t in right.select(F.col(right_on).alias("_at"), *values).dtypes) + ">").alias("_right"))
     b = right.select(*keys, F.col(right_on).alias("_on"), F.lit(0).alias("_side"), F.lit(None).cast(a.schema["_left"].dataType).alias("_left"), F.struct(F.col(right_on).alias("_at"), *values).alias("_right"))
-    sofar = Window.partitionBy(*by).orderBy("_on", "_side").rowsBetween(Window.unboundedPreceding, 0)
-    found = a.unionByName(b).withColumn("_right", F.last("_right", ignorenulls=True).over(sofar)).where("_side = 1")
+    shares = F.array(*(F.lit(k / STRETCHES) for k in range(1, STRETCHES)))
+    bounds = right.agg(F.array_distinct(F.percentile_approx(right_on, shares)).alias("_bounds"))  # one row
+    rows = a.unionByName(b).crossJoin(F.broadcast(bounds)).withColumn("_stretch", F.coalesce(F.size(F.filter("_bounds", lambda x: x <= F.col("_on"))), F.lit(0))).drop("_bounds")
+
+    sofar = Window.partitionBy(*by, "_stretch").orderBy("_on", "_side").rowsBetween(Window.unboundedPreceding, 0)
+    found = rows.withColumn("_right", F.last("_right", ignorenulls=True).over(sofar)).where("_side = 1")
+    # A row for each stretch of a series: what it begins with is the last answer of those before.
+    begun = Window.partitionBy(*by).orderBy("_stretch").rowsBetween(Window.unboundedPreceding, -1)
+    known = rows.groupBy(*by, "_stretch").agg(F.max_by("_right", F.when(F.col("_side") == 0, F.col("_on"))).alias("_last"))
+    known = known.withColumn("_carried", F.last("_last", ignorenulls=True).over(begun)).where("_carried IS NOT NULL").drop("_last")
+    known = known.toDF(*(f"_k{i}" for i in range(len(by))), "_s", "_carried")
+    meets = reduce(lambda p, q: p & q, (F.col(c).eqNullSafe(F.col(k)) for c, k in zip([*by, "_stretch"], [*(f"_k{i}" for i in range(len(by))), "_s"], strict=True)))
+    found = found.join(known, meets, "left").withColumn("_right", F.coalesce("_right", "_carried"))
     near = F.lit(True) if tolerance is None else F.datediff("_on", "_right._at") <= tolerance
     return found.select(*by, "_left.*", *(F.when(near, F.col(f"_right.{v}")).alias(v) for v in values))
 

@@ -55,24 +55,53 @@ def cover_with_cells(edges: DataFrame, size: float) -> DataFrame:
     return edges.withColumn("cell_y", F.explode(F.sequence(F.floor(F.least("y1", "y2") / size), F.floor(F.greatest("y1", "y2") / size))))
 
 
+def polygon_cells(edges: DataFrame, size: float) -> DataFrame:
+    """code, poly, cell_y, cell_x, inside: the cells that an edge of a polygon touches (inside false), and those that lie in it.
+
+    An edge touches the cells of its stretch of every row. In a row the middles of cells are in a ring between an odd
+    crossing of their line and the next, so rings fill their cells row by row, not by a test of each.
+    """
+    hair = 1e-9
+    rows = edges.withColumn("cell_y", F.explode(F.sequence(F.floor((F.least("y1", "y2") - hair) / size), F.floor((F.greatest("y1", "y2") + hair) / size))))
+    at = lambda y: F.when(F.col("y1") == F.col("y2"), F.col("x1")).otherwise(F.col("x1") + (y - F.col("y1")) * (F.col("x2") - F.col("x1")) / F.nullif(F.col("y2") - F.col("y1"), F.lit(0.0)))
+    low, high = F.greatest(F.least("y1", "y2"), F.col("cell_y") * size), F.least(F.greatest("y1", "y2"), (F.col("cell_y") + 1) * size)
+    level = F.col("y1") == F.col("y2")
+    ends = (F.when(level, F.col("x1")).otherwise(at(low)), F.when(level, F.col("x2")).otherwise(at(high)))
+    touched = rows.withColumn("cell_x", F.explode(F.sequence(F.floor((F.least(*ends) - hair) / size), F.floor((F.greatest(*ends) + hair) / size)))).select("code", "poly", "cell_y", "cell_x").distinct()
+    touched = cut(touched)
+    middle = (F.col("cell_y") + 0.5) * size
+    crossings = rows.where((F.col("y1") > middle) != (F.col("y2") > middle)).groupBy("code", "poly", "ring", "is_hole", "cell_y").agg(F.sort_array(F.collect_list(at(middle))).alias("xs"))
+    pairs = F.explode(F.transform(F.sequence(F.lit(0), F.size("xs") - 2, F.lit(2)), lambda i: F.struct(F.get("xs", i).alias("w"), F.get("xs", i + 1).alias("e"))))
+    spans = crossings.where(F.size("xs") >= 2).select("code", "poly", "is_hole", "cell_y", pairs.alias("p")).select("*", F.ceil(F.col("p.w") / size - 0.5).alias("a"), (F.ceil(F.col("p.e") / size - 0.5) - 1).alias("b")).where("a <= b")
+    filled = spans.withColumn("cell_x", F.explode(F.sequence("a", "b"))).groupBy("code", "poly", "cell_y", "cell_x").agg(F.bool_or(~F.col("is_hole")).alias("outer"), F.bool_or("is_hole").alias("hole"))
+    filled = filled.where(F.col("outer") & ~F.col("hole")).join(touched, ["code", "poly", "cell_y", "cell_x"], "left_anti")
+    return touched.withColumn("inside", F.lit(False)).unionByName(filled.select("code", "poly", "cell_y", "cell_x", F.lit(True).alias("inside")))
+
+
 def locate(points: DataFrame, edges: DataFrame, size: float = 1.0) -> DataFrame:
     """id, code: the polygon with the smallest code that holds the point: inside its outer ring and in no hole.
 
-    A ray to the east crosses a ring an odd number of times; edges are found by the row of cells they
-    cross. Few edges are broadcast, so points stay where they are; with more, the points of a row are dealt
-    into SALTS parts. Points in no polygon are left out. Edges may have poly, the polygon of the code they belong to.
+    Points of a cell that lies in a polygon have its code by the cell alone. Those of cells that a polygon's edges
+    touch meet that polygon's edges in their row of cells: a ray to the east crosses a ring an odd number of times. Few
+    cells and edges are broadcast, so points stay where they are; with more, the points of a row are dealt into
+    SALTS parts. Points in no polygon are left out. Edges may have poly, the polygon of the code they belong to.
     """
-    covered = cover_with_cells(edges if "poly" in edges.columns else edges.withColumn("poly", F.lit(0)), size)
-    rays = points.select("id", "lat", "lon", F.floor(F.col("lat") / size).alias("cell_y"))
+    edges = edges if "poly" in edges.columns else edges.withColumn("poly", F.lit(0))
+    cells, covered = cut(polygon_cells(edges, size)), cover_with_cells(edges, size)
+    rays = points.select("id", "lat", "lon", F.floor(F.col("lat") / size).alias("cell_y"), F.floor(F.col("lon") / size).alias("cell_x"))
+    placed = rays.join(F.broadcast(cells) if cells.count() <= BROADCAST_EDGES else cells, ["cell_y", "cell_x"])
+    near = placed.where("NOT inside").select("id", "lat", "lon", "cell_y", "code", "poly")
+    keys = ["cell_y", "code", "poly"]
     if covered.count() <= BROADCAST_EDGES:
-        met = rays.join(F.broadcast(covered), "cell_y")
+        met = near.join(F.broadcast(covered), keys)
     else:
         salted = covered.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        met = rays.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")).join(salted, ["cell_y", "salt"])
+        met = near.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")).join(salted, [*keys, "salt"])
     crosses = ((F.col("y1") > F.col("lat")) != (F.col("y2") > F.col("lat"))) & (F.col("lon") < (F.col("x2") - F.col("x1")) * (F.col("lat") - F.col("y1")) / (F.col("y2") - F.col("y1")) + F.col("x1"))
-    odd = met.where(crosses).groupBy("id", "code", "poly", "ring", "is_hole").agg((F.count("*") % 2 == 1).alias("inside")).where("inside")
+    odd = met.where(crosses).groupBy("id", "code", "poly", "ring", "is_hole").agg((F.count("*") % 2 == 1).alias("odd")).where("odd")
     held = odd.groupBy("id", "code", "poly").agg(F.bool_or(~F.col("is_hole")).alias("outer"), F.bool_or("is_hole").alias("hole"))
-    return held.where(F.col("outer") & ~F.col("hole")).groupBy("id").agg(F.min("code").alias("code"))
+    held = held.where(F.col("outer") & ~F.col("hole")).select("id", "code").unionByName(placed.where("inside").select("id", "code"))
+    return held.groupBy("id").agg(F.min("code").alias("code"))
 
 
 def locate_near(points: DataFrame, edges: DataFrame, tolerance_km: float, size: float = 1.0) -> DataFrame:

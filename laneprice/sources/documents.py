@@ -164,14 +164,13 @@ def whole_pages(pages: DataFrame, expected: DataFrame) -> DataFrame:
 
 def assemble_arcs(arcs: DataFrame, refs: DataFrame, scale: float) -> DataFrame:
     """ring, points: arcs (arc, deltas array<struct<dx, dy>>) summed up and joined in the order of refs (ring, n, arc, reversed); joint vertices are not repeated."""
-    zero = F.struct(F.lit(0).cast("long").alias("x"), F.lit(0).cast("long").alias("y"), F.array().cast("array<struct<x:double,y:double>>").alias("out"))
-
-    def step(acc, d):
-        x, y = acc["x"] + d["dx"], acc["y"] + d["dy"]
-        return F.struct(x.alias("x"), y.alias("y"), F.concat(acc["out"], F.array(F.struct((x * scale).alias("x"), (y * scale).alias("y")))).alias("out"))
-
-    laid = arcs.select("arc", F.aggregate("deltas", zero, step)["out"].alias("points"))
-    parts = refs.join(laid, "arc").select("ring", "n", F.when(F.col("reversed"), F.reverse("points")).otherwise(F.col("points")).alias("points"))
+    sofar = Window.partitionBy("arc").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
+    steps = arcs.select("arc", F.posexplode("deltas").alias("i", "d"))
+    at = F.struct("i", *((F.sum(f"d.d{c}").over(sofar) * scale).alias(c) for c in "xy"))
+    laid = steps.select("arc", at.alias("p")).groupBy("arc").agg(F.array_sort(F.collect_list("p")).alias("points"))
+    laid = laid.select("arc", F.transform("points", lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y"))).alias("points"))
+    parts = refs.join(arcs.select("arc"), "arc", "left_semi").join(laid, "arc", "left").withColumn("points", F.coalesce("points", F.array().cast(laid.schema["points"].dataType)))
+    parts = parts.select("ring", "n", F.when(F.col("reversed"), F.reverse("points")).otherwise(F.col("points")).alias("points"))
     tail = F.when(F.col("n") > 0, F.slice("points", 2, F.greatest(F.size("points") - 1, F.lit(0)))).otherwise(F.col("points"))
     ordered = parts.select("ring", "n", tail.alias("points")).groupBy("ring").agg(F.array_sort(F.collect_list(F.struct("n", "points"))).alias("p"))
     return ordered.select("ring", F.flatten(F.transform("p", lambda p: p["points"])).alias("points"))
