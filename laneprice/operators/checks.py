@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .durable import cut
+
 #: Examples of a broken rule that are shown.
 SHOWN = 5
 
@@ -47,16 +49,19 @@ def check(rows: DataFrame, fields: dict[str, Field], unique: tuple[tuple[str, ..
             rules[f"{c}: above {f.high}"] = c, F.col(c) > f.high
         if f.pattern is not None:
             rules[f"{c}: other shape"] = c, ~F.col(c).rlike(f.pattern)
-    total = F.count("*").alias("rows")
-    sums = [F.count_if(bad).alias(f"n{i}") for i, (_, bad) in enumerate(rules.values())]
-    counts = rows.agg(total, *sums).first()  # one row
+    # One pass: every row names the rules that it breaks, and itself; equal values are counted before they are shuffled.
+    text = F.lit(None).cast("string")
+    named = [F.struct(F.lit(rule).alias("rule"), F.col(column).cast("string").alias("v"), F.coalesce(bad, F.lit(False)).alias("bad")) for rule, (column, bad) in rules.items()]
+    broken = F.filter(F.array(F.struct(F.lit("").alias("rule"), text.alias("v"), F.lit(True).alias("bad")), *named), lambda x: x["bad"])
+    told = cut(rows.select(F.explode(broken).alias("x")).groupBy("x.rule", "x.v").agg(F.count("*").alias("n")))
+    n = told.agg(F.coalesce(F.sum(F.when(F.col("rule") == "", F.col("n"))), F.lit(0))).first()[0]
     kind = "rule string, n long, examples array<string>"
-    named = [(r, counts[f"n{i}"]) for i, r in enumerate(rules)] + wrong + [(f"fewer than {least} rows", int(counts["rows"] < least)), (f"more than {most} rows", int(most is not None and counts["rows"] > most))]
-    found = spark.createDataFrame([(r, n, []) for r, n in named if n and r not in rules], kind)
-    for i, (rule, (column, bad)) in enumerate(rules.items()):
-        if counts[f"n{i}"]:
-            few = rows.where(bad).select(F.col(column).cast("string").alias("v")).distinct().orderBy("v").limit(SHOWN)
-            found = found.unionByName(few.agg(F.array_sort(F.collect_list("v")).alias("examples")).select(F.lit(rule).alias("rule"), F.lit(counts[f"n{i}"]).cast("long").alias("n"), "examples"))
+    wrong += [(f"fewer than {least} rows", int(n < least)), (f"more than {most} rows", int(most is not None and n > most))]
+    found = spark.createDataFrame([(rule, times, []) for rule, times in wrong if times], kind)
+    first = F.row_number().over(Window.partitionBy("rule").orderBy(F.asc_nulls_last("v")))
+    few = told.where("rule <> '' AND v IS NOT NULL").withColumn("k", first).where(F.col("k") <= SHOWN).groupBy("rule").agg(F.array_sort(F.collect_list("v")).alias("examples"))
+    sums = told.where("rule <> ''").groupBy("rule").agg(F.sum("n").alias("n")).join(few, "rule", "left")
+    found = found.unionByName(sums.select("rule", "n", F.coalesce("examples", F.array().cast("array<string>")).alias("examples")))
     for key in unique:
         again = rows.groupBy(*key).agg((F.count("*") - 1).alias("n")).where("n > 0")
         told = F.concat_ws(", ", *(F.col(c).cast("string") for c in key)).alias("v")

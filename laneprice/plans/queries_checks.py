@@ -11,12 +11,12 @@ from .registered import query
 
 @query(""" , o AS (SELECT CASE WHEN o_orderkey % 11 = 3 THEN NULL ELSE o_orderkey % 500 END AS k, o_orderstatus AS s, o_totalprice AS p FROM orders),
 b AS (SELECT 'k: null' AS rule, count(*) FILTER (k IS NULL) AS n FROM o UNION ALL SELECT 's: other value', count(*) FILTER (s NOT IN ('F', 'O')) FROM o UNION ALL SELECT 'p: above 400000', count(*) FILTER (p > 400000) FROM o UNION ALL SELECT 's: other shape', count(*) FILTER (s = 'P') FROM o
-UNION ALL SELECT 'k: not unique', (SELECT sum(n - 1) FROM (SELECT count(*) AS n FROM o GROUP BY k)) UNION ALL SELECT 'x: missing column', 1 UNION ALL SELECT 'fewer than 100000000 rows', 1) SELECT rule, n::BIGINT AS n FROM b WHERE n > 0""")
+UNION ALL SELECT 'k: not unique', (SELECT sum(n - 1) FROM (SELECT count(*) AS n FROM o GROUP BY k)) UNION ALL SELECT 'x: missing column', 1 UNION ALL SELECT 'fewer than 100000000 rows', 1) SELECT rule, n::BIGINT AS n, CASE rule WHEN 's: other value' THEN (SELECT string_agg(s, '|') FROM (SELECT DISTINCT s FROM o WHERE s NOT IN ('F', 'O') ORDER BY 1 LIMIT 5)) WHEN 'p: above 400000' THEN (SELECT string_agg(s, '|') FROM (SELECT DISTINCT p::VARCHAR AS s FROM o WHERE p > 400000 ORDER BY 1 LIMIT 5)) WHEN 's: other shape' THEN 'P' WHEN 'k: not unique' THEN (SELECT string_agg(v, '|') FROM (SELECT coalesce(k::VARCHAR, '') AS v FROM o GROUP BY k HAVING count(*) > 1 ORDER BY 1 LIMIT 5)) ELSE '' END AS examples FROM b WHERE n > 0""")
 def qlt01_closed_schema(spark, sf):
     k = F.col("o_orderkey")
     rows = views._t(spark, sf, "orders").select(F.when(k % 11 != 3, k % 500).alias("k"), F.col("o_orderstatus").alias("s"), F.col("o_totalprice").alias("p"))
     fields = {"k": checks.Field("bigint"), "s": checks.Field("string", values=("F", "O"), pattern="^[FO]$"), "p": checks.Field("double", low=-1e12, high=400000), "x": checks.Field("int")}
-    return checks.check(rows, fields, (("k",),), least=100_000_000).select("rule", "n")
+    return checks.check(rows, fields, (("k",),), least=100_000_000).select("rule", "n", F.array_join("examples", "|").alias("examples"))
 
 
 _NEW = """p AS (SELECT k AS page, (SELECT max(as_of) FROM v_daily) + CASE k % 5 WHEN 0 THEN 1 WHEN 1 THEN 0 WHEN 2 THEN -1 WHEN 3 THEN 9 ELSE 3 END AS as_of, code, CASE WHEN k = 7 AND code = 3 THEN 99999999 WHEN k = 12 OR k = 9 AND code > 0 THEN units ELSE units + k * 10 END AS price

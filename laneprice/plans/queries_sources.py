@@ -7,8 +7,9 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..operators.durable import shared_dir
-from ..sources import documents, sinks
+from ..sources import documents, sheets, sinks
 from ..streaming import prices
+from ..operators.durable import cut
 from . import views
 from .registered import query
 
@@ -33,9 +34,12 @@ def src02_weekly_grid(spark, sf):
     return documents.normalize_weekly_grid(cells, "1996-01-01", 1500, 3000)
 
 
-@query(", d AS (SELECT DISTINCT period FROM v_weekly ORDER BY 1 DESC LIMIT 20), r AS (SELECT * FROM v_weekly JOIN d USING (period) WHERE mills IS NOT NULL) SELECT series, period, mills FROM r WHERE period IN (SELECT period FROM r GROUP BY 1 HAVING count(*) = 5)")
+@query(", last AS (SELECT max(period) AS last FROM (SELECT period FROM v_weekly WHERE mills IS NOT NULL GROUP BY 1 HAVING count(*) = 5)), d AS (SELECT DISTINCT period FROM v_weekly, last WHERE period <= last ORDER BY 1 DESC LIMIT 20), r AS (SELECT * FROM v_weekly JOIN d USING (period) WHERE mills IS NOT NULL) SELECT series, period, mills FROM r WHERE period IN (SELECT period FROM r GROUP BY 1 HAVING count(*) = 5)")
 def src03_regional_feed(spark, sf):
-    feed = views.weekly(spark, sf).select("period", F.concat(F.lit("region "), "series").alias("region"), F.coalesce((F.col("mills") / 1000).cast("string"), F.lit("")).alias("price"))
+    w = cut(views.weekly(spark, sf))
+    # Up to the last whole week: the newest date must be whole, older ones that aren't are passed over.
+    last = w.where("mills IS NOT NULL").groupBy("period").agg(F.count("*").alias("n")).where("n = 5").agg(F.max("period").alias("last"))
+    feed = w.join(F.broadcast(last), F.col("period") <= F.col("last")).select("period", F.concat(F.lit(" region "), "series").alias("region"), F.coalesce((F.col("mills") / 1000).cast("string"), F.lit("")).alias("price"))
     names = views._t(spark, sf, "region").select(F.concat(F.lit("region R"), "r_regionkey").alias("region"), F.concat(F.lit("R"), "r_regionkey").alias("series"))
     return documents.regional_feed(feed, names, 5, 20)
 
@@ -69,6 +73,50 @@ def src09_normalize_tax(spark, sf):
     return documents.normalize_tax(rows, 5000, 45000).select("p_partkey", "mils", "reject")
 
 
+_TAXED = """, c AS (SELECT c_custkey AS k, c_custkey // 60 AS sheet, c_custkey % 60 AS i FROM customer), r AS (
+  SELECT *, CASE WHEN i < 50 THEN 'S' || i WHEN i = 50 THEN 'Federal Tax' WHEN i = 51 THEN 'Puerto Rico' WHEN i = 52 THEN 'DC' WHEN i = 53 AND sheet % 3 = 0 THEN 'Atlantis' WHEN i = 54 AND sheet % 4 = 1 THEN 'S7' ELSE '' END AS name,
+    CASE WHEN i = 50 THEN '24.4' WHEN k % 7 = 0 THEN '0' WHEN k % 11 = 0 THEN '0.' || (10 + k % 50) WHEN k % 13 = 0 THEN 'n/a' WHEN k % 17 = 0 THEN '-4' WHEN k % 29 = 0 THEN '' ELSE (2 + k % 60) || '.00' || (k % 10) || '5' END AS rate,
+    CASE WHEN k % 7 = 0 THEN CASE WHEN k % 2 = 0 THEN '-' ELSE '1/5/2020' END WHEN k % 19 = 0 THEN 'soon' WHEN k % 23 = 0 THEN '12/31/2025' WHEN k % 3 = 0 THEN (1 + k % 12) || '/' || (1 + k % 28) || '/' || (10 + k % 16) ELSE (1 + k % 12) || '/' || (1 + k % 28) || '/' || (90 + k % 10) END AS date FROM c)"""
+
+
+@query(_TAXED + """, n AS (SELECT *, CASE WHEN i < 50 THEN i WHEN i = 52 THEN 50 WHEN i = 54 AND name <> '' THEN 7 END AS code, TRY_CAST(rate AS DECIMAL(20, 8)) AS v FROM r WHERE name <> '' AND i <> 51),
+m AS (SELECT *, CASE WHEN v < 1.5 AND i <> 50 THEN v * 100 ELSE v END AS cents, v = 0 AND date = '-' AND i <> 50 AS none,
+  CASE WHEN date IN ('-', 'soon') THEN NULL WHEN length(string_split(date, '/')[3]) = 4 THEN strptime(date, '%-m/%-d/%Y')::DATE WHEN string_split(date, '/')[3]::INT > 25 THEN make_date(1900 + string_split(date, '/')[3]::INT, string_split(date, '/')[1]::INT, string_split(date, '/')[2]::INT) ELSE make_date(2000 + string_split(date, '/')[3]::INT, string_split(date, '/')[1]::INT, string_split(date, '/')[2]::INT) END AS eff FROM n),
+j AS (SELECT *, floor(cents * 1000 + 0.5)::BIGINT AS mils, CASE WHEN i = 54 AND EXISTS (SELECT 1 FROM n x WHERE x.sheet = m.sheet AND x.i = 7) THEN 'twice' WHEN code IS NULL AND i <> 50 THEN 'unknown state' WHEN rate = '' THEN 'empty rate' WHEN v IS NULL THEN 'not a number' WHEN v < 0 AND i <> 50 THEN 'negative'
+  WHEN v = 0 AND NOT none AND i <> 50 THEN 'zero with a date' WHEN NOT none AND i <> 50 AND eff IS NULL THEN 'not a date' WHEN NOT none AND i <> 50 AND eff > DATE '2025-10-16' THEN 'after the table was made' WHEN NOT none AND floor(cents * 1000 + 0.5) NOT BETWEEN 5000 AND 100000 THEN 'out of band' END AS reason FROM m),
+s AS (SELECT DISTINCT sheet FROM c)
+SELECT sheet, CASE WHEN reason IS NOT NULL THEN 'reject' WHEN i = 50 THEN 'federal' ELSE 'rate' END AS kind, CASE WHEN reason IS NOT NULL THEN CASE WHEN i = 52 THEN 'District of Columbia' ELSE name END WHEN i <> 50 THEN code::VARCHAR END AS name, CASE WHEN reason IS NULL AND NOT none THEN mils END AS mils, CASE WHEN reason IS NULL AND NOT none AND i <> 50 THEN eff END AS effective, reason FROM j
+UNION ALL SELECT sheet, 'reject', q.code::VARCHAR, NULL, NULL, 'missing state' FROM s, range(51) q(code) WHERE NOT EXISTS (SELECT 1 FROM j WHERE j.sheet = s.sheet AND j.code = q.code)
+UNION ALL SELECT sheet, 'reject', NULL, NULL, NULL, 'no federal row' FROM s WHERE NOT EXISTS (SELECT 1 FROM j WHERE j.sheet = s.sheet AND j.i = 50 AND reason IS NULL)""")
+def src09_import_taxes(spark, sf):
+    """Sheets of 60 rows made of customers, their columns in an order of their own, below a title and a header row."""
+    made = views._t(spark, sf, "customer").selectExpr("c_custkey AS k", "c_custkey div 60 AS sheet", "c_custkey % 60 AS i")
+    name = "CASE WHEN i < 50 THEN concat('S', i) WHEN i = 50 THEN 'Federal Tax' WHEN i = 51 THEN 'Puerto Rico' WHEN i = 52 THEN 'DC' WHEN i = 53 AND sheet % 3 = 0 THEN 'Atlantis' WHEN i = 54 AND sheet % 4 = 1 THEN 'S7' ELSE '' END AS name"
+    rate = "CASE WHEN i = 50 THEN '24.4' WHEN k % 7 = 0 THEN '0' WHEN k % 11 = 0 THEN concat('0.', 10 + k % 50) WHEN k % 13 = 0 THEN 'n/a' WHEN k % 17 = 0 THEN '-4' WHEN k % 29 = 0 THEN '' ELSE concat(2 + k % 60, '.00', k % 10, '5') END AS rate"
+    date = "CASE WHEN k % 7 = 0 THEN CASE WHEN k % 2 = 0 THEN '-' ELSE '1/5/2020' END WHEN k % 19 = 0 THEN 'soon' WHEN k % 23 = 0 THEN '12/31/2025' WHEN k % 3 = 0 THEN concat_ws('/', 1 + k % 12, 1 + k % 28, 10 + k % 16) ELSE concat_ws('/', 1 + k % 12, 1 + k % 28, 90 + k % 10) END AS date"
+    places = {"name": F.col("sheet") % 3, "rate": (F.col("sheet") + 1) % 3, "date": (F.col("sheet") + 2) % 3}
+    cell = lambda row, col, text: F.struct(row.cast("long").alias("row"), col.cast("long").alias("col"), text.alias("text"))
+    rows = made.selectExpr("k", "sheet", "i", name, rate, date)
+    body = rows.select("sheet", F.explode(F.array(*(cell(F.col("i") + 5, at, F.col(c)) for c, at in places.items()))).alias("c"))
+    top = [cell(F.lit(4), at, F.lit(sheets.TAX_LABELS[c])) for c, at in places.items()] + [cell(F.lit(y), F.lit(x), F.lit(t)) for y, x, t in ((0, 0, "Title"), (1, 4, "CurrDate"), (2, 4, "10/16/2025"), (1, 5, "CurrYear"), (2, 5, "2025"))]
+    cells = body.unionByName(made.select("sheet").distinct().select("sheet", F.explode(F.array(*top)).alias("c"))).select("sheet", "c.*")
+    states = spark.range(51).select(F.when(F.col("id") < 50, F.concat(F.lit("S"), "id")).otherwise("District of Columbia").alias("name"), F.col("id").alias("code"))
+    found = sheets.import_taxes(cells, states)
+    none = lambda kind: F.lit(None).cast(kind)
+    rates = found.rates.select("sheet", F.lit("rate").alias("kind"), F.col("code").cast("string").alias("name"), "mils", "effective", none("string").alias("reason"))
+    federal = found.federal.select("sheet", F.lit("federal").alias("kind"), none("string").alias("name"), "mils", none("date").alias("effective"), none("string").alias("reason"))
+    rejects = found.rejects.select("sheet", F.lit("reject").alias("kind"), "name", none("long").alias("mils"), none("date").alias("effective"), "reason")
+    return rates.unionByName(federal).unionByName(rejects)
+
+
+@query(", c AS (SELECT c_custkey // 10 AS sheet, c_custkey % 10 AS i, c_name FROM customer) SELECT sheet, max(CASE WHEN i = 4 THEN c_name END) AS value FROM c GROUP BY sheet")
+def src20_value_below(spark, sf):
+    """Columns of ten customers, one of them a label."""
+    k = F.col("c_custkey")
+    cells = views._t(spark, sf, "customer").select(F.expr("c_custkey div 10").alias("sheet"), (k % 10).alias("row"), F.lit(2).alias("col"), F.when(k % 10 == 3, " CurrYear ").otherwise(F.col("c_name")).alias("text"))
+    return sheets.value_below(cells, "CurrYear", required=False)
+
+
 @query(", r AS (SELECT l_orderkey, l_linenumber, l_partkey, l_extendedprice, sum(CASE WHEN l_linenumber % 3 = 1 THEN 1 ELSE 0 END) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS run FROM (SELECT l_orderkey, l_linenumber, min(l_partkey) AS l_partkey, min(l_extendedprice) AS l_extendedprice FROM lineitem GROUP BY 1, 2)) SELECT l_orderkey, string_agg(l_partkey::VARCHAR, ' ' ORDER BY l_linenumber) AS text FROM r GROUP BY l_orderkey, run")
 def src10_fold_lines(spark, sf):
     rows = views._t(spark, sf, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").cast("string").alias("text"))
@@ -142,14 +190,16 @@ def str03_freshness_stream(spark, sf):
     return spark.read.parquet(out)
 
 
-@query(" SELECT page_id, DATE '2026-01-05' AS as_of, c AS code, 3 + page_id % 9 / 10.0::DOUBLE AS price, NULL AS reject FROM pages, (VALUES ('OH'), ('TX')) v(c) WHERE page_id % 4 = 0 UNION ALL SELECT page_id, NULL, NULL, NULL, ['state twice', 'no single date', 'no rows'][page_id % 4] FROM pages WHERE page_id % 4 > 0")
+@query(" SELECT page_id, DATE '2026-01-05' AS as_of, c AS code, 3 + page_id % 9 / 10.0::DOUBLE AS price, NULL AS reject FROM pages, (VALUES ('OH'), ('TX')) v(c) WHERE page_id % 7 = 0 UNION ALL SELECT page_id, NULL, NULL, NULL, ['state twice', 'no single date', 'no rows', 'no such column', 'bad row', 'no table'][page_id % 7] FROM pages WHERE page_id % 7 > 0")
 def src04_state_prices(spark, sf):
-    k = F.col("page_id") % 4
+    """Tables whose diesel column stands between two others, and tables that break a rule."""
+    k = F.col("page_id") % 7
     price = F.format_string("$3.%d00", F.col("page_id") % 9)
-    row = lambda code: F.concat(F.lit(f'<tr><td><a href="/x?state={code}">x</a></td><td>$9.99</td><td>'), price, F.lit("</td></tr>"))
-    rows = F.when(k == 3, "").when(k == 1, F.concat(row("OH"), row("OH"))).otherwise(F.concat(row("OH"), row("TX")))
+    row = lambda code: F.concat(F.lit(f'<tr><td><a href="/x?state={code}">x</a></td><td>$9.99</td><td class="diesel"> '), price, F.lit(" </td><td>$8.88</td></tr>"))
+    rows = F.when(k == 3, "").when(k == 1, F.concat(row("OH"), row("OH"))).when(k == 5, F.concat(row("OH"), F.regexp_replace(row("TX"), r" [$]3[.]", " 3."))).otherwise(F.concat(row("OH"), row("TX")))
     day = F.when(k == 2, "").otherwise("Price as of 1/5/26")
-    made = views._t(spark, sf, "pages").select("page_id", F.concat(F.col("html"), day, F.lit("<table>"), rows, F.lit("</table>")).alias("html"))
+    head = F.concat(F.lit("<thead><tr><th>State</th><th>Regular</th><th><b>"), F.when(k == 4, "E85").otherwise("Diesel"), F.lit("</b></th><th>Other</th></tr></thead><tbody>"))
+    made = views._t(spark, sf, "pages").select("page_id", F.concat(F.col("html"), day, F.when(k == 6, "<table>").otherwise('<table class="x" id="sortable">'), head, rows, F.lit("</tbody></table>")).alias("html"))
     return documents.extract_state_prices(made).withColumn("price", F.col("price").cast("double"))
 
 

@@ -64,12 +64,31 @@ def normalize_weekly_grid(cells: DataFrame, first: str, low: int, high: int) ->
 def regional_feed(feed: DataFrame, names: DataFrame, keys: int, n: int) -> DataFrame:
     """series, period, mills of a feed (period, region, price text): its newest n dates whose `keys` regions are all there.
 
-    names maps region to series and is small: a row for each region; feed rows of other regions are left out.
+    names maps region to series and is small: a row for each region. It is an error if the newest date has a region
+    that names doesn't have or lacks one that it has, and if any of the n dates isn't a Monday, has a region twice or a
+    price that is no number. An older date that isn't whole is left out: only a whole week may replace stored data.
     """
     recent = feed.join(feed.select("period").distinct().orderBy(F.desc("period")).limit(n), "period", "left_semi")
-    rows = recent.join(names, "region").where(F.trim("price") != "")
-    whole = rows.groupBy("period").agg(F.count_distinct("series").alias("_k"), F.count("*").alias("_n")).where((F.col("_k") == keys) & (F.col("_n") == keys))
-    return rows.join(whole, "period", "left_semi").select("series", "period", F.floor(F.col("price").cast("double") * 1000 + 0.5).alias("mills"))
+    known = F.broadcast(names.select(F.trim("region").alias("_region"), "series"))
+    rows = recent.join(known, F.trim("region") == F.col("_region"), "left").drop("_region")
+    priced = F.col("series").isNotNull() & (F.coalesce(F.trim("price"), F.lit("")) != "")
+    number = F.col("price").try_cast("decimal(18,6)")
+    seen = rows.groupBy("period").agg(
+        F.min(F.when(F.col("series").isNull(), F.coalesce("region", F.lit("")))).alias("unknown"), F.count_distinct(F.when(priced, F.col("series"))).alias("have"),
+        (F.count("series") > F.count_distinct("series")).alias("twice"), F.min(F.when(priced & number.isNull(), F.col("price"))).alias("bad"),
+    )
+    newest = feed.agg(F.max("period").alias("newest"))  # one row
+    first, day = F.col("period") == F.col("newest"), F.col("period").cast("string")
+    problem = (
+        F.when(F.weekday("period") != 0, F.concat(day, F.lit(" is not a Monday")))
+        .when(F.col("twice"), F.concat(day, F.lit(" has a region twice")))
+        .when(F.col("bad").isNotNull(), F.concat(F.lit("no number: "), F.col("bad")))
+        .when(first & F.col("unknown").isNotNull(), F.concat(F.lit("unknown region: "), F.col("unknown")))
+        .when(first & (F.col("have") < keys), F.concat(day, F.lit(" is not whole")))
+    )
+    whole = seen.crossJoin(F.broadcast(newest)).withColumn("problem", problem)
+    whole = whole.where(F.when(F.col("problem").isNull(), (F.col("have") == keys) & F.col("unknown").isNull()).otherwise(F.raise_error(F.col("problem")).cast("boolean")))
+    return rows.where(priced).join(whole.select("period"), "period", "left_semi").select("series", "period", F.floor(number * 1000 + F.lit(0.5).cast("decimal(2,1)")).cast("long").alias("mills"))
 
 
 def extract_links(pages: DataFrame) -> DataFrame:
@@ -80,24 +99,32 @@ def extract_links(pages: DataFrame) -> DataFrame:
     return rows.select("page_id", "n", F.col("l.href").alias("href"), F.trim(F.regexp_replace("l.label", "<[^>]*>", "")).alias("label"))
 
 
-def extract_state_prices(pages: DataFrame) -> DataFrame:
+def extract_state_prices(pages: DataFrame, column: str = "Diesel") -> DataFrame:
     """page_id, as_of, code, price, reject of pages with a table of state prices.
 
-    A row links to state=XX and holds a price like $3.459 in its last priced cell. reject is set on a page
-    with no priced row, a state twice, or not exactly one date of the form "Price as of m/d/yy".
+    The table is the one whose id is sortable. A row of its body links to state=XX and holds a price like $3.459 in the
+    cell under the heading `column`. reject is set on a page without the table or the heading, with a row that isn't
+    such, without rows, with a state twice, or with not exactly one real date of the form "Price as of m/d/yy".
     """
     dates = F.array_distinct(F.regexp_extract_all("html", F.lit(r"Price as of\s+(\d{1,2}/\d{1,2}/\d{2})\b"), F.lit(1)))
-    rows = pages.select("page_id", dates.alias("d"), F.explode_outer(F.regexp_extract_all("html", F.lit(r"(?is)(<tr[^>]*>.*?</tr>)"), F.lit(1))).alias("tr"))
-    prices = F.regexp_extract_all("tr", F.lit(r"\$(\d\.\d{2,4})"), F.lit(1))
-    parsed = rows.select("page_id", "d", F.nullif(F.regexp_extract("tr", r"state=([A-Z]{2})", 1), F.lit("")).alias("code"), F.try_element_at(prices, F.lit(-1)).cast("decimal(6,4)").alias("price"))
-    good = F.col("code").isNotNull() & F.col("price").isNotNull()
-    page = Window.partitionBy("page_id")
-    n, kinds = F.count_if(good).over(page), F.size(F.collect_set(F.when(good, F.col("code"))).over(page))
-    reject = F.when(F.size("d") != 1, "no single date").when(n == 0, "no rows").when(n != kinds, "state twice")
-    checked = parsed.withColumn("reject", reject).where(good | F.col("reject").isNotNull())
+    held = lambda of, pattern: F.regexp_extract_all(of, F.lit(pattern), F.lit(1))
+    plain = lambda x: F.trim(F.regexp_replace(x, r"<[^>]*>|\s+", " "))
+    table = F.nullif(F.regexp_extract("html", r"""(?is)<table\b[^>]*\bid=["']?sortable\b[^>]*>(.*?)</table>""", 1), F.lit(""))
+    parts = pages.select("page_id", dates.alias("d"), table.alias("table"))
+    heads = F.transform(held(F.regexp_extract("table", r"(?is)<thead\b[^>]*>(.*?)</thead>", 1), r"(?is)<th\b[^>]*>(.*?)</th>"), plain)
+    parts = parts.withColumn("at", F.array_position(heads, column).cast("int"))
+    body = F.coalesce(F.nullif(F.regexp_extract("table", r"(?is)<tbody\b[^>]*>(.*?)(</tbody>|$)", 1), F.lit("")), F.regexp_replace("table", r"(?is)<thead\b.*?</thead>", ""))
+    rows = parts.select("page_id", "d", "table", "at", F.explode_outer(held(body, r"(?is)<tr\b[^>]*>(.*?)</tr>")).alias("tr"))
+    cell = plain(F.try_element_at(held("tr", r"(?is)<td\b[^>]*>(.*?)</td>"), F.when(F.col("at") > 0, F.col("at"))))
+    price = F.nullif(F.regexp_extract(cell, r"^\$(\d\.\d{2,4})$", 1), F.lit("")).cast("decimal(6,4)")
+    parsed = rows.select("page_id", "d", "table", "at", "tr", F.nullif(F.regexp_extract("tr", r"state=([A-Z]{2})", 1), F.lit("")).alias("code"), price.alias("price"))
+    good, page = F.col("code").isNotNull() & F.col("price").isNotNull(), Window.partitionBy("page_id")
     as_of = F.try_to_date(F.try_element_at("d", F.lit(1)), "M/d/yy")
-    kept = checked.select("page_id", F.when(F.col("reject").isNull(), as_of).alias("as_of"), F.when(F.col("reject").isNull(), F.col("code")).alias("code"), F.when(F.col("reject").isNull(), F.col("price")).alias("price"), "reject")
-    return kept.distinct()
+    n, bad, kinds = F.count_if(good).over(page), F.count_if(F.col("tr").isNotNull() & ~good).over(page), F.size(F.collect_set(F.when(good, F.col("code"))).over(page))
+    reject = F.when(F.col("table").isNull(), "no table").when(F.coalesce("at", F.lit(0)) == 0, "no such column").when(bad > 0, "bad row").when(n == 0, "no rows").when(n != kinds, "state twice").when((F.size("d") != 1) | as_of.isNull(), "no single date")
+    checked = parsed.withColumn("reject", reject).where(good | F.col("reject").isNotNull())
+    kept = lambda c, name: F.when(F.col("reject").isNull(), c).alias(name)
+    return checked.select("page_id", kept(as_of, "as_of"), kept(F.col("code"), "code"), kept(F.col("price"), "price"), "reject").distinct()
 
 
 def classify_fetches(responses: DataFrame, markers: list[str]) -> DataFrame:

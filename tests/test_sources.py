@@ -10,12 +10,30 @@ from laneprice.sources import documents, sinks
 
 
 def test_state_price_pages(spark):
-    row = lambda code, price: f'<tr><td><a href="/x?state={code}">x</a></td><td>$3.10</td><td>{price}</td></tr>'
-    day = "Price as of 1/5/26"
-    pages = [(1, day + row("OH", "$3.456") + row("TX", "$3.2")), (2, day + row("OH", "$3.456") + row("OH", "$3.457")), (3, row("OH", "$3.456")), (4, day), (5, None)]
-    got = {(r["page_id"], r["code"], r["reject"]) for r in documents.extract_state_prices(spark.createDataFrame(pages, "page_id long, html string")).collect()}
-    assert {(1, "OH", None), (2, None, "state twice"), (3, None, "no single date"), (4, None, "no rows")} <= got
-    assert all(r is not None for p, _, r in got if p > 1)
+    row = lambda code, price: f'<tr><td><a href="/x?state={code}">x</a></td><td>$3.10</td><td>{price}</td><td>$9.99</td></tr>'
+    day, head = "Price as of 1/5/26", "<thead><tr><th>State</th><th>Regular</th><th>Diesel</th><th>E85</th></tr></thead><tbody>"
+    page = lambda rows, day=day, head=head: f"{day}<table id='sortable'>{head}{rows}</tbody></table>"
+    pages = [(1, page(row("OH", "$3.456") + row("TX", "$3.2345"))), (2, page(row("OH", "$3.456") + row("OH", "$3.457"))), (3, page(row("OH", "$3.456"), "")), (4, page("")), (5, None)]
+    pages += [(6, page(row("OH", "$3.456"), head=head.replace("Diesel", "Gas"))), (7, day + "<table>" + row("OH", "$3.456") + "</table>"), (8, page(row("OH", "$3.456") + row("TX", "n/a"))), (9, page(row("OH", "$3.456"), "Price as of 13/45/26"))]
+    got = {(r["page_id"], r["code"], r["price"] and str(r["price"]), r["reject"]) for r in documents.extract_state_prices(spark.createDataFrame(pages, "page_id long, html string")).collect()}
+    told = {2: "state twice", 3: "no single date", 4: "no rows", 5: "no table", 6: "no such column", 7: "no table", 8: "bad row", 9: "no single date"}
+    assert got == {(1, "OH", "3.4560", None), (1, "TX", "3.2345", None)} | {(p, None, None, r) for p, r in told.items()}
+
+
+def test_feeds_that_are_not_whole(spark):
+    monday = datetime.date(2026, 1, 5)
+    names = spark.createDataFrame([("East", "R1"), ("West", "R2")], "region string, series string")
+    week = lambda n, *prices: [(monday + datetime.timedelta(days=7 * n), r, p) for r, p in prices]
+
+    def run(rows):
+        return sorted(map(tuple, documents.regional_feed(spark.createDataFrame(rows, "period date, region string, price string"), names, 2, 2).collect()))
+
+    good = week(1, ("East", "3.4565"), (" West ", "3.1"))
+    assert run(good + week(0, ("East", "3"))) == [("R1", good[0][0], 3457), ("R2", good[0][0], 3100)]  # the older week isn't whole
+    assert len(run(good + week(0, ("East", "3"), ("West", "4"), ("Moon", "5")))) == 2
+    for bad in (good + week(1, ("Moon", "3")), week(1, ("East", "3"), ("West", "")), good + week(0, ("East", "3"), ("East", "3")), good + week(0, ("East", "x")), week(1 / 7, ("East", "3"), ("West", "3"))):
+        with pytest.raises(Exception, match="Moon|whole|twice|number|Monday"):
+            run(bad)
 
 
 def test_arcs(spark):
