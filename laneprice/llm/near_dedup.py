@@ -6,10 +6,12 @@ the second, shifted circularly by k, orders them for coordinate k. Signatures ar
 Documents with equal shingle sets are folded into one node before anything else, so copies cost one row
 of the tables below, whatever their number. Inside a band's bucket a node is compared with one leader,
 not with all others; a further round takes another leader for buckets whose nodes are still in several
-components, and a last round checks what is left: nodes of different components there become a pair only
-if their sizes and the parity sketches of their sets allow a link. A sketch bit tells whether an odd
-number of shingles falls on it, so two sets differ in at least as many shingles as their sketches in
-bits: this bound drops no link. So no pair of different components that share a bucket goes unchecked.
+components, and a last round checks what is left: nodes of such buckets meet only if they share one of
+their rarest shingles, and become a pair only if they are of different components and their sizes and the
+parity sketches of their sets allow a link. Linked sets share one of their rarest shingles, and two sets
+differ in at least as many shingles as their sketches in bits (each tells whether an odd number of
+shingles falls on it): neither drops a link. So no pair of different components that share a bucket goes
+unchecked, and texts on one template, whose rare shingles are their own, don't meet.
 Every link is confirmed on the full shingle sets. A pair at exactly the threshold shares no bucket with
 probability (1 - t ** ROWS) ** BANDS, 5e-6 for 0.8.
 """
@@ -22,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -153,6 +155,37 @@ def _confirm(size: int, percent: int):
     return confirm
 
 
+def _listed(size: int):
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [s.view(np.int64) for s in shingle_sets(batch["text"], size)]
+            ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets) if sets else np.zeros(0, np.int64)))
+            yield pa.RecordBatch.from_arrays([batch["node"], lists], names=["node", "tokens"])
+
+    return listed
+
+
+def _rarest(nodes: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """node, component, token, few: the rarest shingles of every node (node, component), and those (few) that are enough towards a set as large or larger.
+
+    Shingles are ordered by how many of these nodes have them. Of two linked sets the smaller, of n, shares at least
+    2 * percent * n / (100 + percent) with the other, and the larger percent * n / 100 of its own n; so one of the
+    first of each that may be lacking, and one more, is common to both. Tokens that bring no pair of different
+    components are left out.
+    """
+    lists = bounded_batches(texts.join(nodes.select("node"), "node", "left_semi").select("node", "text")).mapInArrow(_listed(shingle), "node long, tokens array<long>")
+    tokens = written(lists.select("node", F.size("tokens").alias("n"), F.explode("tokens").alias("token")), "tokens")
+    often = tokens.groupBy("token").agg(F.count("*").alias("often"))
+    place = F.row_number().over(Window.partitionBy("node").orderBy("often", "token"))
+    # n less the least that is shared, and one: the quotients round the least up.
+    first = tokens.join(often, "token").withColumn("place", place).where(F.expr(f"place <= n * {100 - percent} div 100 + 1 AND often > 1"))
+    few = F.expr(f"place <= n * {100 - percent} div {100 + percent} + 1")
+    first = cut(first.select("node", "token", few.alias("few")).join(nodes, "node"))
+    several = first.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.bool_or("few").alias("few")).where("x < y AND few").select("token")
+    return first.join(several, "token")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80, groups: bool = False) -> DataFrame:
     """One row per document: id_col, n_shingles, component_id and kept; with groups also text_hash and group.
 
@@ -190,6 +223,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         return cut(bounded_batches(both.select("a", "b", "text_a", "text_b")).mapInArrow(_confirm(shingle, percent), "a long, b long"))
 
     links = confirmed(shared.where("node <> leader").select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct())
+    # Sizes of linked sets differ by the ratio 100 / percent at most, so their logarithms fall into the same or the next step.
+    step = math.log(100 / percent) * (1 + 1e-9) if percent < 100 else None
+    size = F.col("n_shingles") if step is None else F.floor(F.ln("n_shingles") / step)
+    near = F.array(size) if step is None else F.sequence(size - 1, size + 1)
+
+    def allowed(left: DataFrame, right: DataFrame, on: str, apart: str) -> DataFrame:
+        """a, b: nodes of left and right that share on and whose components, sizes and sketches allow a link."""
+
+        def side(df: DataFrame, x: str, level) -> DataFrame:
+            bits = (F.col("sketch")[i].alias(f"{x}{i}") for i in range(SKETCH))
+            return df.select(on, level.alias("level"), F.col("node").alias(x), F.col("component").alias(f"component_{x}"), F.col("n_shingles").alias(f"size_{x}"), *bits)
+
+        a, b = side(left, "a", size), side(right, "b", F.explode(near))
+        pairs = a.join(b, (a[on] == b[on]) & (a["level"] == b["level"]) & F.expr(apart) & F.expr(_may_link(percent)))
+        return pairs.select("a", "b").distinct()
+
     for last in (False, True):
         labels = connected_components(links)
         placed = shared.join(labels, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
@@ -197,20 +246,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         open_keys = cut(open_keys.where("x < y").select("key", F.col("next.node").alias("leader")))
         if open_keys.isEmpty():
             break
-        members = written(placed.join(open_keys, "key").join(sketches, "node"), "members")
-        # Sizes of linked sets differ by the ratio 100 / percent at most, so their logarithms fall into the same or the next step.
-        step = math.log(100 / percent) * (1 + 1e-9) if percent < 100 else None
-        size = F.col("n_shingles") if step is None else F.floor(F.ln("n_shingles") / step)
-        near = F.array(size) if step is None else F.sequence(size - 1, size + 1)
-
-        def side(df: DataFrame, x: str, level) -> DataFrame:
-            bits = (F.col("sketch")[i].alias(f"{x}{i}") for i in range(SKETCH))
-            return df.select("key", level.alias("level"), F.col("node").alias(x), F.col("component").alias(f"component_{x}"), F.col("n_shingles").alias(f"size_{x}"), *bits)
-
-        left, right = side(members, "a", size), side(members if last else members.where("node = leader"), "b", F.explode(near))
-        apart = "component_a < component_b" if last else "component_a <> component_b"
-        pairs = left.join(right, (left["key"] == right["key"]) & (left["level"] == right["level"]) & F.expr(apart) & F.expr(_may_link(percent)))
-        links = cut(links.union(confirmed(pairs.select("a", "b").distinct())))
+        members = placed.join(open_keys, "key")
+        if not last:
+            members = written(members.join(sketches, "node"), "members")
+            pairs = allowed(members, members.where("node = leader"), "key", "component_a <> component_b")
+        else:
+            rare = _rarest(cut(members.select("node", "component").distinct()), texts, shingle, percent)
+            rare = written(rare.join(sketches, "node"), "members")
+            smaller = "component_a <> component_b AND (size_a < size_b OR size_a = size_b AND a < b)"
+            pairs = allowed(rare.where("few"), rare, "token", smaller)
+        links = cut(links.union(confirmed(pairs)))
     labels = connected_components(links)
 
     placed = nodes.select("node", "rep_id").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))

@@ -87,3 +87,19 @@ def test_colliding_nodes_and_many_copies(spark, monkeypatch):
     assert len(got) == len(rows)
     for r in got:
         assert (r.n_shingles, r.component_id) == want[r.doc_id if r.doc_id is not None else 2]
+
+
+def test_texts_on_one_template_do_not_meet(spark):
+    rng = random.Random(5)
+    template = [f"t{i}" for i in range(120)]
+    met = {}
+    for n in (60, 120):
+        # 0.7 to 0.79 alike: no links, but they share buckets.
+        texts = [" ".join(template + [f"own{i} {j}x{i}" for j in range(9)]) for i in range(n)]
+        texts += [" ".join(template + rng.choices([f"w{i}" for i in range(30)], k=20)) for _ in range(12)]
+        df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_duplicates(df, shingle=2).collect()}
+        assert [got[i] for i in range(len(texts))] == brute(texts, 2, 80)
+        nodes = spark.createDataFrame([(i, i) for i in range(n)], "node long, component long")
+        met[n] = near_dedup._rarest(nodes, spark.createDataFrame(list(enumerate(texts[:n])), "node long, text string"), 2, 80).count()
+    assert met == {60: 0, 120: 0}  # what is rare in each is its own
