@@ -80,3 +80,36 @@ def test_any_column_names_pass_through(spark):
     got = pack(df, 4)
     assert got.columns == [*df.columns, "sequence_id", "offset"]
     assert sorted(tuple(r)[:-2] for r in got.collect()) == sorted(rows)
+
+
+def literal(lengths, capacity):
+    """Greedy fill, then two unpacked ones for the smallest of the bin while that fills the gap better; lengths of every bin."""
+    left, bins = sorted(lengths, reverse=True), []
+    while left:
+        mine = []
+        while fits := [n for n in left if n <= capacity - sum(mine)]:
+            mine.append(fits[0])
+            left.remove(fits[0])
+        while capacity > sum(mine):
+            small, room = min(mine), capacity - sum(mine) + min(mine)
+            pairs = [(a + b, a, b) for i, a in enumerate(left) for b in left[i + 1 :] if small < a + b <= room]
+            if not pairs:
+                break
+            _, a, b = max(pairs)
+            mine.remove(small)
+            mine += [a, b]
+            left.remove(a), left.remove(b)
+            left = sorted([*left, small], reverse=True)
+        bins.append(sorted(mine))
+    return sorted(bins)
+
+
+def test_bins_are_those_of_the_literal_rule():
+    rng = random.Random(9)
+    for _ in range(150):
+        capacity = rng.choice([7, 10, 40, 100])
+        lengths = [rng.randrange(1, capacity + 1) for _ in range(rng.randrange(0, 25))]
+        held = defaultdict(list)
+        for n, b in zip(lengths, best_two_fit(lengths, capacity)[0]):
+            held[b].append(n)
+        assert sorted(map(sorted, held.values())) == literal(lengths, capacity)
