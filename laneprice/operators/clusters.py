@@ -195,7 +195,9 @@ def _ways(pairs: DataFrame, edges: DataFrame, places: DataFrame | None, steps: i
         own = lambda k, y, x: places.select(F.col("node").alias(k), F.col("lat").alias(y), F.col("lon").alias(x))
         pairs = pairs.join(own("b", "ty", "tx"), "b").join(own("a", "_y", "_x"), "a").select("a", "b", "ty", "tx", miles("_y", "_x", "ty", "tx").alias("h"))
         left = lambda y, x: miles(y, x, "ty", "tx")
-    both, pairs = cut(both), cut(pairs)
+    # A node with all its edges is one row, so a step reads what it has reached once, and plans grow with the steps alone.
+    onward = cut(both.groupBy("node").agg(F.collect_list(F.struct("to", "step", "_y", "_x")).alias("next")))
+    pairs = cut(pairs)
     none = F.array().cast(f"array<{both.schema['node'].dataType.simpleString()}>")
     start = F.struct(F.lit(0.0).alias("dist"), F.lit(0).alias("hops"), none.alias("via"))
     known = cut(pairs.select("a", "b", "ty", "tx", F.col("a").alias("node"), start.alias("way"), F.col("h"), F.lit(True).alias("todo")))
@@ -204,12 +206,17 @@ def _ways(pairs: DataFrame, edges: DataFrame, places: DataFrame | None, steps: i
     while True:
         front = known.where("todo").join(limits.select("a", "b", "limit"), ["a", "b"]).where(bound <= F.col("limit"))
         reach = front.withColumn("way", F.col("way").withField("via", none)).select("a", "b", "ty", "tx", "node", "way", "h", "limit")
-        last = reach
         for n in range(steps):
-            way = F.struct((F.col("way.dist") + F.col("step")).alias("dist"), (F.col("way.hops") + 1).alias("hops"), F.concat("way.via", F.array("node")).alias("via"))
-            out = last.where(bound <= F.col("limit")).join(both, "node").select("a", "b", "ty", "tx", F.col("to").alias("node"), way.alias("way"), left("_y", "_x").alias("h"), "limit")
-            reach = reach.unionByName(out).groupBy("a", "b", "ty", "tx", "node", "h", "limit").agg(F.min("way").alias("way")).select(*reach.columns)
-            last = reach.where(F.size("way.via") == n + 1)
+            # What was reached stays; nodes that got closer in the step before go on.
+            goes = (F.size("way.via") == n) & (bound <= F.col("limit")) & F.col("next").isNotNull()
+
+            def beyond(e):
+                way = F.struct((F.col("way.dist") + e["step"]).alias("dist"), (F.col("way.hops") + 1).alias("hops"), F.concat("way.via", F.array("node")).alias("via"))
+                return F.struct(e["to"].alias("node"), way.alias("way"), left(e["_y"], e["_x"]).alias("h"))
+
+            stays = F.array(F.struct("node", "way", "h"))
+            met = reach.join(onward, "node", "left").select("a", "b", "ty", "tx", "limit", F.explode(F.when(goes, F.concat(stays, F.transform("next", beyond))).otherwise(stays)).alias("r"))
+            reach = met.select("a", "b", "ty", "tx", "limit", "r.*").groupBy("a", "b", "ty", "tx", "node", "h", "limit").agg(F.min("way").alias("way"))
         fresh = reach.select(*keys, "ty", "tx", "h", F.col("way").alias("now"), "limit")
         was = known.withColumnRenamed("way", "was").withColumnRenamed("h", "_h").withColumnRenamed("ty", "_ty").withColumnRenamed("tx", "_tx")
         all_ = was.join(fresh, keys, "full")
@@ -226,7 +233,7 @@ def _ways(pairs: DataFrame, edges: DataFrame, places: DataFrame | None, steps: i
             return known.select(*keys, "way.*")
 
 
-def shortest_ways(trips: DataFrame, edges: DataFrame, steps: int = 6, places: DataFrame | None = None, counted: bool = False) -> DataFrame:
+def shortest_ways(trips: DataFrame, edges: DataFrame, steps: int = 10, places: DataFrame | None = None, counted: bool = False) -> DataFrame:
     """trip_id, a, b, miles: the length of the shortest way over edges (a, b, miles), null where there is none.
 
     places (node, lat, lon), where edges are at least as long as the great circle between their ends, narrow the
@@ -238,7 +245,7 @@ def shortest_ways(trips: DataFrame, edges: DataFrame, steps: int = 6, places: Da
     return out.join(known.groupBy("a", "b").agg(F.count("*").alias("settled")), ["a", "b"], "left").select(*out.columns, "settled") if counted else out
 
 
-def route_trips(trips: DataFrame, lines: DataFrame, few: int = 10, steps: int = 6) -> DataFrame:
+def route_trips(trips: DataFrame, lines: DataFrame, few: int = 10, steps: int = 10) -> DataFrame:
     """trip_id, a, b, miles, path: the shortest way over lines (line, n, lat, lon) between typed points, path null where there is none.
 
     Trips have trip_id (once each), lat_a, lon_a, lat_b and lon_b; a and b are the nodes that their ends snap to, miles the

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import calendar
 from ..functions import geo as geometry
-from ..operators import clusters, exports, roads, spatial
+from ..operators import clusters, exports, outlines, roads, spatial
 from . import layers, trips, views
 from .queries import _H
 from .queries_places import _MILES, _SAMPLES, _samples, cell_edges
@@ -86,6 +86,20 @@ def srt05_label_points(spark, sf):
     return roads.label_points(rows)
 
 
+@query(""", c AS (SELECT c_custkey AS code, c_custkey % 40 AS x, c_custkey // 40 AS y FROM customer), d AS (SELECT *, 0.05::DOUBLE * ((x + y) % 2) + CASE WHEN (x * 7 + y) % 3 = 0 THEN 0.3::DOUBLE ELSE 0 END AS r, CASE WHEN x > 0 THEN 0.05::DOUBLE * ((x - 1 + y) % 2) + CASE WHEN ((x - 1) * 7 + y) % 3 = 0 THEN 0.3::DOUBLE ELSE 0 END ELSE 0 END AS l FROM c)
+SELECT code, (4 + (r > 0.2)::INTEGER + (l > 0.2)::INTEGER)::INTEGER AS n, round(1 + (CASE WHEN r > 0.2 THEN r ELSE 0 END - CASE WHEN l > 0.2 THEN l ELSE 0 END) / 2, 6) AS area FROM d""")
+def geo08_shared_borders(spark, sf):
+    """A grid of squares, one for each customer, whose upright borders bend at a vertex halfway: a little, which goes, or a lot, which stays in both squares."""
+    k = views._t(spark, sf, "customer").selectExpr("c_custkey AS code", "c_custkey % 40 AS x", "c_custkey div 40 AS y")
+    bend = lambda x: 0.05 * ((x + F.col("y")) % 2) + F.when((x * 7 + F.col("y")) % 3 == 0, 0.3).otherwise(0.0)
+    at = lambda x, y: F.struct((x * 1.0).alias("x"), (y * 1.0).alias("y"))
+    x, y = F.col("x"), F.col("y")
+    halfway = lambda x: at(x + 1 + bend(x), y + 0.5)
+    ring = F.concat(F.array(at(x, y), at(x + 1, y), halfway(x), at(x + 1, y + 1), at(x, y + 1)), F.when(x > 0, F.array(halfway(x - 1))).otherwise(F.array().cast("array<struct<x:double,y:double>>")))
+    thin = outlines.simplify_shared_borders(k.select("code", F.lit(0).alias("poly"), F.array(ring).alias("rings")), 0.2)
+    return thin.select("code", F.size("points").alias("n"), F.round(outlines.ring_area(F.col("points")), 6).alias("area"))
+
+
 @query(" , q AS (SELECT *, rint_lat - coalesce(lag(rint_lat) OVER o, 0) AS d_lat, rint_lon - coalesce(lag(rint_lon) OVER o, 0) AS d_lon, row_number() OVER o AS seq FROM (SELECT state, name, ord * 37 % 1000 AS population, lat + ord % 7 / 100.0::DOUBLE AS lat, lon - ord % 9 / 100.0::DOUBLE AS lon, round((lat + ord % 7 / 100.0::DOUBLE) * 100)::BIGINT AS rint_lat, round((lon - ord % 9 / 100.0::DOUBLE) * 100)::BIGINT AS rint_lon FROM v_town) WINDOW o AS (PARTITION BY state ORDER BY population DESC, name, lat, lon)) SELECT state, string_agg(name || ':' || d_lat || ':' || d_lon, ';' ORDER BY seq) AS columns FROM q GROUP BY state")
 def snk05_export_columnar(spark, sf):
     k = F.col("ord")
