@@ -10,7 +10,6 @@ from __future__ import annotations
 import math
 import os
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +25,7 @@ CAPACITY, SEPARATOR_ID = 2048, 0
 GROUP_PIECES, PIECE_BYTES = 20_000, 6_000
 #: A worker forgets its words beyond so many words or ids.
 CACHE_WORDS, CACHE_IDS = 600_000, 6_000_000
-#: Words that are encoded in one call.
+#: Words that are encoded in one call, joined by spaces; each id's place tells its word.
 LEARN_WORDS = 4096
 
 
@@ -59,9 +58,12 @@ class _Encoder:
     def _learn(self, keys: np.ndarray, texts: list[str]) -> None:
         sizes, flat = [self.sizes], [self.flat]
         for k in range(0, len(texts), LEARN_WORDS):
-            lists = [found.ids for found in self.tokenizer.encode_batch_fast(texts[k : k + LEARN_WORDS], add_special_tokens=False)]
-            sizes.append(np.fromiter(map(len, lists), np.int32, len(lists)))
-            flat.append(np.fromiter(chain.from_iterable(lists), self.flat.dtype))
+            part = texts[k : k + LEARN_WORDS]
+            found = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
+            starts = np.cumsum([0, *(len(t) + 1 for t in part[:-1])])
+            first = np.fromiter((a for a, _ in found.offsets), np.int64, len(found.ids))
+            sizes.append(np.bincount(np.searchsorted(starts, first, side="right") - 1, minlength=len(part)).astype(np.int32))
+            flat.append(np.array(found.ids, self.flat.dtype))
         at = np.searchsorted(self.keys, keys)
         self.rows = np.insert(self.rows, at, np.arange(len(self.sizes), len(self.sizes) + len(keys), dtype=np.int32))
         self.keys = np.insert(self.keys, at, keys)
