@@ -41,6 +41,15 @@ def corridor_band(samples: DataFrame, width_mi: float) -> DataFrame:
     return rows.select("trip_id", "n", left[0].alias("left_lat"), left[1].alias("left_lon"), right[0].alias("right_lat"), right[1].alias("right_lon"))
 
 
+def band_ring(band: DataFrame) -> DataFrame:
+    """trip_id, place, lat, lon: the closed ring of each band (corridor_band), out along its left side, back along its right and to the first point."""
+    whole = Window.partitionBy("trip_id")
+    rows = band.withColumn("_i", F.row_number().over(whole.orderBy("n")) - 1).withColumn("_c", F.count("*").over(whole))
+    point = lambda place, side: F.struct(place.cast("long").alias("place"), F.col(f"{side}_lat").alias("lat"), F.col(f"{side}_lon").alias("lon"))
+    corners = F.array_compact(F.array(point(F.col("_i"), "left"), point(2 * F.col("_c") - 1 - F.col("_i"), "right"), F.when(F.col("_i") == 0, point(2 * F.col("_c"), "left"))))
+    return rows.select("trip_id", F.explode(corners).alias("p")).select("trip_id", "p.*")
+
+
 def covered_cells(lines: DataFrame, size: float, pad: Column | float = 0.0) -> DataFrame:
     """lines (lat1, lon1, lat2, lon2) once for every cell that they come near: per row of cells, only the columns that the line has there.
 

@@ -32,11 +32,12 @@ def content_equal(a: DataFrame, b: DataFrame, ignore: tuple[str, ...] = ()) -> D
     return counted.agg((F.count_if(F.col("_n") != 0) == 0).alias("equal"))
 
 
-def fold_pins(pins: DataFrame, keys: list[str], direction: str, row: str) -> DataFrame:
-    """One row for pins with equal keys: rows (ids in order) and the direction if all agree, else null."""
+def fold_pins(pins: DataFrame, keys: list[str], direction: str, row: str, hints: str | None = None) -> DataFrame:
+    """One row for pins with equal keys: rows (ids in order), the direction if all agree, else null, and all that their hints (an array) hold, in order."""
     seen = F.collect_set(F.coalesce(F.col(direction), F.lit("")))
-    folded = pins.groupBy(*keys).agg(seen.alias("_d"), F.sort_array(F.collect_list(row)).alias("rows"))
-    return folded.select(*keys, F.when(F.size("_d") == 1, F.nullif(F.col("_d")[0], F.lit(""))).alias("direction"), "rows")
+    more = [] if hints is None else [F.array_sort(F.array_distinct(F.flatten(F.collect_set(hints)))).alias("hints")]
+    folded = pins.groupBy(*keys).agg(seen.alias("_d"), F.sort_array(F.collect_list(row)).alias("rows"), *more)
+    return folded.select(*keys, F.when(F.size("_d") == 1, F.nullif(F.col("_d")[0], F.lit(""))).alias("direction"), "rows", *(["hints"] if more else []))
 
 
 def latest_prices(states: DataFrame, prices: DataFrame, key: str, on: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import geo, money
-from ..operators import relations, series, spatial
+from ..operators import boards, relations, series, spatial
 from . import reports, views
 from .registered import query
 
@@ -153,7 +153,7 @@ def agg06_leaders(spark, sf):
 
 @query(" SELECT as_of, round(floor(avg(units) / 10 + 0.5)::DOUBLE / 1000, 3) AS average FROM v_daily GROUP BY 1")
 def agg08_national_average(spark, sf):
-    return views.daily(spark, sf).groupBy("as_of").agg(F.round(F.floor(F.avg("units") / 10 + 0.5) / 1000, 3).alias("average"))
+    return boards.national_average(views.daily(spark, sf), ["as_of"], "units")
 
 
 @query(", n AS (SELECT * FROM v_weekly WHERE period > DATE '1999-01-04') SELECT series, period, -mills AS mills FROM n UNION ALL SELECT * FROM v_weekly WHERE period NOT IN (SELECT period FROM n)")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import relations, series
+from ..operators import boards, relations, series
 from . import reports, views
 from .registered import query
 
@@ -46,13 +46,13 @@ def jon04_next_door(spark, sf):
 
 @query(" SELECT code, name, CASE WHEN NOT out_of_date THEN mils END AS mils FROM v_state LEFT JOIN v_tax USING (code)")
 def jon05_join_tax(spark, sf):
-    return views.states(spark, sf).select("code", "name").join(views.taxes(spark, sf), "code", "left").select("code", "name", F.when(~F.col("out_of_date"), F.col("mils")).alias("mils"))
+    return boards.join_current(views.states(spark, sf).select("code", "name"), views.taxes(spark, sf), "code", "mils", "out_of_date")
 
 
 @query(" SELECT code, count(*) AS checkable, count(*) FILTER (hint <> code) AS mismatches FROM (SELECT (c_custkey % 25)::INTEGER AS code, c_nationkey AS hint FROM customer WHERE c_acctbal > 0) GROUP BY 1")
 def jon14_hint_check(spark, sf):
     c = views._t(spark, sf, "customer").where("c_acctbal > 0").select((F.col("c_custkey") % 25).cast("int").alias("code"), F.array("c_nationkey").alias("hints"))
-    return c.groupBy("code").agg(F.count("*").alias("checkable"), F.count_if(~F.array_contains("hints", F.col("code"))).alias("mismatches"))
+    return boards.hint_check(c, ["code"], "hints", "code")
 
 
 @query(" SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0) AND o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING')")

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.money import per_mile_tenths
-from ..operators import relations, series
+from ..operators import boards, relations, series
 
 
 def region_board(weekly: DataFrame, states: DataFrame) -> DataFrame:
@@ -98,3 +98,80 @@ def newest_weeks(weekly: DataFrame, n: int) -> DataFrame:
     place = F.size("known") + 1 - F.array_position("known", F.col("period"))
     rows = recent.withColumn("k", place).groupBy("series").agg(*(F.max(F.when(F.col("k") == k, F.col("mills"))).alias(f"week_{k}") for k in range(1, n + 1)))
     return rows.withColumn("change", F.col("week_1") - F.col(f"week_{n}"))
+
+
+def whole_board(weekly: DataFrame, states: DataFrame, us: str, apart: Column) -> DataFrame:
+    """The region board with the country's row (series us) first: place, and covers, in words, the states that a row stands for."""
+    board = region_board(weekly, states)
+    surveyed = states.where("series IS NOT NULL")
+    own = surveyed.groupBy("series").agg(F.count_if(~apart).alias("_n"), F.bool_or(apart).alias("_a"))
+    every = surveyed.agg(F.count_if(~apart).alias("_n"), F.coalesce(F.bool_or(apart), F.lit(False)).alias("_a")).select(F.lit(us).alias("series"), "_n", "_a")
+    said = own.where(F.col("series") != us).unionByName(every).select("series", boards.covers(F.col("_n"), F.col("_a")).alias("covers"))
+    rows = board.join(said, "series", "left").withColumn("covers", F.coalesce("covers", F.lit("no states")))
+    return rows.withColumn("place", F.row_number().over(Window.orderBy((F.col("series") != us).cast("int"), "series")))  # a row for each series
+
+
+def board_notes(weekly: DataFrame, noun: str, since: str, flat_below: int = 10) -> DataFrame:
+    """One row beside the board of the newest week: how many moved which way, who moved most, and who is at a record."""
+    last = series.moves(weekly, ["series"], "period", F.col("mills"), 0).join(F.broadcast(weekly.agg(F.max("period").alias("period"))), "period").select("period", "series", "change")
+    line = boards.key_line(last, ["period"], "change", noun, flat_below)
+    biggest = boards.biggest_note(last, ["period"], "change", "series", flat_below)
+    kinds = series.peak_kind(weekly, ["series"], "period", "mills").withColumn("_one", F.lit(1))
+    record = boards.record_note(kinds, ["_one"], "kind", "series", noun, since).drop("_one")
+    return line.join(biggest, "period", "left").crossJoin(F.broadcast(record))
+
+
+def country_block(national: DataFrame, weekly: DataFrame, us: str, enabled: bool) -> DataFrame:
+    """One row: mode; the newest two daily dates, the days between them and the national price with its move; the newest two weeks and the country's price with its move.
+
+    national: as_of, mills. The mode is daily if it is enabled and there is a snapshot, else weekly, without a daily part.
+    """
+    dates = relations.last_two(national.where(F.lit(enabled)), "as_of").select(F.col("cur").alias("as_of"), F.col("prev").alias("prev_as_of"))
+    weeks = relations.last_two(weekly, "period").select(F.col("cur").alias("period"), F.col("prev").alias("prev_period"))
+
+    def with_prices(one: DataFrame, rows: DataFrame, on: str, name: str) -> DataFrame:
+        at = rows.join(F.broadcast(one), F.col("_on").isin(F.col(on), F.col(f"prev_{on}")))
+        pair = at.agg(F.max(F.when(F.col("_on") == F.col(on), F.col("_v"))).alias(name), F.max(F.when(F.col("_on") == F.col(f"prev_{on}"), F.col("_v"))).alias(f"{name}_prev"))
+        return one.crossJoin(F.broadcast(pair)).withColumn(f"{name}_change", F.col(name) - F.col(f"{name}_prev"))
+
+    daily = with_prices(dates, national.select(F.col("as_of").alias("_on"), F.col("mills").alias("_v")), "as_of", "national")
+    of_week = with_prices(weeks, weekly.where(F.col("series") == us).select(F.col("period").alias("_on"), F.col("mills").alias("_v")), "period", "us")
+    one = daily.crossJoin(F.broadcast(of_week)).withColumn("gap_days", F.datediff("as_of", "prev_as_of"))
+    return one.withColumn("mode", F.when(F.col("as_of").isNotNull(), "daily").otherwise("weekly"))
+
+
+def _past(points: DataFrame, by: str, on: str, value: str, tolerance: int, prefix: str) -> DataFrame:
+    """by and, under the prefix, the newest point, the changes over 4 and 52 weeks, the year's high and low, their first date and the kind of peak."""
+    rows = points.where(F.col(value).isNotNull())
+    out = series.high_low(rows, [by], on, value).join(rows.groupBy(by).agg(F.min(on).alias("first")), by)
+    for name, days in (("change_4w", 28), ("change_52w", 364)):
+        out = out.join(series.change_over(rows, [by], on, value, days, tolerance).select(by, F.col("change").alias(name)), by)
+    out = out.join(series.peak_kind(rows, [by], on, value).select(by, F.col(value).alias("price"), "kind"), by)
+    return out.select(by, *(F.col(c).alias(prefix + c) for c in out.columns if c != by))
+
+
+def past_year(states: DataFrame, daily: DataFrame, weekly: DataFrame) -> DataFrame:
+    """code, name, price, change_4w, change_52w, high, high_on, low, low_on, kind, basis_4w, basis, label: what became of each state's price.
+
+    Figures are ten-thousandths. They come from the daily prices; where those don't reach 4 weeks back, the 4-week change is
+    that of the state's weekly series, and where they don't reach a year back, all figures of the year are. A state
+    without a weekly series keeps its short history, whose label names its first date. Daily points may be up to 3
+    days older than asked, weekly ones not at all.
+    """
+    d = _past(daily.select("code", "as_of", "units"), "code", "as_of", "units", 3, "d_")
+    w = _past(weekly.select("series", "period", (F.col("mills") * 10).alias("units")), "series", "period", "units", 0, "w_")
+    rows = states.select("code", "name", "series").join(d, "code", "left").join(w, "series", "left")
+    has_weekly, short = F.col("w_price").isNotNull(), ~F.coalesce("d_complete", F.lit(False))
+    of_year = lambda c: F.when(has_weekly & short, F.col(f"w_{c}")).otherwise(F.col(f"d_{c}"))
+    label = F.when(of_year("complete"), "past year").otherwise(F.concat(F.lit("since "), of_year("first").cast("string")))
+    return rows.select(
+        "code", "name", F.coalesce("d_price", "w_price").alias("price"), F.coalesce("d_change_4w", "w_change_4w").alias("change_4w"), *(of_year(c).alias(c) for c in ("change_52w", "high", "high_on", "low", "low_on", "kind")),
+        F.when(F.col("d_change_4w").isNotNull(), "daily").when(F.col("w_change_4w").isNotNull(), "weekly").alias("basis_4w"), F.when(has_weekly & short, "weekly").when(F.col("d_price").isNotNull(), "daily").alias("basis"), label.alias("label"),
+    )
+
+
+def quote_board(states: DataFrame, weekly: DataFrame, daily: DataFrame, taxes: DataFrame) -> DataFrame:
+    """state_quotes with the low and high of the past year, what they are from, and how far up that range the price is, in percent."""
+    year = past_year(states, daily, weekly).select("code", "low", "high", "label")
+    up = F.when(F.col("high") > F.col("low"), F.round((F.col("cur") - F.col("low")) / (F.col("high") - F.col("low")) * 100, 2))
+    return state_quotes(states, weekly, daily, taxes).join(year, "code").withColumn("up_range", up)
