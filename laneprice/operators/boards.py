@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.money import signed_cents
+from ..functions.text import squash
 
 #: Names that a note gives one by one; where more are tied it counts them.
 NAMED = 3
@@ -212,3 +213,18 @@ def release_dates(existing: DataFrame, stored: DataFrame, primary: DataFrame, gi
     rows = one.select("newest", source.alias("source"), date("release").alias("release"), date("next_release").alias("next_release"), F.col("s_release"), F.col("g_release"), led.alias("_led"))
     warning = F.when(F.col("release").isNull() & F.col("s_release").isNotNull(), "cleared").when(F.col("_led") & F.col("g_release").isNull() & F.col("release").isNotNull(), "missing")
     return rows.select("newest", "source", "release", "next_release", warning.alias("warning"))
+
+
+def notes_check(notes: DataFrame, footnotes: DataFrame, rates: DataFrame, key: str, checked: str) -> DataFrame:
+    """key, problem: hand-written notes that no longer go with their source, one row for each thing that is wrong.
+
+    notes: key, anchor, period, out_of_date. footnotes: key, text. rates: key, out_of_date. lost: the footnotes of the key
+    don't hold the anchor, whatever the case and blanks. period: the note is of another period than the checked one. out of
+    date: note and rate don't say the same, or only one of them says that it is out of date.
+    """
+    held = notes.join(footnotes.select(key, F.col("text").alias("_text")), key, "left")
+    found = held.groupBy(key, "anchor", "period").agg(F.coalesce(F.bool_or(F.contains(squash(F.col("_text")), squash(F.col("anchor")))), F.lit(False)).alias("_held"))
+    lost = found.where(~F.col("_held")).select(key, F.lit("lost").alias("problem"))
+    period = found.where(~F.col("period").eqNullSafe(F.lit(checked))).select(key, F.lit("period").alias("problem"))
+    said = notes.where("out_of_date").select(key).distinct().withColumn("_a", F.lit(1)).join(rates.where("out_of_date").select(key).distinct().withColumn("_b", F.lit(1)), key, "full")
+    return lost.unionByName(period).unionByName(said.where("_a IS NULL OR _b IS NULL").select(key, F.lit("out of date").alias("problem"))).distinct()

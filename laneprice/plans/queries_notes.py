@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import boards, lines, relations, series
+from ..sources import documents
 from . import reports, views
 from .queries_board import _LAST, _PAIR
 from .queries_places import _BETWEEN, _SAMPLES, _SIDE, _samples
@@ -217,3 +218,26 @@ def qlt08_run_statuses(spark, sf):
 def qlt08_divergence(spark, sf):
     rows = reports.latest_snapshot(views.states(spark, sf), views.weekly(spark, sf), views.daily(spark, sf)).withColumn("weekly", F.col("mills") * 10)
     return boards.divergence(rows, "code", "cur", "weekly", 200)
+
+
+@query(""", p AS (SELECT *, id % 4 AS k, CASE id % 3 WHEN 0 THEN 'Weigh Station' WHEN 1 THEN 'weigh scale' ELSE 'Rest Area' END AS kind FROM v_point)
+SELECT id, round(lat, 5) AS lat, round(lon, 5) AS lon, greatest(DATE '2024-01-01' + (id % 400)::INTEGER, CASE WHEN id % 5 = 0 THEN DATE '2024-06-01' END) AS edited_on FROM p WHERE k < 3 AND kind <> 'Rest Area'""")
+def src13_geojson_points(spark, sf):
+    k, kind = F.col("id") % 4, F.when(F.col("id") % 3 == 0, "Weigh Station").when(F.col("id") % 3 == 1, "weigh scale").otherwise("Rest Area")
+    made = F.format_string('{"type": "Point", "coordinates": [%s, %s]}', "lon", "lat"), F.format_string('{"type": "MultiPoint", "coordinates": [[%s , %s, 7], [0, 0]]}', "lon", "lat")
+    ms = lambda day: (F.unix_date(day).cast("long") * 86400000).cast("string")
+    edit = F.create_map(F.lit("EDITED"), ms(F.date_add(F.lit("2024-01-01").cast("date"), (F.col("id") % 400).cast("int"))), F.lit("CREATED"), F.when(F.col("id") % 5 == 0, ms(F.lit("2024-06-01").cast("date"))))
+    props = F.map_concat(edit, F.create_map(F.lit("Type"), kind), F.when(k == 2, F.create_map(F.lit("Latitude"), F.col("lat").cast("string"), F.lit("long_"), F.col("lon").cast("string"))).otherwise(F.create_map(F.lit("Lat"), F.lit("n/a"))))
+    rows = views.points(spark, sf).select("id", F.when(k == 0, made[0]).when(k == 1, made[1]).alias("geometry"), props.alias("props"))
+    found = documents.geojson_points(rows, documents.property_test("Type", "startswith", "WEIGH"), ("EDITED", "CREATED"))
+    return found.select("id", F.round("lat", 5).alias("lat"), F.round("lon", 5).alias("lon"), "edited_on")
+
+
+@query(""", n AS (SELECT c_custkey AS k, c_mktsegment || '  ' || c_nationkey AS anchor, CASE WHEN c_custkey % 7 = 0 THEN '2025' ELSE '2026' END AS period, c_custkey % 5 = 0 AS ood FROM customer), f AS (SELECT o_custkey AS k, c_mktsegment || ' ' || (o_orderkey % 3 + c_nationkey) AS t FROM orders JOIN customer ON c_custkey = o_custkey)
+SELECT k, 'lost' AS problem FROM n WHERE NOT EXISTS (FROM f WHERE f.k = n.k AND contains(lower(t), lower(replace(anchor, '  ', ' ')))) UNION ALL SELECT k, 'period' FROM n WHERE period <> '2026' UNION ALL SELECT k, 'out of date' FROM n WHERE ood <> (k % 6 = 0)""")
+def qlt07_notes_check(spark, sf):
+    c = views._t(spark, sf, "customer")
+    notes = c.select(F.col("c_custkey").alias("k"), F.concat(F.lower("c_mktsegment"), F.lit("  "), F.col("c_nationkey")).alias("anchor"), F.when(F.col("c_custkey") % 7 == 0, "2025").otherwise("2026").alias("period"), (F.col("c_custkey") % 5 == 0).alias("out_of_date"))
+    owned = views._t(spark, sf, "orders").select(F.col("o_custkey").alias("c_custkey"), "o_orderkey").join(c, "c_custkey")
+    footnotes = owned.select(F.col("c_custkey").alias("k"), F.concat("c_mktsegment", F.lit(" "), F.col("o_orderkey") % 3 + F.col("c_nationkey")).alias("text"))
+    return boards.notes_check(notes, footnotes, c.select(F.col("c_custkey").alias("k"), (F.col("c_custkey") % 6 == 0).alias("out_of_date")), "k", "2026")

@@ -160,6 +160,39 @@ def flatten_points(features: DataFrame, test: Column | None = None) -> DataFrame
     return out.where("lat IS NOT NULL AND lon IS NOT NULL")
 
 
+# Names under which layers keep a point's position, in the order in which they are tried.
+LAT_NAMES = ("Lat", "LATITUDE", "Latitude", "lat", "Y_LAT")
+LON_NAMES = ("long", "LONGITUDE", "Longitude", "long_", "Lon", "X_LONG")
+
+
+def property_test(field: str, how: str, value: str) -> Column:
+    """Whether a property equals, excludes, startswith or contains a value, in any case; a missing property reads as empty."""
+    own, value = F.lower(F.coalesce(F.try_element_at("props", F.lit(field)), F.lit(""))), value.lower()
+    tests = {"equals": own == value, "excludes": ~F.contains(own, F.lit(value)), "startswith": F.startswith(own, F.lit(value)), "contains": F.contains(own, F.lit(value))}
+    if how not in tests:
+        raise ValueError(f"no such test: {how}")
+    return tests[how]
+
+
+def geojson_points(features: DataFrame, test: Column | None = None, edited: tuple[str, ...] = ()) -> DataFrame:
+    """id, lat, lon, edited_on of features (id, geometry as JSON text, props map) that pass the test.
+
+    The position is the geometry's first vertex, of whatever kind it is, else the properties under the first of LAT_NAMES
+    and LON_NAMES that has a value; features without a position are left out, and so are those whose properties are no
+    numbers. edited_on is the latest day among the properties edited, which hold milliseconds since 1970.
+    """
+    number = r"(-?\d+(?:\.\d+)?(?:[eE][-+]?\d+)?)"
+    vertex = rf'"coordinates"\s*:[\[\s]*\[\s*{number}\s*,\s*{number}'
+    at = lambda k: F.nullif(F.regexp_extract(F.coalesce("geometry", F.lit("")), vertex, k), F.lit("")).cast("double")
+    prop = lambda names: F.coalesce(*(F.try_element_at("props", F.lit(n)) for n in names)).try_cast("double")
+    own = at(1).isNotNull()
+    rows = features if test is None else features.where(test)
+    days = [F.to_date(F.timestamp_millis(F.try_element_at("props", F.lit(n)).try_cast("long"))) for n in edited]
+    latest = F.lit(None).cast("date") if not days else days[0] if len(days) == 1 else F.greatest(*days)
+    out = rows.select("id", F.when(own, at(2)).otherwise(prop(LAT_NAMES)).alias("lat"), F.when(own, at(1)).otherwise(prop(LON_NAMES)).alias("lon"), latest.alias("edited_on"))
+    return out.where("lat IS NOT NULL AND lon IS NOT NULL")
+
+
 def flatten_lines(features: DataFrame, codes: list[int] | None = None) -> DataFrame:
     """id, path, sign, code, state, points of features (id, sign, code, state, paths): one row for each path of two vertices or more.
 

@@ -6,6 +6,7 @@ import pytest
 
 from laneprice.operators import boards, lines, relations
 from laneprice.plans import reports
+from laneprice.sources import documents
 from pyspark.sql import functions as F
 
 
@@ -107,3 +108,24 @@ def test_pins_gather_their_hints(spark):
 def test_checks_of_hints_count_rows_that_have_some(spark):
     rows = spark.createDataFrame([(1, ["a"], "a"), (1, ["a", "b"], "c"), (1, [], "a"), (1, None, "a"), (1, ["a"], None)], "g int, h array<string>, code string")
     assert boards.hint_check(rows, ["g"], "h", "code").first().asDict() == {"g": 1, "checkable": 3, "mismatches": 2}
+
+
+def test_geojson_takes_the_first_vertex_else_properties(spark):
+    rows = [
+        (1, '{"type":"Point","coordinates":[-90.5,30]}', {}), (2, '{"type":"MultiLineString","coordinates":[[[-1e1,2.5,0],[0,0]]]}', {"Lat": "9"}), (3, '{"type":"Point","coordinates":[]}', {"LATITUDE": "31.5", "X_LONG": "-91"}),
+        (4, None, {"Lat": "n/a", "lat": "31", "Lon": "-91"}), (5, None, {"lat": "31"}), (6, None, None), (7, '{"type":"MultiPoint","coordinates":[[ -5 , 6 ],[0,0]]}', {"Kind": "closed SCALE"}),
+    ]
+    features = spark.createDataFrame(rows, "id int, geometry string, props map<string,string>")
+    assert {r.id: (r.lat, r.lon) for r in documents.geojson_points(features).collect()} == {1: (30.0, -90.5), 2: (2.5, -10.0), 3: (31.5, -91.0), 7: (6.0, -5.0)}
+    ids = lambda *t: sorted(r.id for r in documents.geojson_points(features, documents.property_test(*t)).collect())
+    assert (ids("Kind", "equals", "Closed Scale"), ids("Kind", "excludes", "scale"), ids("Kind", "startswith", "CLOSED"), ids("Kind", "contains", "d s")) == ([7], [1, 2, 3], [7], [7])
+    with pytest.raises(ValueError, match="no such test"):
+        documents.property_test("Kind", "like", "x")
+
+
+def test_notes_that_lost_their_source(spark):
+    notes = spark.createDataFrame([("A", "on  DIESEL", "2026", True), ("B", "none", "2026", False), ("C", "x", "2025", True), ("D", "x", None, False)], "k string, anchor string, period string, out_of_date boolean")
+    feet = spark.createDataFrame([("A", "tax on\n diesel"), ("A", "other"), ("C", "an X"), ("D", None)], "k string, text string")
+    rates = spark.createDataFrame([("A", True), ("B", True), ("C", False)], "k string, out_of_date boolean")
+    found = sorted((r.k, r.problem) for r in boards.notes_check(notes, feet, rates, "k", "2026").collect())
+    assert found == [("B", "lost"), ("B", "out of date"), ("C", "out of date"), ("C", "period"), ("D", "lost"), ("D", "period")]
