@@ -31,14 +31,28 @@ def grid_column(lon: str, n: Column) -> Column:
 def distance_join(a: DataFrame, b: DataFrame, radius_m: float, by: tuple[str, ...] = (), carry: tuple[str, ...] = ()) -> DataFrame:
     """Pairs (id_a, id_b, metres) of points (id, lat, lon) within radius_m of each other, anywhere on the globe.
 
-    Points of a fall into one grid cell, points of b into it and its neighbours. Cells are a radius tall; a row
-    has as many around the globe as are a radius wide at its far side, one near the poles. Columns in by must
-    be equal; columns in carry follow as name_a and name_b.
+    Places are met once, whatever number of points they hold (see near_places); the points of a pair of places
+    follow by equi-joins. Columns in by must be equal; columns in carry follow as name_a and name_b.
+    """
+    side = lambda df, s: df.select(*by, *(F.col(c).alias(f"{c}_{s}") for c in dict.fromkeys(("id", "lat", "lon", *carry))))
+    found = near_places(a.select(*by, "lat", "lon").distinct(), b.select(*by, "lat", "lon").distinct(), radius_m, by)
+    for df, s in ((a, "a"), (b, "b")):
+        found = found.join(side(df, s).hint("merge"), [*by, f"lat_{s}", f"lon_{s}"])
+    kept = [f"{c}_{s}" for c in carry for s in "ab"]
+    return found.select(*by, "id_a", "id_b", *kept, "metres")
+
+
+def near_places(a: DataFrame, b: DataFrame, radius_m: float, by: tuple[str, ...] = ()) -> DataFrame:
+    """Pairs (by, lat_a, lon_a, lat_b, lon_b, metres) of places (by, lat, lon) within radius_m of each other.
+
+    Places of a fall into one grid cell, places of b into it and its neighbours. Cells are a radius tall; a row
+    has as many around the globe as are a radius wide at its far side, one near the poles. The joins are merged:
+    a plan's estimate knows nothing of the nine cells of a place, so it would broadcast what a driver can't hold.
     """
     tall = radius_m / DEGREE_M
     near = F.array(F.lit(-1), F.lit(0), F.lit(1))
     columns = lambda y: grid_columns(y, tall)
-    side = lambda df, s: df.select(*by, *(F.col(c).alias(f"{c}_{s}") for c in dict.fromkeys(("id", "lat", "lon", *carry))))
+    side = lambda df, s: df.select(*by, F.col("lat").alias(f"lat_{s}"), F.col("lon").alias(f"lon_{s}"))
 
     left = side(a, "a").withColumn("y", F.floor(F.col("lat_a") / tall))
     left = left.withColumn("x", grid_column("lon_a", columns(F.col("y"))))
@@ -46,8 +60,7 @@ def distance_join(a: DataFrame, b: DataFrame, radius_m: float, by: tuple[str, ..
     n = columns(F.col("y"))
     right = right.withColumn("x", F.explode(F.array_distinct(F.transform(near, lambda d: F.pmod(grid_column("lon_b", n) + d, n)))))
     metres = haversine_m("lat_a", "lon_a", "lat_b", "lon_b")
-    kept = [f"{c}_{s}" for c in carry for s in "ab"]
-    return left.join(right, [*by, "y", "x"]).select(*by, "id_a", "id_b", *kept, metres.alias("metres")).where(F.col("metres") <= radius_m)
+    return left.join(right.hint("merge"), [*by, "y", "x"]).select(*by, "lat_a", "lon_a", "lat_b", "lon_b", metres.alias("metres")).where(F.col("metres") <= radius_m)
 
 
 def cover_with_cells(edges: DataFrame, size: float) -> DataFrame:
