@@ -23,8 +23,8 @@ def coverage_report(official: DataFrame, ours: DataFrame, listed: DataFrame, rad
     ours of any key within radius_m; of others ours over official. Null without official points. The last
     row, of part all, is over the listed keys.
     """
-    hit = spatial.distance_join(official, ours, radius_m).select(F.col("id_a").alias("id")).distinct().withColumn("hit", F.lit(1))
-    counts = official.join(hit, "id", "left").groupBy("key").agg(F.count("*").alias("official"), F.count("hit").alias("found"))
+    hit = spatial.points_near(official, ours, radius_m).select("id").distinct().withColumn("hit", F.lit(1))
+    counts = official.join(hit.hint("merge"), "id", "left").groupBy("key").agg(F.count("*").alias("official"), F.count("hit").alias("found"))
     known = listed.select("key").distinct().withColumn("listed", F.lit(True))
     rows = counts.join(ours.groupBy("key").agg(F.count("*").alias("ours")), "key", "full").join(known, "key", "left")
     rows = cut(rows.select("key", "official", F.when(F.col("listed"), F.col("found")).alias("matched"), F.coalesce("ours", F.lit(0).cast("long")).alias("ours")))
