@@ -6,10 +6,10 @@ from pyspark.sql import functions as F
 
 from ..functions import calendar
 from ..functions import geo as geometry
-from ..operators import clusters, exports, outlines, roads, spatial
+from ..operators import clusters, exports, lines, outlines, roads, spatial
 from . import layers, trips, views
 from .queries import _H
-from .queries_places import _MILES, _SAMPLES, _samples, cell_edges
+from .queries_places import _MILES, _SAMPLES, cell_edges
 from .registered import query
 
 
@@ -146,10 +146,13 @@ def _stops(spark, sf):
 
 
 def _report(spark, sf) -> trips.TripReport:
-    samples = _samples(spark, sf)
+    """The reports of trips with equal ends are made once."""
+    firsts, members = lines.once_each(views.trips(spark, sf), "trip_id")
+    samples = lines.sample_lines(firsts, 10.0)
     ends = ("lat1", "lon1", "lat2", "lon2")
-    direct = views.trips(spark, sf).select("trip_id", geometry.miles(*ends).alias("direct"), F.lit(0.0).alias("end_a"), F.lit(0.0).alias("end_b"))
-    return trips.trip_report(samples, direct, cell_edges(spark, sf), _stops(spark, sf), _prices(spark, sf), 15.0)
+    direct = firsts.select("trip_id", geometry.miles(*ends).alias("direct"), F.lit(0.0).alias("end_a"), F.lit(0.0).alias("end_b"))
+    made = trips.trip_report(samples, direct, cell_edges(spark, sf), _stops(spark, sf), _prices(spark, sf), 15.0)
+    return trips.TripReport(*(lines.for_each(t, members, "trip_id") for t in made))
 
 
 _RUNS = f"""{_SAMPLES}, pl AS (SELECT s.*, c.code FROM s LEFT JOIN v_cell c ON lat >= lat0 AND lat < lat0 + 4.8::DOUBLE AND lon >= lon0 AND lon < lon0 + 11.4::DOUBLE),

@@ -85,8 +85,9 @@ def trip_report(samples: DataFrame, ends: DataFrame, edges: DataFrame, points: D
     runs, outside = state_runs(samples, edges)
     runs = cut(runs)
     near = lines.near_samples(points.where(F.col("kind").isin("s", "w")).select("id", "lat", "lon"), samples, within_mi)
-    hits = near.select("trip_id", "id", "mile").join(run_of(near.select("trip_id", "id", "mile"), runs, ["trip_id", "id"]), ["trip_id", "id"])
-    hits = cut(hits.join(points.select("id", "kind", "name"), "id").select("trip_id", "run", "mile", "id", "kind", "name"))
+    near = cut(near.select("trip_id", "id", "mile"))
+    hits = near.join(run_of(near, runs, ["trip_id", "id"]).hint("merge"), ["trip_id", "id"])
+    hits = cut(hits.join(points.select("id", "kind", "name").hint("merge"), "id").select("trip_id", "run", "mile", "id", "kind", "name"))
 
     states = state_miles(runs, totals).join(prices, "code", "left")
     gallons = F.col("miles") / mpg

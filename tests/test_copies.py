@@ -42,7 +42,7 @@ def test_copies_are_met_once(spark, copies, name):
     assert most_rows(spark, lambda: same_as_sql(spark, copies, name)) <= 5000
 
 
-@pytest.mark.parametrize("name", ["jon08_distance_join", "geo14_corridor_hits", "jon13_crossings"])
+@pytest.mark.parametrize("name", ["jon08_distance_join", "geo14_corridor_hits", "rpt08_corridor_hits", "jon13_crossings"])
 def test_no_step_has_more_rows_than_the_result(spark, copies, name):
     n = []
     assert most_rows(spark, lambda: n.append(same_as_sql(spark, copies, name))) <= max(2.1 * n[0], 5000)
