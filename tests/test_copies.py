@@ -37,7 +37,7 @@ def same_as_sql(spark, d, name):
 
 
 # Rows of the largest step: pairs of points or lines would be 90,000 for each place and 2500 for each pair of lines.
-@pytest.mark.parametrize("name", ["geo07_components", "agg04_coverage", "geo15_near_line", "jon09_nearest_line", "rpt08_state_miles"])
+@pytest.mark.parametrize("name", ["geo07_components", "agg04_coverage", "geo15_near_line", "jon09_nearest_line", "rpt08_trip_report", "rpt08_state_miles"])
 def test_copies_are_met_once(spark, copies, name):
     assert most_rows(spark, lambda: same_as_sql(spark, copies, name)) <= 5000
 
