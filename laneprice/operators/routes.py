@@ -16,6 +16,8 @@ from .durable import cut
 CELL_EDGES, PLANE_EDGES = 256, 100_000
 #: Nodes that the largest cell may hold as hubs and borders (the square of that is a task's memory), and ends of trips a task takes.
 MOST_NODES, TASK_ENDS = 4_000, 8_192
+#: From this cell on (depth 6) the cells are so small that 16 of them go through a task together: a group has a price of its own.
+BUNCHED_FROM = 4**6
 
 _ARC = "cell long, a long, b long, miles double, ha int, hb int, below long"
 _LABEL = "v long, cell long, hubs array<double>, up long, nodes array<long>, dist array<double>"
@@ -23,18 +25,22 @@ _HOP = "cell long, p long, q long, i int, `from` long, `to` long, below long"
 
 
 def _planes(ends: np.ndarray, levels: int) -> tuple[np.ndarray, np.ndarray]:
-    """Axis and place of the line that halves each cell of a binary tree, in heap order: of some near the middle the one that fewest edges (y1, x1, y2, x2) cross."""
+    """Axis and place of the line that halves each cell of a binary tree, in heap order: of all near the middle the one that fewest edges (y1, x1, y2, x2) cross, for each on its smaller side."""
     axis, at = np.zeros(2**levels, dtype=int), np.full(2**levels, np.inf)
     held = {0: ends}
     for k in range(2**levels - 1):
         e, best = held.pop(k), None
         for x in (0, 1):
-            low, high = np.minimum(e[:, x], e[:, x + 2]), np.maximum(e[:, x], e[:, x + 2])
+            low, high = np.sort(np.minimum(e[:, x], e[:, x + 2])), np.sort(np.maximum(e[:, x], e[:, x + 2]))
             s = np.sort(np.concatenate([low, high]))
-            for c in np.unique(s[[int(len(s) * f) for f in (0.35, 0.425, 0.5, 0.575, 0.65)]]) if len(s) else ():
-                left, right = int((high <= c).sum()), int((low > c).sum())
-                if min(left, right) * 5 >= len(e):
-                    best = min(best or (math.inf,), (len(e) - left - right, abs(left - right), x, c))
+            c = np.unique(s[int(len(s) * 0.3) : int(len(s) * 0.7) + 1])
+            left, right = np.searchsorted(high, c, side="right"), len(e) - np.searchsorted(low, c, side="right")
+            fair = np.minimum(left, right) * 5 >= len(e)
+            c, left, right = c[fair], left[fair], right[fair]
+            if len(c):
+                share, apart = (len(e) - left - right) / np.minimum(left, right), np.abs(left - right)
+                i = np.lexsort((apart, share))[0]
+                best = min(best or (math.inf,), (share[i], apart[i], x, c[i]))
         if best:
             axis[k], at[k] = best[2:]
         x, c = axis[k], at[k]
@@ -60,6 +66,20 @@ def _cell(code: Column, home: Column, depth: int) -> Column:
     return F.call_function("shiftleft", F.lit(1).cast("long"), down) + F.call_function("shiftright", code, (2 * depth - down).cast("int"))
 
 
+def _least(miles: np.ndarray) -> None:
+    """Fills a symmetric matrix of arcs with the least miles between all: nodes are taken out in order, each leaving arcs between its neighbours, and put back in reverse order over those it had left. The work grows with the neighbours, few where arcs are short, not with the cube of the nodes."""
+    left = []
+    for k in range(len(miles)):
+        near = k + 1 + np.flatnonzero(np.isfinite(miles[k, k + 1 :]))
+        step, pairs = miles[k, near], np.ix_(near, near)
+        miles[pairs] = np.minimum(miles[pairs], step[:, None] + step)
+        left.append((near, step))
+    for k in range(len(miles) - 1, -1, -1):
+        near, step = left[k]
+        if len(near):
+            miles[k, k + 1 :] = miles[k + 1 :, k] = (step[:, None] + miles[near, k + 1 :]).min(axis=0)
+
+
 def _solved(arcs: pd.DataFrame, hops: bool = False):
     """Nodes, their homes, the least miles between all of them over arcs, and with hops the next node on the way and the cell below that each arc runs in."""
     nodes, first = np.unique(np.concatenate([arcs["a"], arcs["b"]]), return_index=True)
@@ -70,8 +90,7 @@ def _solved(arcs: pd.DataFrame, hops: bool = False):
     miles[i, j] = miles[j, i] = arcs["miles"]
     np.fill_diagonal(miles, 0.0)
     if not hops:
-        for k in range(n):
-            np.minimum(miles, miles[:, k, None] + miles[k], out=miles)
+        _least(miles)
         return nodes, home, miles
     below, ahead = np.full((n, n), -1), np.tile(np.arange(n), (n, 1))
     below[i, j] = below[j, i] = arcs["below"]
@@ -136,14 +155,30 @@ def _hops(arcs: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["cell", "p", "q", "i", "from", "to", "below"])
 
 
+def _bunch(cell: str = "cell") -> Column:
+    return F.when(F.col(cell) >= BUNCHED_FROM, F.shiftright(cell, 4)).otherwise(F.col(cell)).alias("bunch")
+
+
+def _by_cell(run):
+    """run, which takes the rows of one cell from each table, over those of several cells."""
+
+    def several(*tables: pd.DataFrame) -> pd.DataFrame:
+        cells = [dict(iter(t.groupby("cell"))) for t in tables]
+        made = [run(*(of.get(cell, t.iloc[:0]) for of, t in zip(cells, tables))) for cell in cells[-1]]
+        full = [m for m in made if len(m)]
+        return pd.concat(full, ignore_index=True) if full else made[0] if made else run(*(t.iloc[:0] for t in tables))
+
+    return several
+
+
 def _met(arcs: DataFrame, rows: DataFrame, key: str, run, kind: str, tasks: int) -> DataFrame:
-    """run over the arcs and rows of each cell; the rows of a cell are dealt by key to as many groups as their number needs, each with all its arcs."""
+    """run over the arcs and rows of each cell; the rows of a cell are dealt by key to as many groups as their number needs, each with all its arcs; small cells share groups."""
     rows = cut(rows)
     parts = rows.groupBy("cell").agg(F.floor(F.count("*") / TASK_ENDS + 1).alias("parts"))
     a = arcs.join(parts, "cell").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).drop("parts")
     b = rows.join(parts, "cell").withColumn("part", F.pmod(F.xxhash64(key), F.col("parts"))).drop("parts")
-    a, b = (df.repartition(tasks, "cell", "part").groupBy("cell", "part") for df in (a, b))
-    return cut(a.cogroup(b).applyInPandas(run, kind))
+    a, b = (df.select("*", _bunch()).repartition(tasks, "bunch", "part").groupBy("bunch", "part") for df in (a, b))
+    return cut(a.cogroup(b).applyInPandas(lambda a, b: _by_cell(run)(a, b), kind))
 
 
 def nested_ways(pairs: DataFrame, edges: DataFrame, places: DataFrame, paths: bool = False) -> DataFrame | None:
@@ -187,7 +222,7 @@ def nested_ways(pairs: DataFrame, edges: DataFrame, places: DataFrame, paths: bo
         here = arcs.where(F.col("cell").between(4**d, 2 * 4**d - 1))
         of_depth[d] = here if up is None else here.unionByName(up)
         if d:
-            up = cut(of_depth[d].repartition(tasks, "cell").groupBy("cell").applyInPandas(_borders, _ARC))
+            up = cut(of_depth[d].select("*", _bunch()).repartition(tasks, "bunch").groupBy("bunch").applyInPandas(lambda rows: _by_cell(_borders)(rows), _ARC))
 
     pairs = cut(pairs.select("a", "b").distinct())
     asked = cut(pairs.select(F.explode(F.array("a", "b")).alias("v")).distinct().join(homes.select(F.col("node").alias("v"), "cell", "home"), "v"))
@@ -195,7 +230,7 @@ def nested_ways(pairs: DataFrame, edges: DataFrame, places: DataFrame, paths: bo
     for d in range(depth, -1, -1):
         ends = asked.where(F.col("home") == d).select("v", "cell", F.lit(None).cast("array<long>").alias("nodes"), F.lit(None).cast("array<double>").alias("dist"))
         if last is not None:
-            ends = ends.unionByName(last.select("v", F.col("up").alias("cell"), "nodes", "dist"))
+            ends = ends.unionByName(last.where("size(nodes) > 0").select("v", F.col("up").alias("cell"), "nodes", "dist"))
         labels[d] = last = _met(of_depth[d], ends, "v", _labels, _LABEL, tasks)
     all_labels = reduce(DataFrame.unionByName, labels.values())
     side = lambda k: all_labels.select(F.col("v").alias(k), "cell", F.col("hubs").alias(f"h{k}"))

@@ -4,6 +4,7 @@ import heapq
 import math
 import random
 
+import numpy as np
 import pytest
 
 from laneprice.operators import clusters, routes
@@ -61,3 +62,47 @@ def test_ways_come_from_nested_cells(spark, monkeypatch):
     # Cells that would be too large are left to the search in rounds.
     monkeypatch.setattr(routes, "MOST_NODES", 20)
     assert routes.nested_ways(asked, graph, places) is None
+
+
+def test_lines_run_through_gaps():
+    """Three strips of 7, 10 and 12 columns, 300 rows long, have no edge between them; any line across the rows cuts 26."""
+    columns, at = [range(7), range(7, 17), range(17, 29)], []
+    for strip in columns:
+        for x in strip:
+            at += [(y, x, y, x + 1) for y in range(300) if x + 1 in strip] + [(y, x, y + 1, x) for y in range(299)]
+    edges = np.array(at, dtype=float)
+    axis, where = routes._planes(edges, 2)
+
+    def crossed(e, k):
+        low, high = np.minimum(e[:, axis[k]], e[:, axis[k] + 2]), np.maximum(e[:, axis[k]], e[:, axis[k] + 2])
+        return int(((low <= where[k]) & (high > where[k])).sum())
+
+    assert axis[0] == 1 and crossed(edges, 0) == 0
+    assert max(crossed(edges[edges[:, 3] <= where[0]], 1), crossed(edges[edges[:, 1] > where[0]], 2)) <= 17
+
+
+def test_small_cells_share_groups(spark, monkeypatch):
+    """A band of 6 x 120 nodes: the ways of the smallest cells, dealt one by one or together, are those of a plain search."""
+    monkeypatch.setattr(routes, "CELL_EDGES", 32)
+    monkeypatch.setattr(routes, "BUNCHED_FROM", 16)
+    r, edges, near = random.Random(3), [], {}
+    for y in range(120):
+        for x in range(6):
+            edges += [(y * 6 + x, to, 1 + r.random()) for to, fits in ((y * 6 + x + 1, x < 5), ((y + 1) * 6 + x, y < 119)) if fits and r.random() < 0.9]
+    for a, b, m in edges:
+        near.setdefault(a, []).append((b, m))
+        near.setdefault(b, []).append((a, m))
+    pairs = [(r.randrange(720), r.randrange(720)) for _ in range(80)]
+    places = spark.createDataFrame([(y * 6 + x, y * 0.1, x * 0.1) for y in range(120) for x in range(6)], "node long, lat double, lon double")
+    asked, graph = spark.createDataFrame(pairs, "a long, b long"), spark.createDataFrame(edges, "a long, b long, miles double")
+    found = {(x["a"], x["b"]): x["miles"] for x in routes.nested_ways(asked, graph, places).collect()}
+    for a, b in set(pairs):
+        assert found.get((a, b)) == (None if _plain(near, a).get(b) is None else pytest.approx(_plain(near, a)[b]))
+
+
+def test_snapping_spreads_the_points_not_the_nodes(spark):
+    nodes = spark.range(4000).selectExpr("id AS node", "40 + id div 80 * 0.01D AS lat", "-90 + id % 80 * 0.01D AS lon", "4000L AS size").localCheckpoint()
+    points = spark.createDataFrame([(1, 40.1001, -89.9002)], "id long, lat double, lon double")
+    got = []
+    assert most_rows(spark, lambda: got.extend(clusters.snap(points, nodes).collect())) < 12_000
+    assert [tuple(x) for x in got] == [(1, 810)]
