@@ -145,13 +145,19 @@ def _stops(spark, sf):
     return views.points(spark, sf).select("id", kind.alias("kind"), "name", "lat", "lon")
 
 
-def _report(spark, sf) -> trips.TripReport:
-    """The reports of trips with equal ends are made once."""
+def _once_reported(spark, sf):
+    """The reports of the first trips of those with equal ends, and whom they stand for (see once_each)."""
     firsts, members = lines.once_each(views.trips(spark, sf), "trip_id")
     samples = lines.sample_lines(firsts, 10.0)
     ends = ("lat1", "lon1", "lat2", "lon2")
     direct = firsts.select("trip_id", geometry.miles(*ends).alias("direct"), F.lit(0.0).alias("end_a"), F.lit(0.0).alias("end_b"))
     made = trips.trip_report(samples, direct, cell_edges(spark, sf), _stops(spark, sf), _prices(spark, sf), 15.0)
+    return made, members
+
+
+def _report(spark, sf) -> trips.TripReport:
+    """The reports of trips with equal ends are made once."""
+    made, members = _once_reported(spark, sf)
     return trips.TripReport(*(lines.for_each(t, members, "trip_id") for t in made))
 
 
@@ -180,7 +186,9 @@ def rpt08_trip_report(spark, sf):
 
 @query(f", {_RUNS}, dd AS (SELECT a.trip_id, b.id, a.mile, {_H} AS metres FROM s a JOIN v_point b ON b.id % 3 < 2 AND abs(a.lat - b.lat) < 0.3), hh AS (SELECT trip_id, id, mile FROM dd WHERE metres <= 15 * 1609.344::DOUBLE QUALIFY row_number() OVER (PARTITION BY trip_id, id ORDER BY metres, mile DESC) = 1) SELECT hh.trip_id, id, round(mile, 4) AS mile, run::BIGINT AS run FROM hh JOIN ru USING (trip_id) QUALIFY row_number() OVER (PARTITION BY hh.trip_id, id ORDER BY CASE WHEN mile < a THEN a - mile WHEN mile > b THEN mile - b ELSE 0 END, run) = 1")
 def rpt08_corridor_hits(spark, sf):
-    return _report(spark, sf).hits.select("trip_id", "id", F.round("mile", 4).alias("mile"), "run")
+    made, members = _once_reported(spark, sf)
+    hits = made.hits.select("trip_id", "id", F.round("mile", 4).alias("mile"), "run")
+    return lines.for_each(hits, members, "trip_id", lines.tasks_for(hits, members, "trip_id"))
 
 
 _NEAR = f"SELECT a.id FROM of a JOIN v_point b ON b.id % 2 = 1 AND abs(a.lat - b.lat) < 0.02 WHERE {_H} <= 500"

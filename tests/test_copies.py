@@ -48,6 +48,26 @@ def test_no_step_has_more_rows_than_the_result(spark, copies, name):
     assert most_rows(spark, lambda: n.append(same_as_sql(spark, copies, name))) <= max(2.1 * n[0], 5000)
 
 
+# A join that had every row of the result would sort and shuffle what is written out behind it.
+@pytest.mark.parametrize("name", ["geo14_corridor_hits", "rpt08_corridor_hits"])
+def test_hits_are_written_out_behind_the_joins(spark, copies, name):
+    n = []
+    assert max(metrics(spark, lambda: n.append(same_as_sql(spark, copies, name)), "Join", "number of output rows")) * 5 < n[0]
+
+
+def test_arrays_and_tasks_are_bounded(spark, copies, monkeypatch):
+    from laneprice.operators import lines
+
+    monkeypatch.setattr(lines, "GROUP", 16)
+    monkeypatch.setattr(lines, "TASK_ROWS", 1000)
+    n = same_as_sql(spark, copies, "geo14_corridor_hits")
+    df = QUERIES["geo14_corridor_hits"](spark, copies)
+    assert df.rdd.getNumPartitions() == -(-n // 1000)
+    rows = spark.range(300).selectExpr("id % 2 AS k", "id")
+    sizes = [len(x["ids"]) for x in lines.grouped(rows, ["k"], "id", "ids").collect()]
+    assert sum(sizes) == 300 and max(sizes) < 40
+
+
 @pytest.mark.parametrize("name", ["jon08_distance_join", "geo14_corridor_hits"])
 def test_cells_of_points_are_not_broadcast(spark, copies, name):
     assert metrics(spark, lambda: QUERIES[name](spark, copies).count(), "BroadcastExchange", "data size") == []
