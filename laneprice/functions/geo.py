@@ -30,6 +30,13 @@ def miles(lat1, lon1, lat2, lon2) -> Column:
     return EARTH_MI * _central(lat1, lon1, lat2, lon2)
 
 
+def path_miles(path) -> Column:
+    """Miles along a path, array<struct<lat, lon>>, summed leg by leg; null for null."""
+    p = F.col(path) if isinstance(path, str) else path
+    legs = F.zip_with(F.slice(p, F.lit(1), F.greatest(F.size(p) - 1, F.lit(0))), F.slice(p, F.lit(2), F.greatest(F.size(p) - 1, F.lit(0))), lambda a, b: miles(a["lat"], a["lon"], b["lat"], b["lon"]))
+    return F.aggregate(legs, F.lit(0.0), lambda s, m: s + m)
+
+
 def bearing(lat1, lon1, lat2, lon2) -> Column:
     """Initial bearing in degrees from 0 to 360."""
     a, b, c, d = (F.radians(x) for x in (lat1, lon1, lat2, lon2))

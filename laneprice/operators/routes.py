@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import geo
 from .durable import cut
 
 #: Edges of a smallest cell, and edges that the lines between cells are chosen from; every edge is then dealt by them.
@@ -19,9 +20,9 @@ MOST_NODES, TASK_ENDS = 4_000, 8_192
 #: From this cell on (depth 6) the cells are so small that 16 of them go through a task together: a group has a price of its own.
 BUNCHED_FROM = 4**6
 
-_ARC = "cell long, a long, b long, miles double, ha int, hb int, below long"
+_ARC = "cell long, a long, b long, miles double, ha int, hb int, below long, leg double"
 _LABEL = "v long, cell long, hubs array<double>, up long, nodes array<long>, dist array<double>"
-_HOP = "cell long, p long, q long, i int, `from` long, `to` long, below long"
+_HOP = "cell long, p long, q long, i int, `from` long, `to` long, below long, leg double"
 
 
 def _planes(ends: np.ndarray, levels: int) -> tuple[np.ndarray, np.ndarray]:
@@ -81,7 +82,7 @@ def _least(miles: np.ndarray) -> None:
 
 
 def _solved(arcs: pd.DataFrame, hops: bool = False):
-    """Nodes, their homes, the least miles between all of them over arcs, and with hops the next node on the way and the cell below that each arc runs in."""
+    """Nodes, their homes, the least miles between all of them over arcs, and with hops the next node on the way, the cell below that each arc runs in and the leg of each edge."""
     nodes, first = np.unique(np.concatenate([arcs["a"], arcs["b"]]), return_index=True)
     home = np.concatenate([arcs["ha"], arcs["hb"]])[first]
     arcs = arcs.sort_values("miles", ascending=False, kind="stable")
@@ -92,14 +93,15 @@ def _solved(arcs: pd.DataFrame, hops: bool = False):
     if not hops:
         _least(miles)
         return nodes, home, miles
-    below, ahead = np.full((n, n), -1), np.tile(np.arange(n), (n, 1))
+    below, leg, ahead = np.full((n, n), -1), np.zeros((n, n)), np.tile(np.arange(n), (n, 1))
     below[i, j] = below[j, i] = arcs["below"]
+    leg[i, j] = leg[j, i] = arcs["leg"]
     for k in range(n):
         over = miles[:, k, None] + miles[k]
         better = over < miles
         miles[better] = over[better]
         ahead = np.where(better, ahead[:, k, None], ahead)
-    return nodes, home, miles, ahead, below
+    return nodes, home, miles, ahead, below, leg
 
 
 def _borders(arcs: pd.DataFrame) -> pd.DataFrame:
@@ -114,7 +116,7 @@ def _borders(arcs: pd.DataFrame) -> pd.DataFrame:
         needed &= ~(apart[:, k, None] + apart[k] <= miles)
     np.fill_diagonal(needed, True)
     i, j = np.nonzero(np.triu(needed))
-    return pd.DataFrame({"cell": cell >> 2, "a": nodes[i], "b": nodes[j], "miles": miles[i, j], "ha": home[i], "hb": home[j], "below": cell})
+    return pd.DataFrame({"cell": cell >> 2, "a": nodes[i], "b": nodes[j], "miles": miles[i, j], "ha": home[i], "hb": home[j], "below": cell, "leg": 0.0})
 
 
 def _labels(arcs: pd.DataFrame, ends: pd.DataFrame) -> pd.DataFrame:
@@ -136,7 +138,7 @@ def _hops(arcs: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
     rows = []
     if len(arcs) and len(asked):
         cell = int(arcs["cell"].iloc[0])
-        nodes, _, miles, ahead, below = _solved(arcs, hops=True)
+        nodes, _, miles, ahead, below, leg = _solved(arcs, hops=True)
         for p, q, inner, at, dist in zip(asked["p"], asked["q"], asked["inner"], asked["nodes"], asked["dist"]):
             j, i = np.searchsorted(nodes, q), 0
             if at is None:
@@ -144,15 +146,25 @@ def _hops(arcs: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
             else:
                 of = np.searchsorted(nodes, at)
                 k = of[(dist + miles[of, j]).argmin()]
-                rows.append((cell, p, q, 0, p, nodes[k], int(inner)))
+                rows.append((cell, p, q, 0, p, nodes[k], int(inner), 0.0))
                 i = 1
             while k != j:
                 to = ahead[k, j]
-                rows.append((cell, p, q, i, nodes[k], nodes[to], below[k, to]))
+                rows.append((cell, p, q, i, nodes[k], nodes[to], below[k, to], leg[k, to]))
                 k, i = to, i + 1
                 if i > len(nodes) + 1:
                     raise RuntimeError(f"no way out of cell {cell} from {p} to {q}")
-    return pd.DataFrame(rows, columns=["cell", "p", "q", "i", "from", "to", "below"])
+    return pd.DataFrame(rows, columns=["cell", "p", "q", "i", "from", "to", "below", "leg"])
+
+
+def _legs(arcs: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+    """The hops of each way through cells below, and one row (i -1) for its edges: their legs in all."""
+    hops = _hops(arcs, asked)
+    edges = hops[hops["below"] < 0].groupby(["cell", "p", "q"], as_index=False)["leg"].sum()
+    if not len(edges):
+        return hops
+    edges = edges.assign(**{"i": -1, "from": edges["p"], "to": edges["q"], "below": -1})[hops.columns]
+    return pd.concat([edges, hops[hops["below"] >= 0]], ignore_index=True)
 
 
 def _bunch(cell: str = "cell") -> Column:
@@ -181,9 +193,12 @@ def _met(arcs: DataFrame, rows: DataFrame, key: str, run, kind: str, tasks: int)
     return cut(a.cogroup(b).applyInPandas(lambda a, b: _by_cell(run)(a, b), kind))
 
 
-def nested_ways(pairs: DataFrame, edges: DataFrame, places: DataFrame, paths: bool = False) -> DataFrame | None:
+def nested_ways(pairs: DataFrame, edges: DataFrame, places: DataFrame, paths: bool = False, walked: bool = False) -> DataFrame | None:
     """a, b, miles: the shortest way of each pair (a, b) over edges (a, b, miles) between places (node, lat, lon); with paths also nodes, array<struct<lat, lon>> from a to b. Pairs without a way are left out.
 
+    walked: instead of the nodes, the miles from place to place along them. A piece of a way is measured once for all pairs that share it, so what is
+    kept grows with the pairs and the depth of the cells; nodes take the length of every pair's way.
+
     Straight lines that few edges cross cut the places into four, and each part again; of an edge between two parts one
     end becomes a hub of the cell they lie in. A way between two nodes passes a hub of a cell that holds both, or stays in a smallest cell,
     whose nodes are all hubs. From the smallest cells up, the miles between a cell's borders (hubs of larger ones) are
@@ -202,13 +217,14 @@ def nested_ways(pairs: DataFrame, edges: DataFrame, places: DataFrame, paths: bo
     joined = places.join(edges.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node", "left_semi")
     coded = cut(_dealt(joined.select("node", "lat", "lon"), *_planes(sample, levels), levels))
 
-    code = lambda k: coded.select(F.col("node").alias(k), F.col("code").alias(f"c{k}"))
-    told = cut(edges.join(code("a"), "a").join(code("b"), "b"))
+    code = lambda k: coded.select(F.col("node").alias(k), F.col("code").alias(f"c{k}"), F.col("lat").alias(f"y{k}"), F.col("lon").alias(f"x{k}"))
+    leg = geo.miles("ya", "xa", "yb", "xb") if walked else F.lit(0.0)
+    told = cut(edges.join(code("a"), "a").join(code("b"), "b").select("a", "b", "miles", "ca", "cb", leg.alias("leg")))
     common = reduce(lambda x, d: x + (F.shiftright("ca", 2 * (depth - d)) == F.shiftright("cb", 2 * (depth - d))).cast("int"), range(1, depth + 1), F.lit(0))
     hubs = told.where("ca <> cb").groupBy(F.when(F.col("ca") < F.col("cb"), F.col("a")).otherwise(F.col("b")).alias("node")).agg(F.min(common).alias("home"))
     homes = cut(coded.join(hubs, "node", "left").withColumn("home", F.coalesce("home", F.lit(depth))).withColumn("cell", _cell(F.col("code"), F.col("home"), depth)))
     home = lambda k: homes.select(F.col("node").alias(k), F.col("home").alias(f"h{k}"), F.col("cell").alias(f"l{k}"))
-    arcs = cut(told.join(home("a"), "a").join(home("b"), "b").select(F.greatest("la", "lb").alias("cell"), "a", "b", "miles", "ha", "hb", F.lit(-1).cast("long").alias("below")))
+    arcs = cut(told.join(home("a"), "a").join(home("b"), "b").select(F.greatest("la", "lb").alias("cell"), "a", "b", "miles", "ha", "hb", F.lit(-1).cast("long").alias("below"), "leg"))
 
     # A cell holds its hubs and its borders: the nearer to the whole end of an edge, in the cells from the other end up.
     above, under = F.when(F.col("ha") < F.col("hb"), F.col("a")).otherwise(F.col("b")), F.greatest("ha", "hb") - F.least("ha", "hb")
@@ -239,7 +255,7 @@ def nested_ways(pairs: DataFrame, edges: DataFrame, places: DataFrame, paths: bo
     best = cut(met.groupBy("a", "b").agg(F.min(F.struct("miles", "cell", "hub")).alias("m")).select("a", "b", "m.*"))
     same = pairs.where("a = b").select("a", "b", F.lit(0.0).alias("miles"))
     found = best.select("a", "b", "miles").unionByName(same)
-    if not paths:
+    if not paths and not walked:
         return found
 
     named = []
@@ -255,8 +271,23 @@ def nested_ways(pairs: DataFrame, edges: DataFrame, places: DataFrame, paths: bo
         ways = ways.where("p <> q").distinct()
         inner = labels[d + 1].select(F.col("v").alias("p"), F.col("up").alias("cell"), F.col("cell").alias("inner"), "nodes", "dist") if d < depth else None
         ways = ways.join(inner, ["p", "cell"], "left") if inner is not None else ways.select("*", F.lit(None).cast("long").alias("inner"), F.lit(None).cast("array<long>").alias("nodes"), F.lit(None).cast("array<double>").alias("dist"))
-        hops[d] = _met(of_depth[d], ways, "p", _hops, _HOP, tasks)
+        hops[d] = _met(of_depth[d], ways, "p", _legs if walked else _hops, _HOP, tasks)
         more = hops[d].where("below > 0").select(F.col("below").alias("cell"), F.col("from").alias("p"), F.col("to").alias("q"))
+    if walked:
+        done, down = [], None
+        for d in range(depth, -1, -1):
+            steps = hops[d]
+            if down is not None:
+                steps = steps.join(down.select(F.col("cell").alias("below"), F.col("p").alias("from"), F.col("q").alias("to"), "walked"), ["below", "from", "to"], "left")
+                steps = steps.withColumn("leg", F.when(F.col("below") < 0, F.col("leg")).otherwise(F.col("walked")))
+            legs = F.transform(F.array_sort(F.collect_list(F.struct("i", "leg"))), lambda s: s["leg"])
+            down = cut(steps.groupBy("cell", "p", "q").agg(F.aggregate(legs, F.lit(0.0), lambda s, x: s + x).alias("walked")))
+            done.append(down)
+        done, out = reduce(DataFrame.unionByName, done), best
+        for k in "ab":
+            out = out.join(done.select("cell", F.col("p").alias(k), "q", F.col("walked").alias(f"w{k}")).hint("merge"), ["cell", k, "q"], "left")
+        way = lambda k: F.when(F.col(k) == F.col("q"), 0.0).otherwise(F.col(f"w{k}"))
+        return out.select("a", "b", "miles", (way("a") + way("b")).alias("walked")).unionByName(same.select("a", "b", "miles", F.lit(0.0).alias("walked")))
     point = F.struct("lat", "lon")
     spots = places.select("node", point.alias("at"))
     done, down = [], None

@@ -2,9 +2,13 @@
 
 import heapq
 import math
+import pathlib
 import random
 
 import numpy as np
+import pandas as pd
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 
 from laneprice.operators import clusters, routes
@@ -106,3 +110,55 @@ def test_snapping_spreads_the_points_not_the_nodes(spark):
     got = []
     assert most_rows(spark, lambda: got.extend(clusters.snap(points, nodes).collect())) < 12_000
     assert [tuple(x) for x in got] == [(1, 810)]
+
+
+def test_lengths_are_those_of_the_paths(spark, monkeypatch):
+    """A band of 6 x 30 nodes: walked is the length of the nodes' path, in nested cells and in rounds."""
+    monkeypatch.setattr(routes, "CELL_EDGES", 32)
+    r, spot = random.Random(8), {}
+    spot = {y * 6 + x: (40 + y * 0.05 + r.random() * 0.01, -90 + x * 0.05 + r.random() * 0.01) for y in range(30) for x in range(6)}
+    links = [(k, to) for k in spot for to, fits in ((k + 1, k % 6 < 5), (k + 6, k + 6 in spot)) if fits and r.random() < 0.9]
+    rows = [(line, n, *spot[k]) for line, link in enumerate(links) for n, k in enumerate(link)]
+    trips = [(k, *(v + r.random() * 0.02 for end in r.sample(sorted(spot), 2) for v in spot[end])) for k in range(15)]
+    trips += [(15, *spot[7], *spot[7]), (16, *spot[7], None, None)]
+    asked = spark.createDataFrame(trips, "trip_id long, lat_a double, lon_a double, lat_b double, lon_b double")
+    lines = spark.createDataFrame(rows, "line int, n int, lat double, lon double")
+    paths = {x["trip_id"]: x for x in clusters.route_trips(asked, lines).collect()}
+
+    def miles(p, q):
+        h = math.sin(math.radians(q[0] - p[0]) / 2) ** 2 + math.cos(math.radians(p[0])) * math.cos(math.radians(q[0])) * math.sin(math.radians(q[1] - p[1]) / 2) ** 2
+        return 2 * 3958.7613 * math.asin(math.sqrt(h))
+
+    def told():
+        got = {x["trip_id"]: x for x in clusters.route_trips(asked, lines, walked=True).collect()}
+        assert set(got) == set(paths) and sum(x["walked"] is not None for x in got.values()) > 10
+        for k, x in got.items():
+            p = paths[k]["path"]
+            assert (x["a"], x["b"]) == (paths[k]["a"], paths[k]["b"])
+            assert x["walked"] == (None if p is None else pytest.approx(sum(miles(*q) for q in zip(p, p[1:])), rel=1e-12))
+
+    told()
+    monkeypatch.setattr(routes, "MOST_NODES", 20)
+    told()
+
+
+def test_edges_count_by_their_legs():
+    """Of a way from 0 to 3 the hop through the cell below stays a row, the edges are one, with the legs of their places."""
+    arcs = pd.DataFrame([(4, 0, 1, 2.0, 1, 1, -1, 1.5), (4, 1, 2, 5.0, 1, 1, 16, 0.0), (4, 2, 3, 1.0, 1, 1, -1, 0.75), (4, 0, 3, 9.0, 1, 1, -1, 9.0)], columns=["cell", "a", "b", "miles", "ha", "hb", "below", "leg"])
+    asked = pd.DataFrame([(4, 0, 3, None, None, None)], columns=["cell", "p", "q", "inner", "nodes", "dist"])
+    assert routes._legs(arcs, asked)[["i", "from", "to", "below", "leg"]].values.tolist() == [[-1, 0, 3, -1, 2.25], [1, 1, 2, 16, 0.0]]
+
+
+def test_trips_keep_no_paths(spark, tmp_path, monkeypatch):
+    """Trips over a lattice 300 rows long: their length is told, but no table holds lists of places, whose size is trips times nodes."""
+    from laneprice.operators import durable
+    from laneprice.plans.catalog import QUERIES
+
+    spark.range(12_000).selectExpr("id AS c_custkey").write.parquet(f"{tmp_path}/customer.parquet")
+    spark.range(400).selectExpr("id AS s_suppkey").write.parquet(f"{tmp_path}/supplier.parquet")
+    monkeypatch.setattr(durable, "shared_dir", lambda _: f"{tmp_path}/kept")
+    rows = [x for x in QUERIES["geo12_route_trips"](spark, str(tmp_path)).collect() if x["miles"] is not None]
+    # Rows of towns are 2.76 miles apart, and a trip's ends about a mile from theirs.
+    assert len(rows) > 50 and max(x["miles"] for x in rows) > 100 and all(0 < x["walked"] - x["miles"] < 5 for x in rows)
+    tables = [pq.ParquetFile(f).schema_arrow for f in pathlib.Path(tmp_path, "kept").glob("cut-*/*.parquet")]
+    assert len(tables) > 20 and not [f for t in tables for f in t if pa.types.is_list(f.type) and pa.types.is_struct(f.type.value_type)]
